@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trowel.llm.ngram_join import link_components
+
+    return link_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trowel.llm.substring_dedup import remove_repeated_windows
 
@@ -19,6 +25,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op7_substring_dedup": op7_substring_dedup,
     }
 
