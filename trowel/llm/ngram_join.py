@@ -10,10 +10,11 @@ linked pair shares one. Sharing a passage doesn't suffice for that: a range draw
 Plan. (1) Texts with equal sets are one class (128-bit digest and size; a grouped minimum). (2) Each
 batch sends its classes' signatures as sorted lists per hash bucket; buckets return groups of classes
 with a common signature, equal groups once. (3) Each class is verified against the lowest member of
-its groups; links join components; later rounds only verify pairs of a group whose components still
-differ, until none is untested. So a group of near copies costs about one verification per member, all
-pairs are never listed, and no link between different sets is lost: each pair that shares a signature
-is verified or already connected. (4) Classes get components, documents their class's.
+its groups; links join components. Where a group still has several components, all members of different
+components in its family (connected groups) are compared, block by block within tasks that return
+only links that connect. So a group of near copies costs one verification per member if they link
+with the lowest, pairs are never listed, and no link between different sets is lost: each pair that
+shares a signature is verified or already connected. (4) Classes get components, documents their class's.
 
 Verification is on exact shingle sets (64-bit hashes of shingles) with integer arithmetic.
 
@@ -242,7 +243,7 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
     groups = sent.groupBy("bucket").applyInArrow(_groups, "grp long, d1 long").distinct()
     groups = stage_table(spark, groups.join(classes.select("d1", "doc"), "d1").select("grp", "doc", "d1"), "groups")
 
-    links, labels, tested = None, None, None
+    labels = None
     if groups.take(1):
         nodes = groups.select("doc", "d1").distinct()
         texts = stage_table(spark, nodes.join(docs.withColumnRenamed("doc_id", "doc"), "doc"), "texts")
@@ -254,16 +255,14 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
             return full.mapInArrow(_linked(width, num, den), "a long, b long").distinct()
 
         low = groups.groupBy("grp").agg(F.min("doc").alias("b"))
-        pairs = groups.join(low, "grp").where("b < doc").groupBy(F.col("doc").alias("a")).agg(F.min("b").alias("b"))
-        while True:
-            pairs = stage_table(spark, pairs, "pairs")
-            tested = pairs if tested is None else tested.union(pairs)
-            found = stage_table(spark, verify(pairs), "links")
-            links = found if links is None else links.union(found)
-            labels = components(spark, links)
-            pairs = _open_pairs(groups, labels, tested)
-            if pairs is None:
-                break
+        pairs = stage_table(spark, groups.join(low, "grp").where("b < doc").groupBy(F.col("doc").alias("a")).agg(F.min("b").alias("b")), "pairs")
+        links = stage_table(spark, verify(pairs), "links")
+        labels = components(spark, links)
+        families = _open_families(spark, groups, labels)
+        if families is not None:
+            dealt = _dealt_blocks(spark, families.join(texts, "doc"))
+            more = dealt.groupBy("deal").applyInArrow(_linked_blocks(width, num, den), "a long, b long")
+            labels = components(spark, links.union(more))
     own = digests.join(classes, ["d1", "d2", "n_shingles"], "left")
     if labels is not None:
         own = own.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
@@ -273,29 +272,84 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
     return own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
-def _open_pairs(groups: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame | None:
-    """Untested pairs of a group whose members are in different components, or None.
-
-    Where listing them would take far more rows than the groups have, each member is first paired
-    with the lowest member of each other component of its group; what that links need not be listed.
-    """
+def _open_families(spark: SparkSession, groups: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(family, doc, comp) of the classes in groups with more than one component; a group is within one family."""
     labelled = groups.select("grp", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("grp", "doc", F.coalesce("component", "doc").alias("comp"))
-    parts = labelled.groupBy("grp", "comp").agg(F.count("*").alias("n"), F.min("doc").alias("low"))
-    mixed = parts.groupBy("grp").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("square")).where("parts > 1")
-    cost = mixed.agg(F.sum((F.col("all").cast("double") ** 2 - F.col("square")) / 2).alias("full"), F.sum(F.col("all").cast("double") * (F.col("parts") - 1)).alias("star")).first()
-    if cost["full"] is None:
+    span = labelled.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc").alias("low")).where("lo < hi")
+    members = stage_table(spark, labelled.join(span.select("grp", "low"), "grp").select("doc", "comp", "low").distinct(), "open")
+    if not members.take(1):
         return None
-    members = labelled.join(mixed.select("grp"), "grp")
-    done = tested.select(F.least("a", "b").alias("y"), F.greatest("a", "b").alias("x")).distinct()
-
-    def untested(other: DataFrame) -> DataFrame:
-        pairs = members.join(other, "grp").where("comp <> comp2 and doc <> doc2")
-        pairs = pairs.select(F.greatest("doc", "doc2").alias("x"), F.least("doc", "doc2").alias("y")).distinct()
-        return pairs.join(done, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-    if cost["full"] > 4 * cost["star"] + 1_000_000:
-        star = untested(parts.select("grp", F.col("comp").alias("comp2"), F.col("low").alias("doc2")))
-        if star.take(1):
-            return star
-    full = untested(members.select("grp", F.col("comp").alias("comp2"), F.col("doc").alias("doc2")))
-    return full if full.take(1) else None
+    family = components(spark, members.select(F.col("doc").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "doc")
+    return members.select("doc", "comp").distinct().join(family, "doc", "left").select(F.coalesce("component", "doc").alias("family"), "doc", "comp")
+
+
+#: Members of a block; two blocks are compared in one task.
+BLOCK = 128
+
+
+def _dealt_blocks(spark: SparkSession, members: DataFrame) -> DataFrame:
+    """Members, once for each pair of blocks of their family that theirs is compared with.
+
+    A component with BLOCK / 2 members or more in the family has blocks of its own, which are not
+    compared with each other; all others of the family share blocks.
+    """
+    large = members.groupBy("family", "comp").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK // 2).select("family", "comp", F.col("comp").alias("pool"))
+    pooled = members.join(large, ["family", "comp"], "left").withColumn("own", F.col("pool").isNotNull()).withColumn("pool", F.coalesce("pool", F.lit(0)))
+    sizes = pooled.groupBy("family", "own", "pool").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    pooled = stage_table(spark, pooled.join(sizes, ["family", "own", "pool"]).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks")).drop("blocks"), "blocks")
+    blocks = pooled.select("family", F.struct("own", "pool", "block").alias("block")).distinct()
+    pairs = blocks.join(blocks.withColumnRenamed("block", "other"), "family").where("block <= other and not (block.own and other.own and block.pool = other.pool)")
+    pairs = pairs.withColumn("pair", F.xxhash64("family", "block", "other"))
+    sides = pairs.select("family", "pair", F.lit(0).alias("side"), "block").union(pairs.where("block <> other").select("family", "pair", F.lit(1), "other"))
+    sides = sides.select("family", "pair", "side", "block.own", "block.pool", "block.block")
+    deals = max(2 * shuffle_parts(spark), pooled.count() // BLOCK)
+    return pooled.join(sides, ["family", "own", "pool", "block"]).select(F.pmod("pair", F.lit(deals)).alias("deal"), "pair", "side", "doc", "comp", "d1", "text")
+
+
+def _linked_blocks(width: int, num: int, den: int):
+    """Links between members of different components of each pair of blocks: enough to connect what is connected."""
+
+    def links(table: pa.Table) -> pa.Table:
+        doc, d1, comp = (table.column(c).to_numpy() for c in ("doc", "d1", "comp"))
+        names, first, which = np.unique(np.stack((doc, d1)), axis=1, return_index=True, return_inverse=True)
+        which = which.reshape(-1)
+        data, offsets = text_buffers(table.column("text").take(pa.array(first)))
+        sets: list[np.ndarray] = []
+        for i, flat, bounds in shingle_sets(data, offsets, width):
+            own, _ = _digests(flat, bounds)
+            fits = own.view(np.int64) == names[1, i : i + len(own)]  # a row that repeats the doc_id may have another text
+            sets += [flat[x:y] if ok else flat[:0] for x, y, ok in zip(bounds[:-1], bounds[1:], fits, strict=True)]
+        label = {int(x): int(x) for x in comp}
+
+        def top(x: int) -> int:
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        pair, side = table.column("pair").to_numpy(), table.column("side").to_numpy()
+        out: list[tuple[int, int]] = []
+        order = np.lexsort((side, pair))
+        for rows in np.split(order, np.flatnonzero(np.diff(pair[order])) + 1):
+            left, right = rows[side[rows] == 0], rows[side[rows] == 1]
+            alone = not len(right)
+            right = left if alone else right
+            size = np.array([len(sets[which[r]]) for r in left])
+            flat = np.concatenate([sets[which[r]] for r in left])
+            rank = np.argsort(flat, kind="stable")
+            flat, owner = flat[rank], np.repeat(np.arange(len(left)), size)[rank]
+            for k, r in enumerate(right):
+                own = sets[which[r]]
+                lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                n = hi - lo
+                hits = owner[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())] if n.sum() else owner[:0]
+                both = np.bincount(hits, minlength=len(left))
+                near = np.flatnonzero((both > 0) & (both * den >= (size + len(own) - both) * num))
+                for x in near[near < k] if alone else near:
+                    a, b = top(int(comp[left[x]])), top(int(comp[r]))
+                    if a != b:
+                        label[max(a, b)] = min(a, b)
+                        out.append((int(doc[left[x]]), int(doc[r])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return links
