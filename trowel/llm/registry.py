@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trowel.llm.quality import host_rules
+
+    return host_rules(_table(spark, sf_dir, "documents"), domain="source").drop("shrunk_rate")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trowel.llm.ngram_join import link_components
 
@@ -23,12 +29,26 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(_table(spark, sf_dir, "documents"), width=20)
 
 
+def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from trowel.llm.piece_codec import encode_texts
+
+    return encode_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_rules": op2_quality_rules,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_sentencepiece_codec": op8_sentencepiece_codec,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from trowel.llm import quality
+
+    return {
+        "op2_quality_rules": quality.SQL,
+    }
