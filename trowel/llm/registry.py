@@ -23,6 +23,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trowel.llm.line_dedup import dedup_report
+
+    return dedup_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trowel.llm.substring_dedup import remove_repeated_windows
 
@@ -37,18 +43,27 @@ def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trowel.llm.secrets_scan import scan_secrets
+
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+        "op5_line_dedup": op5_line_dedup,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_sentencepiece_codec": op8_sentencepiece_codec,
+        "op10_secret_scans": op10_secret_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from trowel.llm import quality
+    from trowel.llm import line_dedup, quality
 
     return {
         "op2_quality_rules": quality.SQL,
+        "op5_line_dedup": line_dedup.SQL,
     }
