@@ -23,6 +23,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trowel.llm.mixing import EPOCHS, RATIO, SEED, WEIGHTS, mix_report
+
+    return mix_report(_table(spark, sf_dir, "documents"), RATIO, EPOCHS, SEED, WEIGHTS)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trowel.llm.line_dedup import dedup_report
 
@@ -53,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+        "op4_mixing": op4_mixing,
         "op5_line_dedup": op5_line_dedup,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_sentencepiece_codec": op8_sentencepiece_codec,
@@ -61,9 +68,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from trowel.llm import line_dedup, quality
+    from trowel.llm import line_dedup, mixing, quality
 
     return {
         "op2_quality_rules": quality.SQL,
+        "op4_mixing": mixing.SQL,
         "op5_line_dedup": line_dedup.SQL,
     }
