@@ -246,7 +246,8 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
     labels = None
     if groups.take(1):
         nodes = groups.select("doc", "d1").distinct()
-        texts = stage_table(spark, nodes.join(docs.withColumnRenamed("doc_id", "doc"), "doc"), "texts")
+        some = _possible(docs.withColumnRenamed("doc_id", "doc"), nodes)
+        texts = stage_table(spark, some.join(nodes.hint("merge"), "doc").select("doc", "d1", "text"), "texts")
         left = texts.select(F.col("doc").alias("a"), F.col("d1").alias("d1_a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("doc").alias("b"), F.col("d1").alias("d1_b"), F.col("text").alias("text_b"))
 
@@ -272,6 +273,18 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
     return own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
+#: Bits of the filter that keeps texts of no candidate from being shuffled: 2 ** 17 rows of 64 bits at most.
+FILTER_BITS = 23
+
+
+def _possible(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """docs whose doc may be in nodes: all that are, and, by a bitmap of fixed size, few others while nodes are fewer than its bits."""
+    slot = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
+    word, bit = F.shiftright(slot, 6), F.expr(f"shiftleft(1L, int(pmod(xxhash64(doc), {1 << FILTER_BITS}L) % 64))")
+    words = nodes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask"))
+    return docs.withColumn("word", word).join(F.broadcast(words), "word").where(bit.bitwiseAND(F.col("mask")) != 0).drop("word", "mask")
+
+
 def _open_families(spark: SparkSession, groups: DataFrame, labels: DataFrame) -> DataFrame | None:
     """(family, doc, comp) of the classes in groups with more than one component; a group is within one family."""
     labelled = groups.select("grp", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("grp", "doc", F.coalesce("component", "doc").alias("comp"))
