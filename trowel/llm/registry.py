@@ -49,6 +49,12 @@ def op8_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trowel.llm.embed_dedup import dedup_vectors
+
+    return dedup_vectors(_table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trowel.llm.secrets_scan import scan_secrets
 
@@ -63,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": op5_line_dedup,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_sentencepiece_codec": op8_sentencepiece_codec,
+        "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_secret_scans": op10_secret_scans,
     }
 
