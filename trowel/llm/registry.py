@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trowel.llm.html_extract import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trowel.llm.quality import host_rules
 
@@ -63,6 +69,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_quality_rules": op2_quality_rules,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_mixing": op4_mixing,
