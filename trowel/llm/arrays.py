@@ -18,6 +18,8 @@ SLICE = 1 << 21
 
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[[0x20, 9, 10, 11, 12, 13]] = True
+#: Everything but ASCII letters and digits and the bytes of other characters.
+PUNCTUATION = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,10 +69,10 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: int = 0) -> Words:
-    """data: bytes; offsets: where each document starts, and the end."""
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: int = 0, separators: np.ndarray = _IS_SEP) -> Words:
+    """data: bytes; offsets: where each document starts, and the end; separators: for each byte, whether it is between words."""
     data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-    inside = ~_IS_SEP[data]
+    inside = ~separators[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = offsets[:-1][offsets[:-1] < len(data)]

@@ -19,24 +19,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trowel.session import stage_table
+
 #: Of 16 digests of line pairs, how many end a chunk: chunks have 16 / CUT lines on average.
 CUT = 5
 
 
-def _ends(lines: Column) -> Column:
-    """Numbers of the lines, from 1, that end a chunk."""
-    h = F.transform(lines, F.md5)
-    rolled = lambda i: F.md5(F.concat(F.element_at(h, (i - 1).cast("int")), F.element_at(h, i.cast("int"))))
-    ends = lambda i: (i == F.size(lines)) | ((i > 1) & (F.substring(rolled(i), 1, 1) < F.lit(format(CUT, "x"))))
-    return F.filter(F.sequence(F.lit(1), F.size(lines)), ends)
-
-
 def _chunked(docs: DataFrame) -> DataFrame:
-    """doc_id, lines and chunks, an array of (no, first, n): chunk number, first line from 1, number of lines."""
+    """docs with lines and chunks, an array of (no, first, n): chunk number, first line from 1, number of lines."""
     lines = docs.withColumn("lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
-    ends = lines.withColumn("h", F.transform("lines", F.md5)).withColumn("ends", _ends(F.col("lines")))
+    hashed = lines.withColumn("h", F.transform("lines", F.md5))
+    # the digit of each line and the one before it, once; a chunk ends where it is below CUT, and at the last line
+    rolled = hashed.withColumn("low", F.transform("h", lambda x, i: (i > 0) & (F.substring(F.md5(F.concat(F.get(F.col("h"), i - 1), x)), 1, 1) < F.lit(format(CUT, "x")))))
+    ended = rolled.withColumn("ends", F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: (i == F.size("lines")) | F.get(F.col("low"), i - 1)))
     start = lambda k: F.when(k == 0, F.lit(1)).otherwise(F.get(F.col("ends"), k - 1) + 1)
-    return ends.drop("h").withColumn("chunks", F.transform("ends", lambda e, k: F.struct(k.alias("no"), start(k).alias("first"), (e - start(k) + 1).alias("n")))).drop("ends")
+    chunk = lambda e, k: F.struct(k.alias("no"), start(k).alias("first"), (e - start(k) + 1).alias("n"))
+    return ended.withColumn("chunks", F.transform("ends", chunk)).drop("h", "low", "ends")
 
 
 def _text(chunk: Column) -> Column:
@@ -49,13 +47,15 @@ def _same_doc(left: str, right: str) -> Column:
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(id, gone): for each doc_id with later occurrences of chunks, an array of (no, text of the first occurrence)."""
-    chunks = _chunked(docs.select("doc_id", "text")).select("doc_id", F.explode(F.transform(F.filter("chunks", lambda c: c["n"] > 1), lambda c: F.struct(c["no"].alias("no"), F.md5(_text(c)).alias("digest")))).alias("c")).select("doc_id", "c.no", "c.digest")
+    own = _chunked(docs.select("doc_id", "text")).withColumn("chunks", F.filter("chunks", lambda c: c["n"] > 1))
+    digests = own.select("doc_id", F.explode(F.transform("chunks", lambda c: F.struct(c["no"].alias("no"), F.unhex(F.md5(_text(c))).alias("digest")))).alias("c"))
+    chunks = stage_table(docs.sparkSession, digests.select("doc_id", "c.no", "c.digest"), "chunks")
     first = chunks.groupBy("digest").agg(F.min(F.struct("doc_id", "no")).alias("f"), F.max(F.struct("doc_id", "no")).alias("l")).where("f <> l").select("digest", F.col("f.doc_id").alias("f_doc"), F.col("f.no").alias("f_no"))
     later = chunks.join(first.select("digest", "f_doc", "f_no"), "digest").where(~(_same_doc("doc_id", "f_doc") & (F.col("no") == F.col("f_no")))).select("digest", "doc_id", "no").distinct()
     wanted = first.groupBy("f_doc").agg(F.collect_list(F.struct(F.col("f_no").alias("no"), "digest")).alias("want"))
     held = _chunked(docs.select("doc_id", "text").join(wanted, _same_doc("doc_id", "f_doc")))
     found = held.select(F.explode(F.transform("want", lambda w: F.struct(w["digest"].alias("digest"), _text(F.get(F.col("chunks"), w["no"])).alias("text")))).alias("t")).select("t.digest", "t.text")
-    texts = found.where(F.md5("text") == F.col("digest")).groupBy("digest").agg(F.min("text").alias("first_text"))
+    texts = found.where(F.unhex(F.md5("text")) == F.col("digest")).groupBy("digest").agg(F.min("text").alias("first_text"))
     return later.join(texts, "digest").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("no", "first_text")).alias("gone"))
 
 
@@ -67,8 +67,8 @@ def _judged(docs: DataFrame) -> DataFrame:
 
 
 def _kept_text() -> Column:
-    lines = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.flatten(F.transform("kept", lambda c: F.slice(F.col("lines"), c["first"], c["n"]))))
-    return F.when(F.col("text").isNotNull(), F.array_join(lines, "\n"))
+    lines = F.flatten(F.transform("kept", lambda c: F.slice(F.col("lines"), c["first"], c["n"])))
+    return F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
 
 
 def drop_repeated_chunks(docs: DataFrame) -> DataFrame:

@@ -41,6 +41,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trowel.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trowel.llm.substring_dedup import remove_repeated_windows
 
@@ -74,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_mixing": op4_mixing,
         "op5_line_dedup": op5_line_dedup,
+        "op6_license_scans": op6_license_scans,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_sentencepiece_codec": op8_sentencepiece_codec,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
