@@ -4,7 +4,7 @@ Vectors of one label are clustered: centres come from a bounded sample by spheri
 vector goes to its two nearest centres and to two more that are about as near, so shards overlap; shards above MOST members are clustered
 again. In a shard every vector gets neighbours by robust pruning (nearest first, dropping candidates
 that a chosen neighbour is ALPHA times nearer to). Adjacency lists of a vector from all its shards are
-united, and each shard is searched with the united lists: its members and their neighbours elsewhere.
+united, and each shard is searched with the united lists: its members and their close neighbours elsewhere.
 Each member is searched from the shard's medoid and its own place by greedy beam search, which then
 expands every vector found within range until none is new. Cosines are in double precision.
 
@@ -138,8 +138,15 @@ def robust_prune(similar: np.ndarray, pool: np.ndarray, degree: int = DEGREE, al
     return out
 
 
-def _build(table: pa.Table) -> pa.Table:
-    """Adjacency lists of a shard, both ways."""
+def _build(close: float):
+    def build(table: pa.Table) -> pa.Table:
+        """Adjacency lists of a shard, both ways, and of each list the neighbours with a cosine of close or more."""
+        return _adjacency(table, close)
+
+    return build
+
+
+def _adjacency(table: pa.Table, close: float) -> pa.Table:
     nodes, order = table.column("node").to_numpy(), np.argsort(table.column("node").to_numpy())
     nodes = nodes[order]
     x = _matrix(table.column("unit"))[order].astype(np.float32)
@@ -163,7 +170,9 @@ def _build(table: pa.Table) -> pa.Table:
     a, b = a[place < 2 * (DEGREE + FAR)], b[place < 2 * (DEGREE + FAR)]
     cuts = np.searchsorted(a, np.arange(len(x) + 1))
     lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(nodes[b]))
-    return pa.table({"node": pa.array(nodes), "near": lists})
+    inside = similar[a, b] >= close
+    cuts = np.concatenate(([0], np.cumsum(inside)))[cuts]
+    return pa.table({"node": pa.array(nodes), "near": lists, "close": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(nodes[b[inside]]))})
 
 
 def _search(threshold: float):
@@ -313,11 +322,13 @@ def found_links(nodes: DataFrame, threshold: float) -> DataFrame:
     """(node, root, found, copies) from every shard's search."""
     spark = nodes.sparkSession
     shards = stage_table(spark, shards_of(nodes.select("shard", "node", "copies", "unit")), "shards")
-    lists = shards.groupBy("shard").applyInArrow(_build, "node long, near array<long>")
-    united = stage_table(spark, lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    known = stage_table(spark, nodes.select("node", "copies", "unit").join(united, "node"), "known")
+    # a vector within range of a member's link is at an angle of twice the threshold's at most
+    lists = shards.groupBy("shard").applyInArrow(_build(2 * threshold**2 - 1), "node long, near array<long>, close array<long>")
+    merged = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    united = stage_table(spark, lists.groupBy("node").agg(merged("near"), merged("close")), "graph")
+    known = stage_table(spark, nodes.select("node", "copies", "unit").join(united.select("node", "near"), "node"), "known")
     members = shards.select("shard", "node", F.lit(True).alias("member"))
-    around = shards.select("shard", "node").join(united, "node").select("shard", F.explode("near").alias("node")).distinct().withColumn("member", F.lit(False))
+    around = shards.select("shard", "node").join(united, "node").select("shard", F.explode("close").alias("node")).distinct().withColumn("member", F.lit(False))
     wanted = members.union(around).groupBy("shard", "node").agg(F.max("member").alias("member"))
     return wanted.join(known, "node").groupBy("shard").applyInArrow(_search(threshold), "node long, root long, found array<long>, copies array<long>")
 
