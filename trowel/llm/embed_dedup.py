@@ -64,7 +64,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def _centres(table: pa.Table) -> pa.Table:
     """Spherical k-means on a shard's sample."""
     x = _matrix(table.column("unit"))
-    k = int(min(CENTRES, max(2, -(-table.column("n")[0].as_py() // TARGET)), len(x)))
+    k = min(table.column("wanted")[0].as_py(), len(x))
     rng = np.random.default_rng(7)
     x = x[np.lexsort(x.T[:4])]
     centre = x[rng.choice(len(x), k, replace=False)]
@@ -104,9 +104,9 @@ def shards_of(nodes: DataFrame) -> DataFrame:
         done = small if done is None else done.union(small)
         if not large.take(1):
             return done
-        big = nodes.join(large, "shard")
+        big = nodes.join(large, "shard").withColumn("wanted", F.least(F.lit(CENTRES), F.greatest(F.lit(2), F.ceil(F.col("n") / TARGET))).cast("int"))
         # about SAMPLE per centre, CENTRES * SAMPLE a shard at most, chosen by a hash of the id
-        share = F.least(F.lit(1.0), SAMPLE * F.least(F.lit(float(CENTRES)), F.col("n") / TARGET + 1) / F.col("n"))
+        share = F.least(F.lit(1.0), SAMPLE * F.col("wanted") / F.col("n"))
         sample = big.where(F.pmod(F.xxhash64("node", "shard"), F.lit(1_000_003)) < share * 1_000_003)
         centres = sample.groupBy("shard").applyInArrow(_centres, "shard string, k int, centres binary")
         centres = stage_table(spark, centres.join(large, "shard").select("shard", "k", "centres", F.ceil(F.col("n") / MOST).alias("salts")), "centres")
