@@ -172,9 +172,19 @@ def test_linked_sets_share_a_signature(num, den):
             assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
 
 
+def test_sketches_bound_the_difference():
+    r = np.random.default_rng(2)
+    for _ in range(60):
+        common = r.integers(0, 2**63, int(r.integers(1, 400))).astype(np.uint64)
+        a, b = (np.unique(np.concatenate((common, r.integers(0, 2**63, int(r.integers(0, 900))).astype(np.uint64)))) for _ in range(2))
+        x, y = ngram_join.sketches(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
+        assert ngram_join.differing_cells(x, y) == ngram_join.differing_cells(y, x) <= len(np.setxor1d(a, b))
+        assert ngram_join.differing_cells(x, x) == 0
+
+
 def test_blocks_of_a_large_family(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
-    monkeypatch.setattr(ngram_join, "STAR", 4)
+    monkeypatch.setattr(ngram_join, "PAIRED", 3)
     r = random.Random(9)
     base = [f"w{k}" for k in range(80)]
     texts = []

@@ -1,13 +1,123 @@
-"""The pipeline against the operators' own results, stage by stage, on the smallest tables."""
+"""The pipeline against a brute-force version on a small corpus, and its contract on the driver's smallest tables."""
 
+import hashlib
+import math
+from collections import defaultdict
 from pathlib import Path
 
 import pytest
+from test_operators import components, corpus, repeat_words, words
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+public_tokenizers = pytest.importorskip("public_tokenizers")
+sentencepiece = pytest.importorskip("sentencepiece")
+from trowel.llm import line_dedup, mixing, quality  # noqa: E402
+
 DATA = "/root/testdata/sf0.001"
 
 
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def brute_quality(docs):
+    failed = {i: len(words(d["text"])) < 10 or 100 * repeat_words(words(d["text"])) > 20 * len(words(d["text"])) for i, d in docs.items()}
+    hosts = defaultdict(list)
+    for i, d in docs.items():
+        if d["source"] is not None:
+            hosts[d["source"]].append(failed[i])
+    n, f = sum(map(len, hosts.values())), sum(sum(h) for h in hosts.values())
+    m, rates = f / n, [sum(h) / len(h) for h in hosts.values()]
+    v = sum((r - sum(rates) / len(rates)) ** 2 for r in rates) / len(rates)
+    excess = max(v - m * (1 - m) * sum(1 / len(h) for h in hosts.values()) / len(hosts), 1e-9)
+    s = min(max(m * (1 - m) / excess - 1, quality.STRENGTH[0]), quality.STRENGTH[1])
+    bad = {h for h, x in hosts.items() if (sum(x) + s * m) / (len(x) + s) > quality.MAX_RATE}
+    return {i: d for i, d in docs.items() if not failed[i] and d["source"] not in bad}
+
+
+def brute_lines(docs):
+    seen, out = set(), {}
+    for i in sorted(docs):
+        lines = docs[i]["text"].split("\n")
+        h = [md5(x) for x in lines]
+        kept, start = [], 0
+        for k in range(len(lines)):
+            if k == len(lines) - 1 or (k and md5(h[k - 1] + h[k])[0] < format(line_dedup.CUT, "x")):
+                chunk = tuple(lines[start : k + 1])
+                start = k + 1
+                if len(chunk) < 2 or chunk not in seen:
+                    kept += chunk
+                seen |= {chunk}
+        out[i] = docs[i] | {"text": "\n".join(kept)}
+    return out
+
+
+def brute_near(docs):
+    sets = {}
+    for i, d in docs.items():
+        w = words(d["text"].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    top = components(sets, links)
+    return {i: d for i, d in docs.items() if top[i] == i}
+
+
+def shares(budget, nodes):
+    """nodes: name -> (capacity, weight). Full nodes are taken out until none is."""
+    out, left = {}, dict(nodes)
+    while left:
+        weight = sum(w for _, w in left.values())
+        full = [n for n, (c, w) in left.items() if c <= budget * w / weight + 1e-9]
+        if not full:
+            return out | {n: budget * w / weight for n, (_, w) in left.items()}
+        for n in full:
+            out[n] = left.pop(n)[0]
+        budget -= sum(out[n] for n in full)
+    return out
+
+
+def brute_mix(docs, ratio, epochs, seed, weights):
+    leaves = defaultdict(list)
+    for i, d in docs.items():
+        source = d["source"] or "?"
+        leaves[f"domain{int(md5(source)[:2], 16) % 4}", d["lang"] or "?", source].append((md5(f"{seed}:{i}:{md5(d['text'])}"), len(words(d["text"])), i))
+    tokens = {leaf: sum(t for _, t, _ in rows) for leaf, rows in leaves.items()}
+    budget = {(): float(math.floor(sum(tokens.values()) * ratio))}
+    for depth in range(3):
+        for prefix, want in [(p, b) for p, b in budget.items() if len(p) == depth]:
+            caps = defaultdict(int)
+            for leaf, t in tokens.items():
+                if leaf[:depth] == prefix and t:
+                    caps[leaf[depth]] += epochs * t
+            got = shares(want, {n: (c, weights.get(mixing.LEVELS[depth], {}).get(n, 1.0)) for n, c in caps.items()})
+            budget |= {(*prefix, n): b for n, b in got.items()}
+    out = []
+    for leaf, rows in leaves.items():
+        want = math.floor(round(budget.get(leaf, 0.0), 3))
+        whole = want // tokens[leaf] if tokens[leaf] else 1
+        rest, run = want - whole * tokens[leaf], 0
+        for _, t, i in sorted((md5(f"{whole}:{o}"), t, i) for o, t, i in rows):
+            run += t
+            out += [i] * (whole + (0 < rest and run <= rest))
+    return out
+
+
+def test_equals_brute_force(spark, tmp_path):
+    rows = [(i, t, ["en", "fr", None][i % 3], f"src{i % 4}" if i % 11 else None, len(t or "")) for i, t in corpus(4, 90)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = {i: {"text": t or "", "lang": lang, "source": source} for i, t, lang, source, _ in rows}
+    good = brute_quality(docs)
+    kept = brute_near(brute_lines(good))
+    assert len(kept) < len(good) < len(docs)
+    taken = brute_mix(kept, 1.0, 2, mixing.SEED, mixing.WEIGHTS)
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = []
+    for i in taken:
+        ids = library.encode(kept[i]["text"])
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="needs the driver's tables")
 def test_stages(spark, tmp_path):
     docs = source = spark.read.parquet(f"{DATA}/documents.parquet")
