@@ -328,3 +328,153 @@ def href_resolution(spark, sf_dir):
     own = pages.select(F.concat_ws("|", "host", "slug").alias("name"), "page_id")
     index = own.union(pages.select("slug", "page_id")).toDF("name", "target")
     return relations.resolve_by_priority(refs, ["page_id", "href"], F.array(F.concat_ws("|", "host", "href"), F.col("href")), index, "name", "target")
+
+
+# --- further joins, sets and roll-ups of the survey, over the driver's tables
+
+
+@query
+def range_join(spark, sf_dir):
+    """Line in range: shipments within the 60 days after their order, per priority."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", (F.col("o_orderdate") + F.expr("interval 60 days")).alias("until"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
+    return relations.in_range(lines, orders, ["o_orderkey"], "l_shipdate", "o_orderdate", "until").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query
+def verdict_attach(spark, sf_dir):
+    """First group wins: each part's cheapest supplier nation, ties to the smaller number."""
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice").join(supplier, "l_suppkey")
+    return lines.groupBy("l_partkey").agg(F.min(F.struct("l_extendedprice", "s_nationkey")).alias("w")).select("l_partkey", F.col("w.s_nationkey").alias("nation"))
+
+
+@query
+def root_set(spark, sf_dir):
+    """Roots in order: large accounts first, then customers of one segment, each once with its first reason."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    first = customers.where("c_acctbal > 9000").select("c_custkey", F.lit(0).alias("reason"))
+    second = customers.where("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit(1).alias("reason"))
+    return first.union(second).groupBy("c_custkey").agg(F.min("reason").alias("reason"))
+
+
+@query
+def conventions(spark, sf_dir):
+    """First rule that fits a page's address."""
+    rule = summaries.first_match((F.col("url").rlike(r"#top$"), "anchor"), (F.col("url").rlike(r"[?&]page="), "listing"), (F.col("url").rlike(r"/$"), "folder"), default="page")
+    return table(spark, sf_dir, "pages").select("page_id", rule.alias("convention"))
+
+
+@query
+def declared_or_conventional(spark, sf_dir):
+    """Declared beats conventional: a document's label, else what its language stands for."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("declared"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id", "left")
+    return docs.select("doc_id", F.coalesce("declared", F.when(F.col("lang") == "en", 1).otherwise(0)).alias("value"), F.col("declared").isNotNull().alias("proven"))
+
+
+@query
+def prose_mention(spark, sf_dir):
+    """Substring join: documents that quote a benchmark item, by item."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("lead"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # items are a fixed table; Spark picks the side that it broadcasts by size
+    return docs.join(items, F.contains(F.col("text"), F.col("lead"))).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
+@query
+def tested_set(spark, sf_dir):
+    """Parts that orders of one status touch, and no others."""
+    tests = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    touched = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(tests, "l_orderkey", "left_semi")
+    return table(spark, sf_dir, "part").select("p_partkey", "p_brand").join(touched.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi")
+
+
+@query
+def set_operations(spark, sf_dir):
+    """Sizes of union, intersection and differences of the parts of two periods."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag")
+    flags = lines.groupBy("l_partkey").agg(F.max((F.col("l_returnflag") == "A").cast("int")).alias("a"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("r"))
+    count = lambda cond: F.sum(F.expr(cond).cast("long"))
+    return flags.agg(count("a = 1 or r = 1").alias("n_union"), count("a = 1 and r = 1").alias("n_intersect"), count("a = 1 and r = 0").alias("n_except"), count("a <> r").alias("n_symmetric"))
+
+
+@query
+def line_marks(spark, sf_dir):
+    """Marks per line: for each user and day the kinds of event, in order of name."""
+    events = table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
+    return events.groupBy("user_id", "day").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("marks"))
+
+
+@query
+def held_back(spark, sf_dir):
+    """What loads modules, and how many of each are proven: orders by priority, finished ones proven."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupBy(F.col("o_orderpriority").alias("loader")).agg(F.count("*").alias("n"), F.sum((F.col("o_orderstatus") == "F").cast("long")).alias("proven"))
+
+
+@query
+def headline(spark, sf_dir):
+    """One row of counts."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.agg(F.count("*").alias("modules"), F.sum("n_chars").alias("lines"), F.count_distinct("source").alias("packages"), F.sum((F.col("n_chars") < 100).cast("long")).alias("stubs"))
+
+
+@query
+def regions(spark, sf_dir):
+    """Regions of three lines around marked lines, merged where they touch, 40 a document."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n", -1)).alias("loc"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    marked = lines.where(F.col("line").rlike("[#*]") & (F.col("i") < 160)).withColumn("at", F.col("i") + 1)
+    merged = summaries.islands(marked, ["doc_id"], F.greatest(F.col("at") - 3, F.lit(1)), F.least(F.col("at") + 3, F.col("loc")), F.lit(1))
+    return summaries.top_n_more(merged, ["doc_id"], [F.asc("island_start")], 40).select("doc_id", F.col("island_start").alias("low"), F.col("island_end").alias("high"), "n")
+
+
+@query
+def representatives(spark, sf_dir):
+    """Live pick of each group: the first supplier of a nation that is not in debt, else the first."""
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_acctbal") < 0).cast("int").alias("aside"))
+    return summaries.ranked_members(suppliers, "s_nationkey", [F.asc("aside"), F.asc("s_suppkey")]).where("rank = 1").select("s_nationkey", "s_suppkey")
+
+
+@query
+def labels_clipped(spark, sf_dir):
+    """Labels cut at the end and in the middle."""
+    name = F.col("p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", T.clip_end(name, 12).alias("end"), T.clip_middle(name, 9).alias("middle"))
+
+
+@query
+def score_bars(spark, sf_dir):
+    """Bars in proportion to each type's count."""
+    counts = summaries.totals(table(spark, sf_dir, "events"), "event_type")
+    most = counts.agg(F.max("n").alias("most"))
+    return counts.join(F.broadcast(most)).select("event_type", T.text_bar(F.col("n"), F.col("most")).alias("bar"))  # most is one row
+
+
+@query
+def escaped_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.escape_html(F.col("html")).alias("escaped"))
+
+
+@query
+def module_names(spark, sf_dir):
+    """Dotted names of source paths made of part numbers."""
+    path = F.concat(F.lit("pkg/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("/"), F.when(F.col("p_size") % 5 == 0, F.lit("__init__")).otherwise(F.concat(F.lit("m"), F.col("p_partkey"))), F.lit(".py"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.module_name(path).alias("dotted"))
+
+
+@query
+def cluster_rollup(spark, sf_dir):
+    """Clusters of overlapping documents: size, characters, label of the largest, whether any is labelled."""
+    _, members = _facts(spark, sf_dir)
+    labelled = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("entry")).distinct()
+    docs = members.join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").join(labelled, "doc_id", "left")
+    return docs.groupBy("component").agg(F.count("*").alias("size"), F.sum("n_chars").alias("loc"), F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("label"), F.max(F.col("entry").isNotNull()).alias("belongs"))
+
+
+@query
+def copied_aside(spark, sf_dir):
+    """Equal names in different folders, one kept aside: suppliers and customers of one number in different nations."""
+    a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_nationkey", "s_acctbal")
+    b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey", "c_acctbal")
+    return a.join(b, "k").where("s_nationkey <> c_nationkey and (s_acctbal < 0 or c_acctbal < 0)").select("k", "s_nationkey", "c_nationkey")

@@ -195,3 +195,56 @@ found AS (
 SELECT page_id, href, target, CAST(priority AS INTEGER) AS priority FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY priority, target) AS k FROM found) WHERE k = 1""",
 }
+
+SQL |= {
+    "range_join": """
+SELECT o_orderpriority, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 60 DAY GROUP BY 1""",
+    "verdict_attach": """
+SELECT l_partkey, s_nationkey AS nation FROM (
+  SELECT l_partkey, s_nationkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, s_nationkey) AS r FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) WHERE r = 1""",
+    "root_set": """
+SELECT c_custkey, CASE WHEN c_acctbal > 9000 THEN 0 ELSE 1 END AS reason FROM customer WHERE c_acctbal > 9000 OR c_mktsegment = 'BUILDING'""",
+    "conventions": """
+SELECT page_id, CASE WHEN ends_with(url, '#top') THEN 'anchor' WHEN regexp_matches(url, '[?&]page=') THEN 'listing' WHEN ends_with(url, '/') THEN 'folder' ELSE 'page' END AS convention FROM pages""",
+    "declared_or_conventional": """
+SELECT d.doc_id, coalesce(declared, CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS value, declared IS NOT NULL AS proven
+FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS declared FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id""",
+    "prose_mention": """
+SELECT item_id, count(*) AS n_docs FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY item_id""",
+    "tested_set": """
+SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P')""",
+    "set_operations": """
+WITH a AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A'), r AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT (SELECT count(*) FROM (FROM a UNION FROM r)) AS n_union, (SELECT count(*) FROM (FROM a INTERSECT FROM r)) AS n_intersect, (SELECT count(*) FROM (FROM a EXCEPT FROM r)) AS n_except,
+       (SELECT count(*) FROM (FROM a EXCEPT FROM r)) + (SELECT count(*) FROM (FROM r EXCEPT FROM a)) AS n_symmetric""",
+    "line_marks": """
+SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS marks FROM events GROUP BY 1, 2""",
+    "held_back": "SELECT o_orderpriority AS loader, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS proven FROM orders GROUP BY 1",
+    "headline": "SELECT count(*) AS modules, CAST(sum(n_chars) AS BIGINT) AS lines, count(DISTINCT source) AS packages, count(*) FILTER (WHERE n_chars < 100) AS stubs FROM documents",
+    "regions": """
+WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) AS loc, string_split(text, chr(10)) AS s FROM documents),
+p AS (SELECT doc_id, loc, s, unnest(generate_series(1, loc)) AS ln FROM l),
+m AS (SELECT doc_id, ln, CAST(greatest(ln - 3, 1) AS INTEGER) AS lo, CAST(least(ln + 3, loc) AS INTEGER) AS hi FROM p WHERE ln <= 160 AND regexp_matches(s[ln], '[#*]')),
+f AS (SELECT *, CASE WHEN lo <= 1 + max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi, ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM m),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY lo, hi, ln ROWS UNBOUNDED PRECEDING) AS island FROM f),
+g AS (SELECT doc_id, min(lo) AS low, max(hi) AS high, count(*) AS n FROM i GROUP BY doc_id, island)
+SELECT doc_id, low, high, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY low) AS k FROM g) WHERE k <= 40""",
+    "representatives": """
+SELECT s_nationkey, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal < 0, s_suppkey) AS r FROM supplier) WHERE r = 1""",
+    "labels_clipped": """
+SELECT p_partkey, CASE WHEN length(p_name) > 12 THEN p_name[1:11] || '…' ELSE p_name END AS "end",
+       CASE WHEN length(p_name) > 9 THEN p_name[1:4] || '…' || p_name[-4:] ELSE p_name END AS middle FROM part""",
+    "score_bars": """
+SELECT event_type, repeat('#', CAST(greatest(1, round_even(n / most * 20, 0)) AS INTEGER)) AS bar
+FROM (SELECT event_type, count(*) AS n, max(count(*)) OVER () AS most FROM events GROUP BY event_type)""",
+    "escaped_html": """
+SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""",
+    "module_names": """
+SELECT p_partkey, 'pkg.' || lower(replace(p_brand, '#', '_')) || CASE WHEN p_size % 5 = 0 THEN '' ELSE '.m' || p_partkey END AS dotted FROM part""",
+    "cluster_rollup": f"""
+WITH RECURSIVE {MEMBERS}
+SELECT component, count(*) AS size, CAST(sum(n_chars) AS BIGINT) AS loc, arg_max(doc_id, n_chars * 1000000 - doc_id) AS label, bool_or(doc_id IN (SELECT doc_id FROM labels)) AS belongs
+FROM members JOIN documents USING (doc_id) GROUP BY component""",
+    "copied_aside": """
+SELECT s_suppkey AS k, s_nationkey, c_nationkey FROM supplier JOIN customer ON s_suppkey = c_custkey WHERE s_nationkey <> c_nationkey AND (s_acctbal < 0 OR c_acctbal < 0)""",
+}
