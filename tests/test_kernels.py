@@ -46,6 +46,11 @@ def test_cyclic_core(spark):
     assert rows(graph.cyclic_core(e)) == [("a", "b"), ("b", "a")]
 
 
+def test_named_cycles():
+    found = graph.named_cycles([("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("d", "d"), ("x", "y")])
+    assert sorted(found) == [["a", "b"], ["a", "b", "c"], ["d"]]
+
+
 def test_overlap_pairs_with_a_feature_that_all_share(spark):
     data = [(k, f) for k in range(30) for f in ("common", f"own{k}", f"mine{k}")] + [(90, "x"), (91, "x"), (90, "y"), (91, "y"), (90, "common"), (91, "common")]
     df = spark.createDataFrame(data, "k long, f string")

@@ -108,3 +108,35 @@ def fan(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     out = edges.select(F.col(src).alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o"))
     into = edges.select(F.col(dst).alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"))
     return out.union(into).groupBy("node").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
+
+
+def named_cycles(edges: list[tuple[str, str]]) -> list[list[str]]:
+    """The stack from each back edge's target to its source, in depth-first order over sorted nodes; each set of nodes once.
+
+    For the few edges that cyclic_core leaves; plain Python without recursion.
+    """
+    ahead: dict[str, list[str]] = {}
+    for a, b in sorted(set(edges)):
+        ahead.setdefault(a, []).append(b)
+    state: dict[str, int] = {}  # 1 on the stack, 2 done
+    out, seen = [], set()
+    for root in sorted(ahead):
+        if root in state:
+            continue
+        path, pending = [root], [iter(ahead[root])]
+        state[root] = 1
+        while path:
+            node = next(pending[-1], None)
+            if node is None:
+                state[path.pop()] = 2
+                pending.pop()
+            elif state.get(node) == 1:
+                cycle = path[path.index(node) :]
+                if frozenset(cycle) not in seen:
+                    seen.add(frozenset(cycle))
+                    out.append(cycle)
+            elif node not in state:
+                state[node] = 1
+                path.append(node)
+                pending.append(iter(ahead.get(node, [])))
+    return out

@@ -227,9 +227,14 @@ class Survey:
 
     @cached_property
     def cycles(self) -> DataFrame:
-        """Edges on or between cycles; driver-side code names the cycles of this small rest."""
+        """Edges on or between cycles; see named_cycles."""
         return graph.cyclic_core(self.edges)
 
+    @cached_property
+    def named_cycles(self) -> list[list[str]]:
+        """Import cycles by name, from the edges that peeling leaves."""
+        return graph.named_cycles([(r.src, r.dst) for r in self.cycles.toLocalIterator()])
+
     @cached_property
     def effects(self) -> DataFrame:
         """(key, category, call, lineno), an unqualified or foreign call only where an import backs it."""
