@@ -133,6 +133,7 @@ def keep_good(docs: DataFrame, domain: str = "source", max_rate: float = MAX_RAT
     text, host = (f"c{docs.columns.index(c)}" for c in ("text", domain))
     judged = document_rules(inner, text)
     bad = host_verdicts(judged.select(host, "base_failed"), host, max_rate).where("host_failed").select(F.col("domain").alias(host))
+    bad = stage_table(docs.sparkSession, bad, "hosts")  # its size is then known: texts are only shuffled if it is large
     return judged.where("not base_failed").join(bad, host, "left_anti").select(*inner.columns).toDF(*docs.columns)
 
 
