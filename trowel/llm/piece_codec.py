@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from trowel.session import ship_package
 
 MARK = "▁"
-CACHE, LONGEST = 250_000, 64
+CACHE, LONGEST = 160_000, 64
 
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
