@@ -184,7 +184,7 @@ def test_sketches_bound_the_difference():
 
 def test_blocks_of_a_large_family(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
-    monkeypatch.setattr(ngram_join, "PAIRED", 3)
+    monkeypatch.setattr(ngram_join, "SKETCHED", 16)
     r = random.Random(9)
     base = [f"w{k}" for k in range(80)]
     texts = []

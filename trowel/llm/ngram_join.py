@@ -8,13 +8,14 @@ n2 - k2 of its second-level ranges hold none: each subset of that size gives one
 linked pair shares one. Sharing a passage doesn't suffice for that: a range draws from the whole text.
 
 Plan. (1) Texts with equal sets are one class (128-bit digest and size; a grouped minimum). (2) Each
-batch sends its classes' signatures as sorted lists per hash bucket; buckets return groups of classes
-with a common signature, equal groups once. (3) Each class is verified against the lowest member of
-its groups; links join components. Where a group still has several components, all members of different
-components in its family (connected groups) are compared, block by block within tasks that return
-only links that connect. So a group of near copies costs one verification per member if they link
-with the lowest, pairs are never listed, and no link between different sets is lost: each pair that
-shares a signature is verified or already connected. (4) Classes get components, documents their class's.
+batch sends its classes' signatures as sorted lists per hash bucket; buckets return, of the classes with
+a common signature, the lowest with each other one, so candidates are connected families. (3) Within a
+family, sketches of parities bound the difference of sets from below; tasks compare blocks of sketches
+and return enough of the pairs that the bound leaves to connect them: far smaller families. (4) Each
+member is verified against its family's lowest; links join components. Where a family still has
+several, members of different components are compared by text, block by block, and tasks return only
+links that connect. Pairs are never listed; no link is lost, as a linked pair shares a signature, is
+left by the bound, and is compared or already connected. (5) Classes get components, documents theirs.
 
 Verification is on exact shingle sets (64-bit hashes of shingles) with integer arithmetic.
 
@@ -78,6 +79,85 @@ def _digests(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mix(_sums(mix(flat ^ U64(0x5851F42D4C957F2D)), bounds)), mix(_sums(mix(flat ^ U64(0x14057B7EF767814F)), bounds))
 
 
+def sketches(flat: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set, the parities of its elements in 4 times as many cells (a power of two).
+
+    Two sets' parities differ in no more cells than the sets have differences, so many differing cells
+    rule a link out, exactly; a longer sketch folds to a shorter one's cells.
+    """
+    cells, place = np.diff(bounds), mix(flat ^ U64(0xA24BAED4963EE407))
+    out = []
+    for a, b, n in zip(bounds[:-1].tolist(), bounds[1:].tolist(), cells.tolist(), strict=True):
+        width = 1 << max(6, (4 * n - 1).bit_length())
+        odd = np.bincount((place[a:b] & U64(width - 1)).astype(np.int64), minlength=width) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def differing_cells(a: bytes, b: bytes) -> int:
+    """A lower bound on the size of the symmetric difference of two sketched sets."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, width = int.from_bytes(a, "little"), 8 * len(a)
+    while width > 8 * len(b):
+        width //= 2
+        x = (x >> width) ^ (x & ((1 << width) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+def _folded(sketch: np.ndarray) -> np.ndarray:
+    """Sketches, one a row, of half as many cells."""
+    half = sketch.shape[1] // 2
+    return sketch[:, :half] ^ sketch[:, half:]
+
+
+def _plausible_blocks(num: int, den: int):
+    """(a, b): of the pairs of two blocks that sketches and sizes don't rule out, as many as connect what they all connect."""
+
+    def pairs(table: pa.Table) -> pa.Table:
+        pair, side = table.column("pair").to_numpy(), table.column("side").to_numpy()
+        doc, size = table.column("doc").to_numpy(), table.column("n_shingles").to_numpy()
+        sketch = table.column("sketch").to_pylist()
+        out: list[tuple[int, int]] = []
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while top.setdefault(x, x) != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        order = np.lexsort((size, side, pair))
+        for rows in np.split(order, np.flatnonzero(np.diff(pair[order])) + 1):
+            left, right = rows[side[rows] == 0], rows[side[rows] == 1]
+            if not len(right):
+                right = left
+            by = lambda part: {w: [r for r in part if len(sketch[r]) == w] for w in {len(sketch[r]) for r in part}}
+            matrix = lambda part: np.stack([np.frombuffer(sketch[r], np.uint8) for r in part])
+            ours, theirs = by(left), by(right)
+            for w, mine in ours.items():
+                for v in (w // 2, w, 2 * w):
+                    if v not in theirs:
+                        continue
+                    x, y = matrix(mine), matrix(theirs[v])
+                    x, y = (_folded(x), y) if v < w else (x, _folded(y)) if v > w else (x, y)
+                    x, y = (m.view(np.uint64) if m.shape[1] % 8 == 0 else m for m in (np.ascontiguousarray(x), np.ascontiguousarray(y)))
+                    n, m = size[mine], size[theirs[v]]
+                    for i in range(len(mine)):
+                        # sizes are in order: those that may link are a run
+                        lo, hi = np.searchsorted(m, [-(-n[i] * num // den), n[i] * den // num + 1])
+                        differ = np.bitwise_count(y[lo:hi] ^ x[i]).sum(axis=1, dtype=np.int64)
+                        for j in np.flatnonzero(differ * (den + num) <= (n[i] + m[lo:hi]) * (den - num)).tolist():
+                            a, b = int(doc[mine[i]]), int(doc[theirs[v][lo + j]])
+                            r, t = find(a), find(b)
+                            if r != t:
+                                top[max(r, t)] = min(r, t)
+                                out.append((a, b))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return pairs
+
+
 class Bands:
     """Size bands for 'num / den of the union is shared', and k for each."""
 
@@ -98,35 +178,73 @@ class Bands:
         return np.searchsorted(self.lows, sizes, "right") - 1
 
 
-def signatures(flat: np.ndarray, bounds: np.ndarray, num: int, den: int, n2: int = 2, k2: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """All PartEnum signatures of the sets, and the set that each belongs to."""
+def signatures(flat: np.ndarray, bounds: np.ndarray, num: int, den: int, sig_bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """All PartEnum signatures of the sets, sig_bits high bits each, and the set that each belongs to.
+
+    k up to FEW: one first-level range, FINE second-level ranges, all subsets of FINE - k of them.
+    Above: k2 = 1 and n2 = 3, and a few first-level ranges more than k needs (the slack): a linked pair
+    then shares signatures in slack + 1 of them, so a set with empty subsets in no more ranges than
+    that sends none for them; sharing emptiness says nothing, and would make candidates of all sets.
+    """
     sizes = np.diff(bounds)
     bands = Bands(num, den, int(sizes.max()) if len(sizes) else 0)
     sets = np.flatnonzero(sizes >= bands.first)
     sigs, owners = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    if not len(sets):
-        return sigs[0], owners[0]
-    chosen = np.repeat(sizes >= bands.first, sizes)
-    h, n = flat[chosen], sizes[sets]
-    place, value = h >> U64(32), mix(h ^ U64(0xC2B2AE3D27D4EB4F))
-    for tag in (bands.of(n), bands.of(n) + 1):
-        n1 = bands.k[tag] // (k2 + 1) + 1
-        cells = n1 * n2
-        base = np.concatenate(([0], np.cumsum(cells)))
-        at = np.repeat(base[:-1], n) + (place * np.repeat(cells, n).astype(U64) >> U64(32)).astype(np.int64)
-        edge = np.flatnonzero(np.diff(at, prepend=-1))
-        table = np.zeros(base[-1], U64)
-        table[at[edge]] = np.add.reduceat(value, edge)
-        table = table.reshape(-1, n2)
-        owner = np.repeat(np.arange(len(sets)), n1)
-        row = np.arange(len(owner)) - np.repeat(base[:-1] // n2, n1)
-        where = mix(row.astype(U64) * U64(0x2545F4914F6CDD1D) + tag[owner].astype(U64) * U64(0x9E3779B97F4A7C15))
-        for number, subset in enumerate(combinations(range(n2), n2 - k2)):
-            part = where + U64((number + 1) * 0x632BE59BD9B4E019 % (1 << 64))
-            for j in subset:
-                part = part + mix(table[:, j] + U64((j + 1) * 0xE7037ED1A0B428DB % (1 << 64)))
-            sigs.append(mix(part))
-            owners.append(sets[owner])
+    own_band = bands.of(sizes)
+    for tags in (own_band, own_band + 1) if len(sets) else ():
+        k = bands.k[np.where(sizes >= bands.first, tags, 0)]
+        for few in [*range(1, FEW + 1), 0]:
+            chosen = (sizes >= bands.first) & ((k == few) if few else (k > FEW))
+            if not chosen.any():
+                continue
+            h, n, own = flat[np.repeat(chosen, sizes)], sizes[chosen], np.flatnonzero(chosen)
+            n1 = np.ones(len(own), np.int64) if few else k[own] // 2 + 1
+            slack = np.zeros(len(own), np.int64) if few else 2 + n1 // 8
+            sig, owner = _enumerated(h, n, tags[own], n1 + slack, slack, FINE if few else 3, few or 1)
+            sigs.append(sig)
+            owners.append(own[owner])
+    return np.concatenate(sigs) & ~U64((1 << (64 - sig_bits)) - 1), np.concatenate(owners)
+
+
+#: Of k, up to where all second-level subsets of FINE ranges are enumerated.
+FEW, FINE = 6, 8
+
+
+def bits_for(size: int) -> tuple[int, int]:
+    """Bits of a signature, and of the class digest that goes with it, for so many bytes of input.
+
+    2 ** 22 times the signatures to be expected, and 2 ** 12 times the documents: chance equality adds
+    a few candidates, which are verified, and loses none; the digest's bits are whole bytes.
+    """
+    sig = min(64, (size // 4).bit_length() + 22)
+    return sig, min(64, 8 * -(-((size // 1024).bit_length() + 12) // 8))
+
+
+def _enumerated(h: np.ndarray, n: np.ndarray, tag: np.ndarray, n1: np.ndarray, slack: np.ndarray, n2: int, k2: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets of n hashes each, h in order, with n1 first-level ranges, and the set of each."""
+    cells = n1 * n2
+    base = np.concatenate(([0], np.cumsum(cells)))
+    at = np.repeat(base[:-1], n) + ((h >> U64(32)) * np.repeat(cells, n).astype(U64) >> U64(32)).astype(np.int64)
+    edge = np.flatnonzero(np.diff(at, prepend=-1))
+    table = np.zeros(base[-1], U64)
+    table[at[edge]] = np.add.reduceat(mix(h ^ U64(0xC2B2AE3D27D4EB4F)), edge)
+    table = table.reshape(-1, n2)
+    owner = np.repeat(np.arange(len(n)), n1)
+    row = np.arange(len(owner)) - np.repeat(base[:-1] // n2, n1)
+    where = mix(row.astype(U64) * U64(0x2545F4914F6CDD1D) + tag[owner].astype(U64) * U64(0x9E3779B97F4A7C15))
+    mixed = [mix(table[:, j] + U64((j + 1) * 0xE7037ED1A0B428DB % (1 << 64))) for j in range(n2)]
+    subsets = list(combinations(range(n2), n2 - k2))
+    empty = [~table[:, s].any(axis=1) for s in subsets]
+    hollow = np.bincount(owner, weights=np.logical_or.reduce(empty), minlength=len(n))
+    sparse = (hollow > slack)[owner]
+    sigs, owners = [], []
+    for number, (subset, none) in enumerate(zip(subsets, empty, strict=True)):
+        part = where + U64((number + 1) * 0x632BE59BD9B4E019 % (1 << 64))
+        for j in subset:
+            part = part + mixed[j]
+        sent = ~none | sparse
+        sigs.append(mix(part[sent]))
+        owners.append(owner[sent])
     return np.concatenate(sigs), np.concatenate(owners)
 
 
@@ -134,19 +252,29 @@ def _digest_rows(width: int):
     def rows(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            n, d1, d2 = [], [], []
+            n, d1, d2, sketch = [], [], [], []
             for _, flat, bounds in shingle_sets(data, offsets, width):
                 a, b = _digests(flat, bounds)
+                sketch += sketches(flat, bounds)
                 n.append(np.diff(bounds))
                 d1.append(a)
                 d2.append(b)
             cat = lambda parts, kind: np.concatenate(parts or [np.zeros(0)]).astype(kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cat(n, np.int64)), pa.array(cat(d1, U64).view(np.int64)), pa.array(cat(d2, U64).view(np.int64))], ["doc_id", "n_shingles", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cat(n, np.int64)), pa.array(cat(d1, U64).view(np.int64)), pa.array(cat(d2, U64).view(np.int64)), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
     return rows
 
 
-def _signature_rows(width: int, num: int, den: int, bits: int):
+def _signature_rows(width: int, num: int, den: int, bits: int, sig_bits: int, id_bits: int):
+    def packed(sigs: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        sig, ids_ = np.concatenate(sigs), np.concatenate(ids)
+        rank = np.argsort(sig)
+        sig, ids_ = sig[rank], ids_[rank]
+        cuts = cut_by_top_bits(sig, bits)
+        full = np.flatnonzero(np.diff(cuts))
+        lists = pa.array([pack_sorted(sig[cuts[b] : cuts[b + 1]]) for b in full], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), lists, pa.array([_pack_ids(ids_[cuts[b] : cuts[b + 1]], id_bits) for b in full], pa.binary())], ["bucket", "sigs", "ids"])
+
     def rows(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
@@ -160,44 +288,55 @@ def _signature_rows(width: int, num: int, den: int, bits: int):
                 seen = np.union1d(seen, d1)
                 sizes = np.diff(bounds) * new
                 flat = flat[np.repeat(new, np.diff(bounds))]
-                sig, owner = signatures(flat, np.concatenate(([0], np.cumsum(sizes))), num, den)
+                sig, owner = signatures(flat, np.concatenate(([0], np.cumsum(sizes))), num, den, sig_bits)
                 sigs.append(sig)
-                ids.append(d1[owner])
-            sig, ids = np.concatenate(sigs or [np.zeros(0, U64)]), np.concatenate(ids or [np.zeros(0, U64)])
-            rank = np.argsort(sig)
-            sig, ids = sig[rank], ids[rank]
-            cuts = cut_by_top_bits(sig, bits)
-            full = np.flatnonzero(np.diff(cuts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([pack_sorted(sig[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()), pa.array([squeeze(ids[cuts[b] : cuts[b + 1]].tobytes()) for b in full], pa.binary())],
-                ["bucket", "sigs", "ids"],
-            )
+                ids.append(d1[owner] >> U64(64 - id_bits))
+                if sum(map(len, sigs)) >= SENT:
+                    yield packed(sigs, ids)
+                    sigs, ids = [], []
+            if sum(map(len, sigs)):
+                yield packed(sigs, ids)
 
     return rows
 
 
-def _groups(table: pa.Table) -> pa.Table:
+#: Signatures that a task holds before it sends them.
+SENT = 1_500_000
+
+
+def _pack_ids(ids: np.ndarray, bits: int) -> bytes:
+    return bytes([bits // 8]) + squeeze(np.ascontiguousarray(ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8]).tobytes())
+
+
+def _unpack_ids(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    short = np.frombuffer(unsqueeze(blob[1:]), np.uint8).reshape(-1, width)
+    return np.hstack((short, np.zeros((len(short), 8 - width), np.uint8))).view("<u8").reshape(-1).astype(U64)
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """(x, y): of class ids that share a signature, the lowest with each other one: enough to connect them."""
     sig = np.concatenate([unpack_sorted(x) for x in table.column("sigs").to_pylist()])
-    ids = np.concatenate([np.frombuffer(unsqueeze(x), U64) for x in table.column("ids").to_pylist()])
-    rank = np.argsort(sig)
-    sig, ids = sig[rank], ids[rank]
-    same = sig[1:] == sig[:-1]
-    shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    sig, ids = sig[shared], ids[shared]
+    ids = np.concatenate([_unpack_ids(x) for x in table.column("ids").to_pylist()])
     rank = np.lexsort((ids, sig))
     sig, ids = sig[rank], ids[rank]
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
-    sig, ids = sig[new], ids[new]
-    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
-    count = np.diff(np.append(first, len(sig)))
-    members = mix(_sums(mix(ids), np.append(first, len(sig)))) if len(sig) else np.zeros(0, U64)
-    _, one = np.unique(members, return_index=True)
-    keep = np.zeros(len(first), bool)
-    keep[one] = True
-    keep &= count > 1
-    flags = np.repeat(keep, count)
-    return pa.table({"grp": pa.array(np.repeat(members, count)[flags].view(np.int64)), "d1": pa.array(ids[flags].view(np.int64))})
+    first = np.ones(len(sig), bool)
+    first[1:] = sig[1:] != sig[:-1]
+    low = ids[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
+    other = low != ids
+    rows = np.unique(np.rec.fromarrays((low[other], ids[other]), names="x,y"))
+    return pa.table({"x": pa.array(rows["x"].view(np.int64)), "y": pa.array(rows["y"].view(np.int64))})
+
+
+def _squeezed(batches):
+    for batch in batches:
+        texts = [squeeze((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc", "d1", "text"])
+
+
+def _plain(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of compressed texts."""
+    return text_buffers(pa.array([unsqueeze(x) for x in column.to_pylist()], pa.large_binary()))
 
 
 def _linked(width: int, num: int, den: int):
@@ -207,7 +346,7 @@ def _linked(width: int, num: int, den: int):
             for id_at, d1_at, text_at in ((0, 2, 4), (1, 3, 5)):
                 ids, d1 = batch.column(id_at).to_pylist(), batch.column(d1_at).to_pylist()
                 new = list({x: i for i, x in reversed(list(enumerate(zip(ids, d1, strict=True)))) if x not in sets}.values())
-                data, offsets = text_buffers(batch.column(text_at).take(pa.array(new, pa.int64())))
+                data, offsets = _plain(batch.column(text_at).take(pa.array(new, pa.int64())))
                 for i, flat, bounds in shingle_sets(data, offsets, width):
                     own, _ = _digests(flat, bounds)
                     for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
@@ -235,36 +374,47 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
     ship_package(spark)
     num, den = percent, 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digests = stage_table(spark, docs.mapInArrow(_digest_rows(width), "doc_id long, n_shingles long, d1 long, d2 long"), "digests")
+    digests = stage_table(spark, docs.mapInArrow(_digest_rows(width), "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"), "digests")
     classes = stage_table(spark, digests.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("doc")), "classes")
 
     bits = int(max(2 * shuffle_parts(spark), input_bytes(docs) // bucket_bytes, 1) - 1).bit_length()
-    sent = docs.where("doc_id is not null").select("text").mapInArrow(_signature_rows(width, num, den, bits), "bucket int, sigs binary, ids binary")
-    groups = sent.groupBy("bucket").applyInArrow(_groups, "grp long, d1 long").distinct()
-    groups = stage_table(spark, groups.join(classes.select("d1", "doc"), "d1").select("grp", "doc", "d1"), "groups")
+    sig_bits, id_bits = bits_for(input_bytes(docs))
+    sent = docs.where("doc_id is not null").select("text").mapInArrow(_signature_rows(width, num, den, bits, sig_bits, id_bits), "bucket int, sigs binary, ids binary")
+    found = sent.groupBy("bucket").applyInArrow(_candidates, "x long, y long").distinct()
+    named = classes.select((F.shiftrightunsigned("d1", 64 - id_bits) if id_bits < 64 else F.col("d1")).alias("id"), "doc")
+    as_ = lambda i, d: named.select(F.col("id").alias(i), F.col("doc").alias(d))
+    # classes of equal ids were one in the lists: they are candidates of each other
+    twins = named.groupBy("id").agg(F.count("*").alias("n"), F.min("doc").alias("b")).where("n > 1").join(named, "id").where("doc <> b").select(F.col("doc").alias("a"), "b")
+    pairs = found.join(as_("x", "a"), "x").join(as_("y", "b"), "y").where("a <> b").select("a", "b").union(twins)
+    pairs = stage_table(spark, pairs.distinct(), "pairs")
 
     labels = None
-    if groups.take(1):
-        nodes = groups.select("doc", "d1").distinct()
-        some = _possible(docs.withColumnRenamed("doc_id", "doc"), nodes)
-        texts = stage_table(spark, some.join(nodes.hint("merge"), "doc").select("doc", "d1", "text"), "texts")
+    if pairs.take(1):
+        # families that sketches leave connected
+        known = digests.select(F.col("doc_id").alias("doc"), "d1", "n_shingles", "sketch").join(classes.select("doc", "d1"), ["doc", "d1"]).dropDuplicates(["doc", "d1"])
+        loose = components(spark, pairs)
+        loose = loose.select("node", "component").union(loose.select("component", "component").distinct()).toDF("doc", "family").withColumn("comp", F.col("doc"))
+        dealt = _dealt_blocks(spark, loose, SKETCHED).join(known.select("doc", "n_shingles", "sketch"), "doc")
+        tight = stage_table(spark, dealt.groupBy("deal").applyInArrow(_plausible_blocks(num, den), "a long, b long"), "tight")
+        family = components(spark, tight)
+        family = family.union(family.select("component", "component").distinct()).toDF("doc", "family")
+        members = stage_table(spark, family.join(classes.select("doc", "d1"), "doc"), "members")
+
+        some = _possible(docs.withColumnRenamed("doc_id", "doc"), members)
+        fetched = some.join(members.hint("merge"), "doc").select("doc", "d1", "text")
+        texts = stage_table(spark, fetched.mapInArrow(_squeezed, "doc long, d1 long, text binary"), "texts")
         left = texts.select(F.col("doc").alias("a"), F.col("d1").alias("d1_a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("doc").alias("b"), F.col("d1").alias("d1_b"), F.col("text").alias("text_b"))
-
-        def verify(pairs: DataFrame) -> DataFrame:
-            full = pairs.join(left, "a").join(right, "b").select("a", "b", "d1_a", "d1_b", "text_a", "text_b")
-            return full.mapInArrow(_linked(width, num, den), "a long, b long").distinct()
-
-        low = groups.groupBy("grp").agg(F.min("doc").alias("b"))
-        pairs = stage_table(spark, groups.join(low, "grp").where("b < doc").groupBy(F.col("doc").alias("a")).agg(F.min("b").alias("b")), "pairs")
-        links = stage_table(spark, verify(pairs), "links")
+        star = members.where("doc <> family").select(F.col("doc").alias("a"), F.col("family").alias("b"))
+        full = star.join(left, "a").join(right, "b").select("a", "b", "d1_a", "d1_b", "text_a", "text_b")
+        links = stage_table(spark, full.mapInArrow(_linked(width, num, den), "a long, b long").distinct(), "links")
         labels = components(spark, links)
-        families = _open_families(spark, groups, labels)
+        families = _open_families(spark, members.select("doc", "family"), labels)
         if families is not None:
-            dealt = _dealt_blocks(spark, families.join(texts, "doc"))
+            dealt = _dealt_blocks(spark, families, BLOCK).join(texts, "doc").select("deal", "pair", "side", "doc", "comp", "d1", "text")
             more = dealt.groupBy("deal").applyInArrow(_linked_blocks(width, num, den), "a long, b long")
             labels = components(spark, links.union(more))
-    own = digests.join(classes, ["d1", "d2", "n_shingles"], "left")
+    own = digests.drop("sketch").join(classes, ["d1", "d2", "n_shingles"], "left")
     if labels is not None:
         own = own.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
         component = F.coalesce("component", "doc", "doc_id")
@@ -285,38 +435,35 @@ def _possible(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.withColumn("word", word).join(F.broadcast(words), "word").where(bit.bitwiseAND(F.col("mask")) != 0).drop("word", "mask")
 
 
-def _open_families(spark: SparkSession, groups: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """(family, doc, comp) of the classes in groups with more than one component; a group is within one family."""
-    labelled = groups.select("grp", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("grp", "doc", F.coalesce("component", "doc").alias("comp"))
-    span = labelled.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc").alias("low")).where("lo < hi")
-    members = stage_table(spark, labelled.join(span.select("grp", "low"), "grp").select("doc", "comp", "low").distinct(), "open")
-    if not members.take(1):
-        return None
-    family = components(spark, members.select(F.col("doc").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "doc")
-    return members.select("doc", "comp").distinct().join(family, "doc", "left").select(F.coalesce("component", "doc").alias("family"), "doc", "comp")
+def _open_families(spark: SparkSession, members: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(family, doc, comp) of the families that have more than one component."""
+    labelled = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("family", "doc", F.coalesce("component", "doc").alias("comp"))
+    mixed = labelled.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("family")
+    families = stage_table(spark, labelled.join(mixed, "family"), "open")
+    return families if families.take(1) else None
 
 
-#: Members of a block; two blocks are compared in one task.
-BLOCK = 128
+#: Members of a block of texts, and of sketches; two blocks are compared in one task.
+BLOCK, SKETCHED = 128, 4096
 
 
-def _dealt_blocks(spark: SparkSession, members: DataFrame) -> DataFrame:
+def _dealt_blocks(spark: SparkSession, members: DataFrame, block: int) -> DataFrame:
     """Members, once for each pair of blocks of their family that theirs is compared with.
 
-    A component with BLOCK / 2 members or more in the family has blocks of its own, which are not
+    A component with half a block's members or more in the family has blocks of its own, which are not
     compared with each other; all others of the family share blocks.
     """
-    large = members.groupBy("family", "comp").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK // 2).select("family", "comp", F.col("comp").alias("pool"))
+    large = members.groupBy("family", "comp").agg(F.count("*").alias("n")).where(F.col("n") >= block // 2).select("family", "comp", F.col("comp").alias("pool"))
     pooled = members.join(large, ["family", "comp"], "left").withColumn("own", F.col("pool").isNotNull()).withColumn("pool", F.coalesce("pool", F.lit(0)))
-    sizes = pooled.groupBy("family", "own", "pool").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sizes = pooled.groupBy("family", "own", "pool").agg(F.ceil(F.count("*") / block).alias("blocks"))
     pooled = stage_table(spark, pooled.join(sizes, ["family", "own", "pool"]).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks")).drop("blocks"), "blocks")
     blocks = pooled.select("family", F.struct("own", "pool", "block").alias("block")).distinct()
     pairs = blocks.join(blocks.withColumnRenamed("block", "other"), "family").where("block <= other and not (block.own and other.own and block.pool = other.pool)")
     pairs = pairs.withColumn("pair", F.xxhash64("family", "block", "other"))
     sides = pairs.select("family", "pair", F.lit(0).alias("side"), "block").union(pairs.where("block <> other").select("family", "pair", F.lit(1), "other"))
     sides = sides.select("family", "pair", "side", "block.own", "block.pool", "block.block")
-    deals = max(2 * shuffle_parts(spark), pooled.count() // BLOCK)
-    return pooled.join(sides, ["family", "own", "pool", "block"]).select(F.pmod("pair", F.lit(deals)).alias("deal"), "pair", "side", "doc", "comp", "d1", "text")
+    deals = max(2 * shuffle_parts(spark), pooled.count() // block)
+    return pooled.join(sides, ["family", "own", "pool", "block"]).select(F.pmod("pair", F.lit(deals)).alias("deal"), "pair", "side", "doc", "comp")
 
 
 def _linked_blocks(width: int, num: int, den: int):
@@ -326,7 +473,7 @@ def _linked_blocks(width: int, num: int, den: int):
         doc, d1, comp = (table.column(c).to_numpy() for c in ("doc", "d1", "comp"))
         names, first, which = np.unique(np.stack((doc, d1)), axis=1, return_index=True, return_inverse=True)
         which = which.reshape(-1)
-        data, offsets = text_buffers(table.column("text").take(pa.array(first)))
+        data, offsets = _plain(table.column("text").take(pa.array(first)))
         sets: list[np.ndarray] = []
         for i, flat, bounds in shingle_sets(data, offsets, width):
             own, _ = _digests(flat, bounds)
