@@ -231,6 +231,20 @@ def test_licenses(docs, empty, spark):
     assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(docs).count() == docs.count()
 
 
+def test_each_license_is_reported_under_its_own_name_only(spark):
+    """Every template, and headers and notices that differ from a relative's in a version or a word."""
+    rows = [(f"pad {i} " * 9 + text + " tail" * 20, licenses.name_of(key)) for i, (key, text) in enumerate(licenses.TEMPLATES.items())]
+    header = licenses.TEMPLATES["GPL-3.0"]
+    rows += [(header.replace("version 3", "version 2"), "GPL-2.0"), (header.replace("version 3", "version 4"), ""), (header.replace("General", "Affero General"), "AGPL-3.0"), (header.replace("General", "Lesser General").replace("version 3", "version 2.1"), "LGPL-2.1")]
+    rows += [("Licensed under the MIT License.", "MIT-notice"), ("This code is distributed under the GNU GPL version 2", "GPL-2.0-notice"), ("This work is licensed under the GNU General Public License, version 1.", "GPL-1.0-notice")]
+    rows += [(licenses.TEMPLATES["MIT"] + " pad " * 300 + licenses.TEMPLATES["BSD-3-Clause#body"], "BSD-3-Clause,MIT")]
+    got = dict(licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).select("doc_id", "licenses").collect())
+    for i, (_, want) in enumerate(rows[: len(licenses.TEMPLATES)]):
+        names = got[i].split(",")
+        assert want in names and {n.removesuffix("-notice") for n in names} == {want.removesuffix("-notice")}, (want, got[i])
+    assert [got[i] for i in range(len(licenses.TEMPLATES), len(rows))] == [want for _, want in rows[len(licenses.TEMPLATES) :]]
+
+
 def test_license_retrieval_misses_little():
     shingles = licenses.template_shingles(licenses.TEMPLATES)
     retrieval = licenses.Retrieval(shingles)
