@@ -367,6 +367,25 @@ def test_embeddings(spark, monkeypatch, small):
     assert embed_dedup.dedup_vectors(df.limit(0)).count() == 0
 
 
+def test_a_group_of_near_copies_above_the_shard_limit(spark, monkeypatch):
+    """1,500 different vectors, all near each other, ten times the limit; and some that are not."""
+    monkeypatch.setattr(embed_dedup, "MOST", 150)
+    monkeypatch.setattr(embed_dedup, "TARGET", 40)
+    monkeypatch.setattr(embed_dedup, "BLOCK", 400)
+    r = np.random.default_rng(4)
+    hot = r.normal(size=32)
+    x = np.concatenate((hot + 0.1 * r.normal(size=(1500, 32)), r.normal(size=(300, 32))))
+    x[7] = x[8]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    want = components(range(len(x)), np.argwhere(near).tolist())
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {row.vec_id: (row.n_links, row.component_id) for row in embed_dedup.dedup_vectors(df).collect()}
+    assert got == {i: (int(near[i].sum()), want[i]) for i in range(len(x))}
+    audit = embed_dedup.audit_recall(df).first()
+    assert audit.found == audit.links > 0
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the driver's tables")
 def test_sql_of_the_registry(spark):
     import duckdb

@@ -2,7 +2,9 @@
 
 Vectors of one label are clustered: centres come from a bounded sample by spherical k-means, and each
 vector goes to its two nearest centres and to two more that are about as near, so shards overlap; shards above MOST members are clustered
-again. In a shard every vector gets neighbours by robust pruning (nearest first, dropping candidates
+again. Centres whose vectors mostly are within range of each other make one shard, so a group of near copies
+stays whole; such a shard above MOST, and one that DEPTH rounds leave above it, is dense: all pairs of its
+blocks are compared exactly, which gives counts and tree edges without lists. In any other shard every vector gets neighbours by robust pruning (nearest first, dropping candidates
 that a chosen neighbour is ALPHA times nearer to). Adjacency lists of a vector from all its shards are
 united, and each shard is searched with the united lists: its members and their close neighbours elsewhere.
 Each member is searched from the shard's medoid and its own place by greedy beam search, which then
@@ -36,6 +38,8 @@ TARGET, MOST, SAMPLE, DEPTH = 512, 2048, 32, 4
 DEGREE, POOL, FAR, BEAM, ALPHA = 24, 64, 8, 24, 1.2
 #: Centres of one clustering at most; how much farther than the nearest a third or fourth may be.
 CENTRES, MARGIN = 64, 0.03
+#: Vectors of a dense shard that a task compares with as many.
+BLOCK = 8192
 
 
 def _unit_rows(batches):
@@ -61,8 +65,15 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.stack([np.frombuffer(x.as_py(), np.float64) for x in column])
 
 
-def _centres(table: pa.Table) -> pa.Table:
-    """Spherical k-means on a shard's sample."""
+def _centres(threshold: float):
+    def centres(table: pa.Table) -> pa.Table:
+        """Spherical k-means on a shard's sample; child: the shard of each centre; tight: is most of the shard within range?"""
+        return _clustered(table, threshold)
+
+    return centres
+
+
+def _clustered(table: pa.Table, threshold: float) -> pa.Table:
     x = _matrix(table.column("unit"))
     k = min(table.column("wanted")[0].as_py(), len(x))
     rng = np.random.default_rng(7)
@@ -74,13 +85,27 @@ def _centres(table: pa.Table) -> pa.Table:
         np.add.at(sums, own, x)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         centre = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centre)
-    return pa.table({"shard": pa.array([table.column("shard")[0].as_py()]), "k": pa.array([k], pa.int32()), "centres": pa.array([centre.tobytes()], pa.binary())})
+    # centres are united if half of the sampled pairs across them are within range, and tight if half of those of one are
+    own = np.argmax(x @ centre.T, axis=1)
+    member = np.zeros((len(x), k))
+    member[np.arange(len(x)), own] = 1
+    inside = (x @ x.T >= threshold).astype(float)
+    np.fill_diagonal(inside, 0)
+    size = member.sum(axis=0)
+    pairs = np.outer(size, size) - np.diag(size)
+    close = (2 * (member.T @ inside @ member) >= pairs) & (pairs > 0)
+    child = np.arange(k)
+    _join(child, *np.nonzero(close))
+    tight = np.zeros(k, bool)
+    tight[child[np.flatnonzero(np.diag(close))]] = True
+    name = table.column("shard")[0].as_py()
+    return pa.table({"shard": pa.array([name]), "k": pa.array([k], pa.int32()), "centres": pa.array([centre.tobytes()], pa.binary()), "child": pa.array([child.tolist()], pa.list_(pa.int32())), "tight": pa.array([tight.tolist()], pa.list_(pa.bool_()))})
 
 
 def _assign(members: pa.Table, centres: pa.Table) -> pa.Table:
-    """Each member once for each of its two nearest centres, and for the next two if they are within MARGIN of the nearest."""
+    """Each member once for each shard of its two nearest centres, and of the next two if they are within MARGIN of the nearest."""
     if not len(members):
-        return pa.table({"shard": pa.array([], pa.string()), "node": pa.array([], pa.int64()), "copies": pa.array([], pa.int64()), "unit": pa.array([], pa.binary())})
+        return pa.table({"shard": pa.array([], pa.string()), "tight": pa.array([], pa.bool_()), "node": pa.array([], pa.int64()), "copies": pa.array([], pa.int64()), "unit": pa.array([], pa.binary())})
     x = _matrix(members.column("unit"))
     centre = np.frombuffer(centres.column("centres")[0].as_py(), np.float64).reshape(centres.column("k")[0].as_py(), -1)
     cosine = x @ centre.T
@@ -89,35 +114,105 @@ def _assign(members: pa.Table, centres: pa.Table) -> pa.Table:
     chosen = close >= close[:, :1] - MARGIN
     chosen[:, :2] = True
     name = members.column("shard")[0].as_py()
-    rows = pa.array(np.nonzero(chosen)[0])
-    return pa.table({"shard": pa.array([f"{name}.{c}" for c in near[chosen].tolist()]), "node": members.column("node").take(rows), "copies": members.column("copies").take(rows), "unit": members.column("unit").take(rows)})
+    child, tight = (np.array(centres.column(c)[0].as_py()) for c in ("child", "tight"))
+    row, to = np.divmod(np.unique(np.nonzero(chosen)[0] * len(child) + child[near[chosen]]), len(child))
+    rows = pa.array(row)
+    return pa.table({"shard": pa.array([f"{name}.{c}" for c in to.tolist()]), "tight": pa.array(tight[to]), "node": members.column("node").take(rows), "copies": members.column("copies").take(rows), "unit": members.column("unit").take(rows)})
 
 
-def shards_of(nodes: DataFrame) -> DataFrame:
-    """(shard, node, copies, unit): nodes in overlapping shards of at most MOST members, DEPTH rounds at most."""
+def shards_of(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Nodes in overlapping shards (shard, node, copies, unit): those of at most MOST members, and the dense ones."""
     spark = nodes.sparkSession
     done: DataFrame | None = None
-    for _ in range(DEPTH):
-        sizes = nodes.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > MOST)
+    dense: DataFrame | None = None
+    nodes = nodes.withColumn("tight", F.lit(False))
+    for turn in range(DEPTH + 1):
+        sizes = nodes.groupBy("shard").agg(F.count("*").alias("n"), (F.max("tight") | F.lit(turn == DEPTH)).alias("whole")).where(F.col("n") > MOST)
         large = stage_table(spark, sizes, "large")
-        small = nodes.join(large.select("shard"), "shard", "left_anti")
+        small = nodes.join(large.select("shard"), "shard", "left_anti").drop("tight")
         done = small if done is None else done.union(small)
+        kept = nodes.join(large.where("whole").select("shard"), "shard", "left_semi").drop("tight")
+        dense = kept if dense is None else dense.union(kept)
+        large = large.where("not whole").drop("whole")
         if not large.take(1):
-            return done
-        big = nodes.join(large, "shard").withColumn("wanted", F.least(F.lit(CENTRES), F.greatest(F.lit(2), F.ceil(F.col("n") / TARGET))).cast("int"))
+            break
+        big = nodes.drop("tight").join(large, "shard").withColumn("wanted", F.least(F.lit(CENTRES), F.greatest(F.lit(2), F.ceil(F.col("n") / TARGET))).cast("int"))
         # about SAMPLE per centre, CENTRES * SAMPLE a shard at most, chosen by a hash of the id
         share = F.least(F.lit(1.0), SAMPLE * F.col("wanted") / F.col("n"))
         sample = big.where(F.pmod(F.xxhash64("node", "shard"), F.lit(1_000_003)) < share * 1_000_003)
-        centres = sample.groupBy("shard").applyInArrow(_centres, "shard string, k int, centres binary")
-        centres = stage_table(spark, centres.join(large, "shard").select("shard", "k", "centres", F.ceil(F.col("n") / MOST).alias("salts")), "centres")
+        centres = sample.groupBy("shard").applyInArrow(_centres(threshold), "shard string, k int, centres binary, child array<int>, tight array<boolean>")
+        centres = stage_table(spark, centres.join(large, "shard").select("shard", "k", "centres", "child", "tight", F.ceil(F.col("n") / MOST).alias("salts")), "centres")
         salted = big.join(centres.select("shard", "salts"), "shard").withColumn("salt", F.pmod(F.xxhash64("node"), "salts")).select("shard", "salt", "node", "copies", "unit")
-        spread = centres.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("shard", "salt", "k", "centres")
-        split = salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInArrow(_assign, "shard string, node long, copies long, unit binary")
+        spread = centres.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("shard", "salt", "k", "centres", "child", "tight")
+        split = salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInArrow(_assign, "shard string, tight boolean, node long, copies long, unit binary")
         nodes = stage_table(spark, split, "shards")
-    # still too large: mostly vectors that no centre tells apart; halves by hash keep tasks bounded
-    rest = nodes.join(nodes.groupBy("shard").agg(F.ceil(F.count("*") / MOST).alias("parts")), "shard")
-    rest = rest.withColumn("shard", F.when(F.col("parts") > 1, F.concat_ws("#", "shard", F.pmod(F.xxhash64("node"), "parts"))).otherwise(F.col("shard")))
-    return done.union(rest.select("shard", "node", "copies", "unit"))
+    return done, dense
+
+
+def _compare(threshold: float):
+    def compare(table: pa.Table) -> pa.Table:
+        """All pairs of a block with another, or within one: each vector's copies within range, and a tree edge.
+
+        A pair that an earlier dense shard has too is counted there.
+        """
+        name, second = table.column("shard")[0].as_py(), table.column("second").to_numpy(zero_copy_only=False)
+        left, right = (table.filter(pa.array(second == side)) for side in (False, True))
+        same = not len(right) and table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        right = left if same else right
+        if not len(left) or not len(right):
+            return pa.table({"node": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "others": pa.array([], pa.int64())})
+        ids = [t.column("node").to_numpy() for t in (left, right)]
+        x, y = _matrix(left.column("unit")), _matrix(right.column("unit"))
+        copies = [t.column("copies").to_numpy().astype(float) for t in (left, right)]
+        earlier = [[{d for d in v if d < name} for v in t.column("dense").to_pylist()] for t in (left, right)]
+        twice = [(np.array([d in v for v in earlier[0]]), np.array([d in v for v in earlier[1]])) for d in sorted(set().union(*earlier[0]) & set().union(*earlier[1]))]
+        others = [np.zeros(len(v)) for v in ids]
+        parent, base = np.arange(len(x) + (0 if same else len(y))), 0 if same else len(x)
+        for at in range(0, len(x), 1024):
+            hit = x[at : at + 1024] @ y.T >= threshold
+            if same:
+                hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
+            _unite(parent, hit, at, base)
+            for a, b in twice:
+                hit[np.ix_(a[at : at + 1024], b)] = False
+            others[0][at : at + 1024] += hit @ copies[1]
+            if not same:
+                others[1] += copies[0][at : at + 1024] @ hit
+        nodes = ids[0] if same else np.concatenate(ids)
+        count = others[0] if same else np.concatenate(others)
+        root = nodes[[_top(parent, i) for i in range(len(nodes))]]
+        return pa.table({"node": pa.array(nodes), "root": pa.array(root), "others": pa.array(count.astype(np.int64))})
+
+    return compare
+
+
+def _unite(parent: np.ndarray, hit: np.ndarray, first: int, base: int) -> None:
+    """Unites the trees of rows (numbered from first) and columns (from base) of a matrix of pairs; each row and column is read once or twice."""
+    left = hit.any(axis=1)
+    while left.any():
+        rows, ahead = np.array([left.argmax()]), np.zeros(hit.shape[1], bool)
+        every = [rows]
+        left[rows] = False
+        while len(rows):
+            new = hit[rows].any(axis=0) & ~ahead
+            ahead |= new
+            at = np.flatnonzero(left)
+            rows = at[hit[np.ix_(at, np.flatnonzero(new))].any(axis=1)]
+            left[rows] = False
+            every.append(rows)
+        tops = {_top(parent, int(i)) for i in np.concatenate((np.concatenate(every) + first, np.flatnonzero(ahead) + base))}
+        for top in tops:
+            parent[top] = min(tops)
+
+
+def dense_links(dense: DataFrame, threshold: float) -> DataFrame:
+    """(node, root, others): tree edges and copies within range in dense shards, by comparing all pairs of their blocks."""
+    held = dense.groupBy("node").agg(F.sort_array(F.collect_set("shard")).alias("dense"))
+    blocks = dense.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = dense.join(blocks, "shard").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(held, "node")
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "copies", "unit", "dense")
+    return paired.groupBy("shard", "i", "j").applyInArrow(_compare(threshold), "node long, root long, others long")
 
 
 def robust_prune(similar: np.ndarray, pool: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -196,10 +291,15 @@ def _search(threshold: float):
         mean = x[queries].sum(axis=0)
         medoid = int(queries[np.argmax(x[queries] @ mean)])
         parent = np.arange(len(ids))
+        held = [v or [] for v in table.column("dense").to_pylist()]
+        dense = [np.array([d in v for v in held]) for d in sorted(set().union(*held))]
         out = {"node": [], "found": [], "copies": []}
         for block in np.array_split(queries, max(1, -(-len(queries) * len(ids) // 4_000_000))):
             q, hit = _range_search(x, graph, block, medoid, threshold)
             _join(parent, block[q], hit)
+            for inside in dense:  # counted there
+                apart = ~(inside[block[q]] & inside[hit])
+                q, hit = q[apart], hit[apart]
             rank = np.argsort(q, kind="stable")
             q, hit = q[rank], hit[rank]
             for i, part in zip(block.tolist(), np.split(hit, np.searchsorted(q, np.arange(1, len(block)))), strict=True):
@@ -318,19 +418,20 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, stage_table(spark, nodes, "nodes")
 
 
-def found_links(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(node, root, found, copies) from every shard's search."""
+def found_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, root, found, copies) from every shard's search, and dense shards (shard, node, copies, unit), whose pairs these leave out."""
     spark = nodes.sparkSession
-    shards = stage_table(spark, shards_of(nodes.select("shard", "node", "copies", "unit")), "shards")
+    shards, dense = (stage_table(spark, t, "shards") for t in shards_of(nodes.select("shard", "node", "copies", "unit"), threshold))
     # a vector within range of a member's link is at an angle of twice the threshold's at most
     lists = shards.groupBy("shard").applyInArrow(_build(2 * threshold**2 - 1), "node long, near array<long>, close array<long>")
     merged = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
     united = stage_table(spark, lists.groupBy("node").agg(merged("near"), merged("close")), "graph")
-    known = stage_table(spark, nodes.select("node", "copies", "unit").join(united.select("node", "near"), "node"), "known")
+    held = dense.groupBy("node").agg(F.collect_set("shard").alias("dense"))
+    known = stage_table(spark, nodes.select("node", "copies", "unit").join(united.select("node", "near"), "node").join(held, "node", "left"), "known")
     members = shards.select("shard", "node", F.lit(True).alias("member"))
     around = shards.select("shard", "node").join(united, "node").select("shard", F.explode("close").alias("node")).distinct().withColumn("member", F.lit(False))
     wanted = members.union(around).groupBy("shard", "node").agg(F.max("member").alias("member"))
-    return wanted.join(known, "node").groupBy("shard").applyInArrow(_search(threshold), "node long, root long, found array<long>, copies array<long>")
+    return wanted.join(known, "node").groupBy("shard").applyInArrow(_search(threshold), "node long, root long, found array<long>, copies array<long>"), dense
 
 
 def dedup_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -338,10 +439,12 @@ def dedup_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     spark = vectors.sparkSession
     ship_package(spark)
     rows, nodes = _classes(vectors)
-    found = stage_table(spark, found_links(nodes, threshold), "found")
-    labels = components(spark, found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    found, dense = found_links(nodes, threshold)
+    found, exact = stage_table(spark, found, "found"), stage_table(spark, dense_links(dense, threshold), "exact")
+    labels = components(spark, found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(exact.select("node", "root")))
     pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("found", "copies"))))
     counts = found.groupBy("node").agg(F.aggregate(pairs, F.lit(0).cast("long"), lambda s, p: s + p["copies"]).alias("others"))
+    counts = counts.union(exact.select("node", "others")).groupBy("node").agg(F.sum("others").alias("others"))
     classes = nodes.select("shard", "digest", "node", "copies").join(counts, "node", "left").join(labels, "node", "left")
     joined = rows.select("vec_id", "shard", "digest").join(classes, ["shard", "digest"], "left")
     component = F.coalesce("component", "node", "vec_id")
@@ -351,7 +454,8 @@ def dedup_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
 def audit_recall(vectors: DataFrame, threshold: float = 0.93, every: int = 20) -> DataFrame:
     """One row: links of the queries (vec_id divisible by every) by brute force in blocks, and how many of them the graph found."""
     rows, nodes = _classes(vectors)
-    found = found_links(nodes, threshold)
+    found, dense = found_links(nodes, threshold)
+    held = dense.groupBy("node").agg(F.collect_set("shard").alias("dense"))
     got = found.select("node", F.explode("found").alias("other")).distinct()
     queries = rows.where(f"shard is not null and vec_id % {every} = 0").select("shard", "digest").join(nodes, ["shard", "digest"]).select("shard", "node", "unit").distinct()
     queries = stage_table(vectors.sparkSession, queries, "queries")
@@ -370,5 +474,6 @@ def audit_recall(vectors: DataFrame, threshold: float = 0.93, every: int = 20) -
     spread = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     dealt = nodes.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int"))
     truth = spread.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInArrow(brute, "node long, other long").where("node <> other")
-    hit = truth.join(got.withColumn("hit", F.lit(1)), ["node", "other"], "left")
-    return hit.agg(F.count("*").alias("links"), F.count("hit").alias("found"))
+    hit = truth.join(got.withColumn("hit", F.lit(True)), ["node", "other"], "left").join(held, "node", "left").join(held.toDF("other", "dense_too"), "other", "left")
+    known = F.coalesce("hit", F.arrays_overlap("dense", "dense_too"), F.lit(False))
+    return hit.agg(F.count("*").alias("links"), F.count_if(known).alias("found"))
