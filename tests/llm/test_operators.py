@@ -367,6 +367,17 @@ def test_embeddings(spark, monkeypatch, small):
     assert embed_dedup.dedup_vectors(df.limit(0)).count() == 0
 
 
+def test_links_are_known_to_both_ends():
+    """Of two vectors near each other only one is searched, or none reaches the other: a link found once counts for both."""
+    import pyarrow as pa
+
+    unit = np.array([[1.0, 0.0], [0.99, np.sqrt(1 - 0.99**2)], [0.0, 1.0]])
+    # 5 is a neighbour of the shard, no member of it: its own search is another shard's
+    table = pa.table({"node": [4, 5, 6], "member": [True, False, True], "copies": [1, 3, 1], "unit": [v.tobytes() for v in unit], "near": pa.array([[5], [], []], pa.list_(pa.int64())), "dense": pa.array([None] * 3, pa.list_(pa.string()))})
+    got = {r["node"]: (r["found"], r["copies"]) for r in embed_dedup._search(0.93)(table).to_pylist()}
+    assert {n: v for n, v in got.items() if v[0]} == {4: ([5], [3]), 5: ([4], [1])}
+
+
 def test_a_group_of_near_copies_above_the_shard_limit(spark, monkeypatch):
     """1,500 different vectors, all near each other, ten times the limit; and some that are not."""
     monkeypatch.setattr(embed_dedup, "MOST", 150)

@@ -272,7 +272,7 @@ def _adjacency(table: pa.Table, close: float) -> pa.Table:
 
 def _search(threshold: float):
     def search(table: pa.Table) -> pa.Table:
-        """Members of a shard searched over its members and their neighbours: found classes and one tree edge each."""
+        """Members of a shard searched over its members and their neighbours: links of all vectors, both ways, and one tree edge each."""
         ids, first = np.unique(table.column("node").to_numpy(), return_index=True)
         member = np.zeros(len(ids), bool)
         member[np.searchsorted(ids, table.column("node").to_numpy()[table.column("member").to_numpy(zero_copy_only=False)])] = True
@@ -293,20 +293,21 @@ def _search(threshold: float):
         parent = np.arange(len(ids))
         held = [v or [] for v in table.column("dense").to_pylist()]
         dense = [np.array([d in v for v in held]) for d in sorted(set().union(*held))]
-        out = {"node": [], "found": [], "copies": []}
+        out, pairs = {"node": [], "found": [], "copies": []}, [np.zeros(0, np.int64)]
         for block in np.array_split(queries, max(1, -(-len(queries) * len(ids) // 4_000_000))):
             q, hit = _range_search(x, graph, block, medoid, threshold)
-            _join(parent, block[q], hit)
+            q = block[q]
+            _join(parent, q, hit)
             for inside in dense:  # counted there
-                apart = ~(inside[block[q]] & inside[hit])
+                apart = ~(inside[q] & inside[hit])
                 q, hit = q[apart], hit[apart]
-            rank = np.argsort(q, kind="stable")
-            q, hit = q[rank], hit[rank]
-            for i, part in zip(block.tolist(), np.split(hit, np.searchsorted(q, np.arange(1, len(block)))), strict=True):
-                if len(part):
-                    out["node"].append(int(ids[i]))
-                    out["found"].append(ids[part].tolist())
-                    out["copies"].append(copies[part].tolist())
+            pairs += [q * len(ids) + hit, hit * len(ids) + q]  # what one of two vectors finds, both have
+        q, hit = np.divmod(np.unique(np.concatenate(pairs)), len(ids))
+        own, start = np.unique(q, return_index=True)
+        for i, part in zip(own.tolist(), np.split(hit, start[1:]), strict=False):
+            out["node"].append(int(ids[i]))
+            out["found"].append(ids[part].tolist())
+            out["copies"].append(copies[part].tolist())
         roots = {int(ids[i]): int(ids[_top(parent, i)]) for i in range(len(ids)) if parent[i] != i}
         extra = [n for n in roots if n not in set(out["node"])]
         nodes = out["node"] + extra
