@@ -90,6 +90,20 @@ def test_html_blocks_and_hosts(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+def test_main_keeps_what_is_around_its_articles():
+    import pickle
+
+    import pyarrow as pa
+
+    def text(*sources):
+        rows = [(i, "http://m.example/", s) for i, s in enumerate(sources)]
+        docs = pa.table({"pages": [html_extract.squeeze(pickle.dumps(rows, 5))]})
+        return html_extract._texts(docs, pa.table({"runs": pa.array([], pa.binary())})).column("text").to_pylist()
+
+    assert text("<p>out</p><main><h1>Title</h1><p>lead and body</p><nav>n</nav><article><p>teaser</p></article></main>") == ["Title\nlead and body\nteaser"]
+    assert text("<p>out</p><article>alone</article>", "<main></main><article>b</article>", "<main>m</main>") == ["alone", "b", "m"]
+
+
 def test_repeated_runs_equal_brute_force():
     r = random.Random(3)
     tokens = np.array([r.randrange(4) for _ in range(300)], np.uint64)
