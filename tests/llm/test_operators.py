@@ -90,6 +90,18 @@ def test_html_blocks_and_hosts(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+def test_articles_that_a_host_publishes_twice_without_a_container(spark):
+    menu = "<div><a href=/>home page</a> <a href=/n>latest news</a> <a href=/c>contact us</a> <a href=/j>jobs here</a> <a href=/l>all legal matters</a></div>"
+    body = "<div><h1>A title</h1><p>By someone</p>" + "".join(f"<p>{' '.join(f'a{i}x{k}' for k in range(30))}.</p><p>Short {i}.</p>" for i in range(3)) + "</div>"
+    want = "A title\nBy someone\n" + "\n".join(f"{' '.join(f'a{i}x{k}' for k in range(30))}.\nShort {i}." for i in range(3))
+    quote = f"<h1>Other</h1><p>They said {' '.join(f'a0x{k}' for k in range(15))} and left at once.</p>"
+    pages = [(1, "http://d.example/x", menu + body), (2, "http://d.example/x?print=1", menu + body), (3, "http://d.example/q", menu + quote)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for size in (8 << 20, 256):
+        got = {r.page_id: r.text for r in html_extract.main_text(df, seg_bytes=size).collect()}
+        assert got == {1: want, 2: want, 3: f"Other\nThey said {' '.join(f'a0x{k}' for k in range(15))} and left at once."}
+
+
 def test_main_keeps_what_is_around_its_articles():
     import pickle
 
