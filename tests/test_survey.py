@@ -116,6 +116,18 @@ def test_sinks(survey, tmp_path):
     assert len(render.record_map(registry, "p", a, 2, "f")) == 1
 
 
+def test_evidence_reaches_the_sinks(survey):
+    h = survey.headline.first()
+    assert (h.entries, h.orphans, h.cycles, h.unreached) == (1, survey.orphans.count(), 0, survey.signals.where("kind = 'unreached'").select("key").distinct().count())
+    assert "1 entry points" in render.summary(survey)
+    found = render.as_dict(survey)
+    assert {"key": "app.svc", "kind": "todo", "lineno": 3} in [{k: r[k] for k in ("key", "kind", "lineno")} for r in found["signals"]]
+    assert {(r["src"], r["dst"], r["lineno"]) for r in found["evidence"]} >= {("app.main", "app.svc", 2), ("app.main", "helpers.util", 3)}
+    text = render.frontier_text(survey, 1)
+    assert "app/svc.py" in text and "          line 3: " in text and "          ... and 1 more" in text
+    assert sorted(map(tuple, survey.trace("app.main").collect())) == [("used_by", "app.main", 0, 0), ("uses", "app.main", 0, 1), ("uses", "helpers.util", 1, 1)]
+
+
 def test_relative_import_shapes(spark, tmp_path):
     write(tmp_path, {"pkg/__init__.py": "", "pkg/main.py": "from . import helper as h\nimport pkg.other\n", "pkg/helper.py": "from pkg.fmt import rtf\n", "pkg/other.py": "import json\n", "pkg/fmt/__init__.py": "", "pkg/fmt/rtf.py": ""})
     s = Survey.of_tree(spark, str(tmp_path), with_history=False)

@@ -18,6 +18,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--html", help="write a map to this file")
     parser.add_argument("--mermaid", help="write a flowchart to this file")
     parser.add_argument("--drawio", help="write a draw.io file")
+    parser.add_argument("--frontier", action="store_true", help="print every module's findings with text and line instead of the summary")
     parser.add_argument("--no-history", action="store_true", help="leave git alone")
     parser.add_argument("--max-files", type=int, default=5000)
     args = parser.parse_args(argv)
@@ -40,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
     if not survey.listing.files:
         print("no Python modules", file=sys.stderr)
         return 1
-    print(render.summary(survey))
+    print(render.frontier_text(survey) if args.frontier else render.summary(survey))
     if args.json:
         render.write_json(survey, args.json)
     if args.tables:

@@ -424,6 +424,18 @@ class Survey:
         named = F.contains(F.lit(self.prose), F.lower(_first(F.col("key"))))
         return joined.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("loc").alias("loc"), F.count("entry").alias("entries"), F.max_by("key", F.struct("loc", "key")).alias("label"), F.max(F.col("entry").isNotNull() | named).alias("belongs"), F.sort_array(F.collect_list("key")).alias("modules"))
 
+    def trace(self, key: str) -> DataFrame:
+        """(direction, node, depth, left_out) from a module: dead ends and broken modules are left out, and counted for their direction."""
+        seed = self.spark.createDataFrame([(key,)], "node string")
+        hidden = self._stage(self.states.where(F.col("state").isin("deadend", "broken") & (F.col("key") != key)).select("key"), "hidden")
+        clear = self.edges.join(hidden.toDF("src"), "src", "left_anti").join(hidden.toDF("dst"), "dst", "left_anti")
+        found = self._stage(graph.trace(clear, seed), "trace")
+        met = [
+            self.edges.join(found.where(F.col("direction") == way).select(F.col("node").alias(near)), near, "left_semi").join(hidden.toDF(far), far, "left_semi").agg(F.count_distinct(far).alias("left_out")).withColumn("direction", F.lit(way))
+            for way, near, far in (("uses", "src", "dst"), ("used_by", "dst", "src"))
+        ]
+        return found.join(met[0].unionByName(met[1]), "direction").select("direction", "node", "depth", "left_out")
+
     # --- history
 
     @cached_property
@@ -534,4 +546,6 @@ class Survey:
     def headline(self) -> DataFrame:
         """One row of counts; files on disk = modules + excluded + skipped."""
         excluded = sum(self.listing.excluded.values()) if self.listing else 0
-        return self.modules.agg(F.count("*").alias("modules"), F.sum("loc").alias("lines"), F.count("error").alias("errors")).select("*", F.lit(excluded).alias("excluded"), F.lit(self.listing.skipped if self.listing else 0).alias("skipped"))
+        unreached = self.signals.where("kind = 'unreached'").select("key").distinct()
+        findings = {"entries": self.entry_points.count(), "orphans": self.orphans.count(), "cycles": len(self.named_cycles), "unreached": unreached.count()}
+        return self.modules.agg(F.count("*").alias("modules"), F.sum("loc").alias("lines"), F.count("error").alias("errors")).select("*", F.lit(excluded).alias("excluded"), F.lit(self.listing.skipped if self.listing else 0).alias("skipped"), *(F.lit(n).alias(k) for k, n in findings.items()))

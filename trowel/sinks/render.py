@@ -14,6 +14,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trowel.operators import summaries
 from trowel.plans.survey import Survey
 
 #: Fill colour of each state on a map.
@@ -32,6 +33,8 @@ SECTIONS = {
     "fan": lambda s: s.fan,
     "effects": lambda s: s.effects,
     "frontier": lambda s: s.frontier.orderBy(F.desc("score"), "relpath"),
+    "signals": lambda s: s.signals.orderBy("key", "kind", "lineno", "text"),
+    "evidence": lambda s: s.evidence.orderBy("src", "dst", "lineno"),
     "totals": lambda s: s.totals.orderBy(F.desc("n"), "kind"),
     "attempts": lambda s: s.attempt_groups.orderBy(F.col("verdict") == "copy", F.desc("at_stake_lines"), F.size("members").desc(), "resume_at"),
     "dead_ends": lambda s: s.dead_ends.orderBy(F.size("callers").desc(), "key", "lineno"),
@@ -147,7 +150,7 @@ def html_map(survey: Survey, title: str = "survey", max_nodes: int = 2000) -> st
 def summary(survey: Survey, limit: int = 12) -> str:
     """The findings in a few lines each."""
     h = _rows(survey.headline)[0]
-    out = [f"{h['modules']} modules, {h['lines']} lines, {h['errors']} unreadable, {h['excluded']} excluded, {h['skipped']} skipped", "", "where work stopped"]
+    out = [f"{h['modules']} modules, {h['lines']} lines, {h['errors']} unreadable, {h['excluded']} excluded, {h['skipped']} skipped", f"{h['entries']} entry points, {h['orphans']} orphans, {h['cycles']} import cycles, {h['unreached']} unreached", "", "where work stopped"]
     most = 0.0
     for r in survey.frontier.orderBy(F.desc("score"), "relpath").limit(limit).collect():
         most = max(most, r["score"])
@@ -160,6 +163,24 @@ def summary(survey: Survey, limit: int = 12) -> str:
     return "\n".join(out) + "\n"
 
 
+def frontier_text(survey: Survey, hits: int = 5) -> str:
+    """Every module with findings, the highest score first: per kind the first hits with their lines, and how many more."""
+    found: dict[tuple[str, str], list] = {}
+    for r in summaries.top_n_more(survey.signals, ["key", "kind"], [F.asc("lineno"), F.asc("text")], hits).orderBy("key", "kind", "rank").toLocalIterator():
+        found.setdefault((r["key"], r["kind"]), []).append(r)
+    out = []
+    for m in survey.frontier.join(survey.modules.select("key", F.col("loc").alias("n_lines")), "key").orderBy(F.desc("score"), "relpath").toLocalIterator():
+        out.append(f"{m['score']:>6g}  {m['relpath']}  ({m['n_lines']} lines)")
+        for kind, n in sorted(m["counts"].items()):
+            rows = found.get((m["key"], kind), [])
+            out.append(f"        {kind} -- {n}")
+            out += [f"          {'line ' + str(r['lineno']) if r['lineno'] else 'module'}: {r['text']}" for r in rows]
+            if rows and rows[0]["more"]:
+                out.append(f"          ... and {rows[0]['more']} more")
+        out.append("")
+    return "\n".join(out) + "\n"
+
+
 def record_map(registry: str, project: str, path: str, modules: int, folder: str) -> list[dict]:
     """Upserts a map's row by its folder, newest first; rows of maps that are gone are dropped. The file is replaced whole."""
     try:
