@@ -5,6 +5,7 @@ import subprocess
 import xml.etree.ElementTree as ET
 
 import pytest
+from pyspark.sql import functions as F
 
 from trowel.plans.survey import Survey
 from trowel.sinks import render
@@ -128,6 +129,16 @@ def test_evidence_reaches_the_sinks(survey):
     assert sorted(map(tuple, survey.trace("app.main").collect())) == [("used_by", "app.main", 0, 0), ("uses", "app.main", 0, 1), ("uses", "helpers.util", 1, 1)]
 
 
+def test_drawio_draws_every_module(spark, tmp_path):
+    write(tmp_path, {f"m{i}.py": f"import m{i + 1}\n" if i < 2050 else "" for i in range(2051)})
+    s = Survey.of_tree(spark, str(tmp_path), with_history=False)
+    s.__dict__["states"] = s.modules.select("key", F.lit("live").alias("state"))
+    s.__dict__["frontier"] = spark.createDataFrame([], "key string, score double")
+    s.__dict__["layers"] = spark.createDataFrame([], "node string, depth int")
+    cells = list(ET.fromstring(render.drawio(s)).iter("mxCell"))
+    assert sum(c.get("vertex") == "1" for c in cells) == 2051 and sum(c.get("edge") == "1" for c in cells) == 2050
+
+
 def test_relative_import_shapes(spark, tmp_path):
     write(tmp_path, {"pkg/__init__.py": "", "pkg/main.py": "from . import helper as h\nimport pkg.other\n", "pkg/helper.py": "from pkg.fmt import rtf\n", "pkg/other.py": "import json\n", "pkg/fmt/__init__.py": "", "pkg/fmt/rtf.py": ""})
     s = Survey.of_tree(spark, str(tmp_path), with_history=False)

@@ -87,10 +87,11 @@ def write_tables(survey: Survey, folder: str) -> None:
         f(survey).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
 
 
-def _nodes(survey: Survey, limit: int) -> tuple[list, list, int]:
+def _nodes(survey: Survey, limit: int | None) -> tuple[list, list, int]:
     nodes = survey.modules.select("key", "relpath", "loc").join(survey.states, "key").join(survey.frontier.select("key", "score"), "key", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     total = nodes.count()
-    top = nodes.orderBy(F.desc("score"), "key").limit(limit)
+    top = nodes.orderBy(F.desc("score"), "key")
+    top = top if limit is None else top.limit(limit)
     edges = survey.edges.join(top.select(F.col("key").alias("src")), "src", "left_semi").join(top.select(F.col("key").alias("dst")), "dst", "left_semi").select("src", "dst")
     return top.collect(), sorted(map(tuple, edges.collect())), total
 
@@ -111,9 +112,9 @@ def mermaid(survey: Survey, max_nodes: int = 120) -> str:
     return "\n".join(lines) + "\n"
 
 
-def drawio(survey: Survey, title: str = "survey", max_nodes: int = 2000) -> str:
-    """The same graph as draw.io XML, on a grid of layers."""
-    nodes, edges, _ = _nodes(survey, max_nodes)
+def drawio(survey: Survey, title: str = "survey") -> str:
+    """The graph of all modules as draw.io XML, on a grid of layers; their number is bounded by the listing's max_files."""
+    nodes, edges, _ = _nodes(survey, None)
     depth = {r["node"]: r["depth"] for r in survey.layers.collect()}
     file = ET.Element("mxfile")
     root = ET.SubElement(ET.SubElement(ET.SubElement(file, "diagram", name=title), "mxGraphModel"), "root")
