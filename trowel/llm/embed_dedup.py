@@ -35,7 +35,7 @@ from trowel.session import ship_package, shuffle_parts, stage_table
 TARGET, MOST, SAMPLE, DEPTH = 512, 2048, 32, 4
 #: Neighbours of a vector in one shard, out of so many nearest; those out of as many drawn at random;
 #: beam of the search, pruning factor.
-DEGREE, POOL, FAR, BEAM, ALPHA = 24, 64, 8, 24, 1.2
+DEGREE, POOL, FAR, BEAM, ALPHA = 24, 64, 8, 8, 1.2
 #: Centres of one clustering at most; how much farther than the nearest a third or fourth may be.
 CENTRES, MARGIN = 64, 0.03
 #: Vectors of a dense shard that a task compares with as many.
