@@ -286,7 +286,7 @@ class Survey:
 
     @cached_property
     def judged(self) -> DataFrame:
-        """definitions with declaring, shape, says_unfinished and the documented share of their module."""
+        """definitions with declaring, shape and the documented share of their module."""
         declaring = F.exists("decorators", lambda d: _last(d).isin(*DECLARING))
         protocol = F.exists("bases", lambda b: _last(b) == "Protocol")
         siblings = Window.partitionBy("key", "parent")
@@ -296,14 +296,9 @@ class Survey:
         public = ~F.col("name").startswith("_") & F.col("parent").isNull() & ~F.col("nested")
         share = F.avg(F.when(public, F.col("docstring").isNotNull().cast("int"))).over(Window.partitionBy("key"))
         ranked = self.definitions.withColumns({"declaring": declaring, "interface": (F.col("kind") == "method") & (count >= 2) & (empties == count), "documented": F.coalesce(share, F.lit(0.0)), "protocol": protocol})
-        joined = ranked.join(self.replaced_methods, ["key", "parent", "name"], "left").join(self.modules.select("key", "relpath", "source", "error"), "key")
-        lines = F.split("source", "\n", -1)
-        span = F.array_join(F.slice(lines, F.col("lineno"), F.greatest(F.col("end_lineno") - F.col("lineno") + 1, F.lit(0))), "\n")
-        body = F.expr("substring(span, instr(span, ':') + 1)")
+        joined = ranked.join(self.replaced_methods, ["key", "parent", "name"], "left").join(self.modules.select("key", "relpath", "error"), "key")
         shape = F.col("declaring") | ((F.col("kind") == "method") & (F.col("protocol") | F.col("interface") | F.coalesce("replaced", F.lit(False))))
-        empty = F.col("body_kind") != "code"
-        says = F.when(empty, body.rlike(r"(?i)\b(TODO|FIXME)\b|\bnot\s+\(?yet\)?\s+implemented\b|\bnot\s+implemented\s+yet\b")).otherwise(F.lit(False))
-        return self._stage(joined.withColumn("span", F.when(empty, span)).withColumns({"shape": shape, "says": says}).drop("source", "span", "protocol"), "judged")
+        return self._stage(joined.withColumn("shape", shape).drop("protocol"), "judged")
 
     @cached_property
     def unused_imports(self) -> DataFrame:
