@@ -443,8 +443,11 @@ def dedup_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     found, dense = found_links(nodes, threshold)
     found, exact = stage_table(spark, found, "found"), stage_table(spark, dense_links(dense, threshold), "exact")
     labels = components(spark, found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(exact.select("node", "root")))
-    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("found", "copies"))))
-    counts = found.groupBy("node").agg(F.aggregate(pairs, F.lit(0).cast("long"), lambda s, p: s + p["copies"]).alias("others"))
+    # each other once, and besides it the copies of those that have any: arrays of numbers are made distinct by hashing, of pairs by comparing all
+    several = F.filter(F.arrays_zip("found", "copies"), lambda p: p["copies"] > 1)
+    several = F.array_distinct(F.flatten(F.collect_list(several)))
+    once = F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long")
+    counts = found.groupBy("node").agg((once + F.aggregate(several, F.lit(0).cast("long"), lambda s, p: s + p["copies"] - 1)).alias("others"))
     counts = counts.union(exact.select("node", "others")).groupBy("node").agg(F.sum("others").alias("others"))
     classes = nodes.select("shard", "digest", "node", "copies").join(counts, "node", "left").join(labels, "node", "left")
     joined = rows.select("vec_id", "shard", "digest").join(classes, ["shard", "digest"], "left")
