@@ -41,29 +41,50 @@ def trace(edges: DataFrame, seed: DataFrame, src: str = "src", dst: str = "dst")
     return down.union(up)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node of an undirected edge: component is its smallest node.
+#: A node with more edges than this, and more than its share of all, is a hub; so many hubs there can be at most.
+HUB_EDGES, MOST_HUBS = 1000, 100_000
+
+
+def _with_least(rows: DataFrame, key: str, least: DataFrame, limit: int) -> DataFrame:
+    """rows with m, least's value for their key. least: (key, m, n), n being the number of rows.
+
+    Rows of hubs meet a broadcast table of hubs where they are, so a hub is never one task's work. Of
+    keys with over 2 * rows / MOST_HUBS rows there are MOST_HUBS / 2 at most.
+    """
+    hubs = least.where(F.col("n") > limit).select(key, F.col("m").alias("hub_m"))
+    marked = rows.join(F.broadcast(hubs), key, "left")  # MOST_HUBS rows at most
+    there = marked.where("hub_m is not null").select(*rows.columns, F.col("hub_m").alias("m"))
+    return there.union(marked.where("hub_m is null").drop("hub_m").join(least.where(F.col("n") <= limit).select(key, "m"), key).select(*rows.columns, "m"))
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """edges(a, b) -> (node, component) for every node but the smallest of its component.
 
-    Large-star and small-star steps in turn: grouped minima and equi-joins, so no hub is one task's
-    work; about log(n) rounds.
+    Large-star and small-star steps in turn: grouped minima, combined before the shuffle, and
+    equi-joins without hubs; about log(n) rounds, each staged in the shared folder. Loops, nulls and
+    repeated edges are ignored. The driver sees two numbers a round.
     """
     spark = edges.sparkSession
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    stars = stage_table(spark, pairs.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), "star")
+    now = stage_table(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), "star")
     before = None
     while True:
-        sign = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("x", "y").bitwiseAND(0xFFFFFFFF)).alias("h")).first()
+        sign = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("x", "y").bitwiseAND(0xFFFFFFFF)).alias("h")).first()
         if sign == before or not sign["n"]:
-            break
-        before = sign
-        both = stars.union(stars.select("y", "x")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
-        least = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        stars = stage_table(spark, small.union(least).distinct(), "star")
+            return now.select(F.col("x").alias("node"), F.col("y").alias("component"))
+        before, limit = sign, max(HUB_EDGES, 4 * sign["n"] // MOST_HUBS)
+        both = now.union(now.select("y", "x")).toDF("u", "v")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.where("v > u"), "u", low, limit).select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
+        least = large.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, "x", least, limit).where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        now = stage_table(spark, small.union(least.select("x", "m")).distinct(), "star")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of every node of an undirected edge: component is its smallest node."""
+    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     nodes = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-    return nodes.join(stars.toDF("node", "low"), "node", "left").select("node", F.coalesce("low", "node").alias("component"))
+    return nodes.join(stars(pairs).withColumnRenamed("component", "low"), "node", "left").select("node", F.coalesce("low", "node").alias("component"))
 
 
 def pointer_chase(links: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
