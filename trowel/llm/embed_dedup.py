@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trowel.llm.components import components
+from trowel.operators.graph import stars
 from trowel.session import ship_package, shuffle_parts, stage_table
 
 #: Members of a shard, wanted and at most; sample per centre; rounds of clustering.
@@ -442,7 +442,7 @@ def dedup_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     rows, nodes = _classes(vectors)
     found, dense = found_links(nodes, threshold)
     found, exact = stage_table(spark, found, "found"), stage_table(spark, dense_links(dense, threshold), "exact")
-    labels = components(spark, found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(exact.select("node", "root")))
+    labels = stars(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(exact.select("node", "root")))
     # each other once, and besides it the copies of those that have any: arrays of numbers are made distinct by hashing, of pairs by comparing all
     several = F.filter(F.arrays_zip("found", "copies"), lambda p: p["copies"] > 1)
     several = F.array_distinct(F.flatten(F.collect_list(several)))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trowel.llm.arrays import U64, cut_by_top_bits, mix, pack_sorted, slices, squeeze, text_buffers, unpack_sorted, unsqueeze, window_owner, windows, words_of
-from trowel.llm.components import components
+from trowel.operators.graph import stars
 from trowel.session import input_bytes, ship_package, shuffle_parts, stage_table
 
 
@@ -392,11 +392,11 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
     if pairs.take(1):
         # families that sketches leave connected
         known = digests.select(F.col("doc_id").alias("doc"), "d1", "n_shingles", "sketch").join(classes.select("doc", "d1"), ["doc", "d1"]).dropDuplicates(["doc", "d1"])
-        loose = components(spark, pairs)
+        loose = stars(pairs)
         loose = loose.select("node", "component").union(loose.select("component", "component").distinct()).toDF("doc", "family").withColumn("comp", F.col("doc"))
         dealt = _dealt_blocks(spark, loose, SKETCHED).join(known.select("doc", "n_shingles", "sketch"), "doc")
         tight = stage_table(spark, dealt.groupBy("deal").applyInArrow(_plausible_blocks(num, den), "a long, b long"), "tight")
-        family = components(spark, tight)
+        family = stars(tight)
         family = family.union(family.select("component", "component").distinct()).toDF("doc", "family")
         members = stage_table(spark, family.join(classes.select("doc", "d1"), "doc"), "members")
 
@@ -408,12 +408,12 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
         star = members.where("doc <> family").select(F.col("doc").alias("a"), F.col("family").alias("b"))
         full = star.join(left, "a").join(right, "b").select("a", "b", "d1_a", "d1_b", "text_a", "text_b")
         links = stage_table(spark, full.mapInArrow(_linked(width, num, den), "a long, b long").distinct(), "links")
-        labels = components(spark, links)
+        labels = stars(links)
         families = _open_families(spark, members.select("doc", "family"), labels)
         if families is not None:
             dealt = _dealt_blocks(spark, families, BLOCK).join(texts, "doc").select("deal", "pair", "side", "doc", "comp", "d1", "text")
             more = dealt.groupBy("deal").applyInArrow(_linked_blocks(width, num, den), "a long, b long")
-            labels = components(spark, links.union(more))
+            labels = stars(links.union(more))
     own = digests.drop("sketch").join(classes, ["d1", "d2", "n_shingles"], "left")
     if labels is not None:
         own = own.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
