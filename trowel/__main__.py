@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
         render.write_json(survey, args.json)
     if args.tables:
         render.write_tables(survey, args.tables)
-    for name, make in (("html", render.html_map), ("mermaid", render.mermaid), ("drawio", render.drawio)):
+    for name, make in (("html", lambda s: render.html_map(s, os.path.basename(os.path.abspath(root)))), ("mermaid", render.mermaid), ("drawio", render.drawio)):
         if outputs[name]:
             with open(outputs[name], "w", encoding="utf-8") as f:
                 f.write(make(survey))

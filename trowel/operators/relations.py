@@ -39,6 +39,14 @@ def overlap_pairs(df: DataFrame, key: str, feature: str, min_shared: int = 3) ->
     return shared.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
 
 
+def overlap_links(df: DataFrame, key: str, feature: str, min_shared: int = 3) -> DataFrame:
+    """(a, b): links that connect whatever overlap_pairs connects; of keys with equal sets only the smallest meets others, so copies cost one link each."""
+    own = df.select(F.col(key).alias("k"), F.col(feature).alias("f")).where("k is not null and f is not null").distinct()
+    same = equal_sets(own, "k", "f", min_shared).select("k", "leader").where("k <> leader")
+    leaders = own.join(same.select("k"), "k", "left_anti")
+    return overlap_pairs(leaders, "k", "f", min_shared).select("a", "b").union(same.select(F.col("leader").alias("a"), F.col("k").alias("b")))
+
+
 def equal_sets(df: DataFrame, key: str, feature: str, min_size: int = 1) -> DataFrame:
     """(key, leader, n): keys whose feature set another key has too; leader is the smallest key of the set."""
     sets = df.select(F.col(key).alias("k"), F.col(feature).alias("f")).distinct().groupBy("k").agg(F.count("*").alias("size"), F.sum(F.xxhash64("f").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(17), "f")).alias("h2"))
@@ -75,8 +83,8 @@ def resolve_by_priority(refs: DataFrame, ref_keys: Sequence[str], candidates: Co
 
 def best_counterpart(pairs: DataFrame, mine: str, theirs: str, score: str) -> DataFrame:
     """(mine, theirs, score): the highest score for each, ties to the smallest counterpart."""
-    best = pairs.groupBy(mine).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(theirs)).alias("t"))).alias("m"))
-    return best.select(mine, (-F.col("m.t")).alias(theirs), F.col("m.s").alias(score))
+    best = pairs.groupBy(mine).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(theirs).alias("t"))).alias("m"))
+    return best.select(mine, F.col("m.t").alias(theirs), (-F.col("m.s")).alias(score))
 
 
 def in_range(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, low: str, high: str) -> DataFrame:

@@ -119,10 +119,16 @@ def shared_features(members: DataFrame, features: DataFrame, group: str, key: st
 
 
 def quiet_rank(df: DataFrame, key: str, last: str) -> DataFrame:
-    """(key, last, later): how many keys were touched strictly later; by counting distinct times, not by a global sort of rows."""
-    times = df.groupBy(last).agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.col(last).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    later = times.withColumn("later", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
+    """(key, last, later): how many keys were touched strictly later. last: a time, or seconds.
+
+    Distinct times are counted, then added up within their day and over days, so no task holds more than
+    the times of one day or the days themselves.
+    """
+    day = F.floor(F.col(last).cast("double") / 86400) if dict(df.dtypes)[last] not in ("timestamp", "timestamp_ntz", "date") else F.unix_date(F.col(last).cast("date"))
+    times = df.groupBy(last).agg(F.count("*").alias("n")).withColumn("day", day)
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = times.groupBy("day").agg(F.sum("n").alias("n")).select("day", before(Window.orderBy(F.desc("day"))).alias("after"))
+    later = times.withColumn("within", before(Window.partitionBy("day").orderBy(F.desc(last)))).join(days, "day").select(last, (F.col("after") + F.col("within")).alias("later"))
     return df.select(key, last).join(later, last)
 
 

@@ -12,18 +12,19 @@ import pyarrow as pa
 
 MIN_SHARED = 3
 #: Definition names that any module may have.
-GENERIC = "main run start stop setup teardown init __init__ get set load save read write open close parse format handle process execute call send receive create update delete list find search build make to_dict as_dict from_dict serialize deserialize validate check test helper wrapper factory __repr__ __str__ __enter__ __exit__ configure connect disconnect reset".split()
+GENERIC = ["main", "run", "start", "stop", "setup", "teardown", "init", "__init__", "get", "set", "load", "save", "read", "write", "open", "close", "parse", "format", "handle", "process", "execute", "call", "send", "receive", "create", "update", "delete", "list", "find", "search", "build", "make", "to_dict", "as_dict", "from_dict", "serialize", "deserialize", "validate", "check", "test", "helper", "wrapper", "factory", "__repr__", "__str__", "__enter__", "__exit__", "configure", "connect", "disconnect", "reset"]
 #: Words of folder names for what is kept aside.
-ASIDE = set("backup backups bak archive archived archives old orig original copy copies previous prev deprecated legacy obsolete attic saved snapshot snapshots".split())
+ASIDE = ["backup", "backups", "bak", "archive", "archived", "archives", "old", "orig", "original", "copy", "copies", "previous", "prev", "deprecated", "legacy", "obsolete", "attic", "saved", "snapshot", "snapshots"]
 
 SCHEMA = (
     "verdict string, resume_at string, resume_percent int, resume_lines int, elsewhere_percent int, at_stake_lines int, remaining_lines int, unwritten int, copy_of string, shared array<string>, common_gaps array<string>, "
-    "members array<struct<key: string, rank: int, percent: int, lines: int, tests: int>>, lineage array<struct<key: string, added: array<string>, dropped: array<string>, carried: array<string>>>"
+    "members array<struct<key: string, rank: int, percent: int, lines: int, tests: int, facts: array<string>>>, lineage array<struct<key: string, added: array<string>, dropped: array<string>, carried: array<string>>>"
 )
 
 
 def _aside(relpath: str) -> bool:
-    return any(not ASIDE.isdisjoint(re.split("[^a-z0-9]+", part.lower())) for part in relpath.split("/")[:-1])
+    words = re.findall("[a-z0-9]+", relpath.rpartition("/")[0].lower())
+    return any(w in ASIDE for w in words)
 
 
 def _copied_aside(a: dict, b: dict) -> bool:
@@ -39,30 +40,60 @@ def completeness(row: dict) -> float:
     return round(min(max(body, score - min(0.03 * row["todos"], 0.12)) if row["todos"] else score, 1.0), 3)
 
 
-def greedy_groups(keys: list[str], names: dict[str, set[str]]) -> list[list[str]]:
-    """Pairs in order of names join the first group that holds either; groups are never merged."""
-    groups: list[list[str]] = []
-    for i, a in enumerate(keys):
-        for b in keys[i + 1 :]:
-            if len(names[a] & names[b]) < MIN_SHARED:
-                continue
-            home = next((g for g in groups if a in g or b in g), None)
-            if home is None:
-                groups.append([a, b])
-            else:
-                home += [k for k in (a, b) if k not in home]
-    return groups
+def what_is_known(row: dict) -> list[str]:
+    """How a module's completeness comes about, in words."""
+    tests, todos, empty = row["tests"], row["todos"], sorted(row["empty"])
+    return [
+        f"{len(row['filled'])} of {len(row['filled']) + len(empty)} definitions are written",
+        *([f"empty: {', '.join(empty)}"] if empty else []),
+        "an entry point leads to it" if row["reachable"] else "nothing leads to it",
+        f"named in {tests} test{'' if tests == 1 else 's'}" if tests else "no test names it",
+        *([f"{todos} open marker{'' if todos == 1 else 's'}"] if todos else []),
+    ]
+
+
+def greedy_groups(pairs: list[tuple[str, str]]) -> list[list[str]]:
+    """Pairs in order of names join the first group that holds either; groups are never merged. One step a pair."""
+    groups: list[dict[str, None]] = []
+    first: dict[str, int] = {}
+    for a, b in sorted(pairs):
+        home = min(first.get(a, len(groups)), first.get(b, len(groups)))
+        if home == len(groups):
+            groups.append({})
+        for k in (a, b):
+            groups[home][k] = None
+            first[k] = min(first.get(k, home), home)
+    return [list(g) for g in groups]
 
 
 def _same_sets(members: list[dict]) -> list[list[dict]]:
-    """Transitive sets of members with equal names or kept aside, in order."""
-    sets: list[list[dict]] = []
-    for m in members:
-        near = [s for s in sets if any(x["names"] == m["names"] or _copied_aside(x, m) for x in s)]
-        merged = [x for s in near for x in s] + [m]
-        sets = [s for s in sets if s not in near] + [merged]
-    order = {m["key"]: i for i, m in enumerate(members)}
-    return [sorted(s, key=lambda m: order[m["key"]]) for s in sorted(sets, key=lambda s: min(order[m["key"]] for m in s))]
+    """Transitive sets of members with equal names or kept aside, in order of their first member."""
+    top = list(range(len(members)))
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    def unite(i: int, j: int) -> None:
+        i, j = find(i), find(j)
+        top[max(i, j)] = min(i, j)
+
+    by_names: dict[frozenset, int] = {}
+    by_file: dict[str, list[int]] = {}
+    for i, m in enumerate(members):
+        unite(i, by_names.setdefault(frozenset(m["names"]), i))
+        by_file.setdefault(m["relpath"].rpartition("/")[2].lower(), []).append(i)
+    for same in by_file.values():
+        for i in same:
+            for j in same if _aside(members[i]["relpath"]) else ():
+                if _copied_aside(members[i], members[j]):
+                    unite(i, j)
+    sets: dict[int, list[dict]] = {}
+    for i, m in enumerate(members):
+        sets.setdefault(find(i), []).append(m)
+    return list(sets.values())
 
 
 def _ranked(members: list[dict]) -> list[dict]:
@@ -102,7 +133,7 @@ def _described(members: list[dict]) -> dict:
         "copy_of": copy["relpath"] if copy else None,
         "shared": sorted(n for n, c in counts.items() if c > 1),
         "common_gaps": sorted(set.intersection(*(set(m["empty"]) for m in members))),
-        "members": [{"key": m["key"], "rank": i + 1, "percent": round(100 * m["score"]), "lines": m["loc"], "tests": m["tests"]} for i, m in enumerate(members)],
+        "members": [{"key": m["key"], "rank": i + 1, "percent": round(100 * m["score"]), "lines": m["loc"], "tests": m["tests"], "facts": what_is_known(m)} for i, m in enumerate(members)],
         "lineage": _lineage(members),
     }
 
@@ -110,10 +141,10 @@ def _described(members: list[dict]) -> dict:
 def describer(schema: pa.Schema):
     """A function for applyInArrow: groups of one family, restarts over live representatives, and each set of copies."""
 
-    def describe(table: pa.Table) -> pa.Table:
+    def describe(table: pa.Table, pairs: pa.Table) -> pa.Table:
         rows = {r["key"]: r | {"names": set(r["defines"]), "score": completeness(r)} for r in table.to_pylist()}
         out = []
-        for group in greedy_groups(sorted(rows), {k: r["names"] for k, r in rows.items()}):
+        for group in greedy_groups(list(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True))):
             members = _ranked([rows[k] for k in group])
             sets = _same_sets(members)
             if len(sets) == 1:

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from trowel.functions import text as T
-from trowel.operators import graph, relations, summaries
+from trowel.operators import geometry, graph, relations, summaries
 from trowel.plans import attempts as A
 from trowel.sources import facts, gitlog, packaging, tree
 from trowel.session import stage_table
@@ -24,37 +24,37 @@ WEIGHTS = {"todo": 3, "stub_pass": 4, "stub_ellipsis": 4, "not_implemented": 4,
 
 #: Call names by what they reach, and imports that qualify an unqualified call.
 EFFECTS = {
-    "filesystem": "open read_text write_text read_bytes write_bytes remove unlink rename replace mkdir makedirs rmtree copy copy2 move glob walk listdir chmod chown symlink touch",
-    "network": "urlopen request get post put delete head connect socket create_connection sendall recv urlretrieve Session",
-    "subprocess": "run Popen call check_call check_output system spawn execv execve fork",
-    "database": "execute executemany cursor commit rollback connect_db query fetchall fetchone",
-    "serialization": "loads load dumps dump unpickle pickle",
-    "dynamic": "eval exec compile __import__ getattr setattr globals locals importlib",
+    "filesystem": ["open", "read_text", "write_text", "read_bytes", "write_bytes", "remove", "unlink", "rename", "replace", "mkdir", "makedirs", "rmtree", "copy", "copy2", "move", "glob", "walk", "listdir", "chmod", "chown", "symlink", "touch"],
+    "network": ["urlopen", "request", "get", "post", "put", "delete", "head", "connect", "socket", "create_connection", "sendall", "recv", "urlretrieve", "Session"],
+    "subprocess": ["run", "Popen", "call", "check_call", "check_output", "system", "spawn", "execv", "execve", "fork"],
+    "database": ["execute", "executemany", "cursor", "commit", "rollback", "connect_db", "query", "fetchall", "fetchone"],
+    "serialization": ["loads", "load", "dumps", "dump", "unpickle", "pickle"],
+    "dynamic": ["eval", "exec", "compile", "__import__", "getattr", "setattr", "globals", "locals", "importlib"],
 }
 EFFECT_IMPORTS = {
-    "network": "requests urllib http socket httpx aiohttp ftplib smtplib paramiko websockets",
-    "subprocess": "subprocess os pty commands sh",
-    "database": "sqlite3 psycopg2 pymysql sqlalchemy pymongo redis asyncpg MySQLdb",
-    "filesystem": "os shutil pathlib glob tempfile zipfile",
+    "network": ["requests", "urllib", "http", "socket", "httpx", "aiohttp", "ftplib", "smtplib", "paramiko", "websockets"],
+    "subprocess": ["subprocess", "os", "pty", "commands", "sh"],
+    "database": ["sqlite3", "psycopg2", "pymysql", "sqlalchemy", "pymongo", "redis", "asyncpg", "MySQLdb"],
+    "filesystem": ["os", "shutil", "pathlib", "glob", "tempfile", "zipfile"],
 }
 
 #: Decorators and bases that make an empty body a declaration.
-DECLARING = "overload abstractmethod abstractproperty abstractclassmethod abstractstaticmethod".split()
+DECLARING = ["overload", "abstractmethod", "abstractproperty", "abstractclassmethod", "abstractstaticmethod"]
 EMPTY_KINDS = ["pass", "ellipsis", "raise"]
 #: For dead ends, name endings, bases and parts of decorators that make emptiness usual.
-USUAL_ENDINGS = "Error Exception Warning Base Abstract Protocol Interface Mixin Meta".split()
-USUAL_BASES = "Protocol Interface TypedDict NamedTuple".split()
-USUAL_DECORATORS = "abstract abc. overload singledispatch property".split()
+USUAL_ENDINGS = ["Error", "Exception", "Warning", "Base", "Abstract", "Protocol", "Interface", "Mixin", "Meta"]
+USUAL_BASES = ["Protocol", "Interface", "TypedDict", "NamedTuple"]
+USUAL_DECORATORS = ["abstract", "abc.", "overload", "singledispatch", "property"]
 #: Parts of decorators by which something else calls a definition.
-LIVE_DECORATORS = "route app. task fixture command click. celery receiver register hook event property setter validator cached api.".split()
+LIVE_DECORATORS = ["route", "app.", "task", "fixture", "command", "click.", "celery", "receiver", "register", "hook", "event", "property", "setter", "validator", "cached", "api."]
 #: File names that start programs, and calls that parse their arguments.
-ENTRY_FILES = "__main__.py main.py cli.py run.py app.py manage.py wsgi.py asgi.py".split()
-ENTRY_CALLS = "argparse. ArgumentParser click. typer.".split()
+ENTRY_FILES = ["__main__.py", "main.py", "cli.py", "run.py", "app.py", "manage.py", "wsgi.py", "asgi.py"]
+ENTRY_CALLS = ["argparse.", "ArgumentParser", "click.", "typer."]
 #: Folders of other people's code, and files that mark a package of its own.
-VENDOR_DIRS = "vendor vendored _vendor third_party thirdparty 3rdparty extern external deps contrib site-packages node_modules".split()
-PACKAGE_MARKERS = "setup.py setup.cfg pyproject.toml PKG-INFO LICENSE LICENSE.txt LICENCE COPYING".split()
+VENDOR_DIRS = ["vendor", "vendored", "_vendor", "third_party", "thirdparty", "3rdparty", "extern", "external", "deps", "contrib", "site-packages", "node_modules"]
+PACKAGE_MARKERS = ["setup.py", "setup.cfg", "pyproject.toml", "PKG-INFO", "LICENSE", "LICENSE.txt", "LICENCE", "COPYING"]
 #: Words of file names that say nothing about a shared purpose.
-COMMON_WORDS = "get set run init main new make create build add remove delete update list load save read write open close start stop check test handle process parse format to from is has do call value name data item result self cls args kwargs file path line text str dict type key id".split()
+COMMON_WORDS = ["get", "set", "run", "init", "main", "new", "make", "create", "build", "add", "remove", "delete", "update", "list", "load", "save", "read", "write", "open", "close", "start", "stop", "check", "test", "handle", "process", "parse", "format", "to", "from", "is", "has", "do", "call", "value", "name", "data", "item", "result", "self", "cls", "args", "kwargs", "file", "path", "line", "text", "str", "dict", "type", "key", "id"]
 #: File name or folder, what it is, and what loads it; the first that fits counts.
 CONVENTIONS = [
     (r"(^|/)conftest\.py$", "conftest", "pytest"),
@@ -77,7 +77,26 @@ CONVENTIONS = [
 ]
 
 QUIET_DAYS, FEW_COMMITS, TOP_PAIRS = 60, 2, 40
-MIN_SIGNALS, QUIET_FILES, MIN_SCORE = 2, 3, 4
+MIN_SIGNALS, QUIET_FILES, MIN_SCORE, MIN_FILES = 2, 3, 4, 4
+#: Modules that a trace shows in each direction, and the states that it leaves out.
+TRACE_MOST = 260
+TRACE_HIDES = ["deadend", "broken"]
+#: What a map calls the folder of files without one.
+TOP_FOLDER = "the project root"
+#: What an unreached module holds.
+VERDICTS = {
+    "older": "original direction",
+    "later": "a later attempt that stopped",
+    "uncommitted": "never committed",
+    "both": "built on the live code, and holds work found nowhere else",
+    "wired": "built on the live code",
+    "unique": "holds work found nowhere else",
+    "none": "isolated",
+}
+#: States of a module, the most certain to be wrong first.
+SEVERITY = ["broken", "deadend", "unfinished", "maybe", "tested", "live", "confirmed"]
+#: Where a text's lines end for Python.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def _last(name: Column) -> Column:
@@ -95,7 +114,13 @@ def _any(columns: list[Column]) -> Column:
 def is_test(key: Column) -> Column:
     """Is a module a test, by any part of its dotted name?"""
     part = lambda p: p.isin("tests", "test", "conftest") | p.startswith("test_") | p.endswith("_test")
-    return F.exists(F.split(F.replace(key, F.lit("-"), F.lit("_")), "[.]"), part)
+    return F.exists(F.split(F.replace(F.lower(key), F.lit("-"), F.lit("_")), "[.]"), part)
+
+
+def follows_tests(key: Column, relpath: Column) -> Column:
+    """Is a module one that changes with what it tests: by its own name, or by its folder?"""
+    own = _last(key)
+    return own.startswith("test_") | own.endswith("_test") | relpath.rlike(r"(^|/)test/") | relpath.startswith("tests/")
 
 
 class Survey:
@@ -105,7 +130,7 @@ class Survey:
         self.spark, self.listing, self.prose = spark, listing, prose
         self.commits, self.commit_files, self.renames, self.tracked = commits, commit_files, renames, tracked
         self.declared = declared if declared is not None else spark.createDataFrame([], packaging.SCHEMA)
-        self.raw = stage_table(spark, facts.extract(files), "facts")
+        self.files, self.raw = files, stage_table(spark, facts.extract(files), "facts")
 
     @classmethod
     def of_tree(cls, spark: SparkSession, root: str, with_history: bool = True, max_files: int = 5000) -> Survey:
@@ -173,13 +198,18 @@ class Survey:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        """(src, dst, lineno): import lines that resolve to dst, and calls of names they bound."""
+        """(src, dst, lineno, text): import lines that resolve to dst, and calls of names they bound; all of them."""
         lines = self.resolved.where("dst is not null and dst <> key").select(F.col("key").alias("src"), "dst", "lineno", "bound")
         bound = lines.select("src", "dst", "bound").distinct()
-        calls = self.calls.withColumnRenamed("key", "src")
-        whole = calls.join(bound, (calls.src == bound.src) & (calls.name == bound.bound)).select(calls.src, "dst", "lineno")
-        head = calls.join(bound, (calls.src == bound.src) & (_first(calls.name) == bound.bound)).select(calls.src, "dst", "lineno")
-        return lines.select("src", "dst", "lineno").union(whole).union(head).distinct()
+        calls = self.calls.select(F.col("key").alias("src"), "name", F.col("lineno").alias("at"))
+        whole = calls.withColumnRenamed("name", "bound").join(bound, ["src", "bound"]).select("src", "dst", "at")
+        head = calls.withColumn("bound", _first(F.col("name"))).join(bound, ["src", "bound"]).select("src", "dst", "at")
+        shown = lines.select("src", "dst", "lineno").union(whole).union(head).distinct()
+        # a module's text is read once for all of its lines
+        wanted = shown.groupBy("src").agg(F.collect_list(F.struct("dst", "lineno")).alias("x"))
+        text = self.modules.select(F.col("key").alias("src"), F.split("source", LINE_END, -1).alias("lines")).join(wanted, "src")
+        shown = text.select("src", F.explode(F.transform("x", lambda x: F.struct(x["dst"].alias("dst"), x["lineno"].alias("lineno"), F.rtrim(F.get("lines", x["lineno"] - 1)).alias("text")))).alias("x"))
+        return shown.select("src", "x.*").where("text is not null")
 
     @cached_property
     def entry_points(self) -> DataFrame:
@@ -199,12 +229,16 @@ class Survey:
 
     @cached_property
     def roots(self) -> DataFrame:
-        return self._stage(self.entry_points.select("key").union(self.loaded_by.select("key")).distinct(), "roots")
+        """(key, place, reason): entry points, place 0, then what else is loaded by name, place 1; each module once, in order of place and ord."""
+        entries = self.entry_points.select("key", F.lit(0).alias("place"), F.array_join("reasons", "; ").alias("reason"))
+        loaded = self.loaded_by.select("key", F.lit(1).alias("place"), F.col("why").alias("reason"))
+        first = entries.union(loaded).groupBy("key").agg(F.min(F.struct("place", "reason")).alias("f"))
+        return self._stage(first.select("key", "f.place", "f.reason"), "roots")
 
     @cached_property
     def layers(self) -> DataFrame:
         """(node, depth): fewest imports from an entry point or a convention-loaded module."""
-        return self._stage(graph.layers(self.edges, self.roots), "layers")
+        return self._stage(graph.layers(self.edges, self.roots.select("key")), "layers")
 
     @cached_property
     def orphans(self) -> DataFrame:
@@ -238,14 +272,14 @@ class Survey:
     @cached_property
     def effects(self) -> DataFrame:
         """(key, category, call, lineno), an unqualified or foreign call only where an import backs it."""
-        words = self.spark.createDataFrame([(c, w) for c, ws in EFFECTS.items() for w in ws.split()], "category string, last string")
+        words = self.spark.createDataFrame([(c, w) for c, ws in EFFECTS.items() for w in ws], "category string, last string")
         roots = self.imports.select("key", F.explode(F.array(_first(F.col("target")), _first(F.col("bound")))).alias("root")).where("root <> ''").groupBy("key").agg(F.collect_set("root").alias("roots"))
         hits = self.calls.withColumn("last", _last(F.col("name"))).join(F.broadcast(words), "last").join(roots, "key", "left")  # words: a fixed list
         known = F.coalesce("roots", F.array().cast("array<string>"))
         root, qualified = _first(F.col("name")), F.col("name").contains(".")
         ok = F.lit(True)
         for category, names in EFFECT_IMPORTS.items():
-            gate = F.array(*map(F.lit, names.split()))
+            gate = F.array(*map(F.lit, names))
             backed = F.when(qualified, F.array_contains(known, root) | root.isin("self", "cls") | F.array_contains(gate, root)).otherwise(F.arrays_overlap(known, gate))
             ok = F.when(F.col("category") == category, backed).otherwise(ok)
         return hits.where(ok).select("key", "category", F.col("name").alias("call"), "lineno")
@@ -355,8 +389,9 @@ class Survey:
         usual |= ((F.col("name") == "__init__") & (F.col("body_kind") == "pass")) | F.exists("bases", lambda b: _last(b).isin(*USUAL_BASES)) | F.coalesce("replaced", F.lit(False))
         usual |= F.exists("decorators", lambda d: _any([d.contains(x) for x in USUAL_DECORATORS]))
         stubs = self.judged.where(F.col("body_kind").isin(*EMPTY_KINDS) & ~usual & ~is_test(F.col("key")))
-        stubs = relations.without(stubs, self.origins.where("origin = 'vendored'").select("key")).select("key", "name", "qualname", "kind", "lineno", "parent", "args")
-        callers = self.calls.select(_last(F.col("name")).alias("name"), F.struct(F.col("key").alias("module"), "lineno", F.col("name").alias("as")).alias("c")).groupBy("name").agg(F.sort_array(F.collect_set("c")).alias("callers"))
+        stubs = self._stage(relations.without(stubs, self.origins.where("origin = 'vendored'").select("key")).select("key", "name", "qualname", "kind", "lineno", "parent", "args"), "stubs")
+        sites = self.calls.select(_last(F.col("name")).alias("name"), F.struct(F.col("key").alias("module"), "lineno", F.col("name").alias("as")).alias("c"))
+        callers = sites.join(stubs.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.sort_array(F.collect_set("c")).alias("callers"))
         finished = self.definitions.where("kind <> 'class' and body_kind = 'code'").groupBy("key", F.coalesce("parent", F.lit("")).alias("p")).agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), 1, 4).alias("beside"))
         joined = stubs.withColumn("p", F.coalesce("parent", F.lit(""))).join(callers, "name", "left").join(finished, ["key", "p"], "left")
         takes = F.slice(F.filter("args", lambda a: ~a.isin("self", "cls")), 1, 4)
@@ -364,6 +399,12 @@ class Survey:
         callers_ = F.coalesce("callers", F.array().cast("array<struct<module:string,lineno:int,as:string>>"))
         return joined.select("key", "name", "qualname", "kind", "lineno", callers_.alias("callers"), F.coalesce(F.get(callers_, F.lit(0))["module"] != F.col("key"), F.lit(False)).alias("called_from_elsewhere"), direction.alias("direction"), F.lit("callers are matched by name alone").alias("caveat"))
 
+    @cached_property
+    def dead_ends_by_module(self) -> DataFrame:
+        """(key, n, dead_ends): each module's dead ends in order of line."""
+        own = F.struct("lineno", "qualname", F.size("callers").alias("callers"))
+        return self.dead_ends.groupBy("key").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(own)).alias("dead_ends"))
+
     # --- competing attempts and what is worth keeping
 
     @cached_property
@@ -377,7 +418,8 @@ class Survey:
         """Groups of modules that share specific names: restarts of one job, and copies. See trowel.plans.attempts."""
         out = relations.without(self.specific_names.where(~is_test(F.col("key"))), self.origins.where("origin = 'vendored'").select("key"))
         pairs = relations.overlap_pairs(out, "key", "name", A.MIN_SHARED)
-        family = graph.components(pairs).select(F.col("node").alias("key"), F.col("component").alias("family"))
+        pairs = self._stage(pairs, "sharing")
+        family = self._stage(graph.components(pairs).select(F.col("node").alias("key"), F.col("component").alias("family")), "families")
         tests = self.modules.where(is_test(F.col("key"))).select("key", F.transform("names_used", lambda n: _first(n)).alias("names"), F.size(F.filter("definitions", lambda d: d["parent"].isNull())).alias("n"))
         mentions = tests.select(F.explode(F.array_distinct("names")).alias("tail"), "n").groupBy("tail").agg(F.sum("n").alias("tests"))
         tops = lambda cond: F.transform(F.filter("definitions", cond), lambda d: d["name"])
@@ -386,45 +428,78 @@ class Survey:
         reached = self.layers.select(F.col("node").alias("key"), F.lit(True).alias("reachable"))
         rows = self.modules.join(family, "key").join(names, "key").join(reached, "key", "left").withColumn("tail", _last(F.col("key"))).join(mentions, "tail", "left")
         rows = rows.select("family", "key", "relpath", "loc", "defines", F.coalesce("reachable", F.lit(False)).alias("reachable"), F.coalesce("tests", F.lit(0)).alias("tests"), F.size("todos").alias("todos"), tops(lambda d: free(d) & (d["body_kind"] == "code")).alias("filled"), tops(lambda d: free(d) & (d["body_kind"] != "code")).alias("empty"))
-        return self._stage(rows.groupBy("family").applyInArrow(A.describer(to_arrow_schema(StructType.fromDDL(A.SCHEMA))), A.SCHEMA), "attempts")
+        sharing = pairs.join(family.select(F.col("key").alias("a"), F.col("family").alias("f")), "a").select(F.col("f").alias("family"), "a", "b")
+        described = rows.groupBy("family").cogroup(sharing.groupBy("family")).applyInArrow(A.describer(to_arrow_schema(StructType.fromDDL(A.SCHEMA))), A.SCHEMA)
+        return self._stage(described, "attempts")
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        """(key, verdict, resume_at, percent): for each module the first group that it is in; restarts before copies, then the most at stake."""
+        kind = F.when(F.col("verdict") == "copy", "copy").when(F.col("m.key") == F.col("resume_at"), "resume").otherwise("superseded")
+        order = F.struct((F.col("verdict") == "copy").alias("c"), (-F.col("at_stake_lines")).alias("s"), (-F.size("members")).alias("n"), "resume_at")
+        members = self.attempt_groups.withColumn("order", order).select("*", F.explode("members").alias("m"))
+        first = members.groupBy(F.col("m.key").alias("key")).agg(F.min(F.struct("order", kind.alias("verdict"), "resume_at", F.col("m.percent").alias("percent"))).alias("f"))
+        return first.select("key", "f.verdict", "f.resume_at", "f.percent")
 
     @cached_property
     def salvage(self) -> DataFrame:
-        """What each orphan holds: (key, loc, verdict, unique_count, uses_live_count, counterpart, mine, theirs)."""
+        """What each orphan holds: (key, loc, verdict, unique_count, uses_live_count, counterpart, mine, mine_from, theirs, theirs_from)."""
         orphan = self.orphans.select("key")
         live = relations.without(self.specific_names, orphan)
         mine = self.specific_names.join(orphan, "key", "left_semi")
         unique = relations.without(mine, live.select("name")).groupBy("key").agg(F.count("*").alias("unique_count"))
         wired = self.edges.select(F.col("src").alias("key"), F.col("dst")).join(orphan, "key", "left_semi").join(orphan.withColumnRenamed("key", "dst"), "dst", "left_anti").groupBy("key").agg(F.count("*").alias("uses_live_count"))
-        shared = mine.join(live.withColumnRenamed("key", "other"), "name").groupBy("key", "other").agg(F.count("*").alias("n")).where(F.col("n") >= A.MIN_SHARED)
-        best = shared.groupBy("key").agg(F.min_by("other", F.struct(-F.col("n"), "other")).alias("counterpart"))
+        shared = mine.join(live.withColumnRenamed("key", "counterpart"), "name").groupBy("key", "counterpart").agg(F.count("*").alias("n")).where(F.col("n") >= A.MIN_SHARED)
+        best = relations.best_counterpart(shared, "key", "counterpart", "n").drop("n")
         seen = self.file_history.select(F.col("path").alias("relpath"), "first_seen") if self.commits is not None else self.spark.createDataFrame([], "relpath string, first_seen string")
         stamp = T.stamped_date(F.substring_index("relpath", "/", -1))
-        dates = self.modules.join(seen, "relpath", "left").select("key", F.least("first_seen", stamp).alias("born"), F.col("first_seen").isNotNull().alias("recorded"))
-        joined = self.orphans.join(unique, "key", "left").join(wired, "key", "left").join(best, "key", "left").join(dates.withColumnRenamed("born", "mine"), "key")
-        joined = joined.join(dates.select(F.col("key").alias("counterpart"), F.col("born").alias("theirs")), "counterpart", "left")
+        dated = self.modules.join(seen, "relpath", "left").withColumn("stamp", stamp)
+        source = F.when(F.col("first_seen") <= F.coalesce("stamp", "first_seen"), "git").when(F.col("stamp").isNotNull(), "the filename")
+        dates = dated.select("key", F.least("first_seen", "stamp").alias("born"), source.alias("born_from"), F.col("first_seen").isNotNull().alias("recorded"))
+        joined = self.orphans.join(unique, "key", "left").join(wired, "key", "left").join(best, "key", "left").join(dates.withColumnsRenamed({"born": "mine", "born_from": "mine_from"}), "key")
+        joined = joined.join(dates.select(F.col("key").alias("counterpart"), F.col("born").alias("theirs"), F.col("born_from").alias("theirs_from")), "counterpart", "left")
         n, w = F.coalesce("unique_count", F.lit(0)), F.coalesce("uses_live_count", F.lit(0))
         datable = F.col("counterpart").isNotNull() & F.col("mine").isNotNull() & F.col("theirs").isNotNull()
         verdict = summaries.first_match(
-            (datable & (F.col("mine") < F.col("theirs")), "original direction"), (datable, "a later attempt that stopped"), (F.lit(self.commits is not None) & ~F.col("recorded"), "never committed"),
-            ((w > 0) & (n > 0), "built on the live code, and holds work found nowhere else"), (w > 0, "built on the live code"), (n > 0, "holds work found nowhere else"), default="isolated",
+            (datable & (F.col("mine") < F.col("theirs")), VERDICTS["older"]), (datable, VERDICTS["later"]), (F.lit(self.commits is not None) & ~F.col("recorded"), VERDICTS["uncommitted"]),
+            ((w > 0) & (n > 0), VERDICTS["both"]), (w > 0, VERDICTS["wired"]), (n > 0, VERDICTS["unique"]), default=VERDICTS["none"],
         )
-        return joined.select("key", "loc", verdict.alias("verdict"), n.alias("unique_count"), w.alias("uses_live_count"), "counterpart", "mine", "theirs")
+        return joined.select("key", "loc", verdict.alias("verdict"), n.alias("unique_count"), w.alias("uses_live_count"), "counterpart", "mine", "mine_from", "theirs", "theirs_from")
+
+    @cached_property
+    def salvage_totals(self) -> DataFrame:
+        return self.salvage.groupBy("verdict").agg(F.count("*").alias("modules"), F.sum("loc").alias("lines"))
 
     @cached_property
     def clusters(self) -> DataFrame:
-        """(cluster, size, loc, entries, belongs): undirected components; they belong if entered, or named in the project's prose."""
+        """(cluster, size, loc, entries, untracked, label, belongs, modules): undirected components; they belong if entered, or named in the project's prose."""
         comps = graph.components(self.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("node", "key")
-        joined = self.modules.join(comps, "key", "left").withColumn("cluster", F.coalesce("component", "key")).join(self.entry_points.select("key", F.lit(1).alias("entry")), "key", "left")
-        named = F.contains(F.lit(self.prose), F.lower(_first(F.col("key"))))
-        return joined.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("loc").alias("loc"), F.count("entry").alias("entries"), F.max_by("key", F.struct("loc", "key")).alias("label"), F.max(F.col("entry").isNotNull() | named).alias("belongs"), F.sort_array(F.collect_list("key")).alias("modules"))
+        names = self.modules.select(_first(F.col("key")).alias("root")).distinct()
+        prose = self._stage(self.spark.createDataFrame([(self.prose,)], "prose string"), "prose")
+        named = names.join(F.broadcast(prose), F.contains(F.col("prose"), F.lower("root"))).select("root", F.lit(True).alias("named"))  # one text of PROSE_ALL bytes at most
+        joined = self.modules.withColumn("root", _first(F.col("key"))).join(comps, "key", "left").withColumn("cluster", F.coalesce("component", "key"))
+        joined = joined.join(self.entry_points.select("key", F.lit(1).alias("entry")), "key", "left").join(named, "root", "left").join(self.origins.select("key", "origin"), "key", "left")
+        belongs = F.max(F.col("entry").isNotNull() | F.coalesce("named", F.lit(False)))
+        return joined.groupBy("cluster").agg(
+            F.count("*").alias("size"), F.sum("loc").alias("loc"), F.count("entry").alias("entries"), F.count_if(F.col("origin") == "untracked").alias("untracked"),
+            F.max_by("key", F.struct("loc", "key")).alias("label"), belongs.alias("belongs"), F.sort_array(F.collect_list("key")).alias("modules"),
+        )
+
+    def cluster_modules(self, belongs: bool) -> DataFrame:
+        """(key): modules of the clusters that belong to the project, or of those set aside."""
+        return self.clusters.where(F.col("belongs") == belongs).select(F.explode("modules").alias("key"))
 
-    def trace(self, key: str) -> DataFrame:
-        """(direction, node, depth, left_out) from a module: dead ends and broken modules are left out, and counted for their direction."""
+    def neighbourhood(self, key: str) -> DataFrame:
+        """(key): a module and what one edge joins it with."""
+        near = self.edges.where((F.col("src") == key) | (F.col("dst") == key))
+        return near.select(F.explode(F.array("src", "dst")).alias("key")).union(self.modules.where(F.col("key") == key).select("key")).distinct()
+
+    def trace(self, key: str, most: int = TRACE_MOST) -> DataFrame:
+        """(direction, node, depth, left_out) from a module, the nearest of each direction; dead ends and broken modules are left out, and counted for their direction."""
         seed = self.spark.createDataFrame([(key,)], "node string")
-        hidden = self._stage(self.states.where(F.col("state").isin("deadend", "broken") & (F.col("key") != key)).select("key"), "hidden")
+        hidden = self._stage(self.states.where(F.col("state").isin(*TRACE_HIDES) & (F.col("key") != key)).select("key"), "hidden")
         clear = self.edges.join(hidden.toDF("src"), "src", "left_anti").join(hidden.toDF("dst"), "dst", "left_anti")
-        found = self._stage(graph.trace(clear, seed), "trace")
+        found = self._stage(summaries.top_n_more(graph.trace(clear, seed), ["direction"], [F.asc("depth"), F.asc("node")], most + 1).drop("rank", "more"), "trace")
         met = [
             self.edges.join(found.where(F.col("direction") == way).select(F.col("node").alias(near)), near, "left_semi").join(hidden.toDF(far), far, "left_semi").agg(F.count_distinct(far).alias("left_out")).withColumn("direction", F.lit(way))
             for way, near, far in (("uses", "src", "dst"), ("used_by", "dst", "src"))
@@ -451,7 +526,9 @@ class Survey:
 
     @cached_property
     def timeline(self) -> DataFrame:
-        return self.file_history.groupBy(F.substring("first_seen", 1, 7).alias("month")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+        """(month, n, first_key): files by the month they were first seen in; file_history has each file's."""
+        log = self.touched.join(self.commits, "ord")
+        return summaries.timeline(log, "path", F.timestamp_seconds("at"))
 
     @cached_property
     def stalled(self) -> DataFrame:
@@ -479,27 +556,36 @@ class Survey:
 
     @cached_property
     def forks(self) -> DataFrame:
-        """(stopped, continued, signals, commits_after): unfinished files gone quiet, and later files that took up their subject."""
-        last = self.touched.groupBy("path").agg(F.min("ord").alias("newest")).join(self.commits.select(F.col("ord").alias("newest"), "at"), "newest").join(self.modules.select(F.col("relpath").alias("path"), "key"), "path")
+        """(stopped, continued, signals, commits): unfinished files gone quiet, and later files that took up their subject.
+
+        What is specific to two files, words of their names or changes made together, makes candidates, of
+        stopped and later files only; folder and effects are then looked up for each.
+        """
+        at = self.touched.groupBy("path").agg(F.min("ord").alias("newest")).join(self.commits.select(F.col("ord").alias("newest"), "at"), "newest")
+        last = self._stage(at.join(self.file_history.select("path", "commits"), "path").join(self.modules.select(F.col("relpath").alias("path"), "key"), "path").select("key", "path", "at", "commits"), "last")
+        enough = last.agg((F.count("*") >= MIN_FILES).alias("enough"))
         ranked = summaries.quiet_rank(last, "key", "at").where((F.col("later") >= QUIET_FILES) & ~is_test(F.col("key")))
         unfinished = self.frontier.where(F.col("score") >= MIN_SCORE).select("key").union(self.orphans.select("key")).union(self.signals.where("kind = 'unreached'").select("key")).distinct()
-        stopped = ranked.join(unfinished, "key", "left_semi").select(F.col("key").alias("a"), F.col("at").alias("a_at"))
-        words = self.definitions.select("key", "name").select("key", F.explode(T.vocabulary(F.col("name"))).alias("w")).where(~F.col("w").isin(*COMMON_WORDS)).groupBy("key", "w").agg(F.count("*").alias("n"))
-        vocabulary = words.toDF("a", "w", "x").join(words.toDF("b", "w", "y"), "w").where("a <> b").groupBy("a", "b").agg(F.sum(F.least("x", "y")).alias("n")).where("n >= 2").select("a", "b", F.lit("vocabulary").alias("signal"))
-        folder = self.modules.select("key", F.regexp_extract("key", r"^(.*)\.[^.]*$", 1).alias("p")).where("p <> ''")
-        package = folder.toDF("a", "p").join(folder.toDF("b", "p"), "p").select("a", "b", F.lit("package").alias("signal"))
+        stopped = self._stage(ranked.join(unfinished, "key", "left_semi").join(F.broadcast(enough)).where("enough").select(F.col("key").alias("a"), F.col("at").alias("a_at")), "stopped")  # enough is one row
+        later = self._stage(last.where(~follows_tests(F.col("key"), F.col("path"))).select(F.col("key").alias("b"), F.col("at").alias("b_at"), "commits"), "later")
+        words = self._stage(self.definitions.select("key", F.explode(T.vocabulary(F.col("name"))).alias("w")).where(~F.col("w").isin(*COMMON_WORDS)).groupBy("key", "w").agg(F.count("*").alias("n")), "words")
+        ours = words.select(F.col("key").alias("a"), "w", F.col("n").alias("x")).join(stopped, "a")
+        theirs = words.select(F.col("key").alias("b"), "w", F.col("n").alias("y")).join(later, "b")
+        alike = ours.join(theirs, "w").where("b_at > a_at and a <> b").groupBy("a", "b").agg(F.sum(F.least("x", "y")).alias("n")).where("n >= 2").select("a", "b", F.lit("vocabulary").alias("signal"))
+        top = self.co_change.orderBy(F.desc("n"), "item_a", "item_b").limit(TOP_PAIRS)
         key_of = self.modules.select(F.col("relpath").alias("path"), "key")
-        top = self.co_change.orderBy(F.desc("n"), "item_a", "item_b").limit(TOP_PAIRS).join(key_of.toDF("item_a", "a"), "item_a").join(key_of.toDF("item_b", "b"), "item_b").select("a", "b")
-        together = top.union(top.select("b", "a")).withColumn("signal", F.lit("co-change"))
-        reach = self.effects.select("key", "category").distinct()
-        effects = reach.toDF("a", "c").join(reach.toDF("b", "c"), "c").select("a", "b", F.lit("effects").alias("signal")).distinct()
-        later = last.where(~is_test(F.col("key"))).select(F.col("key").alias("b"), F.col("at").alias("b_at"), "path")
-        grown = self.touched.join(self.commits.select("ord", F.col("at").alias("c_at")), "ord")
-        pairs = reduce(DataFrame.union, (vocabulary, package, together, effects)).join(stopped, "a").join(later, "b").where("b_at > a_at and a <> b")
-        found = pairs.groupBy("a", "b", "a_at", "path").agg(F.sort_array(F.collect_set("signal")).alias("signals")).where((F.size("signals") >= MIN_SIGNALS) & F.arrays_overlap("signals", F.array(F.lit("vocabulary"), F.lit("co-change"))))
-        counted = found.join(grown, "path").where("c_at > a_at").groupBy("a", "b", "signals").agg(F.count("*").alias("commits_after"))
-        kept = summaries.top_n_more(counted, ["a"], [F.size("signals").desc(), F.desc("commits_after"), F.asc("b")], 3)
-        return relations.hub_trim(kept, "a", "b").select(F.col("a").alias("stopped"), F.col("b").alias("continued"), "signals", "commits_after")
+        top = top.join(key_of.toDF("item_a", "a"), "item_a").join(key_of.toDF("item_b", "b"), "item_b").select("a", "b")
+        together = top.union(top.select("b", "a")).toDF("a", "b").join(stopped, "a").join(later, "b").where("b_at > a_at").select("a", "b", F.lit("co-change").alias("signal"))
+        specific = alike.union(together).groupBy("a", "b").agg(F.collect_set("signal").alias("specific"))
+        reach = self.effects.groupBy("key").agg(F.collect_set("category").alias("reach"))
+        profile = self.modules.select("key", F.regexp_extract("key", r"^(.*)\.[^.]*$", 1).alias("folder")).join(reach, "key", "left")
+        of = lambda side: profile.select(F.col("key").alias(side), F.col("folder").alias(f"{side}_folder"), F.col("reach").alias(f"{side}_reach"))
+        joined = specific.join(of("a"), "a").join(of("b"), "b").join(later.select("b", "commits"), "b")
+        folder = F.when((F.col("a_folder") != "") & (F.col("a_folder") == F.col("b_folder")), F.lit("package"))
+        effects = F.when(F.arrays_overlap("a_reach", "b_reach"), F.lit("effects"))
+        found = joined.select("a", "b", "commits", F.sort_array(F.concat("specific", F.array_compact(F.array(folder, effects)))).alias("signals")).where(F.size("signals") >= MIN_SIGNALS)
+        kept = summaries.top_n_more(found, ["a"], [F.size("signals").desc(), F.desc("commits"), F.asc("b")], 3)
+        return relations.hub_trim(kept, "a", "b").select(F.col("a").alias("stopped"), F.col("b").alias("continued"), "signals", "commits")
 
     # --- regions, states, map tables
 
@@ -511,23 +597,122 @@ class Survey:
         merged = summaries.islands(first, ["key"], F.greatest(F.col("lineno") - 3, F.lit(1)), F.least(F.col("lineno") + 3, F.col("loc")), F.lit(1))
         return summaries.top_n_more(merged, ["key"], [F.asc("island_start")], 40).select("key", F.col("island_start").alias("low"), F.col("island_end").alias("high"))
 
+    @cached_property
+    def line_marks(self) -> DataFrame:
+        """(key, lineno, marks): what points at each line."""
+        return self.signals.where("lineno > 0").groupBy("key", "lineno").agg(F.sort_array(F.collect_list(F.concat_ws(": ", "kind", "text"))).alias("marks"))
+
+    @cached_property
+    def tested(self) -> DataFrame:
+        """(key): what a test module imports."""
+        return self.edges.where(is_test(F.col("src"))).select(F.col("dst").alias("key")).distinct()
+
     @cached_property
     def states(self) -> DataFrame:
         """(key, state): what is known of a module, the most certain first."""
-        tested = self.edges.where(is_test(F.col("src"))).select(F.col("dst").alias("key"), F.lit(True).alias("tested")).distinct()
+        tested = self.tested.withColumn("tested", F.lit(True))
         dead = self.dead_ends.select("key", F.lit(True).alias("dead")).distinct()
         joined = self.modules.select("key", "error").join(self.frontier.select("key", "counts"), "key", "left").join(tested, "key", "left").join(dead, "key", "left")
         has = lambda k: F.coalesce(F.map_contains_key("counts", k), F.lit(False))
         real = F.size(F.filter(F.coalesce(F.map_keys("counts"), F.array().cast("array<string>")), lambda k: ~k.isin("no_docstring", "unreached"))) > 0
         ok = F.coalesce("tested", F.lit(False))
         state = summaries.first_match((F.coalesce("dead", F.lit(False)), "deadend"), (has("orphan") | has("unreached"), "maybe"), (has("syntax_error") | has("unreadable"), "broken"), (ok & ~real, "confirmed"), (ok, "tested"), (~real, "live"), default="unfinished")
-        return joined.select("key", state.alias("state"))
+        return self._stage(joined.select("key", state.alias("state")), "states")
+
+    @cached_property
+    def state_tally(self) -> DataFrame:
+        return self.states.groupBy("state").agg(F.count("*").alias("modules"))
+
+    @cached_property
+    def scaffolds(self) -> DataFrame:
+        """(key, qualname, lineno, text): what the syntax says of each definition: what it takes, calls, touches and returns, and who uses its module."""
+        own = self.definitions.select("key", "qualname", "lineno", "end_lineno", "args", "returns", "body_kind")
+        ranges = own.select("key", "qualname", F.col("lineno").alias("low"), F.col("end_lineno").alias("high"))
+        first = lambda names, n: F.concat(F.array_join(F.slice(names, 1, n), ", "), F.when(F.size(names) > n, " ...").otherwise(""))
+
+        def within(points: DataFrame, name: str, to: str) -> DataFrame:
+            held = relations.in_range(points, ranges, ["key"], "lineno", "low", "high")
+            return held.groupBy("key", "qualname", F.col("low").alias("lineno")).agg(F.sort_array(F.collect_set(name)).alias(to))
+
+        calls, touches = within(self.calls, "name", "calls"), within(self.effects, "category", "touches")
+        users = self.edges.groupBy(F.col("dst").alias("key")).agg(F.sort_array(F.collect_set("src")).alias("users"))
+        place = ["key", "qualname", "lineno"]
+        joined = own.join(calls, place, "left").join(touches, place, "left").join(users, "key", "left")
+        lines = [
+            F.when(F.size("args") > 0, F.concat(F.lit("takes: "), F.array_join("args", ", "))), F.when(F.size("calls") > 0, F.concat(F.lit("calls: "), first(F.col("calls"), 10))),
+            F.when(F.size("touches") > 0, F.concat(F.lit("touches: "), F.array_join("touches", ", "))), F.when(F.size("users") > 0, F.concat(F.lit("its module is used by: "), first(F.col("users"), 6))),
+            F.when(F.col("returns"), "returns a value").when(F.col("body_kind") == "code", "returns nothing"),
+        ]
+        return joined.select(*place, F.concat_ws("\n", *lines).alias("text")).where("text <> ''")
+
+    @cached_property
+    def attempt_sentences(self) -> DataFrame:
+        """(verdict, resume_at, stake, effort, copy): each group in words."""
+        stake = T.stake_sentence(F.col("at_stake_lines"), F.col("resume_lines"), F.col("resume_percent").cast("string"), F.col("elsewhere_percent").cast("string"))
+        return self.attempt_groups.select("verdict", "resume_at", stake.alias("stake"), T.effort_sentence(F.col("remaining_lines"), F.col("unwritten")).alias("effort"), T.copy_sentence(F.col("copy_of")).alias("copy"))
+
+    @cached_property
+    def opening(self) -> DataFrame:
+        """(finding, coverage): the sentence worth reading first, and what the history covers; one row."""
+        groups = self.attempt_groups.groupBy().agg(
+            F.count_if(F.col("verdict") == "restart").alias("jobs"), F.sum(F.when(F.col("verdict") == "restart", F.size("members"))).alias("job_files"), F.count_if(F.col("verdict") == "copy").alias("twins"), F.sum(F.when(F.col("verdict") == "copy", F.size("members"))).alias("twin_files")
+        )
+        modules, open_ = self.modules.agg(F.count("*").alias("modules")), self.frontier.agg(F.count("*").alias("open"))
+        origins = self.origins.agg(F.count("*").alias("total"), F.count_if(F.col("origin").isin("tracked", "vendored")).alias("known"), F.count_if(F.col("origin") == "untracked").alias("untracked"))
+        finding = (
+            F.when(F.col("jobs") > 0, F.concat(T.counted(F.col("job_files"), "file"), F.lit(" hold "), T.counted(F.col("jobs"), "job"), F.lit(" that were started over")))
+            .when(F.col("twins") > 0, F.concat(T.counted(F.col("twin_files"), "file"), F.lit(" are "), T.counted(F.col("twins"), "file"), F.lit(" in several places")))
+            .when(F.col("open") > 0, F.concat(T.counted(F.col("open"), "module"), F.lit(" with signs of unfinished work")))
+            .otherwise(F.concat(T.counted(F.col("modules"), "module"), F.lit(", nothing plainly unfinished")))
+        )
+        coverage = T.coverage_sentence(F.col("total"), F.col("known"), F.col("untracked"), F.lit(self.commits is not None))
+        one = groups.join(F.broadcast(modules)).join(F.broadcast(open_)).join(F.broadcast(origins))  # each is one row
+        return one.select(finding.alias("finding"), coverage.alias("coverage"))
+
+    # --- maps
+
+    @cached_property
+    def in_folders(self) -> DataFrame:
+        """(key, relpath, folder, loc) with a name for the top folder."""
+        folder = F.regexp_extract("relpath", "^(.*)/[^/]*$", 1)
+        return self.modules.select("key", "relpath", F.when(folder == "", TOP_FOLDER).otherwise(folder).alias("folder"), "loc")
+
+    @cached_property
+    def boxes(self) -> DataFrame:
+        """(folder, modules, loc, columns, w, h, x, y): folders on shelves, the longest code first."""
+        own = self._stage(geometry.boxes(self.in_folders), "boxes")
+        rows = [(r.folder, r.w, r.h) for r in own.select("folder", "w", "h", "loc").orderBy(F.desc("loc"), "folder").toLocalIterator()]
+        placed = self.spark.createDataFrame(geometry.shelve(rows), "folder string, x int, y int")
+        return self._stage(own.join(placed, "folder"), "placed")
+
+    @cached_property
+    def cards(self) -> DataFrame:
+        """(key, folder, x, y): modules on the map."""
+        return geometry.cards(self.in_folders, self.boxes)
+
+    @cached_property
+    def ribbon_paths(self) -> DataFrame:
+        folder = self.in_folders.select("key", "folder")
+        return geometry.ribbon_paths(relations.ribbons(self.edges, folder), self.boxes)
+
+    def layered_map(self) -> dict:
+        """Places and elbows of a layered chart; the number of modules is bounded by the listing's max_files."""
+        layers: dict[int, list[str]] = {}
+        for r in self.layers.toLocalIterator():
+            layers.setdefault(r.depth, []).append(r.node)
+        unreached = [r.key for r in relations.without(self.modules.select("key"), self.layers.select(F.col("node").alias("key"))).toLocalIterator()]
+        return geometry.layered(layers, unreached, sorted((r.src, r.dst) for r in self.edges.toLocalIterator()))
+
+    @cached_property
+    def held_back(self) -> DataFrame:
+        """(loader, modules, proven): what loads modules by name, so that they do not count as unused."""
+        return self.loaded_by.groupBy("loader").agg(F.count("*").alias("modules"), F.count_if("proven").alias("proven"))
 
     @cached_property
     def folders(self) -> DataFrame:
         """(folder, modules, loc, state): roll-up with the most frequent state, ties to the most severe."""
         folder = F.regexp_extract("relpath", "^(.*)/[^/]*$", 1)
-        severity = F.array_position(F.array(*map(F.lit, ["broken", "deadend", "unfinished", "maybe", "tested", "live", "confirmed"])), F.col("state"))
+        severity = F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("state"))
         placed = self.modules.select("key", "loc", folder.alias("folder")).join(self.states, "key")
         mode = summaries.mode_by_severity(placed, "folder", "state", severity).select("folder", "state")
         return placed.groupBy("folder").agg(F.count("*").alias("modules"), F.sum("loc").alias("loc")).join(mode, "folder")

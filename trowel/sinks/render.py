@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-import html
 import json
 import os
-import re
-import tempfile
 import xml.etree.ElementTree as ET
 from collections.abc import Iterable
-from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trowel.operators import summaries
+from trowel.functions import text as T
+from trowel.operators import geometry, summaries
 from trowel.plans.survey import Survey
+from trowel.session import stage_table
+from trowel.sinks.shelf import read_register, record_map, write_shelf
+from trowel.sinks.svgmap import COLOURS, html_map
 
-#: Fill colour of each state on a map.
-COLOURS = {"broken": "#c0392b", "deadend": "#d35400", "unfinished": "#e0b000", "maybe": "#95a5a6", "tested": "#2980b9", "live": "#27ae60", "confirmed": "#145a32"}
+__all__ = ["as_dict", "drawio", "frontier_text", "html_map", "mermaid", "read_register", "record_map", "summary", "unwritable", "window_rows", "write_json", "write_shelf", "write_tables"]
 
 SECTIONS = {
     "modules": lambda s: s.modules.select("key", "relpath", "loc", "blank", "comment_lines", "error", "has_main_guard"),
@@ -41,6 +40,16 @@ SECTIONS = {
     "left_behind": lambda s: s.salvage.orderBy(F.desc("loc"), "key"),
     "origins": lambda s: s.origins,
     "origin_totals": lambda s: s.origin_totals.orderBy(F.desc("lines")),
+    "salvage_totals": lambda s: s.salvage_totals.orderBy(F.desc("lines")),
+    "dead_ends_by_module": lambda s: s.dead_ends_by_module.orderBy("key"),
+    "verdicts": lambda s: s.verdicts.orderBy("key"),
+    "attempt_sentences": lambda s: s.attempt_sentences,
+    "held_back": lambda s: s.held_back.orderBy(F.desc("modules"), "loader"),
+    "state_tally": lambda s: s.state_tally,
+    "line_marks": lambda s: s.line_marks.orderBy("key", "lineno"),
+    "regions": lambda s: s.regions.orderBy("key", "low"),
+    "scaffolds": lambda s: s.scaffolds.orderBy("key", "lineno"),
+    "totals_by_layer": lambda s: s.layers.groupBy("depth").agg(F.count("*").alias("n")).orderBy("depth"),
     "clusters": lambda s: s.clusters.orderBy(F.desc("loc")),
     "states": lambda s: s.states,
     "folders": lambda s: s.folders,
@@ -88,82 +97,126 @@ def write_tables(survey: Survey, folder: str) -> None:
 
 
 def _nodes(survey: Survey, limit: int | None) -> tuple[list, list, int]:
-    nodes = survey.modules.select("key", "relpath", "loc").join(survey.states, "key").join(survey.frontier.select("key", "score"), "key", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    """Modules with state, score, depth (unreached ones below all others) and whether they have a dead end; their edges; and how many there are."""
+    deepest = survey.layers.agg(F.coalesce(F.max("depth") + 1, F.lit(0)).alias("pool"))
+    stuck = survey.dead_ends.select("key").distinct().withColumn("stuck", F.lit(True))
+    counts = survey.signals.groupBy("key").agg(F.count("*").alias("marks"))
+    nodes = survey.modules.select("key", "relpath", "loc").join(survey.states, "key").join(survey.frontier.select("key", "score"), "key", "left").join(survey.layers.withColumnRenamed("node", "key"), "key", "left").join(stuck, "key", "left").join(counts, "key", "left").join(F.broadcast(deepest))  # deepest is one row
+    nodes = nodes.select("key", "relpath", "loc", "state", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("depth", "pool").alias("depth"), F.coalesce("stuck", F.lit(False)).alias("stuck"), F.coalesce("marks", F.lit(0)).alias("marks"))
     total = nodes.count()
     top = nodes.orderBy(F.desc("score"), "key")
-    top = top if limit is None else top.limit(limit)
+    top = stage_table(survey.spark, top if limit is None else top.limit(limit), "drawn")
     edges = survey.edges.join(top.select(F.col("key").alias("src")), "src", "left_semi").join(top.select(F.col("key").alias("dst")), "dst", "left_semi").select("src", "dst")
-    return top.collect(), sorted(map(tuple, edges.collect())), total
-
-
-def _safe_id(key: str) -> str:
-    return "n_" + re.sub(r"\W", "_", key)
+    return sorted(top.collect(), key=lambda n: n["key"]), sorted(map(tuple, edges.collect())), total
 
 
 def mermaid(survey: Survey, max_nodes: int = 120) -> str:
-    """A flowchart of the modules with the highest scores; says how many it leaves out."""
+    """A flowchart of the modules with the highest scores, by depth; ways into dead ends are dashed; says how many it leaves out."""
     nodes, edges, total = _nodes(survey, max_nodes)
+    number = {n["key"]: f"n{i}" for i, n in enumerate(nodes)}
+    stuck = {n["key"] for n in nodes if n["stuck"]}
     lines = ["flowchart LR"]
     if total > len(nodes):
         lines.append(f"  %% {total - len(nodes)} of {total} modules are not drawn")
-    lines += [f'  {_safe_id(n["key"])}["{n["key"]}"]:::{n["state"]}' for n in nodes]
-    lines += [f"  {_safe_id(a)} --> {_safe_id(b)}" for a, b in edges]
+    for depth in sorted({n["depth"] for n in nodes}):
+        lines += [f'  subgraph d{depth}["{f"depth {depth}" if depth else "entry points"}"]', "    direction TB"]
+        lines += [f'    {number[n["key"]]}["{n["key"].rpartition(".")[2]}"]' for n in nodes if n["depth"] == depth]
+        lines.append("  end")
+    lines += [f"  {number[a]} {'-.->' if b in stuck else '-->'} {number[b]}" for a, b in edges]
+    lines += [f"  class {number[n['key']]} {n['state']};" for n in nodes]
     lines += [f"  classDef {s} fill:{c}" for s, c in COLOURS.items()]
     return "\n".join(lines) + "\n"
 
 
 def drawio(survey: Survey, title: str = "survey") -> str:
-    """The graph of all modules as draw.io XML, on a grid of layers; their number is bounded by the listing's max_files."""
+    """The graph of all modules as draw.io XML, in rows by layer; their number is bounded by the listing's max_files."""
     nodes, edges, _ = _nodes(survey, None)
-    depth = {r["node"]: r["depth"] for r in survey.layers.collect()}
+    chart = survey.layered_map()
+    number = {n["key"]: f"n{i}" for i, n in enumerate(nodes)}
+    stuck = {n["key"] for n in nodes if n["stuck"]}
     file = ET.Element("mxfile")
-    root = ET.SubElement(ET.SubElement(ET.SubElement(file, "diagram", name=title), "mxGraphModel"), "root")
+    model = ET.SubElement(ET.SubElement(file, "diagram", name=title), "mxGraphModel", page="1", pageWidth=str(int(chart["width"])), pageHeight=str(int(chart["height"])))
+    root = ET.SubElement(model, "root")
     ET.SubElement(root, "mxCell", id="0")
     ET.SubElement(root, "mxCell", id="1", parent="0")
-    used: dict[int, int] = {}
     for n in nodes:
-        column = depth.get(n["key"], max(depth.values(), default=0) + 1)
-        row = used[column] = used.get(column, -1) + 1
-        cell = ET.SubElement(root, "mxCell", id=_safe_id(n["key"]), value=n["key"], style=f"rounded=1;fillColor={COLOURS[n['state']]}", vertex="1", parent="1")
-        ET.SubElement(cell, "mxGeometry", {"x": str(column * 240), "y": str(row * 70), "width": "200", "height": "50", "as": "geometry"})
+        place = chart["nodes"].get(n["key"], {"x": 0, "y": 0})
+        label = n["key"] + (f" ({n['marks']} signals)" if n["marks"] else "")
+        cell = ET.SubElement(root, "mxCell", id=number[n["key"]], value=label, style=f"rounded=1;fillColor={COLOURS[n['state']]}", vertex="1", parent="1")
+        ET.SubElement(cell, "mxGeometry", {"x": str(int(place["x"])), "y": str(int(place["y"])), "width": str(geometry.NODE_W), "height": str(geometry.NODE_H), "as": "geometry"})
     for i, (a, b) in enumerate(edges):
-        cell = ET.SubElement(root, "mxCell", id=f"e{i}", edge="1", parent="1", source=_safe_id(a), target=_safe_id(b))
+        cell = ET.SubElement(root, "mxCell", id=f"e{i}", edge="1", parent="1", source=number[a], target=number[b], style="dashed=1" if b in stuck else "dashed=0")
         ET.SubElement(cell, "mxGeometry", {"relative": "1", "as": "geometry"})
     return ET.tostring(file, encoding="unicode")
 
 
-def html_map(survey: Survey, title: str = "survey", max_nodes: int = 2000) -> str:
-    """One self-contained page: folders, modules with their state and signals, and the data as escaped JSON."""
-    nodes, edges, total = _nodes(survey, max_nodes)
-    by_folder: dict[str, list] = {}
-    for n in nodes:
-        by_folder.setdefault(os.path.dirname(n["relpath"]), []).append(n)
-    esc = html.escape
-    cards = "".join(
-        f"<section><h2>{esc(folder or '.')}</h2>" + "".join(f'<div class="m" style="border-left:6px solid {COLOURS[n["state"]]}" title="{esc(n["relpath"])}">{esc(n["key"])} <small>{n["state"]}, {n["loc"]} lines, {n["score"]:g}</small></div>' for n in sorted(ns, key=lambda n: (-n["loc"], n["relpath"]))) + "</section>"
-        for folder, ns in sorted(by_folder.items())
-    )
-    payload = json.dumps({"nodes": [n.asDict() for n in nodes], "edges": edges}, default=str).replace("<", "\\u003c").replace(">", "\\u003e")
-    left = f"<p>{total - len(nodes)} of {total} modules are not drawn</p>" if total > len(nodes) else ""
-    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{esc(title)}</title><style>body{{font-family:sans-serif}}section{{display:inline-block;vertical-align:top;margin:8px}}.m{{padding:4px;margin:2px;background:#f4f4f4}}</style></head><body><h1>{esc(title)}</h1>{left}{cards}<script type="application/json" id="data">{payload}</script></body></html>'
+def _and_more(out: list[str], shown: int, total: int) -> None:
+    if total > shown:
+        out.append(f"  ... and {total - shown} more")
 
 
 def summary(survey: Survey, limit: int = 12) -> str:
-    """The findings in a few lines each."""
+    """The findings in a few lines each; every list says how much it leaves out."""
     h = _rows(survey.headline)[0]
-    out = [f"{h['modules']} modules, {h['lines']} lines, {h['errors']} unreadable, {h['excluded']} excluded, {h['skipped']} skipped", f"{h['entries']} entry points, {h['orphans']} orphans, {h['cycles']} import cycles, {h['unreached']} unreached", "", "where work stopped"]
-    most = 0.0
-    for r in survey.frontier.orderBy(F.desc("score"), "relpath").limit(limit).collect():
-        most = max(most, r["score"])
-        out.append(f"  {r['score']:7.1f} {'#' * max(1, round(20 * r['score'] / most)) if most else ''} {r['relpath']}  " + ", ".join(f"{k} {n}" for k, n in sorted(r["counts"].items())))
-    out.append("competing attempts")
-    for r in SECTIONS["attempts"](survey).limit(3).collect():
-        out.append(f"  {r['verdict']}: {', '.join(m['key'] for m in r['members'])}; resume {r['resume_at']} ({r['resume_percent']} %), {r['at_stake_lines']} lines at stake")
+    excluded = dict(survey.listing.excluded.most_common(3)) if survey.listing else {}
+    opening = survey.opening.first()
+    out = [f"{h['modules']} modules, {h['lines']} lines, {h['errors']} unreadable, {h['excluded']} excluded, {h['skipped']} skipped", f"{h['entries']} entry points, {h['orphans']} orphans, {h['cycles']} import cycles, {h['unreached']} unreached"]
+    out += [f"excluded: {', '.join(f'{n} ({c})' for n, c in excluded.items())}"] if excluded else []
+    out += [opening.finding or "", opening.coverage or "", "", "where the code is from"]
+    out += [f"  {r['origin']}: {r['modules']} modules, {r['lines']} lines" for r in survey.origin_totals.orderBy(F.desc("lines")).collect()]
+    out.append("where it starts")
+    out += [f"  {r['key']}: {', '.join(r['reasons'])}" for r in survey.entry_points.orderBy("key").limit(limit).collect()]
+    _and_more(out, limit, h["entries"])
+    out.append("how far from there")
+    depths = survey.layers.groupBy("depth").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("node")), 1, 6).alias("nodes")).orderBy("depth").collect()
+    out += [f"  {'entry' if not r['depth'] else 'depth ' + str(r['depth'])}: {r['n']}  {', '.join(r['nodes'])}{' ...' if r['n'] > 6 else ''}" for r in depths]
+    out.append("most depended upon")
+    out += [f"  {r['key']}: used by {r['fan_in']}, uses {r['fan_out']}" for r in survey.fan.where("fan_in > 0").orderBy(F.desc("fan_in"), F.desc("fan_out"), "key").limit(6).collect()]
+    if survey.named_cycles:
+        out.append("import cycles")
+        out += [f"  {' -> '.join(c)}" for c in survey.named_cycles[:5]]
+        _and_more(out, 5, len(survey.named_cycles))
     out.append("nothing imports")
     out += [f"  {r['key']} ({r['loc']} lines)" for r in survey.orphans.orderBy("ord").limit(10).collect()]
+    _and_more(out, 10, h["orphans"])
+    failed = survey.modules.where("error is not null")
+    out += ["cannot be parsed", *(f"  {r['relpath']}: {r['error']}" for r in failed.orderBy("relpath").limit(8).collect())] if h["errors"] else []
+    hot = survey.frontier.where("score > 0").join(survey.origins.where("origin = 'vendored'").select("key"), "key", "left_anti")
+    out.append("where work stopped")
+    top = hot.orderBy(F.desc("score"), "relpath").limit(limit).withColumn("bar", T.text_bar(F.col("score"), F.max("score").over(Window.partitionBy()))).collect()  # limit rows
+    out += [f"  {r['bar']} {r['score']:7.1f} {r['relpath']}  " + ", ".join(f"{k} {n}" for k, n in sorted(r["counts"].items(), key=lambda kv: (-kv[1], kv[0]))[:4]) for r in top]
+    _and_more(out, limit, hot.count())
+    out.append("  in all: " + ", ".join(f"{r['kind']} {r['n']}" for r in survey.totals.orderBy(F.desc("n"), "kind").collect()))
+    out.append("competing attempts")
+    groups = SECTIONS["attempts"](survey).join(survey.attempt_sentences, ["verdict", "resume_at"])
+    for kind, most in (("restart", 3), ("copy", 3)):
+        some = groups.where(F.col("verdict") == kind)
+        for r in some.orderBy(F.desc("at_stake_lines"), F.size("members").desc(), "resume_at").limit(most).collect():
+            out.append(f"  {kind}: {', '.join(m['key'] for m in r['members'])}; resume {r['resume_at']} ({r['resume_percent']} %)")
+            out += [f"      {x}" for x in (r["stake"], r["effort"], r["copy"], *r["members"][0]["facts"]) if x]
+        _and_more(out, most, some.count())
+    if survey.commits is not None:
+        out.append("where the effort went instead (by likeness and time, not proven)")
+        out += [f"  {r['stopped']} -> {r['continued']} ({', '.join(r['signals'])})" for r in survey.forks.orderBy("stopped", "continued").limit(5).collect()]
+        span = survey.timeline.agg(F.min("month").alias("first"), F.max("month").alias("last")).first()
+        out.append(f"history: files first seen from {span['first']} to {span['last']}")
+        out += [f"  {r['n']}x {r['item_a']} + {r['item_b']}" for r in survey.co_change.orderBy(F.desc("n"), "item_a", "item_b").limit(5).collect()]
+        out.append("started and left alone")
+        out += [f"  {r['path']}: {r['commits']} commits, quiet for {r['days_quiet']} days" for r in survey.stalled.orderBy(F.desc("days_quiet"), "path").limit(5).collect()]
+    else:
+        out.append("no version history")
     return "\n".join(out) + "\n"
 
 
+def window_rows(survey: Survey) -> dict[str, DataFrame]:
+    """What a window shows: the sentence to read first, six restarts, four copies, eight modules where work stopped; each with how many more there are."""
+    groups = survey.attempt_groups.select("verdict", "resume_at", "resume_percent", "at_stake_lines", F.size("members").alias("files"))
+    order = [F.desc("at_stake_lines"), F.desc("files"), F.asc("resume_at")]
+    shown = lambda kind, n: summaries.top_n_more(groups.where(F.col("verdict") == kind), ["verdict"], order, n)
+    stopped = summaries.top_n_more(survey.frontier.select(F.lit("frontier").alias("list"), "key", "relpath", "score"), ["list"], [F.desc("score"), F.asc("relpath")], 8)
+    return {"opening": survey.opening, "restarts": shown("restart", 6), "copies": shown("copy", 4), "frontier": stopped}
+
+
 def frontier_text(survey: Survey, hits: int = 5) -> str:
     """Every module with findings, the highest score first: per kind the first hits with their lines, and how many more."""
     found: dict[tuple[str, str], list] = {}
@@ -180,22 +233,3 @@ def frontier_text(survey: Survey, hits: int = 5) -> str:
                 out.append(f"          ... and {rows[0]['more']} more")
         out.append("")
     return "\n".join(out) + "\n"
-
-
-def record_map(registry: str, project: str, path: str, modules: int, folder: str) -> list[dict]:
-    """Upserts a map's row by its folder, newest first; rows of maps that are gone are dropped. The file is replaced whole."""
-    try:
-        with open(registry, encoding="utf-8") as f:
-            rows = [r for r in json.load(f) if isinstance(r, dict)]
-    except (OSError, ValueError):
-        rows = []
-    rows = [r for r in rows if r.get("folder") != folder and os.path.exists(str(r.get("map")))]
-    rows.append({"project": project, "map": path, "modules": modules, "when": datetime.now(UTC).isoformat(timespec="seconds"), "folder": folder})
-    rows.sort(key=lambda r: str(r.get("when")), reverse=True)
-    mode = os.stat(registry).st_mode & 0o777 if os.path.exists(registry) else 0o644
-    handle, temporary = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(registry)))
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        json.dump(rows, f, indent=2)
-    os.chmod(temporary, mode)
-    os.replace(temporary, registry)
-    return rows

@@ -10,7 +10,7 @@ import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
 
-HARDENED = ["git", "-c", "core.fsmonitor=", "-c", "core.quotepath=off", "-c", "safe.directory=*"]
+HARDENED = ["git", "-c", "core.fsmonitor=", "-c", "core.quotepath=off"]
 TIMEOUT_S, MAX_COMMITS = 60, 4000
 COMMITS = "ord long, sha string, at long, author string, subject string"
 

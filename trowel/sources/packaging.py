@@ -10,48 +10,43 @@ import tomllib
 from pyspark.sql import DataFrame, SparkSession
 
 _SPEC = re.compile(r"^\s*([A-Za-z_][\w.]*)\s*(?::\s*[\w.]+)?\s*(?:\[[^\]]*\])?\s*$")
-SCHEMA = "module string, spec string, by string, source string"
+SCHEMA = "module string, spec string, by string, source string, name string"
+#: The tables of a project that name programs, besides its entry points.
+SCRIPT_TABLES = ["scripts", "gui-scripts"]
 
 
-def _module_of(spec: str) -> str | None:
-    found = _SPEC.match(spec)
-    return found[1] if found else None
+def _entries(pairs, group: str, source: str):
+    """(module, spec, group, source, name) of (name, spec) pairs whose spec names a module."""
+    for name, spec in pairs:
+        found = _SPEC.match(spec) if isinstance(spec, str) else None
+        if found:
+            yield found[1], spec.strip(), group, source, name.strip()
 
 
-def _from_pyproject(path: str) -> dict[str, tuple[str, str, str]]:
+def _from_pyproject(path: str) -> list[tuple]:
     try:
         with open(path, "rb") as f:
             project = tomllib.load(f).get("project", {})
     except (OSError, tomllib.TOMLDecodeError, UnicodeDecodeError):
-        return {}
-    groups = {"scripts": project.get("scripts", {}), "gui-scripts": project.get("gui-scripts", {})} | dict(project.get("entry-points", {}))
-    out: dict[str, tuple[str, str, str]] = {}
-    for group, entries in groups.items():
-        for spec in entries.values() if isinstance(entries, dict) else ():
-            module = _module_of(spec) if isinstance(spec, str) else None
-            if module:
-                out.setdefault(module, (spec, group, "pyproject.toml"))
-    return out
-
-
-def _from_setup_cfg(path: str) -> dict[str, tuple[str, str, str]]:
+        return []
+    groups = [(t, project.get(t)) for t in SCRIPT_TABLES] + list(dict(project.get("entry-points") or {}).items())
+    return [e for group, table in groups if isinstance(table, dict) for e in _entries(table.items(), group, "pyproject.toml")]
+
+
+def _from_setup_cfg(path: str) -> list[tuple]:
     parser = configparser.ConfigParser(interpolation=None)
     try:
         parser.read(path, encoding="utf-8")
         section = dict(parser["options.entry_points"]) if parser.has_section("options.entry_points") else {}
     except (configparser.Error, OSError, UnicodeDecodeError):
-        return {}
-    out: dict[str, tuple[str, str, str]] = {}
-    for group, lines in section.items():
-        for line in lines.splitlines():
-            _, eq, spec = line.partition("=")
-            module = _module_of(spec) if eq else None
-            if module:
-                out.setdefault(module, (spec.strip(), group, "setup.cfg"))
-    return out
+        return []
+    lines = lambda text: [line.split("=", 1) for line in text.splitlines() if "=" in line]
+    return [e for group, text in section.items() for e in _entries(lines(text), group, "setup.cfg")]
 
 
 def declared(spark: SparkSession, root: str) -> DataFrame:
-    """declared(module, spec, by, source); pyproject.toml wins over setup.cfg."""
-    found = _from_setup_cfg(os.path.join(root, "setup.cfg")) | _from_pyproject(os.path.join(root, "pyproject.toml"))
-    return spark.createDataFrame([(m, *v) for m, v in sorted(found.items())], SCHEMA)
+    """declared(module, spec, by, source, name): each module once, by its first entry; pyproject.toml wins over setup.cfg."""
+    found: dict[str, tuple] = {}
+    for entry in _from_pyproject(os.path.join(root, "pyproject.toml")) + _from_setup_cfg(os.path.join(root, "setup.cfg")):
+        found.setdefault(entry[0], entry)
+    return spark.createDataFrame([found[m] for m in sorted(found)], SCHEMA)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 from collections import Counter
 from dataclasses import dataclass, field
+from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Directories that are never surveyed, besides those that begin with a dot.
 SKIP_DIRS = [".git", "__pycache__", ".venv", "venv", "env", ".tox", ".mypy_cache", ".pytest_cache", "node_modules", "site-packages", ".eggs", "build", "dist", ".idea", ".vscode", "htmlcov", ".ruff_cache"]
@@ -60,6 +62,39 @@ def list_tree(root: str, skip_dirs: list[str] | None = None, max_files: int = 50
     return out
 
 
+def account(paths: DataFrame, skip_dirs: list[str] | None = None, max_files: int = 5000) -> DataFrame:
+    """paths(relpath) -> (relpath, ord, pruned, kind) of every Python file; list_tree's accounting for listings of any size, from whatever store.
+
+    kind: file, skipped (beyond the cap) or excluded, by the first folder of its path that is pruned. The
+    place of a file is counted within its folder, then over folders, so no task sorts all paths.
+    """
+    skip = SKIP_DIRS if skip_dirs is None else skip_dirs
+    source = paths.select("relpath").where(F.col("relpath").endswith(".py")).distinct()
+    parts = F.split("relpath", "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    pruned = F.get(F.filter(folders, lambda d: d.isin(*skip) | d.startswith(".")), F.lit(0))
+    rows = source.select("relpath", F.array_join(folders, "/").alias("folder"), pruned.alias("pruned"))
+    # folders in order of their parts: a separator below all other signs
+    kept = rows.where("pruned is null").withColumn("folder", F.replace("folder", F.lit("/"), F.lit("\x01")))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = kept.groupBy("folder").agg(F.count("*").alias("n")).select("folder", before(Window.orderBy("folder")).alias("before"))
+    placed = kept.withColumn("own", F.row_number().over(Window.partitionBy("folder").orderBy("relpath"))).join(sizes, "folder")
+    ord_ = (F.col("before") + F.col("own") - 1).cast("long")
+    files = placed.select("relpath", ord_.alias("ord"), "pruned").withColumn("kind", F.when(F.col("ord") < max_files, "file").otherwise("skipped"))
+    return files.union(rows.where("pruned is not null").select("relpath", F.lit(None).cast("long"), "pruned", F.lit("excluded")))
+
+
+def index(files: DataFrame) -> DataFrame:
+    """One row (files, lines, packages, unreadable) of files(relpath, content, ord), without parsing: what is shown before a survey."""
+    text = F.decode("content", "ISO-8859-1")
+    ends = F.size(F.split(text, "\n", -1)) - F.when(F.endswith(text, F.lit("\n")), 1).otherwise(0)
+    lines = F.when(F.octet_length("content") > 0, ends).otherwise(0)
+    return files.agg(
+        F.count("*").alias("files"), F.coalesce(F.sum(lines), F.lit(0)).alias("lines"),
+        F.count_if(F.col("relpath").rlike(r"(^|/)__init__\.py$")).alias("packages"), F.count_if(F.col("content").isNull()).alias("unreadable"),
+    )
+
+
 def read_files(spark: SparkSession, listing: Listing, per_task: int = 64) -> DataFrame:
     """files(relpath, content, ord): contents read by the executors, from a file system that they share with the driver."""
     root = listing.root
@@ -108,3 +143,19 @@ def project_root(path: str) -> str:
     while os.path.exists(os.path.join(at, "__init__.py")) and os.path.dirname(at) not in never:
         at = os.path.dirname(at)
     return at
+
+
+def folders_from_drop(payload: str | list[str]) -> list[str]:
+    """Folders that dropped paths or file URLs name, each once, in order; a file stands for the folder that holds it."""
+    found: dict[str, None] = {}
+    for line in [payload] if isinstance(payload, str) else payload:
+        path = str(line).strip()
+        path = unquote(urlsplit(path).path) if path.startswith("file://") else path
+        if path and not os.path.exists(path):
+            raise ValueError(f"{path} does not exist")
+        if path:
+            full = os.path.abspath(path)
+            found[full if os.path.isdir(full) else os.path.dirname(full)] = None
+    if not found:
+        raise ValueError("nothing was dropped")
+    return list(found)
