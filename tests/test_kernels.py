@@ -1,9 +1,11 @@
 """Kernels on small tables, with the edge cases that the driver's tables do not have."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from trowel.functions import text as T
-from trowel.operators import graph, relations, summaries
+from trowel.operators import geometry, graph, relations, summaries
 from trowel.plans import attempts
 
 
@@ -113,11 +115,76 @@ def test_text_functions(spark):
 
     assert one(T.module_name, "a/b/__init__.py") == "a.b" and one(T.module_name, "__init__.py") == "" and one(T.module_name, "m.py") == "m"
     assert one(T.stamped_date, "notes_2026-06-19.py") == "2026-06-19" and one(T.stamped_date, "v20261301.py") is None
-    assert one(T.marker_tag, "# TODO: x") == "TODO" and one(T.marker_tag, "# todo later") is None and one(T.marker_tag, "# debug this") is None
     assert one(T.vocabulary, "parseClaimForm") == ["parse", "claim", "form"]
     assert one(lambda c: T.clip_middle(c, 7), "abcdefghij") == "abc…hij"
 
 
 def test_greedy_groups_are_not_components():
     names = {"A": {1, 2, 3}, "B": {7, 8, 9}, "C": {1, 2, 3, 4, 5, 6}, "D": {4, 5, 6, 7, 8, 9}}
-    assert attempts.greedy_groups(sorted(names), names) == [["A", "C", "D"], ["B", "D"]]
+    sharing = [(a, b) for a in names for b in names if a < b and len(names[a] & names[b]) >= 3]
+    assert [sorted(g) for g in attempts.greedy_groups(sharing)] == [["A", "C", "D"], ["B", "D"]]
+
+
+def test_greedy_groups_equal_a_fold_over_all_groups():
+    def slow(pairs):
+        groups = []
+        for a, b in sorted(pairs):
+            home = next((g for g in groups if a in g or b in g), None)
+            if home is None:
+                groups.append([a, b])
+            else:
+                home += [k for k in (a, b) if k not in home]
+        return groups
+
+    r = random.Random(4)
+    for _ in range(60):
+        pairs = list({tuple(sorted(r.sample("abcdefghij", 2))) for _ in range(r.randint(1, 14))})
+        assert attempts.greedy_groups(pairs) == slow(pairs)
+
+
+def test_components_with_hubs(spark):
+    r = random.Random(1)
+    edges = [(0, i) for i in range(1, 3000)] + [(r.randrange(5000, 6000), r.randrange(5000, 6000)) for _ in range(700)] + [(i, i + 1) for i in range(10000, 10050)] + [(20000 + i, 999999) for i in range(1500)] + [(7, 7)]
+    top = {n: n for e in edges for n in e}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    got = {x.node: x.component for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in top}
+
+
+def test_overlap_links_connect_what_pairs_connect(spark):
+    r = random.Random(2)
+    rows_ = [(k, f) for k in range(60) for f in r.sample(range(30), r.randint(1, 6))] + [(k, f) for k in range(60, 90) for f in (1, 2, 3, 40)]
+    df = spark.createDataFrame(rows_, "k long, f long")
+    same = lambda edges: {x.node: x.component for x in graph.components(edges).collect()}
+    links = relations.overlap_links(df, "k", "f", 3)
+    assert same(links) == same(relations.overlap_pairs(df, "k", "f", 3)) and links.where("a >= 60 and b >= 60").count() <= 29
+
+
+def test_quiet_rank_counts_over_days(spark):
+    r = random.Random(5)
+    times = {k: r.randrange(10) * 40_000 for k in range(80)}
+    got = {x.k: x.later for x in summaries.quiet_rank(spark.createDataFrame(list(times.items()), "k long, t long"), "k", "t").collect()}
+    assert got == {k: sum(o > t for o in times.values()) for k, t in times.items()}
+
+
+def test_layered_chart():
+    chart = geometry.layered({0: ["a"], 1: ["c", "b"]}, ["z"], [("a", "b"), ("a", "c"), ("c", "a")])
+    assert {n: p["depth"] for n, p in chart["nodes"].items()} == {"a": 0, "b": 1, "c": 1, "z": 2}
+    assert [e["back"] for e in chart["edges"]] == [False, False, True] and chart["apart_y"] is not None
+    assert chart["nodes"]["b"]["x"] < chart["nodes"]["c"]["x"] and len({p["y"] for p in chart["nodes"].values()}) == 3
+    wide = geometry.layered({0: [f"n{i:02d}" for i in range(11)]}, [], [])
+    assert len({p["y"] for p in wide["nodes"].values()}) == 2 and wide["apart_y"] is None
+    order = geometry.sweep_layers({0: ["a", "b"], 1: ["x", "y", "lone"]}, [("a", "y"), ("b", "x")], 1)
+    assert order[1] == ["y", "x", "lone"]
+
+
+def test_boxes_stand_on_shelves():
+    assert geometry.shelve([("a", 1000, 50), ("b", 300, 80), ("c", 40, 10), ("d", 1350, 5)]) == [("a", 0, 0), ("b", 1014, 0), ("c", 0, 94), ("d", 0, 118)]

@@ -1,6 +1,7 @@
 """The survey on small trees of known content."""
 
 import json
+import os
 import subprocess
 import xml.etree.ElementTree as ET
 
@@ -173,7 +174,7 @@ def test_tags(text, tag):
     assert facts.tag_of(text) == tag
 
 
-@pytest.mark.parametrize(("text", "code"), [("# x = 1", True), ("# return il", True), ("# import os", True), ("# do_it(1)", True), ("#     x = 1", False), ("# noqa: F401", False), ("# some prose here", False), ("# word", False), ("# type: ignore", False)])
+@pytest.mark.parametrize(("text", "code"), [("# x = 1", True), ("# return total", True), ("# import os", True), ("# do_it(1)", True), ("#     x = 1", False), ("# noqa: F401", False), ("# some prose here", False), ("# word", False), ("# type: ignore", False)])
 def test_disabled_code(text, code):
     assert facts.is_disabled_code(text) is code
 
@@ -209,3 +210,96 @@ def test_hostile_repository_settings_run_nothing(spark, tmp_path):
     git(tmp_path, "config", "core.fsmonitor", f"touch {mark}")
     Survey.of_tree(spark, str(tmp_path)).origins.count()
     assert not mark.exists()
+
+
+def test_strings_given_to_all():
+    found = facts.file_facts("m.py", b"__all__ = ['a']\n__all__ += ['b']\n__all__.extend(['c', 'd'])\n__all__.append('e')\nother.extend(['f'])\n")
+    assert found["symbol_strings"] == ["a", "b", "c", "d", "e"]
+
+
+@pytest.mark.parametrize(("body", "says"), [("def f(): pass  # TODO", True), ("def f():\n    pass  # not yet implemented", True), ("def f():\n    raise NotImplementedError('not implemented yet')", True), ("def todo():\n    pass", False), ("def f():\n    pass  # not implemented", False)])
+def test_bodies_that_say_they_are_unfinished(body, says):
+    (found,) = facts.file_facts("m.py", body.encode())["definitions"]
+    assert found["says"] is says
+
+
+def test_bytes_that_python_refuses():
+    row = facts.file_facts("m.py", b"a = 1\nb = '\xe9'\n")
+    assert row["error"].startswith("Python refuses") and row["error_line"] == 2 and row["names_used"] == ["a", "b"]
+    assert facts.file_facts("m.py", "# coding: latin-1\nb = '\u00e9'\n".encode("latin-1"))["error"] is None
+    assert facts.file_facts("m.py", b"# coding: nonsense\n")["error"]
+
+
+def test_packaging(spark, tmp_path):
+    from trowel.sources import packaging
+
+    (tmp_path / "pyproject.toml").write_text('[project.scripts]\nrun = "pkg.cli:main"\n[project.entry-points.plug]\nx = "pkg.plug [extra]"\nbad = "not a spec!"\n')
+    (tmp_path / "setup.cfg").write_text("[options.entry_points]\nconsole_scripts =\n    run2 = pkg.cli:other\n    old = pkg.old:main\n")
+    got = {r.module: (r.spec, r.by, r.source, r.name) for r in packaging.declared(spark, str(tmp_path)).collect()}
+    assert got == {"pkg.cli": ("pkg.cli:main", "scripts", "pyproject.toml", "run"), "pkg.plug": ("pkg.plug [extra]", "plug", "pyproject.toml", "x"), "pkg.old": ("pkg.old:main", "console_scripts", "setup.cfg", "old")}
+    (tmp_path / "setup.cfg").write_text("[broken")
+    (tmp_path / "pyproject.toml").write_text("= broken")
+    assert packaging.declared(spark, str(tmp_path)).count() == 0
+
+
+def test_dropped_paths(tmp_path):
+    write(tmp_path, {"a/m.py": "", "b/n.py": ""})
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    assert tree.folders_from_drop([a, f"{a}/m.py", f"file://{b}/n.py", " "]) == [a, b]
+    for payload in ([], [str(tmp_path / "gone")]):
+        with pytest.raises(ValueError):
+            tree.folders_from_drop(payload)
+
+
+def test_listing_as_tables_equals_the_walk(spark, tmp_path):
+    files = {f"{d}m{i}.py": "x = 1\ny = 2" for d in ("", "a/", "a/b/", "a-b/", "venv/x/", ".h/") for i in range(3)}
+    write(tmp_path, files | {"a/__init__.py": "", "notes.md": ""})
+    walked = tree.list_tree(str(tmp_path), max_files=8)
+    paths = [(str(p.relative_to(tmp_path)),) for p in tmp_path.rglob("*") if p.is_file()]
+    rows = tree.account(spark.createDataFrame(paths, "relpath string"), max_files=8).collect()
+    assert [r.relpath for r in sorted((r for r in rows if r.kind == "file"), key=lambda r: r.ord)] == walked.files
+    assert sum(r.kind == "skipped" for r in rows) == walked.skipped == 5 and {r.pruned: sum(x.pruned == r.pruned for x in rows) for r in rows if r.pruned} == dict(walked.excluded)
+    assert tuple(tree.index(tree.read_files(spark, tree.list_tree(str(tmp_path)))).first()) == (13, 24, 1, 0)
+
+
+def test_shelf(tmp_path, monkeypatch):
+    from trowel.sinks import shelf
+
+    project = tmp_path / "a project"
+    project.mkdir()
+    first = shelf.map_destination(f"{project}/", "s")
+    assert first == str(tmp_path / "a project-map-s.html")
+    open(first, "w").close()
+    second = shelf.map_destination(str(project), "s")
+    assert second.endswith("-map-s-2.html")
+    open(second, "w").close()
+    registry = str(tmp_path / "r.json")
+    assert shelf.read_register(registry) == [] and "No map" in shelf.shelf_page(registry)
+    shelf.record_map(registry, "one", first, 3, "/f/one")
+    shelf.record_map(registry, "<two>", second, 4, "/f/two")
+    shelf.record_map(registry, "one", first, 5, "/f/one")
+    assert [(r["project"], r["modules"]) for r in shelf.read_register(registry)] == [("one", 5), ("<two>", 4)]
+    page = open(shelf.write_shelf(registry, str(tmp_path / "deep" / "shelf.html"))).read()
+    assert "&lt;two&gt;" in page and "a%20project-map-s.html" in page
+    os.remove(first)
+    assert [r["project"] for r in shelf.read_register(registry)] == ["<two>"]
+    for broken in ("{", '{"a": 1}', "[1, 2]"):
+        (tmp_path / "r.json").write_text(broken)
+        assert shelf.read_register(registry) == []
+    monkeypatch.setenv(shelf.HOME_VARIABLE, str(tmp_path))
+    assert shelf.shelf_home() == str(tmp_path) and shelf.shelf_note(f"{tmp_path}/shelf.html") and not shelf.shelf_note(os.path.expanduser(f"{shelf.HOME}/shelf.html"))
+
+
+def test_map_shows_every_module_and_cannot_be_broken_out_of(survey):
+    page = render.html_map(survey, "t")
+    assert page.count('class="node"') == 12 and page.count("</script>") == 2
+    data = json.loads(page.split('id="data">')[1].split("</script>")[0])
+    svc = data["modules"]["app.svc"]
+    assert svc["used_by"] == ["app.main"] and svc["signals"]["todo"]["lines"][0][0] == 3
+    assert data["modules"]["app.main"]["links"]["app.svc"]["lines"] == [[2, "from .svc import report"], [7, "    report(tidy(1))"]]
+
+
+def test_no_folder_is_trusted_for_git():
+    from trowel.sources import gitlog
+
+    assert not any("safe.directory" in a for a in gitlog.HARDENED)

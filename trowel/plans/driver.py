@@ -79,14 +79,6 @@ def fan(spark, sf_dir):
     return graph.fan(co_change(spark, sf_dir), "item_a", "item_b").withColumnRenamed("node", "part")
 
 
-@query
-def origin_totals(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels")
-    joined = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(labels, "doc_id", "left")
-    origin = summaries.first_match((F.col("quality").isNull() & F.col("toxic").isNull(), "unknown"), (F.col("toxic") == 1, "vendored"), (F.col("quality") == 1, "tracked"), default="untracked")
-    return joined.groupBy(origin.alias("origin")).agg(F.count("*").alias("modules"), F.sum("n_chars").alias("lines"))
-
-
 # --- anti-joins
 
 
@@ -117,8 +109,7 @@ def _lines(spark, sf_dir) -> DataFrame:
 def _facts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Line digests of documents, and members (component, doc_id) of overlapping documents."""
     lines = stage_table(spark, _lines(spark, sf_dir).select("doc_id", F.md5("line").alias("line")), "lines")
-    pairs = relations.overlap_pairs(lines, "doc_id", "line", 3)
-    members = graph.components(pairs).select("component", F.col("node").alias("doc_id"))
+    members = graph.components(relations.overlap_links(lines, "doc_id", "line", 3)).select("component", F.col("node").alias("doc_id"))
     return lines, stage_table(spark, members, "members")
 
 
@@ -129,7 +120,7 @@ def overlap_pairs(spark, sf_dir):
 
 @query
 def attempt_components(spark, sf_dir):
-    return graph.components(overlap_pairs(spark, sf_dir)).select(F.col("node").alias("doc_id"), "component")
+    return graph.components(relations.overlap_links(_lines(spark, sf_dir), "doc_id", "line", 3)).select(F.col("node").alias("doc_id"), "component")
 
 
 @query
@@ -162,18 +153,6 @@ def lineage(spark, sf_dir):
     return summaries.lineage(members, lines, "component", "doc_id", "line")
 
 
-@query
-def at_stake(spark, sf_dir):
-    lines, members = _facts(spark, sf_dir)
-    leader = _ranked(spark, sf_dir, members).where("rank = 1").select("component", F.col("doc_id").alias("leader"), "n_chars")
-    held = members.join(lines, "doc_id")
-    theirs = held.join(leader.select("component", "leader"), "component")
-    counts = theirs.groupBy("component", "line").agg(F.max((F.col("doc_id") == F.col("leader")).cast("int")).alias("own"), F.max((F.col("doc_id") != F.col("leader")).cast("int")).alias("sibling")).where("own = 1")
-    share = counts.groupBy("component").agg(F.count("*").alias("defined"), F.sum("sibling").alias("elsewhere"))
-    kept = F.col("n_chars") - F.expr("n_chars * elsewhere div defined")
-    return leader.join(share, "component").select("component", "leader", "defined", "elsewhere", F.expr("100 * elsewhere div defined").alias("elsewhere_percent"), kept.alias("at_stake"))
-
-
 @query
 def salvage_counterpart(spark, sf_dir):
     lines, _ = _facts(spark, sf_dir)
@@ -213,13 +192,14 @@ def hub_trim(spark, sf_dir):
 
 @query
 def ribbons(spark, sf_dir):
+    """Orders as edges from customers to suppliers, regions as their folders."""
     region = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    customers = table(spark, sf_dir, "customer").join(region, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("r_name").alias("src_folder"))
-    suppliers = table(spark, sf_dir, "supplier").join(region, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("dst_folder"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    folders = lines.join(orders, "l_orderkey").join(customers, "o_custkey").join(suppliers, "l_suppkey")
-    return folders.where("src_folder <> dst_folder").groupBy("src_folder", "dst_folder").agg(F.count("*").alias("n"))
+    buyers = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.col("c_nationkey").alias("n_nationkey"))
+    sellers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.col("s_nationkey").alias("n_nationkey"))
+    folder = buyers.union(sellers).join(region, "n_nationkey").select("node", F.col("r_name").alias("folder"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), "o_custkey").alias("src"))
+    edges = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("s"), "l_suppkey").alias("dst")).join(orders, "l_orderkey")
+    return relations.ribbons(edges, folder)
 
 
 def _roots(edges: DataFrame) -> DataFrame:
@@ -242,11 +222,14 @@ def trace_up_down(spark, sf_dir):
 
 @query
 def rename_chain(spark, sf_dir):
+    """Each document to the next with its text, followed to the last: chains within blocks of ids, so that no task orders a whole group of copies."""
     from pyspark.sql import Window
 
-    digests = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("d"), F.length("text").alias("n"))
-    links = digests.withColumn("new", F.lead("doc_id").over(Window.partitionBy("d", "n").orderBy("doc_id"))).where("new is not null")
-    return graph.pointer_chase(links.select("doc_id", "new"), "doc_id", "new").select(F.col("node").alias("doc_id"), "canonical")
+    digests = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("d"), F.length("text").alias("n"), F.floor(F.col("doc_id") / 65536).alias("block"))
+    within = digests.withColumn("new", F.lead("doc_id").over(Window.partitionBy("d", "n", "block").orderBy("doc_id"))).where("new is not null").select("doc_id", "new")
+    ends = digests.groupBy("d", "n", "block").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("doc_id"))
+    across = ends.withColumn("new", F.lead("low").over(Window.partitionBy("d", "n").orderBy("block"))).where("new is not null").select("doc_id", "new")
+    return graph.pointer_chase(within.union(across), "doc_id", "new").select(F.col("node").alias("doc_id"), "canonical")
 
 
 # --- windows
@@ -279,18 +262,6 @@ def quiet_rank(spark, sf_dir):
 # --- sources, text, sinks
 
 
-@query
-def cap_overflow(spark, sf_dir):
-    return summaries.cap_with_count(table(spark, sf_dir, "documents").select("doc_id"), 600)
-
-
-@query
-def excluded_accounting(spark, sf_dir):
-    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
-    kind = summaries.first_match((host.rlike(r"casino|bets|ads-"), "declined"), (host.startswith("m."), "mobile"), default="kept")
-    return table(spark, sf_dir, "pages").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct(host).alias("hosts"))
-
-
 @query
 def stamp_dates(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("backup_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_"), F.col("o_orderkey"), F.lit(".py")).alias("name"))
@@ -308,19 +279,6 @@ def size_share(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.size_share(F.col("n_chars")).alias("share"))
 
 
-@query
-def json_props(spark, sf_dir):
-    k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").select(k.alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-
-
-@query
-def marker_tags(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    tag = F.regexp_extract("line", r"^[ ]*(Released|Copyright|Licensed)\b", 1)
-    return lines.select("doc_id", tag.alias("tag")).where("tag <> ''").groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
-
-
 @query
 def href_resolution(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"), F.regexp_extract("html", r"<title>([^< ]*)", 1).alias("slug"), F.regexp_extract_all("html", F.lit(r'href="/([^"]*)"'), F.lit(1)).alias("hrefs"))
@@ -341,94 +299,6 @@ def range_join(spark, sf_dir):
     return relations.in_range(lines, orders, ["o_orderkey"], "l_shipdate", "o_orderdate", "until").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query
-def verdict_attach(spark, sf_dir):
-    """First group wins: each part's cheapest supplier nation, ties to the smaller number."""
-    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice").join(supplier, "l_suppkey")
-    return lines.groupBy("l_partkey").agg(F.min(F.struct("l_extendedprice", "s_nationkey")).alias("w")).select("l_partkey", F.col("w.s_nationkey").alias("nation"))
-
-
-@query
-def root_set(spark, sf_dir):
-    """Roots in order: large accounts first, then customers of one segment, each once with its first reason."""
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    first = customers.where("c_acctbal > 9000").select("c_custkey", F.lit(0).alias("reason"))
-    second = customers.where("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit(1).alias("reason"))
-    return first.union(second).groupBy("c_custkey").agg(F.min("reason").alias("reason"))
-
-
-@query
-def conventions(spark, sf_dir):
-    """First rule that fits a page's address."""
-    rule = summaries.first_match((F.col("url").rlike(r"#top$"), "anchor"), (F.col("url").rlike(r"[?&]page="), "listing"), (F.col("url").rlike(r"/$"), "folder"), default="page")
-    return table(spark, sf_dir, "pages").select("page_id", rule.alias("convention"))
-
-
-@query
-def declared_or_conventional(spark, sf_dir):
-    """Declared beats conventional: a document's label, else what its language stands for."""
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("declared"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id", "left")
-    return docs.select("doc_id", F.coalesce("declared", F.when(F.col("lang") == "en", 1).otherwise(0)).alias("value"), F.col("declared").isNotNull().alias("proven"))
-
-
-@query
-def prose_mention(spark, sf_dir):
-    """Substring join: documents that quote a benchmark item, by item."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("lead"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # items are a fixed table; Spark picks the side that it broadcasts by size
-    return docs.join(items, F.contains(F.col("text"), F.col("lead"))).groupBy("item_id").agg(F.count("*").alias("n_docs"))
-
-
-@query
-def tested_set(spark, sf_dir):
-    """Parts that orders of one status touch, and no others."""
-    tests = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    touched = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(tests, "l_orderkey", "left_semi")
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand").join(touched.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi")
-
-
-@query
-def set_operations(spark, sf_dir):
-    """Sizes of union, intersection and differences of the parts of two periods."""
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag")
-    flags = lines.groupBy("l_partkey").agg(F.max((F.col("l_returnflag") == "A").cast("int")).alias("a"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("r"))
-    count = lambda cond: F.sum(F.expr(cond).cast("long"))
-    return flags.agg(count("a = 1 or r = 1").alias("n_union"), count("a = 1 and r = 1").alias("n_intersect"), count("a = 1 and r = 0").alias("n_except"), count("a <> r").alias("n_symmetric"))
-
-
-@query
-def line_marks(spark, sf_dir):
-    """Marks per line: for each user and day the kinds of event, in order of name."""
-    events = table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
-    return events.groupBy("user_id", "day").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("marks"))
-
-
-@query
-def held_back(spark, sf_dir):
-    """What loads modules, and how many of each are proven: orders by priority, finished ones proven."""
-    orders = table(spark, sf_dir, "orders")
-    return orders.groupBy(F.col("o_orderpriority").alias("loader")).agg(F.count("*").alias("n"), F.sum((F.col("o_orderstatus") == "F").cast("long")).alias("proven"))
-
-
-@query
-def headline(spark, sf_dir):
-    """One row of counts."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.agg(F.count("*").alias("modules"), F.sum("n_chars").alias("lines"), F.count_distinct("source").alias("packages"), F.sum((F.col("n_chars") < 100).cast("long")).alias("stubs"))
-
-
-@query
-def regions(spark, sf_dir):
-    """Regions of three lines around marked lines, merged where they touch, 40 a document."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n", -1)).alias("loc"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    marked = lines.where(F.col("line").rlike("[#*]") & (F.col("i") < 160)).withColumn("at", F.col("i") + 1)
-    merged = summaries.islands(marked, ["doc_id"], F.greatest(F.col("at") - 3, F.lit(1)), F.least(F.col("at") + 3, F.col("loc")), F.lit(1))
-    return summaries.top_n_more(merged, ["doc_id"], [F.asc("island_start")], 40).select("doc_id", F.col("island_start").alias("low"), F.col("island_end").alias("high"), "n")
-
-
 @query
 def representatives(spark, sf_dir):
     """Live pick of each group: the first supplier of a nation that is not in debt, else the first."""
@@ -438,9 +308,15 @@ def representatives(spark, sf_dir):
 
 @query
 def labels_clipped(spark, sf_dir):
-    """Labels cut at the end and in the middle."""
-    name = F.col("p_name")
-    return table(spark, sf_dir, "part").select("p_partkey", T.clip_end(name, 12).alias("end"), T.clip_middle(name, 9).alias("middle"))
+    """Labels cut at the end, in the middle and at a word; a card's last line."""
+    name, size = F.col("p_name"), F.concat("p_size", F.lit(" lines"))
+    meta = T.meta_line(size, F.col("p_brand"), F.when(F.col("p_size") % 3 == 0, "new").otherwise(""), 14)
+    return table(spark, sf_dir, "part").select("p_partkey", T.clip_end(name, 12).alias("end"), T.clip_middle(name, 9).alias("middle"), T.clip_words(name, 9).alias("words"), meta.alias("meta"))
+
+
+@query
+def durations(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.duration(F.col("p_size") * 2.5 - 1.9).alias("took"))
 
 
 @query
@@ -463,18 +339,3 @@ def module_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.module_name(path).alias("dotted"))
 
 
-@query
-def cluster_rollup(spark, sf_dir):
-    """Clusters of overlapping documents: size, characters, label of the largest, whether any is labelled."""
-    _, members = _facts(spark, sf_dir)
-    labelled = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("entry")).distinct()
-    docs = members.join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").join(labelled, "doc_id", "left")
-    return docs.groupBy("component").agg(F.count("*").alias("size"), F.sum("n_chars").alias("loc"), F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("label"), F.max(F.col("entry").isNotNull()).alias("belongs"))
-
-
-@query
-def copied_aside(spark, sf_dir):
-    """Equal names in different folders, one kept aside: suppliers and customers of one number in different nations."""
-    a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_nationkey", "s_acctbal")
-    b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey", "c_acctbal")
-    return a.join(b, "k").where("s_nationkey <> c_nationkey and (s_acctbal < 0 or c_acctbal < 0)").select("k", "s_nationkey", "c_nationkey")

@@ -80,10 +80,6 @@ SELECT user_id, event_type, n FROM (
 WITH e AS ({CO_CHANGE})
 SELECT part, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out
 FROM (SELECT item_a AS part, 0 AS i, 1 AS o FROM e UNION ALL SELECT item_b, 1, 0 FROM e) GROUP BY part""",
-    "origin_totals": """
-SELECT CASE WHEN l.quality IS NULL AND l.toxic IS NULL THEN 'unknown' WHEN l.toxic = 1 THEN 'vendored' WHEN l.quality = 1 THEN 'tracked' ELSE 'untracked' END AS origin,
-       count(*) AS modules, CAST(sum(n_chars) AS BIGINT) AS lines
-FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""",
     "orphans": """
 SELECT p_partkey, p_name FROM part p WHERE NOT EXISTS (
   SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_shipdate > (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 30 DAY)""",
@@ -110,12 +106,6 @@ SELECT component, doc_id, CAST(step AS INTEGER) AS step,
   (SELECT count(*) FROM held h WHERE h.doc_id = s.doc_id AND EXISTS (SELECT 1 FROM held e WHERE e.component = h.component AND e.line = h.line AND e.step < h.step)) AS carried,
   (SELECT count(DISTINCT e.line) FROM held e WHERE e.component = s.component AND e.step < s.step AND NOT EXISTS (SELECT 1 FROM held h WHERE h.doc_id = s.doc_id AND h.line = e.line)) AS dropped
 FROM steps s""",
-    "at_stake": f"""
-WITH RECURSIVE {MEMBERS} {RANKED}
-SELECT component, leader, defined, elsewhere, 100 * elsewhere // defined AS elsewhere_percent, n_chars - n_chars * elsewhere // defined AS at_stake FROM (
-  SELECT r.component, r.doc_id AS leader, r.n_chars, count(*) AS defined,
-         count(*) FILTER (WHERE EXISTS (SELECT 1 FROM members m JOIN lines o USING (doc_id) WHERE m.component = r.component AND o.doc_id <> r.doc_id AND o.line = l.line)) AS elsewhere
-  FROM ranked r JOIN lines l USING (doc_id) WHERE r.rank = 1 GROUP BY ALL)""",
     "salvage_counterpart": f"""
 WITH lines AS ({LINES}), pairs AS ({PAIRS}), both_ways AS (SELECT a, b, shared FROM pairs UNION ALL SELECT b, a, shared FROM pairs)
 SELECT mine, counterpart, shared FROM (
@@ -167,10 +157,6 @@ SELECT user_id, event_type, ts, event_id, value FROM (
     "quiet_rank": """
 WITH l AS (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY o_custkey)
 SELECT o_custkey, later FROM (SELECT o_custkey, rank() OVER (ORDER BY last DESC) - 1 AS later FROM l) WHERE later >= 3""",
-    "cap_overflow": "SELECT least(count(*), 600) AS kept, greatest(count(*) - 600, 0) AS skipped FROM documents",
-    "excluded_accounting": r"""
-SELECT CASE WHEN regexp_matches(host, 'casino|bets|ads-') THEN 'declined' WHEN starts_with(host, 'm.') THEN 'mobile' ELSE 'kept' END AS kind, count(*) AS n, count(DISTINCT host) AS hosts
-FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages) GROUP BY 1""",
     "stamp_dates": r"""
 SELECT o_orderkey, CASE WHEN d <> '' THEN substr(d, 1, 4) || '-' || substr(d, 5, 2) || '-' || substr(d, 7, 2) END AS stamped
 FROM (SELECT o_orderkey, regexp_extract('backup_' || strftime(o_orderdate, '%Y%m%d') || '_' || o_orderkey || '.py', '(?:^|[^0-9])(20[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01]))(?:[^0-9]|$)', 1) AS d FROM orders)""",
@@ -181,11 +167,6 @@ WHERE length(word) > 2 AND word NOT IN ({WORDS}) GROUP BY word""",
     "size_share": """
 SELECT doc_id, round(CASE WHEN n_chars <= 40 THEN 0.0 WHEN n_chars >= 2400 THEN 1.0
   ELSE (log10(n_chars) - log10(40)) / (log10(2400) - log10(40)) END::DOUBLE, 6) AS share FROM documents""",
-    "json_props": "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
-    "marker_tags": r"""
-SELECT doc_id, tag, count(*) AS n FROM (
-  SELECT doc_id, regexp_extract(l, '^[ ]*(Released|Copyright|Licensed)\b', 1) AS tag FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents))
-WHERE tag <> '' GROUP BY doc_id, tag""",
     "href_resolution": r"""
 WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(html, '<title>([^< ]*)', 1) AS slug, html FROM pages),
 refs AS (SELECT DISTINCT page_id, host, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS href FROM p),
@@ -199,52 +180,20 @@ SELECT page_id, href, target, CAST(priority AS INTEGER) AS priority FROM (
 SQL |= {
     "range_join": """
 SELECT o_orderpriority, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 60 DAY GROUP BY 1""",
-    "verdict_attach": """
-SELECT l_partkey, s_nationkey AS nation FROM (
-  SELECT l_partkey, s_nationkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, s_nationkey) AS r FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) WHERE r = 1""",
-    "root_set": """
-SELECT c_custkey, CASE WHEN c_acctbal > 9000 THEN 0 ELSE 1 END AS reason FROM customer WHERE c_acctbal > 9000 OR c_mktsegment = 'BUILDING'""",
-    "conventions": """
-SELECT page_id, CASE WHEN ends_with(url, '#top') THEN 'anchor' WHEN regexp_matches(url, '[?&]page=') THEN 'listing' WHEN ends_with(url, '/') THEN 'folder' ELSE 'page' END AS convention FROM pages""",
-    "declared_or_conventional": """
-SELECT d.doc_id, coalesce(declared, CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS value, declared IS NOT NULL AS proven
-FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS declared FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id""",
-    "prose_mention": """
-SELECT item_id, count(*) AS n_docs FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY item_id""",
-    "tested_set": """
-SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P')""",
-    "set_operations": """
-WITH a AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A'), r AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R')
-SELECT (SELECT count(*) FROM (FROM a UNION FROM r)) AS n_union, (SELECT count(*) FROM (FROM a INTERSECT FROM r)) AS n_intersect, (SELECT count(*) FROM (FROM a EXCEPT FROM r)) AS n_except,
-       (SELECT count(*) FROM (FROM a EXCEPT FROM r)) + (SELECT count(*) FROM (FROM r EXCEPT FROM a)) AS n_symmetric""",
-    "line_marks": """
-SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS marks FROM events GROUP BY 1, 2""",
-    "held_back": "SELECT o_orderpriority AS loader, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS proven FROM orders GROUP BY 1",
-    "headline": "SELECT count(*) AS modules, CAST(sum(n_chars) AS BIGINT) AS lines, count(DISTINCT source) AS packages, count(*) FILTER (WHERE n_chars < 100) AS stubs FROM documents",
-    "regions": """
-WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) AS loc, string_split(text, chr(10)) AS s FROM documents),
-p AS (SELECT doc_id, loc, s, unnest(generate_series(1, loc)) AS ln FROM l),
-m AS (SELECT doc_id, ln, CAST(greatest(ln - 3, 1) AS INTEGER) AS lo, CAST(least(ln + 3, loc) AS INTEGER) AS hi FROM p WHERE ln <= 160 AND regexp_matches(s[ln], '[#*]')),
-f AS (SELECT *, CASE WHEN lo <= 1 + max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi, ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM m),
-i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY lo, hi, ln ROWS UNBOUNDED PRECEDING) AS island FROM f),
-g AS (SELECT doc_id, min(lo) AS low, max(hi) AS high, count(*) AS n FROM i GROUP BY doc_id, island)
-SELECT doc_id, low, high, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY low) AS k FROM g) WHERE k <= 40""",
     "representatives": """
 SELECT s_nationkey, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal < 0, s_suppkey) AS r FROM supplier) WHERE r = 1""",
     "labels_clipped": """
 SELECT p_partkey, CASE WHEN length(p_name) > 12 THEN p_name[1:11] || '…' ELSE p_name END AS "end",
-       CASE WHEN length(p_name) > 9 THEN p_name[1:4] || '…' || p_name[-4:] ELSE p_name END AS middle FROM part""",
+       CASE WHEN length(p_name) > 9 THEN p_name[1:4] || '…' || p_name[-4:] ELSE p_name END AS middle,
+       CASE WHEN length(p_name) > 9 THEN regexp_replace(p_name[1:5], ' [^ ]*$', '') || ' ...' ELSE p_name END AS words, CASE WHEN length(line) > 14 THEN line[1:13] || '…' ELSE line END AS meta
+FROM (SELECT *, p_size || ' lines' || CASE WHEN p_size % 3 = 0 THEN '' ELSE '  ·  ' || p_brand END AS line FROM part)""",
+    "durations": """
+SELECT p_partkey, CASE WHEN t < 1 THEN format('{:.0f} ms', t * 1000) WHEN t < 90 THEN format('{:.1f} seconds', t) ELSE format('{:.1f} minutes', t / 60) END AS took FROM (SELECT p_partkey, p_size * 25e-1 - 19e-1 AS t FROM part)""",
     "score_bars": """
-SELECT event_type, repeat('#', CAST(greatest(1, round_even(n / most * 20, 0)) AS INTEGER)) AS bar
+SELECT event_type, rpad(repeat('#', CAST(greatest(1, round_even(n / most * 20, 0)) AS INTEGER)), 20, '.') AS bar
 FROM (SELECT event_type, count(*) AS n, max(count(*)) OVER () AS most FROM events GROUP BY event_type)""",
     "escaped_html": """
 SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""",
     "module_names": """
 SELECT p_partkey, 'pkg.' || lower(replace(p_brand, '#', '_')) || CASE WHEN p_size % 5 = 0 THEN '' ELSE '.m' || p_partkey END AS dotted FROM part""",
-    "cluster_rollup": f"""
-WITH RECURSIVE {MEMBERS}
-SELECT component, count(*) AS size, CAST(sum(n_chars) AS BIGINT) AS loc, arg_max(doc_id, n_chars * 1000000 - doc_id) AS label, bool_or(doc_id IN (SELECT doc_id FROM labels)) AS belongs
-FROM members JOIN documents USING (doc_id) GROUP BY component""",
-    "copied_aside": """
-SELECT s_suppkey AS k, s_nationkey, c_nationkey FROM supplier JOIN customer ON s_suppkey = c_custkey WHERE s_nationkey <> c_nationkey AND (s_acctbal < 0 OR c_acctbal < 0)""",
 }
