@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trowel.operators import relations
 from trowel.session import shuffle_parts, stage_table
 
 
@@ -41,45 +42,29 @@ def trace(edges: DataFrame, seed: DataFrame, src: str = "src", dst: str = "dst")
     return down.union(up)
 
 
-#: A node is a hub if its edges are more than this, more than a partition's share, and more than leaves room for MOST_HUBS hubs.
-HUB_EDGES, MOST_HUBS = 1000, 100_000
-
-
-def _with_least(rows: DataFrame, key: str, least: DataFrame, limit: int | None) -> DataFrame:
-    """rows with m, least's value for their key. least: (key, m, n), n being the number of rows; limit: None where no key is a hub.
-
-    Rows of hubs meet a broadcast table of hubs where they are, so a hub is never one task's work.
-    """
-    if limit is None:
-        return rows.join(least.select(key, "m"), key).select(*rows.columns, "m")
-    hubs = least.where(F.col("n") > limit).select(key, F.col("m").alias("hub_m"))
-    marked = rows.join(F.broadcast(hubs), key, "left")  # MOST_HUBS rows at most
-    there = marked.where("hub_m is not null").select(*rows.columns, F.col("hub_m").alias("m"))
-    return there.union(marked.where("hub_m is null").drop("hub_m").join(least.where(F.col("n") <= limit).select(key, "m"), key).select(*rows.columns, "m"))
-
-
 def stars(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, component) for every node but the smallest of its component.
 
     Large-star and small-star steps in turn: grouped minima, combined before the shuffle, and
-    equi-joins without hubs; about log(n) rounds, each staged in the shared folder. Loops, nulls and
-    repeated edges are ignored. The driver sees three numbers a round.
+    equi-joins without hubs; about log(n) rounds, each staged in the shared folder, until every node is
+    the centre of a star or has one edge, to a centre. Loops, nulls and repeated edges are ignored. The
+    driver sees three numbers a round.
     """
     spark = edges.sparkSession
     now = stage_table(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), "star")
-    before = None
     while True:
-        both = now.union(now.select("y", "x")).toDF("u", "v")
-        degrees = both.groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF)).alias("h"))
-        sign = degrees.agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.max("n").alias("most")).first()
-        if sign == before or not sign["n"]:
+        ends = now.select(F.col("x").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("y", F.lit(0), F.lit(1)))
+        degrees = ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        sign = degrees.agg(F.sum("up").alias("n"), F.max(F.col("up") + F.col("down")).alias("most"), F.count_if(F.expr("up > 1 or (up = 1 and down > 0)")).alias("open")).first()
+        if not sign["open"]:
             return now.select(F.col("x").alias("node"), F.col("y").alias("component"))
-        before, limit = sign, max(HUB_EDGES, sign["n"] // (2 * shuffle_parts(spark)), 2 * sign["n"] // MOST_HUBS)
+        limit = relations.hot_limit(2 * sign["n"], shuffle_parts(spark))
         limit = limit if sign["most"] > limit else None
+        both = now.union(now.select("y", "x")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both.where("v > u"), "u", low, limit).select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
+        large = relations.join_hot(both.where("v > u"), "u", low, limit).select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, "x", least, limit).where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        small = relations.join_hot(large, "x", least, limit).where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         now = stage_table(spark, small.union(least.select("x", "m")).distinct(), "star")
 
 

@@ -87,6 +87,31 @@ def best_counterpart(pairs: DataFrame, mine: str, theirs: str, score: str) -> Da
     return best.select(mine, F.col("m.t").alias(theirs), (-F.col("m.s")).alias(score))
 
 
+#: A key is hot if its rows are more than this, more than a partition's share, and more than leaves room for MOST_HOT hot keys.
+HOT_ROWS, MOST_HOT = 1000, 100_000
+
+
+def hot_limit(n_rows: int, partitions: int) -> int:
+    """Rows of a key above which it is hot; of n_rows, MOST_HOT / 2 keys at most can have more."""
+    return max(HOT_ROWS, n_rows // (2 * partitions), 2 * n_rows // MOST_HOT)
+
+
+def join_hot(rows: DataFrame, key: str, table: DataFrame, limit: int | None, count: str = "n") -> DataFrame:
+    """rows with the columns of table for their key, as an inner join. table: one row a key, with the number of its rows in count.
+
+    Rows of hot keys meet a broadcast table of MOST_HOT rows at most where they are, so a key is never
+    one task's work; all others are an equi-join. limit: from hot_limit, or None where no key is hot.
+    """
+    given = [c for c in table.columns if c != key]
+    if limit is None:
+        return rows.join(table, key).select(*rows.columns, *given)
+    hot = table.where(F.col(count) > limit)
+    marked = rows.join(F.broadcast(hot), key, "left")  # MOST_HOT rows at most
+    there = marked.where(F.col(count).isNotNull()).select(*rows.columns, *given)
+    rest = marked.where(F.col(count).isNull()).select(*rows.columns)
+    return there.union(rest.join(table.where(F.col(count) <= limit), key).select(*rows.columns, *given))
+
+
 def in_range(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, low: str, high: str) -> DataFrame:
     """points joined with the ranges of the same keys that hold them: an equi-join with a residual."""
     return points.join(ranges, list(keys)).where(F.col(at).between(F.col(low), F.col(high)))
