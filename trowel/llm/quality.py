@@ -1,16 +1,19 @@
 """Quality rules on documents and on their hosts.
 
-Document rules give counts for each text and base_failed. Host rules: failures are summed by domain,
-each domain's rate is shrunk with a beta prior whose mean and strength are fitted, by moments, to the
-rates of all domains, and the verdict is joined back to the documents: a document whose domain has a
-shrunk rate above max_rate is rejected even if it passes itself.
+Document rules give counts for each text and base_failed, and say which of RULES it fails. Host rules:
+failures of each rule are summed by domain, each domain's rate is shrunk with a beta prior whose mean
+and strength are fitted, by moments, to the rates of all domains, and the verdicts are joined back to
+the documents. A document is rejected if it fails the base rule; if its domain's shrunk rate of base
+failures is above that rule's limit; or if it fails another rule of which its domain's shrunk rate is
+above that rule's limit: what one text may have by chance is believed of a host that does it often.
 
 Skew: a domain with any share of the rows is summed before the shuffle; the join back is an equi-join
 with one row per domain on one side, which Spark may broadcast by its own size check or split.
 
 Defined results: null or empty text counts as no words and fails; a null domain has no host verdict;
-rows that repeat count each; with one domain, or domains of equal rates, the prior is as strong as
-the largest strength below. Other columns are kept by keep_good and ignored by host_rules.
+rows that repeat, also a doc_id, count each; a null doc_id is kept; with one domain, or domains of equal
+rates, the prior is as strong as the largest strength below. Other columns are kept by keep_good and
+ignored by host_rules.
 """
 
 from __future__ import annotations
@@ -20,15 +23,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trowel.llm.arrays import U64, mix, slices, text_buffers, window_owner, windows, words_of
+from trowel.llm.arrays import U64, mix, slices, text_buffers, tidy, window_owner, windows, words_of
 from trowel.session import ship_package, stage_table
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 #: Words of a text at least; percent of its words that may lie in repeated windows of WINDOW words.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: A domain is rejected if its shrunk failure rate is above this.
-MAX_RATE = 0.75
+#: Rules by name: the condition on the counts, and the shrunk rate above which a domain's failures of it count.
+RULES = {
+    "base": ("base_failed", 0.75),
+    "symbols": ("10 * n_symbols > n_words", 0.5),
+    "duplicates": ("n_dup_lines >= 3", 0.5),
+    "words": ("word_chars > 12 * n_words OR word_chars < 2 * n_words", 0.5),
+}
 #: Pseudo-documents of the prior, at least and at most.
 STRENGTH = (2.0, 1000.0)
 
@@ -94,47 +102,78 @@ def document_rules(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in counts)], [*batch.schema.names, *names])
 
     schema = rest.limit(0).selectExpr("*", *(f"cast(0 as bigint) as {n}" for n in names)).schema
-    counted = rest.mapInArrow(rows, schema)
+    counted = rest.mapInArrow(tidy(rows), schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 
 
-def host_verdicts(judged: DataFrame, domain: str, max_rate: float = MAX_RATE) -> DataFrame:
-    """(domain, n_docs, n_failed, shrunk_rate, host_failed) from rows with base_failed.
+def _fails(rule: str) -> Column:
+    return F.expr(RULES[rule][0])
 
-    Prior: mean m of all documents' failures; strength s = m(1-m)/v - 1 within STRENGTH, v the
-    variance of the domains' rates beyond what sampling explains. shrunk = (failed + s*m) / (n + s).
-    """
-    hosts = judged.where(F.col(domain).isNotNull()).groupBy(F.col(domain).alias("domain")).agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    fit = hosts.agg(F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("n_docs")).alias("i"))
-    mean = F.col("f") / F.col("n")
-    excess = F.greatest(F.col("v") - mean * (1 - mean) * F.col("i"), F.lit(1e-9))
-    fit = fit.select(mean.alias("m"), F.least(F.greatest(mean * (1 - mean) / excess - 1, F.lit(STRENGTH[0])), F.lit(STRENGTH[1])).alias("s"))
-    shrunk = (F.col("n_failed") + F.col("s") * F.col("m")) / (F.col("n_docs") + F.col("s"))
-    return hosts.join(F.broadcast(fit)).select("domain", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk > max_rate).alias("host_failed"))  # fit is one row
-
-
-def host_rules(docs: DataFrame, domain: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """Per document: doc_id, counts, base_failed, kept, domain, shrunk_rate, host_failed."""
-    judged = stage_table(docs.sparkSession, document_rules(docs.select("doc_id", F.col(domain).alias("domain"), F.col("text").cast("string").alias("text"))).drop("text"), "judged")
-    return _with_verdict(judged, host_verdicts(judged, "domain", max_rate))
 
+def host_verdicts(judged: DataFrame, domain: str, limits: dict[str, float] | None = None) -> DataFrame:
+    """(domain, n_docs, and of each rule f_ (failures), rate_ and bad_) from rows with counts and base_failed.
 
-def _with_verdict(judged: DataFrame, hosts: DataFrame) -> DataFrame:
-    host_failed: Column = F.coalesce("host_failed", F.lit(False))
-    joined = judged.join(hosts.select("domain", "shrunk_rate", "host_failed"), "domain", "left")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~host_failed).alias("kept"), "domain", "shrunk_rate", host_failed.alias("host_failed"))
+    Prior of a rule: mean m of all documents' failures; strength s = m(1-m)/v - 1 within STRENGTH, v the
+    variance of the domains' rates beyond what sampling explains. rate = (f + s*m) / (n_docs + s).
+    """
+    limit = {rule: (limits or {}).get(rule, most) for rule, (_, most) in RULES.items()}
+    failed = [F.sum(_fails(rule).cast("long")).alias(f"f_{rule}") for rule in RULES]
+    hosts = judged.where(F.col(domain).isNotNull()).groupBy(F.col(domain).alias("domain")).agg(F.count("*").alias("n_docs"), *failed)
+    fits = []
+    for rule in RULES:
+        n = F.col(f"f_{rule}")
+        mean, spread, unlike = F.sum(n) / F.sum("n_docs"), F.var_pop(n / F.col("n_docs")), F.avg(1 / F.col("n_docs"))
+        excess = F.greatest(spread - mean * (1 - mean) * unlike, F.lit(1e-9))
+        fits += [mean.alias(f"m_{rule}"), F.least(F.greatest(mean * (1 - mean) / excess - 1, F.lit(STRENGTH[0])), F.lit(STRENGTH[1])).alias(f"s_{rule}")]
+    fit = hosts.agg(*fits)
+    rate = lambda r: (F.col(f"f_{r}") + F.col(f"s_{r}") * F.col(f"m_{r}")) / (F.col("n_docs") + F.col(f"s_{r}"))
+    shrunk = hosts.join(F.broadcast(fit)).select(*hosts.columns, *(rate(r).alias(f"rate_{r}") for r in RULES))  # fit is one row
+    return shrunk.select("*", *((F.col(f"rate_{r}") > limit[r]).alias(f"bad_{r}") for r in RULES))
+
+
+def _rejected() -> Column:
+    """Is a document rejected, with its domain's bad_ columns joined?"""
+    out = F.col("base_failed") | F.coalesce("bad_base", F.lit(False))
+    for rule in list(RULES)[1:]:
+        out = out | (F.coalesce(f"bad_{rule}", F.lit(False)) & _fails(rule))
+    return out
+
+
+def host_rules(docs: DataFrame, domain: str = "source", limits: dict[str, float] | None = None) -> DataFrame:
+    """Per document: doc_id, counts, base_failed, kept, domain, failed (the other rules that it fails), shrunk_rate (of base), host_failed, host_rules (the other rules that its domain fails)."""
+    judged = stage_table(docs.sparkSession, document_rules(docs.select("doc_id", F.col(domain).alias("domain"), F.col("text").cast("string").alias("text"))).drop("text"), "judged")
+    joined = judged.join(host_verdicts(judged, "domain", limits), "domain", "left")
+    others = list(RULES)[1:]
+    named = lambda condition: F.concat_ws(",", *(F.when(condition(r), F.lit(r)) for r in others))
+    return joined.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~_rejected()).alias("kept"), "domain",
+        named(_fails).alias("failed"), F.col("rate_base").alias("shrunk_rate"), F.coalesce("bad_base", F.lit(False)).alias("host_failed"), named(lambda r: F.col(f"bad_{r}")).alias("host_rules"),
+    )
 
 
-def keep_good(docs: DataFrame, domain: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows of docs, all columns, that pass their own rules and whose domain passes."""
+def keep_good(docs: DataFrame, domain: str = "source", limits: dict[str, float] | None = None) -> DataFrame:
+    """The rows of docs, all columns, that pass their own rules and their domain's."""
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no clash with the counts
     text, host = (f"c{docs.columns.index(c)}" for c in ("text", domain))
     judged = document_rules(inner, text)
-    bad = host_verdicts(judged.select(host, "base_failed"), host, max_rate).where("host_failed").select(F.col("domain").alias(host))
+    bad = host_verdicts(judged.drop(text), host, limits).where(" or ".join(f"bad_{r}" for r in RULES)).select(F.col("domain").alias(host), *(f"bad_{r}" for r in RULES))
     bad = stage_table(docs.sparkSession, bad, "hosts")  # its size is then known: texts are only shuffled if it is large
-    return judged.where("not base_failed").join(bad, host, "left_anti").select(*inner.columns).toDF(*docs.columns)
+    return judged.where("not base_failed").join(bad, host, "left").where(~_rejected()).select(*inner.columns).toDF(*docs.columns)
+
+
+def _sql_of_rules() -> dict[str, str]:
+    others = list(RULES)[1:]
+    bad = lambda r: f"coalesce(bad_{r}, false)"
+    return {
+        "sums": ", ".join(f"sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS f_{r}" for r, (c, _) in RULES.items()),
+        "fits": ", ".join(f"sum(f_{r}) / sum(n_docs) AS m_{r}, var_pop(f_{r} / n_docs) AS v_{r}" for r in RULES),
+        "priors": ", ".join(f"m_{r}, least(greatest(m_{r} * (1 - m_{r}) / greatest(v_{r} - m_{r} * (1 - m_{r}) * i, 1e-9) - 1, {STRENGTH[0]}), {STRENGTH[1]}) AS s_{r}" for r in RULES),
+        "verdicts": ", ".join(f"(f_{r} + s_{r} * m_{r}) / (n_docs + s_{r}) > {most} AS bad_{r}" for r, (_, most) in RULES.items()),
+        "rejected": " OR ".join(["base_failed", bad("base"), *(f"({bad(r)} AND ({RULES[r][0]}))" for r in others)]),
+        "failed": "concat_ws(',', " + ", ".join(f"CASE WHEN {RULES[r][0]} THEN '{r}' END" for r in others) + ")",
+        "host_rules": "concat_ws(',', " + ", ".join(f"CASE WHEN {bad(r)} THEN '{r}' END" for r in others) + ")",
+    }
 
 
 #: DuckDB SQL for op2's rows over the table documents.
@@ -162,17 +201,17 @@ WITH base AS (
          (len(w) < 10 OR 100 * coalesce(repw.n, 0) > 20 * len(w)) AS base_failed
   FROM base b LEFT JOIN dup USING (doc_id) LEFT JOIN repw USING (doc_id)
 ), hosts AS (
-  SELECT domain, count(*) AS n_docs, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS n_failed
-  FROM judged WHERE domain IS NOT NULL GROUP BY domain
+  SELECT domain, count(*) AS n_docs, {sums} FROM judged WHERE domain IS NOT NULL GROUP BY domain
 ), fit AS (
-  SELECT sum(n_failed) / sum(n_docs) AS m, var_pop(n_failed / n_docs) AS v, avg(1 / n_docs) AS i FROM hosts
+  SELECT {fits}, avg(1 / n_docs) AS i FROM hosts
 ), prior AS (
-  SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * i, 1e-9) - 1, 2.0), 1000.0) AS s FROM fit
+  SELECT {priors} FROM fit
 ), verdict AS (
-  SELECT domain, (n_failed + s * m) / (n_docs + s) > 0.75 AS host_failed FROM hosts, prior
+  SELECT domain, {verdicts} FROM hosts, prior
 )
-SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       (NOT base_failed AND NOT coalesce(host_failed, false)) AS kept,
-       j.domain, coalesce(host_failed, false) AS host_failed
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT ({rejected}) AS kept,
+       j.domain, {failed} AS failed, coalesce(bad_base, false) AS host_failed, {host_rules} AS host_rules
 FROM judged j LEFT JOIN verdict v ON j.domain = v.domain
 """
+for _name, _text in _sql_of_rules().items():
+    SQL = SQL.replace("{" + _name + "}", _text)
