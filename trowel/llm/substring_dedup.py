@@ -1,6 +1,6 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted across the corpus.
 
-Plan. Documents are dealt to chunks, each a contiguous range of doc_id. A chunk hashes all its
+Plan. Documents are dealt to chunks, each a contiguous range of doc_id with about the same bytes. A chunk hashes all its
 windows and sends each *distinct* hash once, as sorted, delta-coded lists per hash bucket. A bucket
 tells, for every hash, which chunks hold it; every chunk but the lowest gets the hash back. A window
 is then known to start earlier iff its chunk got the hash back (an earlier chunk has it) or the hash
@@ -13,7 +13,8 @@ share one with probability below n * n / 2 ** 65.
 
 Defined results: null or empty text has no words (n_words 0, kept_sha256 of the empty string);
 rows that repeat a doc_id are ordered by text and count as separate documents, each later one a
-repetition of the earlier; a null doc_id sorts before all others and stays null in the result.
+repetition of the earlier; null doc_ids sort before all others, in an order of their own by a digest of
+the text, and stay null in the result.
 Columns other than doc_id and text are ignored. An empty table gives an empty result.
 """
 
@@ -34,27 +35,62 @@ from trowel.llm.arrays import (
     pack_sorted,
     slices,
     text_buffers,
+    tidy,
     unpack_docs,
     unpack_sorted,
     window_owner,
     windows,
     words_of,
 )
-from trowel.session import input_bytes, ship_package, shuffle_parts
+from trowel.session import input_bytes, ship_package, shuffle_parts, stage_table
 
 #: Stands for a null doc_id inside chunks.
 NO_ID = -(1 << 63)
 
 
-def chunk_bounds(docs: DataFrame, chunks: int) -> list[int]:
-    """Ids that cut the documents into chunks of about equal row counts. The driver holds 8 bytes a chunk."""
-    shares = [i / chunks for i in range(1, chunks)]
-    row = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * chunks)).alias("b")).first() if shares else None
-    return sorted(set(row["b"])) if row and row["b"] else []
+#: Ranges of ids whose bytes the driver sees at a time.
+BINS = 20_000
 
 
-def _chunked(docs: DataFrame, bounds: list[int]) -> DataFrame:
-    """(chunk, docs): documents of each input batch, packed by chunk."""
+def chunk_bounds(docs: DataFrame, chunk_bytes: int) -> tuple[list[int], int]:
+    """Last ids of chunks of about chunk_bytes of text, and the number of chunks for rows without an id.
+
+    The bytes of equal ranges of ids are added up in Spark; ranges above a chunk are cut finer, all together,
+    until none is: once or twice, unless ids lie far apart. The driver sees BINS sums a pass, and holds 8
+    bytes a chunk.
+    """
+    spark = docs.sparkSession
+    sizes = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("bytes"))
+    sizes = stage_table(spark, sizes, "sizes")
+    ends = sizes.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.when(F.col("id").isNull(), F.col("bytes"))).alias("lost"), F.count_if(F.col("id").isNull()).alias("n_lost")).first()
+    lost = -(-(ends["lost"] or 0) // chunk_bytes) or int(ends["n_lost"] > 0)
+    if ends["low"] is None:
+        return [], lost
+    low, width = ends["low"], ends["high"] - ends["low"] + 1
+    # ids may be further apart than a long
+    place = lambda step: F.expr(f"cast((cast(id as decimal(20, 0)) - cast({low} as decimal(20, 0))) div cast({step} as decimal(20, 0)) as long)")
+    done: list[tuple[int, int]] = []  # last id and bytes of ranges
+    held, power = sizes.where("id is not null"), max(0, (-(-width // BINS) - 1).bit_length())  # ranges of 2 ** power ids, so finer ones nest
+    while True:
+        step = 1 << power
+        sums = held.groupBy(place(step).alias("bin")).agg(F.sum("bytes").alias("bytes")).collect()  # some BINS rows
+        heavy = [r["bin"] for r in sums if r["bytes"] > chunk_bytes and power]
+        done += [(min(low + (r["bin"] + 1) * step - 1, ends["high"]), r["bytes"]) for r in sums if r["bytes"] <= chunk_bytes or not power]
+        if not heavy:
+            break
+        held = sizes.where("id is not null").withColumn("bin", place(step)).join(F.broadcast(spark.createDataFrame([(b,) for b in heavy], "bin long")), "bin", "left_semi")  # BINS rows at most
+        power = max(0, power - max(1, (BINS // len(heavy)).bit_length() - 1))
+    cuts, held_bytes = [], 0
+    for last, n in sorted(done):
+        held_bytes += n
+        if held_bytes >= chunk_bytes:
+            cuts.append(last)
+            held_bytes = 0
+    return cuts, lost
+
+
+def _chunked(docs: DataFrame, bounds: list[int], lost: int) -> DataFrame:
+    """(chunk, docs): documents of each input batch, packed by chunk. Rows without an id are in chunks below 0, by a digest of their text."""
     cuts = np.array(bounds, np.int64)
 
     def deal(batches):
@@ -62,13 +98,15 @@ def _chunked(docs: DataFrame, bounds: list[int]) -> DataFrame:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             data, offsets = text_buffers(batch.column(1))
             chunk = np.searchsorted(cuts, ids, "left")
+            for i in np.flatnonzero(ids == NO_ID).tolist():
+                chunk[i] = -1 - int.from_bytes(hashlib.blake2b(data[offsets[i] : offsets[i + 1]].tobytes(), digest_size=8).digest(), "little") % max(1, lost)
             order = np.argsort(chunk, kind="stable")
-            edges = np.flatnonzero(np.diff(chunk[order], prepend=-1))
+            edges = np.flatnonzero(np.diff(chunk[order], prepend=-1 - max(1, lost) - 1))
             for take in np.split(order, edges[1:]):
                 if len(take):
                     yield pa.RecordBatch.from_arrays([pa.array([int(chunk[take[0]])], pa.int32()), pa.array([pack_docs(ids, data, offsets, take)], pa.binary())], ["chunk", "docs"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(deal, "chunk int, docs binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(deal), "chunk int, docs binary")
 
 
 def _hashes(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -163,18 +201,25 @@ def _finish(width: int, spans: bool):
     return finish
 
 
+#: Chunks, and buckets, of an input, about, from which on they get larger with it; and how large at most.
+MOST_CHUNKS, CHUNK_MOST, BUCKET_MOST = 50_000, 64 << 20, 96 << 20
+
+
 def remove_repeated_windows(docs: DataFrame, width: int = 20, chunk_bytes: int = 4 << 20, bucket_bytes: int = 6 << 20, with_text: bool = False) -> DataFrame:
     """Per document: n_words, n_removed, kept_sha256 and, with_text, the kept text and the removed word intervals.
 
-    chunk_bytes and bucket_bytes are sizes of (compressed) input per chunk and per bucket of hashes.
-    Raise both with the input: lists get short when chunks times buckets near the number of windows.
+    chunk_bytes and bucket_bytes are sizes of (compressed) input per chunk and per bucket of hashes. Chunks
+    times buckets are the lists that are sent; both sizes grow with a large input so that lists stay long:
+    some 60 hashes each at 1 TB, 10 at 100 TB.
     """
     spark = docs.sparkSession
     ship_package(spark)
     size = input_bytes(docs)
-    chunks = max(64, -(-size // chunk_bytes))
+    chunk_bytes = max(chunk_bytes, min(CHUNK_MOST, size // MOST_CHUNKS))
+    bucket_bytes = max(bucket_bytes, min(BUCKET_MOST, size // MOST_CHUNKS))
     bits = int(max(2 * shuffle_parts(spark), size // bucket_bytes, 1) - 1).bit_length()
-    packed = _chunked(docs, chunk_bounds(docs, chunks))
+    # at least 64 chunks, of text that is some two times its compressed size
+    packed = _chunked(docs, *chunk_bounds(docs, max(1, min(2 * chunk_bytes, 2 * size // 64))))
     sent = packed.groupBy("chunk").applyInArrow(_send(width, bits), "bucket int, chunk int, hashes binary")
     replies = sent.groupBy("bucket").applyInArrow(_reply, "chunk int, bucket int, earlier binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string, spans array<struct<first: bigint, end: bigint>>" if with_text else "")
