@@ -8,7 +8,8 @@ buckets of SCOPE characters, so that it stays an equi-join. Base spans stay in a
 
 Positions: a pattern's pieces between matches and its matches alternate, so a running sum of their
 lengths, in code points, gives each start and end. It runs over the parts of one text; texts without
-any match, nearly all, are not shuffled. One pass of patterns; matches are staged.
+any match, nearly all, are not shuffled. A text is searched for a pattern only if it has one of the
+pattern's words, and taken apart only if the pattern is found; matches are staged.
 
 Defined results: null and empty text have no spans; rows that repeat a doc_id are scanned each;
 doc_id may be null. Other columns are ignored.
@@ -16,6 +17,8 @@ doc_id may be null. Other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +34,13 @@ PATTERNS = {
     "endpoint": (r"""(?i)((?:https?|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp|ftp|ssh)://[A-Za-z0-9@:._~/?=-]+|(?:host|hostname|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+)""", 1),
 }
 KINDS = ["assign", "access", "hex", "ident", "weak", "endpoint"]
+#: Words of which each match of a kind has one, in lower case: texts without them are not searched.
+WORDS = {
+    "assign": ["password", "passwd", "secret", "token", "apikey", "api_key"],
+    "access": ["akia"],
+    "ident": ["user", "login", "clientid", "client_id", "accountid", "account_id", "accesskey", "access_key"],
+    "endpoint": ["://", "host", "endpoint", "server"],
+}
 #: Characters between two parts that belong to one credential, at most.
 SCOPE = 200
 #: Roles that complete each other.
@@ -43,7 +53,9 @@ def _hits(text: Column, kind: str) -> Column:
     lengths = lambda g: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), F.length)
     zipped = F.arrays_zip(lengths(0).alias("size"), lengths(group).alias("value"), F.transform(F.split(text, pattern, -1), F.length).alias("gap"))
     hits = F.transform(F.filter(zipped, lambda z: z["size"].isNotNull()), lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), z["gap"].alias("gap"), z["size"].alias("size"), z["value"].alias("value")))
-    return F.when(text.rlike(pattern), hits)
+    lowered = F.lower(text)  # a common subexpression of all kinds
+    may = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(w)) for w in WORDS[kind])) if kind in WORDS else F.lit(True)
+    return F.when(may & text.rlike(pattern), hits)
 
 
 def _ranked(kind: str | Column) -> Column:
