@@ -88,13 +88,15 @@ def copies(placed: DataFrame, ratio: float, max_epochs: int, weights: dict) -> D
     budgets = leaf_budgets(leaves, ratio, max_epochs, weights)
     epochs = F.when(F.col("tokens") == 0, F.lit(1)).otherwise(F.floor(F.col("budget") / F.greatest("tokens", F.lit(1)))).cast("long")
     budgets = stage_table(spark, budgets.withColumn("whole", epochs).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")), "budgets").toDF(*leaf, "tokens", "budget", "whole", "rest")
-    dealt = slim.join(budgets.select(*leaf, "whole", "rest"), leaf)
+    # tables of one row a leaf meet the documents where they are, as a leaf may hold a third of all; beyond FEW_LEAVES no leaf does but by skew, which adaptive execution splits
+    of_leaf = F.broadcast if budgets.count() <= FEW_LEAVES else lambda t: t
+    dealt = slim.join(of_leaf(budgets.select(*leaf, "whole", "rest")), leaf)
     key = epoch_of(F.col("whole"))
     dealt = dealt.withColumn("key", key).withColumn("c1", F.substring("key", 1, 2)).withColumn("c2", F.substring("key", 3, 2))
-    ends = _prefix_end(dealt.where("rest > 0").select(*leaf, F.col("c1").alias("cell"), "t_tokens", "rest"), leaf).toDF(*leaf, "end1", "left1")
-    inner = dealt.join(ends, leaf).where("c1 = end1").select(*leaf, F.col("c2").alias("cell"), "t_tokens", F.col("left1").alias("rest"))
-    ends = ends.join(_prefix_end(inner, leaf).toDF(*leaf, "end2", "left2"), leaf)
-    dealt = dealt.join(ends, leaf, "left")
+    ends = stage_table(spark, _prefix_end(dealt.where("rest > 0").select(*leaf, F.col("c1").alias("cell"), "t_tokens", "rest"), leaf), "ends").toDF(*leaf, "end1", "left1")
+    inner = dealt.join(of_leaf(ends), leaf).where("c1 = end1").select(*leaf, F.col("c2").alias("cell"), "t_tokens", F.col("left1").alias("rest"))
+    ends = stage_table(spark, ends.join(_prefix_end(inner, leaf).toDF(*leaf, "end2", "left2"), leaf), "ends")
+    dealt = dealt.join(of_leaf(ends), leaf, "left")
     last = dealt.where("c1 = end1 and c2 = end2")
     run = F.sum("t_tokens").over(Window.partitionBy(*leaf).orderBy("key"))
     last = last.withColumn("run", run).where("run <= left2")
@@ -124,9 +126,15 @@ def mix(docs: DataFrame, ratio: float = 1.0, max_epochs: int = 3, seed: int = 17
     return counted.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
-#: Production parameters of op4: tokens wanted of all, epochs, weights.
+#: Leaves of which tables of one row each are broadcast: some 20 MB at most.
+FEW_LEAVES = 200_000
+#: Production parameters of op4: tokens wanted of all, epochs, weights on each level.
 RATIO, EPOCHS, SEED = 0.8, 3, 17
-WEIGHTS = {"language": {"en": 4.0, "fr": 2.0, "de": 2.0}}
+WEIGHTS = {
+    "domain": {"domain0": 3.0, "domain1": 2.0, "domain2": 1.5},
+    "language": {"en": 4.0, "fr": 2.0, "de": 2.0},
+    "source": {"src0": 0.5, "src3": 2.0, "src8": 0.25, "src11": 3.0, "src15": 2.0},
+}
 
 
 def _level_sql(depth: int) -> str:
