@@ -1,7 +1,15 @@
 """A corpus pipeline: quality rules, line dedup, n-gram near-duplicates, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next one's docs; all but the last return the columns of documents.
+again as the next one's docs; all but the last return the columns of documents, and carry further
+columns along, whatever their names.
+
+Defined results, by stage: null, empty and blank texts fail the quality rules; after that they would stay
+through line dedup and near-duplicates, be mixed as texts without tokens and be encoded as no ids. A
+null doc_id sorts first in line dedup, is never a near-duplicate, and is an id of its own elsewhere. Rows
+that repeat a doc_id are one document to line dedup and near-duplicates, where they stay or go
+together; equal rows are taken equally often by mixing. Very long texts are whole texts. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,8 +22,12 @@ from trowel.llm import line_dedup, mixing, ngram_join, piece_codec, quality
 from trowel.session import stage_table
 
 
+#: Weights of languages; domains and sources count alike.
+WEIGHTS = {"language": {"en": 4.0, "fr": 2.0, "de": 2.0}}
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass their own rules and whose source passes."""
+    """Documents that pass their own rules and those that their source fails too often; see trowel.llm.quality for nulls and ties."""
     return quality.keep_good(docs, domain="source")
 
 
@@ -34,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's share of the token budget takes them: copies are rows."""
-    return mixing.mix(docs, ratio=1.0, max_epochs=2, seed=mixing.SEED, weights=mixing.WEIGHTS)
+    return mixing.mix(docs, ratio=1.0, max_epochs=2, seed=mixing.SEED, weights=WEIGHTS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,21 +110,113 @@ def test_main_keeps_what_is_around_its_articles():
     def text(*sources):
         rows = [(i, "http://m.example/", s) for i, s in enumerate(sources)]
         docs = pa.table({"pages": [html_extract.squeeze(pickle.dumps(rows, 5))]})
-        return html_extract._texts(docs, pa.table({"runs": pa.array([], pa.binary())})).column("text").to_pylist()
+        return html_extract._texts(docs, pa.table({"runs": pa.array([], pa.binary()), "n": pa.array([], pa.binary())})).column("text").to_pylist()
 
     assert text("<p>out</p><main><h1>Title</h1><p>lead and body</p><nav>n</nav><article><p>teaser</p></article></main>") == ["Title\nlead and body\nteaser"]
     assert text("<p>out</p><article>alone</article>", "<main></main><article>b</article>", "<main>m</main>") == ["alone", "b", "m"]
 
 
-def test_repeated_runs_equal_brute_force():
+def longest_shared(streams):
+    """For each page's tokens, the longest run from each place that another page has; by comparing with all places of all others."""
+    out = []
+    for p, own in enumerate(streams):
+        out.append([0] * len(own))
+        for q, other in enumerate(streams):
+            for i in range(len(own)) if p != q else ():
+                for k in range(len(other)):
+                    n = 0
+                    while i + n < len(own) and k + n < len(other) and own[i + n] == other[k + n]:
+                        n += 1
+                    out[p][i] = max(out[p][i], n)
+    return out
+
+
+def test_suffix_array_equals_brute_force():
     r = random.Random(3)
-    tokens = np.array([r.randrange(4) for _ in range(300)], np.uint64)
-    page = np.sort(np.array([r.randrange(6) for _ in range(300)]))
-    got, _ = html_extract.repeated_runs(tokens, page, 4)
-    seen = defaultdict(set)
-    for i in range(297):
-        seen[tuple(tokens[i : i + 4])].add(page[i])
-    assert [bool(x) for x in got[:297]] == [len(seen[tuple(tokens[i : i + 4])]) > 1 for i in range(297)]
+    for pages, letters in ((5, 3), (7, 2), (1, 2), (3, 1)):
+        streams = [[r.randrange(letters) for _ in range(r.randrange(0, 25))] for _ in range(pages)]
+        flat = np.array([x for p, s in enumerate(streams) for x in [*s, 100 + p]], np.uint64)
+        page = np.array([p for p, s in enumerate(streams) for _ in range(len(s) + 1)])
+        levels = html_extract.suffix_ranks(flat)
+        assert sorted(levels[-1].tolist()) == list(range(len(flat)))
+        got = html_extract.shared_lengths(levels, page)
+        want = [x for own in longest_shared(streams) for x in [*own, 0]]
+        assert got.tolist() == want
+        seen = defaultdict(set)
+        for i in range(len(flat)):
+            seen[tuple(flat[i : i + 4].tolist())].add(page[i])
+        assert html_extract.pages_with_run(flat, page, 4).tolist() == [len(seen[tuple(flat[i : i + 4].tolist())]) for i in range(len(flat))]
+    assert html_extract.shared_lengths(html_extract.suffix_ranks(np.zeros(0, np.uint64)), np.zeros(0, int)).tolist() == []
+
+
+def texts_by_brute_force(rows):
+    """Texts of all pages, from the rules: per host, each place's longest run that another page has, by comparing all places."""
+    out = {}
+    by_host = defaultdict(list)
+    for page_id, url, source in rows:
+        by_host[html_extract.host_of(url)].append((page_id, url, html_extract.parse(source or "")))
+    for own in by_host.values():
+        streams = [[w for text in page.texts for w in [*text.split(" "), "\n"]] for _, _, page in own]
+        longest = longest_shared(streams)
+        having = defaultdict(set)
+        for p, s in enumerate(streams):
+            for i in range(len(s) - html_extract.RUN + 1):
+                having[tuple(s[i : i + html_extract.RUN])].add(p)
+        enough = max(html_extract.COMMON, (len(own) + 1) // 2)
+        for p, (page_id, url, page) in enumerate(own):
+            covered, common = set(), set()
+            for i, n in enumerate(longest[p]):
+                if n >= html_extract.RUN:
+                    covered.update(range(i, i + n))
+                    if len(having[tuple(streams[p][i : i + html_extract.RUN])]) >= enough:
+                        common.update(range(i, i + html_extract.RUN))
+            at, flags = 0, []
+            for text in page.texts:
+                places = range(at, at + text.count(" ") + 1)
+                flags.append((all(x in covered for x in places), all(x in common for x in places), any(x in covered for x in places)))
+                at = places.stop + 1
+            out[page_id, url] = "\n".join(page.kept(*map(list, zip(*flags, strict=True)))) if flags else ""
+    return out
+
+
+def site(seed=5):
+    """Pages of three hosts: with and without containers, repeated chrome with and without marks, articles published twice, an unmarked lead, a very long page."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    para = lambda n: " ".join(word() for _ in range(n)) + "."
+    menu = "<div>" + " ".join(word() for _ in range(10)) + "</div>"
+    label = "<p>" + " ".join(word() for _ in range(9)) + "</p>"
+    twice = f"<h1>{para(4)}</h1><p>{para(25)}</p><p>{para(3)}</p><p>{para(22)}</p>"
+    rows = []
+    for i in range(8):
+        body = twice if i in (2, 3) else f"<h1>{para(3)}</h1>" + "".join(f"<p>{para(r.randint(5, 30))}</p>" for _ in range(3))
+        rows.append((i, "http://plain.example/x", f"{menu}{body}{label}"))
+        rows.append((20 + i, "http://boxed.example/y", f"{menu}<p>{para(24)}</p><article>{body}{label}<p class=share>{para(9)}</p></article>{menu}"))
+        rows.append((40 + i, None if i % 2 else "", f"<main><p>{para(12)}</p></main><footer>{para(9)}</footer>"))
+    rows += [(60, "http://plain.example/long", menu + "".join(f"<p>{para(30)}</p>" for _ in range(15))), (61, "http://plain.example/x", None), (61, "http://plain.example/", ""), (62, "http://one.example", f"{menu}<p>{para(9)}</p>")]
+    return rows
+
+
+def test_html_equals_brute_force(spark, empty):
+    rows = site()
+    want = texts_by_brute_force(rows)
+    df = spark.createDataFrame([(*x, 7) for x in rows], "page_id long, url string, html string, n_chars int").repartition(3)
+    for size in (8 << 20, 300):
+        got = {(x.page_id, x.url): x for x in html_extract.main_text(df, seg_bytes=size).collect()}
+        assert {k: x.text for k, x in got.items()} == want and all(x.n_chars == len(x.text) for x in got.values())
+    lead = want[20, "http://boxed.example/y"].split("\n")
+    assert len(lead) == 5 and len(want[0, "http://plain.example/x"].split("\n")) == 4  # the lead stays, label and menu go
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the driver's tables")
+def test_html_of_the_smallest_table_equals_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = [(x.page_id, x.url, x.html) for x in df.collect()]
+    small = [x for x in rows if len(x[2] or "") < 4000]  # brute force compares all places with all others
+    keys = {html_extract.host_of(x[1]) for x in rows} - {html_extract.host_of(x[1]) for x in rows if len(x[2] or "") >= 4000}
+    got = {(x.page_id, x.url): x.text for x in html_extract.main_text(df).collect()}
+    want = texts_by_brute_force([x for x in small if html_extract.host_of(x[1]) in keys])
+    assert len(got) == len(rows) and want and {k: got[k] for k in want} == want
 
 
 def repeat_words(w):
@@ -229,8 +321,8 @@ def test_line_dedup(docs, empty, spark):
     seen, want = set(), {}
     for i, t in corpus():
         lines = (t or "").split("\n")
-        h = [hashlib.md5(x.encode()).hexdigest() for x in lines]
-        ends = [k for k in range(len(lines)) if k == len(lines) - 1 or (k and hashlib.md5((h[k - 1] + h[k]).encode()).hexdigest()[0] < format(line_dedup.CUT, "x"))]
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        ends = [k for k in range(len(lines)) if k == len(lines) - 1 or (k and (h[k - 1] * line_dedup.BASE + h[k]) % line_dedup.MODULUS % 16 < line_dedup.CUT)]
         kept, start = [], 0
         for e in ends:
             chunk = tuple(lines[start : e + 1])
@@ -249,6 +341,21 @@ def test_line_dedup(docs, empty, spark):
     assert sorted(r.gone for r in line_dedup.drop_repeated_chunks(clash).collect()) == [1, 2]
 
 
+def test_line_dedup_of_frequent_chunks_and_repeated_ids(spark, monkeypatch):
+    """One chunk in most documents, so that its join is salted; rows that repeat a doc_id are one document."""
+    from trowel.operators import relations
+
+    monkeypatch.setattr(relations, "HOT_ROWS", 5)
+    passage = "\n".join(f"line {k} of the passage" for k in range(14))
+    rows = [(i, f"own {i} a\nown {i} b\n{passage}\nown {i} c\nown {i} d") for i in range(60)] + [(70, "once a\nonce b\nonce c"), (70, "once a\nonce b\nonce c"), (None, passage)]
+    got = defaultdict(list)
+    for r in line_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        got[r.doc_id].append(r.kept_text)
+    assert got[None] == [passage] and got[70] == ["once a\nonce b\nonce c"] * 2
+    inner = [len(set(got[i][0].split("\n")) & set(passage.split("\n"))) for i in range(60)]
+    assert max(inner) < 14 and len(set(inner)) <= 3 and all(f"own {i} d" in got[i][0] for i in range(60))
+
+
 def test_licenses(docs, empty, spark):
     mit = licenses.TEMPLATES["MIT"]
     rows = [(1, "pad " * 90 + mit.upper() + " tail" * 50), (2, mit.replace("free of charge", "gratis")), (3, mit[: len(mit) // 2]), (4, None), (5, ""), (6, "Released under the MIT\nLicense!"), (6, "x " * 5000 + licenses.TEMPLATES["Apache-2.0"])]
@@ -271,6 +378,51 @@ def test_each_license_is_reported_under_its_own_name_only(spark):
     assert [got[i] for i in range(len(licenses.TEMPLATES), len(rows))] == [want for _, want in rows[len(licenses.TEMPLATES) :]]
 
 
+class EveryWindow(licenses.Retrieval):
+    """All windows of all templates that share a shingle with them, without bands."""
+
+    def candidates(self, h, bounds):
+        found = set()
+        for stride, strides, names, _, _ in self.classes:
+            starts = np.concatenate([np.arange(a, b, stride) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] or [bounds[:0]]).astype(int)
+            ends = np.minimum(starts + strides * stride, bounds[np.searchsorted(bounds, starts, "right")]) if len(starts) else starts
+            for name in names:
+                hits = np.concatenate(([0], np.cumsum(np.isin(h, self.shingles[name]))))
+                found |= {(name, int(a), int(b)) for a, b in zip(starts, ends, strict=True) if hits[b] > hits[a]}
+        return sorted(found)
+
+
+def test_licenses_equal_exhaustive_containment(spark):
+    """Whole scans with and without bands: parts of all templates, changed words, the driver's smallest documents."""
+    import pyarrow as pa
+
+    r = random.Random(8)
+    texts = []
+    for key, text in licenses.TEMPLATES.items():
+        if "-notice" in key and r.random() > 0.1:
+            continue
+        w = text.split()
+        cut = r.choice([0, 0, len(w) // 8, len(w) // 6, len(w) // 3])
+        w = w[cut:]
+        for _ in range(r.choice([0, 0, 1, len(w) // 100])):
+            w[r.randrange(len(w))] = "changed"
+        texts.append(" ".join(f"pad{k % 37}" for k in range(r.randint(0, 200))) + " " + " ".join(w) + " tail" * r.randint(0, 40))
+    if Path("/root/testdata/sf0.001").exists():
+        texts += [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    exhaustive = EveryWindow(licenses.template_shingles(licenses.TEMPLATES))
+    exhaustive.shingles = licenses.template_shingles(licenses.TEMPLATES)
+    want = pa.Table.from_batches(licenses.scanner(licenses.TEMPLATES, exhaustive)([batch])).column("licenses").to_pylist()
+    got = pa.Table.from_batches(licenses.scanner(licenses.TEMPLATES)([batch])).column("licenses").to_pylist()
+    assert sum(map(bool, want)) > 60 and got == want
+
+
+def test_licenses_in_odd_rows(spark):
+    rows = [(1, "released under the MIT License " * 3), (1, "released under the MIT License " * 3), (None, licenses.TEMPLATES["ISC"]), (2, "word " * 100_000 + "licensed under the MIT License")]
+    got = spark.createDataFrame([(*x, "x", 3) for x in rows], "doc_id long, text string, licenses string, n_matches int")
+    assert sorted(((x.doc_id or 0), x.licenses) for x in licenses.scan_licenses(got).collect()) == [(0, "ISC"), (1, "MIT-notice"), (1, "MIT-notice"), (2, "MIT-notice")]
+
+
 def test_license_retrieval_misses_little():
     shingles = licenses.template_shingles(licenses.TEMPLATES)
     retrieval = licenses.Retrieval(shingles)
@@ -285,6 +437,31 @@ def test_license_retrieval_misses_little():
     assert found >= 0.99 * tried
 
 
+def test_chunks_have_about_equal_bytes(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BINS", 50)
+    r = random.Random(2)
+    ids = {(-(1 << 63)): 900, (1 << 63) - 1: 500} | {r.randrange(1000): r.randrange(1, 400) for _ in range(300)} | {r.randrange(10**15): r.randrange(1, 400) for _ in range(200)}
+    df = spark.createDataFrame([(i, "x" * n) for i, n in ids.items()] + [(None, "y" * 700)] * 5, "doc_id long, text string")
+    cuts, lost = substring_dedup.chunk_bounds(df, 2000)
+    assert lost == 2 and cuts == sorted(set(cuts)) and substring_dedup.chunk_bounds(df.limit(0), 2000) == ([], 0)
+    sizes = defaultdict(int)
+    for i, n in ids.items():
+        sizes[int(np.searchsorted(np.array(cuts), i, "left"))] += n
+    assert len(sizes) > 10
+
+
+def test_repeated_windows_without_ids_and_over_many_chunks(spark):
+    """Null ids in chunks of their own, ids far apart, copies in all chunks: as brute force, but for which null row is first."""
+    r = random.Random(7)
+    passage = " ".join(f"p{k}" for k in range(40))
+    own = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+    rows = [(i * 10**14 - 5 * 10**15, f"{own()} {passage if i % 2 else ''} {own()}") for i in range(100)] + [(None, f"{own()} {passage}") for _ in range(6)]
+    df = spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, kept string").repartition(5)
+    got = substring_dedup.remove_repeated_windows(df, chunk_bytes=500, bucket_bytes=400).collect()
+    assert sorted(x.n_removed for x in got if x.doc_id is None) == [0, 40, 40, 40, 40, 40]
+    assert all(x.n_removed == (40 if (x.doc_id + 5 * 10**15) // 10**14 % 2 else 0) for x in got if x.doc_id is not None) and len(got) == 106
+
+
 def test_substring_dedup(docs, empty, spark):
     seen, want = set(), {}
     for i, t in corpus():
@@ -353,6 +530,45 @@ def test_secrets(spark, empty):
     assert secrets_scan.scan_secrets(empty).count() == 0
 
 
+def linked_by_brute_force(spans, scope):
+    """Weak spans with a complementary part within scope: all pairs."""
+    role = secrets_scan.ROLES
+    out = set()
+    for kind, a, b in spans:
+        for other, c, d in spans:
+            fits = (role[other] != "secret") if role[kind] == "secret" else (role[other] == "secret")
+            if kind in ("ident", "weak", "endpoint") and fits and c <= b + scope and d >= a - scope:
+                out.add((kind, a, b))
+    return out
+
+
+def test_linked_parts_equal_brute_force(spark):
+    r = random.Random(6)
+    texts = {rid: [(k, a := r.randrange(3000), a + r.randint(1, 300)) for k in r.choices(secrets_scan.KINDS, k=r.randint(0, 14))] for rid in range(60)}
+    rows = [(rid, k, a, b, k in ("assign", "access", "hex")) for rid, spans in texts.items() for k, a, b in spans]
+    parts = spark.createDataFrame(rows, "rid long, kind string, start int, end int, base boolean")
+    for scope in (200, 17):
+        got = {(x.rid, x.kind, x.start, x.end) for x in secrets_scan.linked_parts(parts, scope).collect()}
+        assert got == {(rid, *s) for rid, spans in texts.items() for s in linked_by_brute_force(spans, scope)}
+
+
+def test_words_before_patterns_lose_nothing():
+    """Each match of a kind has one of the kind's words in lower case."""
+    forms = {"assign": ["PassWord=abcdefgh", "passwd : x", "SECRET='q'", "Token=1", "apikey=2", "API_KEY = z"], "access": ["AKIAABC"], "ident": ["UserName: bob", "USER=eve", "Login=ann", "client_id=abc", "ClientId=abc", "accountid=xyz", "Account_ID=xyz", "AccessKeyId=abc", "access_key_id=abc", "accesskey_id=abc", "access_keyid=abc"], "endpoint": ["https://x", "jdbc:pg://h", "HOST=a", "hostname: b", "EndPoint=c", "server=d"]}
+    for kind, examples in forms.items():
+        pattern = re.compile(secrets_scan.PATTERNS[kind][0].replace("(?i)", ""), re.I if kind != "access" else 0)
+        for text in examples:
+            assert pattern.search(text) and any(w in text.lower() for w in secrets_scan.WORDS[kind]), text
+
+
+def test_secrets_in_odd_rows(spark):
+    long = "plain words " * 20000 + "user=alice password=abc1 " + "plain " * 20000
+    rows = [(1, long), (1, long), (None, "token=abcdefgh"), (2, None), (3, "")]
+    got = spark.createDataFrame([(*x, "s", 4) for x in rows], "doc_id long, text string, spans string, n_hex int")
+    found = sorted(((x.doc_id or 0), x.n_assign, x.n_linked, x.spans.count(",") + 1 if x.spans else 0) for x in secrets_scan.scan_secrets(got).collect())
+    assert found == [(0, 1, 0, 1), (1, 0, 2, 2), (1, 0, 2, 2), (2, 0, 0, 0), (3, 0, 0, 0)]
+
+
 def test_secrets_run_in_the_jvm(docs):
     plan = secrets_scan.scan_secrets(docs)._jdf.queryExecution().toString() + line_dedup.dedup_report(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -20,29 +20,45 @@ def md5(text):
     return hashlib.md5(text.encode()).hexdigest()
 
 
-def brute_quality(docs):
-    failed = {i: len(words(d["text"])) < 10 or 100 * repeat_words(words(d["text"])) > 20 * len(words(d["text"])) for i, d in docs.items()}
-    hosts = defaultdict(list)
+def fails(text):
+    """Which rules a text fails, from its words, symbols and lines."""
+    w = words(text)
+    chars, symbols = sum(map(len, w)), sum(text.count(c) for c in quality.SYMBOLS)
+    lines = [x for x in text.split("\n") if words(x)]
+    return {"base": len(w) < 10 or 100 * repeat_words(w) > 20 * len(w), "symbols": 10 * symbols > len(w), "duplicates": len(lines) - len(set(lines)) >= 3, "words": chars > 12 * len(w) or chars < 2 * len(w)}
+
+
+def bad_hosts(docs, limits):
+    """rule -> domains whose shrunk rate is above the rule's limit."""
+    failed, hosts, bad = {i: fails(d["text"]) for i, d in docs.items()}, defaultdict(list), {}
     for i, d in docs.items():
         if d["source"] is not None:
             hosts[d["source"]].append(failed[i])
-    n, f = sum(map(len, hosts.values())), sum(sum(h) for h in hosts.values())
-    m, rates = f / n, [sum(h) / len(h) for h in hosts.values()]
-    v = sum((r - sum(rates) / len(rates)) ** 2 for r in rates) / len(rates)
-    excess = max(v - m * (1 - m) * sum(1 / len(h) for h in hosts.values()) / len(hosts), 1e-9)
-    s = min(max(m * (1 - m) / excess - 1, quality.STRENGTH[0]), quality.STRENGTH[1])
-    bad = {h for h, x in hosts.items() if (sum(x) + s * m) / (len(x) + s) > quality.MAX_RATE}
-    return {i: d for i, d in docs.items() if not failed[i] and d["source"] not in bad}
+    for rule, limit in limits.items():
+        own = {h: [x[rule] for x in rows] for h, rows in hosts.items()}
+        m = sum(map(sum, own.values())) / sum(map(len, own.values()))
+        rates = [sum(x) / len(x) for x in own.values()]
+        v = sum((r - sum(rates) / len(rates)) ** 2 for r in rates) / len(rates)
+        excess = max(v - m * (1 - m) * sum(1 / len(x) for x in own.values()) / len(own), 1e-9)
+        s = min(max(m * (1 - m) / excess - 1, quality.STRENGTH[0]), quality.STRENGTH[1])
+        bad[rule] = {h for h, x in own.items() if (sum(x) + s * m) / (len(x) + s) > limit}
+    return failed, bad
+
+
+def brute_quality(docs, limits=None):
+    limits = {r: x for r, (_, x) in quality.RULES.items()} | (limits or {})
+    failed, bad = bad_hosts(docs, limits)
+    return {i: d for i, d in docs.items() if not failed[i]["base"] and d["source"] not in bad["base"] and not any(failed[i][r] and d["source"] in bad[r] for r in limits if r != "base")}
 
 
 def brute_lines(docs):
     seen, out = set(), {}
     for i in sorted(docs):
         lines = docs[i]["text"].split("\n")
-        h = [md5(x) for x in lines]
+        h = [int(md5(x)[:8], 16) for x in lines]
         kept, start = [], 0
         for k in range(len(lines)):
-            if k == len(lines) - 1 or (k and md5(h[k - 1] + h[k])[0] < format(line_dedup.CUT, "x")):
+            if k == len(lines) - 1 or (k and (h[k - 1] * line_dedup.BASE + h[k]) % line_dedup.MODULUS % 16 < line_dedup.CUT):
                 chunk = tuple(lines[start : k + 1])
                 start = k + 1
                 if len(chunk) < 2 or chunk not in seen:
@@ -109,7 +125,7 @@ def test_equals_brute_force(spark, tmp_path):
     good = brute_quality(docs)
     kept = brute_near(brute_lines(good))
     assert len(kept) < len(good) < len(docs)
-    taken = brute_mix(kept, 1.0, 2, mixing.SEED, mixing.WEIGHTS)
+    taken = brute_mix(kept, 1.0, 2, mixing.SEED, corpus_pipeline.WEIGHTS)
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = []
     for i in taken:
@@ -129,3 +145,51 @@ def test_stages(spark, tmp_path):
             assert docs.columns == source.columns, name
             assert docs.select("doc_id").distinct().join(before, "doc_id", "left_anti").count() == 0
     assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect()))
+
+
+def test_host_rules_that_bite_equal_brute_force(spark):
+    """Hosts that fail a rule often: of these, and only these, the documents go that fail it."""
+    good = " ".join(f"word{k}" for k in range(30))
+    noisy, odd = good + " # # # # #", " ".join("abcdefghijklmnop" + str(k) for k in range(20))
+    doubled = "\n".join(" ".join(f"l{k}x{j}" for j in range(6)) for k in [*range(40), 1, 2, 3])
+    rows = [(i, f"s{i % 6}", (noisy if i % 6 == 0 and i % 5 else doubled if i % 6 == 1 and i % 4 else odd if i % 6 == 2 and i % 3 else "few words only" if i % 6 == 3 and i % 27 else noisy if i % 20 == 4 else good)) for i in range(300)] + [(900, None, noisy)]
+    docs = {i: {"text": text, "source": source} for i, source, text in rows}
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    kept = brute_quality(docs)
+    _, bad = bad_hosts(docs, {r: x for r, (_, x) in quality.RULES.items()})
+    assert bad == {"base": {"s3"}, "symbols": {"s0"}, "duplicates": {"s1"}, "words": {"s2"}}
+    got = {r.doc_id: r for r in quality.host_rules(df).collect()}
+    assert {i for i, r in got.items() if r.kept} == set(kept) == {r.doc_id for r in quality.keep_good(df).collect()} and 900 in kept
+    assert got[6].host_rules == "symbols" and got[6].failed == "symbols" and not got[6].kept and got[0].kept
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, component_id long, digest string, t_tokens long, kept boolean, n_words string"
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in all columns, blank and very long texts, repeated rows and ids, columns that clash with ours, and empty tables."""
+    long = " ".join(f"w{k}" for k in range(30000))
+    text = "\n".join(" ".join(f"line{k}x{j}" for j in range(7)) for k in range(8))
+    rows = [(7, text, "en", "s1", 5), (7, text, "en", "s1", 5), (7, text + " x", None, None, None), (None, text, None, None, None), (8, None, None, "s1", 1), (9, "", "en", None, 0), (10, " \n ", "fr", "s1", 3), (11, long, "en", "s2", 9), (None, None, None, None, None)]
+    df = spark.createDataFrame([(*r, 1, "d", 2, None, "n") for r in rows], ODD)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, df, None)
+        assert got.columns == df.columns, name
+        found = got.collect()
+        assert all((r.digest, r.n_words) == ("d", "n") for r in found), name
+        if name == "quality rules":
+            assert sorted((r.doc_id or 0) for r in found) == [0, 7, 7, 7, 11]
+        elif name == "line dedup":
+            # equal ids are one document, whose own chunks stay; a null id sorts first and keeps its text
+            assert len(found) == len(rows) and [r.text for r in found if r.doc_id is None and r.text] == [text]
+        elif name == "n-gram Jaccard join":
+            # equal ids are one document; rows with a null id are never near-duplicates
+            assert len(found) == len(rows)
+        assert stage(spark, df.limit(0), None).count() == 0, name
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert stage(spark, df, None).count() == len(rows) and stage(spark, df.limit(0), None).count() == 0
+
+
+def test_empty_pipeline(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

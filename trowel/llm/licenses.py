@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trowel.llm.arrays import PUNCTUATION, U64, mix, slices, text_buffers, window_owner, windows, words_of
+from trowel.llm.arrays import PUNCTUATION, U64, mix, slices, text_buffers, tidy, window_owner, windows, words_of
 from trowel.llm.license_texts import BODIES
 from trowel.session import ship_package
 
@@ -315,11 +315,10 @@ def matches_of(h: np.ndarray, bounds: np.ndarray, retrieval: Retrieval, template
     return out
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """Per document: doc_id, n_matches, licenses (sorted names) and spans: name:start:end:percent, in code points, end exclusive."""
-    ship_package(docs.sparkSession)
-    shingles = template_shingles(templates or TEMPLATES)
-    retrieval = Retrieval(shingles)
+def scanner(templates: dict[str, str], retrieval: Retrieval | None = None):
+    """A function for mapInArrow over (doc_id, text)."""
+    shingles = template_shingles(templates)
+    retrieval = retrieval or Retrieval(shingles)
     needs = {key: needs_of(key) for key in shingles}
 
     def rows(batches):
@@ -352,4 +351,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
                 ["doc_id", "n_matches", "licenses", "spans"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, n_matches long, licenses string, spans string")
+    return rows
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+    """Per document: doc_id, n_matches, licenses (sorted names) and spans: name:start:end:percent, in code points, end exclusive."""
+    ship_package(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(scanner(templates or TEMPLATES)), "doc_id long, n_matches long, licenses string, spans string")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trowel.llm.arrays import U64, cut_by_top_bits, mix, pack_sorted, slices, squeeze, text_buffers, unpack_sorted, unsqueeze, window_owner, windows, words_of
+from trowel.llm.arrays import U64, cut_by_top_bits, mix, pack_sorted, slices, squeeze, text_buffers, tidy, unpack_sorted, unsqueeze, window_owner, windows, words_of
 from trowel.operators.graph import stars
 from trowel.session import input_bytes, ship_package, shuffle_parts, stage_table
 
@@ -374,12 +374,12 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
     ship_package(spark)
     num, den = percent, 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digests = stage_table(spark, docs.mapInArrow(_digest_rows(width), "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"), "digests")
+    digests = stage_table(spark, docs.mapInArrow(tidy(_digest_rows(width)), "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"), "digests")
     classes = stage_table(spark, digests.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("doc")), "classes")
 
     bits = int(max(2 * shuffle_parts(spark), input_bytes(docs) // bucket_bytes, 1) - 1).bit_length()
     sig_bits, id_bits = bits_for(input_bytes(docs))
-    sent = docs.where("doc_id is not null").select("text").mapInArrow(_signature_rows(width, num, den, bits, sig_bits, id_bits), "bucket int, sigs binary, ids binary")
+    sent = docs.where("doc_id is not null").select("text").mapInArrow(tidy(_signature_rows(width, num, den, bits, sig_bits, id_bits)), "bucket int, sigs binary, ids binary")
     found = sent.groupBy("bucket").applyInArrow(_candidates, "x long, y long").distinct()
     named = classes.select((F.shiftrightunsigned("d1", 64 - id_bits) if id_bits < 64 else F.col("d1")).alias("id"), "doc")
     as_ = lambda i, d: named.select(F.col("id").alias(i), F.col("doc").alias(d))
@@ -402,12 +402,12 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
 
         some = _possible(docs.withColumnRenamed("doc_id", "doc"), members)
         fetched = some.join(members.hint("merge"), "doc").select("doc", "d1", "text")
-        texts = stage_table(spark, fetched.mapInArrow(_squeezed, "doc long, d1 long, text binary"), "texts")
+        texts = stage_table(spark, fetched.mapInArrow(tidy(_squeezed), "doc long, d1 long, text binary"), "texts")
         left = texts.select(F.col("doc").alias("a"), F.col("d1").alias("d1_a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("doc").alias("b"), F.col("d1").alias("d1_b"), F.col("text").alias("text_b"))
         star = members.where("doc <> family").select(F.col("doc").alias("a"), F.col("family").alias("b"))
         full = star.join(left, "a").join(right, "b").select("a", "b", "d1_a", "d1_b", "text_a", "text_b")
-        links = stage_table(spark, full.mapInArrow(_linked(width, num, den), "a long, b long").distinct(), "links")
+        links = stage_table(spark, full.mapInArrow(tidy(_linked(width, num, den)), "a long, b long").distinct(), "links")
         labels = stars(links)
         families = _open_families(spark, members.select("doc", "family"), labels)
         if families is not None:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trowel.llm.arrays import tidy
 from trowel.session import ship_package
 
 MARK = "▁"
@@ -291,4 +292,4 @@ def encode_texts(docs: DataFrame, model_path: str, with_ids: bool = False) -> Da
             yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(rows), schema)
