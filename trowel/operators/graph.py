@@ -6,7 +6,7 @@ lineage stays short and a lost executor costs one round. The driver sees counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trowel.operators import relations
@@ -42,13 +42,32 @@ def trace(edges: DataFrame, seed: DataFrame, src: str = "src", dst: str = "dst")
     return down.union(up)
 
 
+def _round_by_windows(now: DataFrame) -> DataFrame:
+    """One large-star and small-star step where no node is a hub: three shuffles, each of which holds a node's edges in one task."""
+    both = now.union(now.select("y", "x")).toDF("u", "v")
+    low = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
+    large = both.withColumn("m", low).where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y"))
+    small = large.withColumn("m", F.min("y").over(Window.partitionBy("x")))
+    edges = F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))
+    return small.select(F.explode(edges).alias("e")).select("e.x", "e.y").where("x <> y").distinct()
+
+
+def _round_by_joins(now: DataFrame, limit: int) -> DataFrame:
+    """The same where some are: minima are combined before the shuffle, and edges of hubs meet them where they are."""
+    both = now.union(now.select("y", "x")).toDF("u", "v")
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    large = relations.join_hot(both.where("v > u"), "u", low, limit).select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
+    least = large.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n"))
+    small = relations.join_hot(large, "x", least, limit).where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+    return small.union(least.select("x", "m")).distinct()
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, component) for every node but the smallest of its component.
 
-    Large-star and small-star steps in turn: grouped minima, combined before the shuffle, and
-    equi-joins without hubs; about log(n) rounds, each staged in the shared folder, until every node is
-    the centre of a star or has one edge, to a centre. Loops, nulls and repeated edges are ignored. The
-    driver sees three numbers a round.
+    Large-star and small-star steps in turn, about log(n) rounds, each staged in the shared folder, until
+    every node is the centre of a star or has one edge, to a centre. Loops, nulls and repeated edges are
+    ignored. The driver sees three numbers a round.
     """
     spark = edges.sparkSession
     now = stage_table(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), "star")
@@ -59,13 +78,7 @@ def stars(edges: DataFrame) -> DataFrame:
         if not sign["open"]:
             return now.select(F.col("x").alias("node"), F.col("y").alias("component"))
         limit = relations.hot_limit(2 * sign["n"], shuffle_parts(spark))
-        limit = limit if sign["most"] > limit else None
-        both = now.union(now.select("y", "x")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = relations.join_hot(both.where("v > u"), "u", low, limit).select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
-        least = large.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n"))
-        small = relations.join_hot(large, "x", least, limit).where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        now = stage_table(spark, small.union(least.select("x", "m")).distinct(), "star")
+        now = stage_table(spark, _round_by_joins(now, limit) if sign["most"] > limit else _round_by_windows(now), "star")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

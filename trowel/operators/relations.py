@@ -96,20 +96,40 @@ def hot_limit(n_rows: int, partitions: int) -> int:
     return max(HOT_ROWS, n_rows // (2 * partitions), 2 * n_rows // MOST_HOT)
 
 
-def join_hot(rows: DataFrame, key: str, table: DataFrame, limit: int | None, count: str = "n") -> DataFrame:
+def join_hot(rows: DataFrame, key: str, table: DataFrame, limit: int | None, count: str = "n", small: Column | None = None) -> DataFrame:
     """rows with the columns of table for their key, as an inner join. table: one row a key, with the number of its rows in count.
 
     Rows of hot keys meet a broadcast table of MOST_HOT rows at most where they are, so a key is never
     one task's work; all others are an equi-join. limit: from hot_limit, or None where no key is hot.
+    small: a condition on table's rows that bounds their size, without which they are not broadcast.
     """
     given = [c for c in table.columns if c != key]
     if limit is None:
         return rows.join(table, key).select(*rows.columns, *given)
-    hot = table.where(F.col(count) > limit)
+    is_hot = F.col(count) > limit if small is None else (F.col(count) > limit) & small
+    hot = table.where(is_hot)
     marked = rows.join(F.broadcast(hot), key, "left")  # MOST_HOT rows at most
     there = marked.where(F.col(count).isNotNull()).select(*rows.columns, *given)
     rest = marked.where(F.col(count).isNull()).select(*rows.columns)
-    return there.union(rest.join(table.where(F.col(count) <= limit), key).select(*rows.columns, *given))
+    return there.union(rest.join(table.where(~is_hot), key).select(*rows.columns, *given))
+
+
+#: Bits of a filter, at least and at most: 2 ** 17 to 2 ** 21 rows of 64 bits.
+FILTER_BITS = (23, 27)
+
+
+def possible(rows: DataFrame, key: str, keys: DataFrame, n_keys: int) -> DataFrame:
+    """rows with may: false only where key is not in keys (one column of that name).
+
+    By a bitmap of bounded size, so wide rows without a partner need not be shuffled to find that out;
+    few are wrong while keys are fewer than an eighth of its bits.
+    """
+    bits = min(max(FILTER_BITS[0], (8 * n_keys).bit_length()), FILTER_BITS[1])
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    mask = F.expr(f"shiftleft(1L, int(pmod(xxhash64({key}), {1 << bits}L) % 64))")
+    words = keys.select(F.shiftright(slot, 6).alias("p_word"), mask.alias("bit")).groupBy("p_word").agg(F.bit_or("bit").alias("p_mask"))
+    marked = rows.withColumn("p_word", F.shiftright(slot, 6)).join(F.broadcast(words), "p_word", "left")  # 2 ** (bits - 6) rows at most
+    return marked.withColumn("may", F.coalesce(mask.bitwiseAND(F.col("p_mask")) != 0, F.lit(False))).drop("p_word", "p_mask")
 
 
 def in_range(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, low: str, high: str) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import os
 import xml.etree.ElementTree as ET
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +65,10 @@ HISTORY = {
 }
 
 
+#: Sections that are read at a time.
+CONCURRENT = 6
+
+
 def unwritable(paths: Iterable[str]) -> list[str]:
     """Which of the paths cannot be written; asked before any work is done."""
     out = []
@@ -82,7 +87,10 @@ def _rows(df: DataFrame) -> list[dict]:
 def as_dict(survey: Survey) -> dict:
     sections = SECTIONS | (HISTORY if survey.commits is not None else {})
     listing = survey.listing
-    return {"headline": _rows(survey.headline)[0], "excluded": dict(listing.excluded) if listing else {}, "history_available": survey.commits is not None} | {k: _rows(f(survey)) for k, f in sections.items()}
+    head = {"headline": _rows(survey.headline)[0], "excluded": dict(listing.excluded) if listing else {}, "history_available": survey.commits is not None}
+    tables = {k: f(survey) for k, f in sections.items()}  # tables that several use are staged here, in turn
+    with ThreadPoolExecutor(CONCURRENT) as pool:  # small jobs, most of whose time is planning
+        return head | dict(zip(tables, pool.map(_rows, tables.values()), strict=True))
 
 
 def write_json(survey: Survey, path: str) -> None:
