@@ -9,7 +9,9 @@ Plan: only (digest, doc_id, number) of chunks is shuffled to find repeated ones:
 combined before the shuffle, and a join back in which frequent chunks meet a broadcast table of
 bounded size. The first occurrences' texts are fetched by doc_id; of a frequent chunk, the text is
 spread over as many salts as it has shares of rows, so no task compares all its occurrences. Each
-document then holds the first texts by chunk number, and compares each chunk once.
+document then holds the first texts by chunk number, and compares each chunk once. Bitmaps of the
+documents that hold first or later occurrences keep all other texts out of these joins: they are not
+shuffled, and not changed.
 
 Defined results: null text stays null and has no lines; empty text has one empty line. Rows that
 repeat a doc_id count as one document: a chunk that is first in it stays in all of them. A null doc_id
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trowel.operators.relations import hot_limit, join_hot
+from trowel.operators.relations import hot_limit, join_hot, possible
 from trowel.session import shuffle_parts, stage_table
 
 #: Of 16 residues of the rolling hash, how many end a chunk: chunks have 16 / CUT lines on average.
@@ -72,7 +74,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     later = join_hot(chunks, "digest", first, limit).where(~(_same_doc("doc_id", "f_doc") & (F.col("no") == F.col("f_no"))))
     later = later.select("digest", "doc_id", "no", F.pmod(F.xxhash64("doc_id", "no"), salts).alias("salt")).distinct()
     wanted = first.groupBy("f_doc").agg(F.collect_list(F.struct(F.col("f_no").alias("no"), "digest")).alias("want"))
-    held = _chunked(docs.select("doc_id", "text").join(wanted, _same_doc("doc_id", "f_doc")))
+    holding = possible(docs.select("doc_id", "text"), "doc_id", first.select(F.col("f_doc").alias("doc_id")), first.count()).where("may").drop("may")
+    held = _chunked(holding.join(wanted, _same_doc("doc_id", "f_doc")))
     found = held.select(F.explode(F.transform("want", lambda w: F.struct(w["digest"].alias("digest"), _text(F.get(F.col("chunks"), w["no"])).alias("text")))).alias("t")).select("t.digest", "t.text")
     texts = found.where(F.unhex(F.md5("text")) == F.col("digest")).groupBy("digest").agg(F.min("text").alias("first_text"))
     spread = texts.join(first.select("digest", salts.alias("salts")), "digest").select("digest", "first_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
@@ -86,11 +89,17 @@ def _by_number(gone: Column) -> Column:
     return F.flatten(F.transform(gone, lambda g, j: F.concat(F.array_repeat(F.lit(None).cast("string"), g["no"] - before(j) - 1), F.array(g["first_text"]))))
 
 
+def _with_gone(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs without repeated chunks, and those that may have some, with gone; no row is in both."""
+    gone = stage_table(docs.sparkSession, repeated_chunks(docs), "gone")
+    marked = possible(docs, "doc_id", gone.select(F.col("id").alias("doc_id")), gone.count())
+    return marked.where("not may").drop("may"), marked.where("may").drop("may").join(gone, _same_doc("doc_id", "id"), "left").drop("id")
+
+
 def _judged(docs: DataFrame) -> DataFrame:
-    """docs with id, lines, chunks and kept, the chunks that stay."""
-    joined = _chunked(docs.join(repeated_chunks(docs), _same_doc("doc_id", "id"), "left"))
+    """docs with lines, chunks and kept, the chunks that stay."""
     gone = lambda c: F.coalesce(F.get(F.col("gone"), c["no"]) == _text(c), F.lit(False))
-    return joined.withColumn("kept", F.when(F.col("gone").isNull(), F.col("chunks")).otherwise(F.filter("chunks", lambda c: ~gone(c))))
+    return _chunked(docs).withColumn("kept", F.when(F.col("gone").isNull(), F.col("chunks")).otherwise(F.filter("chunks", lambda c: ~gone(c))))
 
 
 def _kept_text() -> Column:
@@ -100,8 +109,8 @@ def _kept_text() -> Column:
 
 def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
     """docs, all columns, with text replaced by what stays."""
-    own = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    fixed = _judged(own).withColumn("text", _kept_text())
+    alone, some = _with_gone(docs.select("doc_id", "text", F.struct("*").alias("row")))
+    fixed = alone.select("row", "text").union(_judged(some).select("row", _kept_text().alias("text")))
     return fixed.select(*(F.col("text").alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns))
 
 
@@ -109,7 +118,8 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, kept_text."""
     n = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["n"])
     null = F.col("text").isNull()
-    return _judged(docs.select("doc_id", "text")).select(
+    alone, some = _with_gone(docs.select("doc_id", "text"))
+    return _judged(alone.withColumn("gone", F.lit(None).cast("array<string>")).unionByName(some)).select(
         "doc_id",
         F.when(null, 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.when(null, 0).otherwise(F.size("chunks")).cast("long").alias("n_chunks"),
