@@ -317,6 +317,26 @@ def test_blocks_of_a_large_family(spark, monkeypatch):
     assert {row.doc_id: row.component_id for row in got.collect()} == want
 
 
+def test_families_in_which_a_few_stand_for_most(spark, monkeypatch):
+    """Large families of several clusters: representatives, rounds and blocks together lose no link and join nothing else."""
+    for name, value in (("MANY", 10), ("BLOCK", 8), ("SKETCHED", 16), ("SMALL_TEXT", 700)):
+        monkeypatch.setattr(ngram_join, name, value)
+    r = random.Random(3)
+    texts = []
+    for cluster in range(4):
+        base = [f"c{cluster}w{k}" if k > 20 else f"w{k}" for k in range(90)]
+        for _ in range(30):
+            own = list(base)
+            for _ in range(r.randint(0, 6)):
+                own[r.randrange(90)] = f"x{r.randrange(40)}"
+            texts.append(" ".join(own))
+    r.shuffle(texts)
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(88)} for i, t in enumerate(texts)}
+    want = components(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    got = ngram_join.link_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 3, 80)
+    assert {row.doc_id: row.component_id for row in got.collect()} == want and len(set(want.values())) > 4
+
+
 def test_line_dedup(docs, empty, spark):
     seen, want = set(), {}
     for i, t in corpus():

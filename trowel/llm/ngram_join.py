@@ -10,12 +10,15 @@ linked pair shares one. Sharing a passage doesn't suffice for that: a range draw
 Plan. (1) Texts with equal sets are one class (128-bit digest and size; a grouped minimum). (2) Each
 batch sends its classes' signatures as sorted lists per hash bucket; buckets return, of the classes with
 a common signature, the lowest with each other one, so candidates are connected families. (3) Within a
-family, sketches of parities bound the difference of sets from below; tasks compare blocks of sketches
-and return enough of the pairs that the bound leaves to connect them: far smaller families. (4) Each
-member is verified against its family's lowest; links join components. Where a family still has
-several, members of different components are compared by text, block by block, and tasks return only
-links that connect. Pairs are never listed; no link is lost, as a linked pair shares a signature, is
-left by the bound, and is compared or already connected. (5) Classes get components, documents theirs.
+family, sketches of parities bound the difference of sets from below; members of a large family are first
+compared with REPS of them, then tasks compare blocks of the sketches that this leaves apart and
+return enough of the pairs that the bound leaves to connect them: far smaller families. (4) Each
+member is verified against its family's lowest, and the rest of a large family against others of it in
+turn; links join components. Where a family still has several, members of different components are
+compared by text, block by block, and tasks return only links that connect. So blocks only meet where
+a few members don't stand for a family, and pairs are never listed; no link is lost, as a linked pair
+shares a signature, is left by the bound, and is compared or already connected. (5) Classes get
+components, documents theirs.
 
 Verification is on exact shingle sets (64-bit hashes of shingles) with integer arithmetic.
 
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 
 from trowel.llm.arrays import U64, cut_by_top_bits, mix, pack_sorted, slices, squeeze, text_buffers, tidy, unpack_sorted, unsqueeze, window_owner, windows, words_of
 from trowel.operators.graph import stars
+from trowel.operators.relations import hot_limit, join_hot, possible
 from trowel.session import input_bytes, ship_package, shuffle_parts, stage_table
 
 
@@ -393,21 +397,39 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
         # families that sketches leave connected
         known = digests.select(F.col("doc_id").alias("doc"), "d1", "n_shingles", "sketch").join(classes.select("doc", "d1"), ["doc", "d1"]).dropDuplicates(["doc", "d1"])
         loose = stars(pairs)
-        loose = loose.select("node", "component").union(loose.select("component", "component").distinct()).toDF("doc", "family").withColumn("comp", F.col("doc"))
-        dealt = _dealt_blocks(spark, loose, SKETCHED).join(known.select("doc", "n_shingles", "sketch"), "doc")
-        tight = stage_table(spark, dealt.groupBy("deal").applyInArrow(_plausible_blocks(num, den), "a long, b long"), "tight")
+        loose = stage_table(spark, loose.select("node", "component").union(loose.select("component", "component").distinct()).toDF("doc", "family"), "loose")
+        sketched = known.select("doc", "n_shingles", "sketch")
+        compared = _compared_with_few(loose, sketched, num, den)
+        if compared is None:
+            placed, near = loose.withColumn("comp", F.col("doc")), None
+        else:
+            placed = loose.join(compared.select("doc", "comp"), "doc", "left").select("doc", "family", F.coalesce("comp", "doc").alias("comp"))
+            near = compared.select(F.col("doc").alias("a"), F.explode("reps").alias("b"))
+        dealt = _dealt_blocks(spark, placed, SKETCHED).join(sketched, "doc")
+        tight = dealt.groupBy("deal").applyInArrow(_plausible_blocks(num, den), "a long, b long")
+        tight = stage_table(spark, tight if near is None else tight.union(near), "tight")
         family = stars(tight)
         family = family.union(family.select("component", "component").distinct()).toDF("doc", "family")
         members = stage_table(spark, family.join(classes.select("doc", "d1"), "doc"), "members")
 
-        some = _possible(docs.withColumnRenamed("doc_id", "doc"), members)
+        some = possible(docs.withColumnRenamed("doc_id", "doc"), "doc", members.select("doc"), members.count()).where("may").drop("may")
         fetched = some.join(members.hint("merge"), "doc").select("doc", "d1", "text")
         texts = stage_table(spark, fetched.mapInArrow(tidy(_squeezed), "doc long, d1 long, text binary"), "texts")
         left = texts.select(F.col("doc").alias("a"), F.col("d1").alias("d1_a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("doc").alias("b"), F.col("d1").alias("d1_b"), F.col("text").alias("text_b"))
         star = members.where("doc <> family").select(F.col("doc").alias("a"), F.col("family").alias("b"))
-        full = star.join(left, "a").join(right, "b").select("a", "b", "d1_a", "d1_b", "text_a", "text_b")
-        links = stage_table(spark, full.mapInArrow(tidy(_linked(width, num, den)), "a long, b long").distinct(), "links")
+        links = stage_table(spark, _verified(star, left, right, _linked(width, num, den)), "links")
+        rest = star.withColumnRenamed("b", "family").join(links.select("a"), "a", "left_anti")
+        for _ in range(ROUNDS):
+            large = rest.groupBy("family").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("rep")))["rep"].alias("rep")).where(F.col("n") > MANY)
+            large = stage_table(spark, large, "large")
+            if not large.take(1):
+                break
+            rest = stage_table(spark, rest, "rest")
+            turn = join_hot(rest, "family", large, hot_limit(rest.count(), shuffle_parts(spark))).where("a <> rep")
+            more = stage_table(spark, _verified(turn.select("a", F.col("rep").alias("b")), left, right, _linked(width, num, den)), "links")
+            links = links.union(more)
+            rest = rest.join(more.select("a"), "a", "left_anti").join(large.select(F.col("rep").alias("a")), "a", "left_anti")
         labels = stars(links)
         families = _open_families(spark, members.select("doc", "family"), labels)
         if families is not None:
@@ -423,16 +445,57 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
     return own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
-#: Bits of the filter that keeps texts of no candidate from being shuffled: 2 ** 17 rows of 64 bits at most.
-FILTER_BITS = 23
+#: Members of a large family that all its members are compared with first, by sketches.
+REPS = 4
+#: Rounds in which the unlinked rest of a family is verified against one of it, and the members of a rest that has them.
+ROUNDS, MANY = 3, 1024
+#: Bytes of a compressed text, or a quarter of those of a family's sketches, that may be broadcast; of 2 * shuffle partitions of them at most.
+SMALL_TEXT = 16 << 10
 
 
-def _possible(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """docs whose doc may be in nodes: all that are, and, by a bitmap of fixed size, few others while nodes are fewer than its bits."""
-    slot = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
-    word, bit = F.shiftright(slot, 6), F.expr(f"shiftleft(1L, int(pmod(xxhash64(doc), {1 << FILTER_BITS}L) % 64))")
-    words = nodes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask"))
-    return docs.withColumn("word", word).join(F.broadcast(words), "word").where(bit.bitwiseAND(F.col("mask")) != 0).drop("word", "mask")
+def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, linked) -> DataFrame:
+    """The pairs (a, b) whose texts link. Of a b in many pairs, the text is broadcast if it is small."""
+    counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    theirs = right.join(counts, "b")
+    full = join_hot(pairs.join(left, "a"), "b", theirs, hot_limit(pairs.count(), shuffle_parts(pairs.sparkSession)), small=F.octet_length("text_b") <= SMALL_TEXT)
+    return full.select("a", "b", "d1_a", "d1_b", "text_a", "text_b").mapInArrow(tidy(linked), "a long, b long").distinct()
+
+
+def _nearest(num: int, den: int):
+    def rows(batches):
+        """(doc, comp, reps): the representatives that sketches and sizes leave, and the lowest of those that they connect it with."""
+        for batch in batches:
+            out: dict[str, list] = {"doc": [], "comp": [], "reps": []}
+            for doc, size, sketch, reps in zip(*(batch.column(c).to_pylist() for c in ("doc", "n_shingles", "sketch", "reps")), strict=True):
+                may = lambda n, s, m, t: max(n, m) * num <= min(n, m) * den and differing_cells(s, t) * (den + num) <= (n + m) * (den - num)
+                top = {r["doc"]: r["doc"] for r in reps}
+                for i, a in enumerate(reps):  # few: the same for all members of the family
+                    for b in reps[:i]:
+                        if top[a["doc"]] != top[b["doc"]] and may(a["n_shingles"], a["sketch"], b["n_shingles"], b["sketch"]):
+                            low, high = sorted((top[a["doc"]], top[b["doc"]]))
+                            top = {k: low if v == high else v for k, v in top.items()}
+                near = [r["doc"] for r in reps if r["doc"] != doc and may(size, sketch, r["n_shingles"], r["sketch"])]
+                own = [doc] if doc in top else near
+                if own:
+                    out["doc"].append(doc)
+                    out["comp"].append(top[own[0]])
+                    out["reps"].append(near)
+            yield pa.RecordBatch.from_arrays([pa.array(out["doc"], pa.int64()), pa.array(out["comp"], pa.int64()), pa.array(out["reps"], pa.list_(pa.int64()))], ["doc", "comp", "reps"])
+
+    return rows
+
+
+def _compared_with_few(loose: DataFrame, sketched: DataFrame, num: int, den: int) -> DataFrame | None:
+    """Of the members of families of more than MANY: (doc, comp, reps), where a representative is left for them; None without such families."""
+    spark = loose.sparkSession
+    drawn = [F.min(F.struct(F.xxhash64("doc", F.lit(k)).alias("h"), "doc"))["doc"] for k in range(REPS)]
+    large = loose.groupBy("family").agg(F.count("*").alias("n"), F.array_distinct(F.array(*drawn)).alias("reps")).where(F.col("n") > MANY)
+    large = stage_table(spark, large, "large")
+    if not large.take(1):
+        return None
+    known = large.select("family", "n", F.explode("reps").alias("doc")).join(sketched, "doc").groupBy("family", "n").agg(F.sort_array(F.collect_list(F.struct("doc", "n_shingles", F.col("sketch")))).alias("reps"))
+    members = join_hot(loose.join(large.select("family"), "family", "left_semi").join(sketched, "doc"), "family", known, hot_limit(loose.count(), shuffle_parts(spark)), small=F.aggregate("reps", F.lit(0), lambda n, r: n + F.octet_length(r["sketch"])) <= 4 * SMALL_TEXT)
+    return stage_table(spark, members.select("doc", "n_shingles", "sketch", "reps").mapInArrow(tidy(_nearest(num, den)), "doc long, comp long, reps array<long>"), "near")
 
 
 def _open_families(spark: SparkSession, members: DataFrame, labels: DataFrame) -> DataFrame | None:
@@ -444,7 +507,7 @@ def _open_families(spark: SparkSession, members: DataFrame, labels: DataFrame) -
 
 
 #: Members of a block of texts, and of sketches; two blocks are compared in one task.
-BLOCK, SKETCHED = 128, 4096
+BLOCK, SKETCHED = 128, 1024
 
 
 def _dealt_blocks(spark: SparkSession, members: DataFrame, block: int) -> DataFrame:
