@@ -17,8 +17,6 @@ doc_id may be null. Other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,14 +45,13 @@ SCOPE = 200
 ROLES = {"assign": "secret", "hex": "secret", "weak": "secret", "access": "name", "ident": "name", "endpoint": "place"}
 
 
-def _hits(text: Column, kind: str) -> Column:
+def _hits(text: Column, lowered: Column, kind: str) -> Column:
     """Matches of a kind: (kind, i, gap, size, value): code points since the last match, of the match, of the measured group."""
     pattern, group = PATTERNS[kind]
     lengths = lambda g: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), F.length)
     zipped = F.arrays_zip(lengths(0).alias("size"), lengths(group).alias("value"), F.transform(F.split(text, pattern, -1), F.length).alias("gap"))
     hits = F.transform(F.filter(zipped, lambda z: z["size"].isNotNull()), lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), z["gap"].alias("gap"), z["size"].alias("size"), z["value"].alias("value")))
-    lowered = F.lower(text)  # a common subexpression of all kinds
-    may = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(w)) for w in WORDS[kind])) if kind in WORDS else F.lit(True)
+    may = F.exists(F.array(*map(F.lit, WORDS[kind])), lambda w: F.contains(lowered, w)) if kind in WORDS else F.lit(True)
     return F.when(may & text.rlike(pattern), hits)
 
 
@@ -95,8 +92,10 @@ def _listed(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, n_linked, base_sha256, spans."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = F.array_compact(F.flatten(F.array_compact(F.array(*(_hits(text, k) for k in PATTERNS)))))
-    scanned = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.when(F.size(found) > 0, found).alias("hits"))
+    found = F.array_compact(F.flatten(F.array_compact(F.array(*(_hits(F.col("t"), F.col("l"), k) for k in PATTERNS)))))
+    # lower case once a text: a column of its own that all kinds read
+    texts = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), text.alias("t"), F.lower(text).alias("l"))
+    scanned = texts.select("doc_id", "rid", F.when(F.size(found) > 0, found).alias("hits"))
     scanned = stage_table(docs.sparkSession, scanned, "secrets")
     parts = stage_table(docs.sparkSession, _parts(scanned), "parts")
     spans = parts.where("base").union(linked_parts(parts, scope))
