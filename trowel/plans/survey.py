@@ -562,28 +562,29 @@ class Survey:
         stopped and later files only; folder and effects are then looked up for each.
         """
         at = self.touched.groupBy("path").agg(F.min("ord").alias("newest")).join(self.commits.select(F.col("ord").alias("newest"), "at"), "newest")
-        last = self._stage(at.join(self.file_history.select("path", "commits"), "path").join(self.modules.select(F.col("relpath").alias("path"), "key"), "path").select("key", "path", "at", "commits"), "last")
+        last = self._stage(at.join(self.file_history.select("path", "commits"), "path").join(self.modules.select(F.col("relpath").alias("path"), "key", "ord"), "path").select("key", "ord", "path", "at", "commits"), "last")
         enough = last.agg((F.count("*") >= MIN_FILES).alias("enough"))
-        ranked = summaries.quiet_rank(last, "key", "at").where((F.col("later") >= QUIET_FILES) & ~is_test(F.col("key")))
+        ranked = summaries.quiet_rank(last, "key", "at").where((F.col("later") >= QUIET_FILES) & ~is_test(F.col("key"))).join(last.select("key", "ord"), "key")
         unfinished = self.frontier.where(F.col("score") >= MIN_SCORE).select("key").union(self.orphans.select("key")).union(self.signals.where("kind = 'unreached'").select("key")).distinct()
-        stopped = self._stage(ranked.join(unfinished, "key", "left_semi").join(F.broadcast(enough)).where("enough").select(F.col("key").alias("a"), F.col("at").alias("a_at")), "stopped")  # enough is one row
-        later = self._stage(last.where(~follows_tests(F.col("key"), F.col("path"))).select(F.col("key").alias("b"), F.col("at").alias("b_at"), "commits"), "later")
-        words = self._stage(self.definitions.select("key", F.explode(T.vocabulary(F.col("name"))).alias("w")).where(~F.col("w").isin(*COMMON_WORDS)).groupBy("key", "w").agg(F.count("*").alias("n")), "words")
-        ours = words.select(F.col("key").alias("a"), "w", F.col("n").alias("x")).join(stopped, "a")
-        theirs = words.select(F.col("key").alias("b"), "w", F.col("n").alias("y")).join(later, "b")
+        stopped = self._stage(ranked.join(unfinished, "key", "left_semi").join(F.broadcast(enough)).where("enough").select(F.col("ord").alias("a"), F.col("at").alias("a_at")), "stopped")  # enough is one row
+        later = self._stage(last.where(~follows_tests(F.col("key"), F.col("path"))).select(F.col("ord").alias("b"), F.col("at").alias("b_at"), "commits"), "later")
+        # modules by number and words by hash: pairs are many, and rows of numbers are cheap to add up
+        words = self._stage(self.definitions.select("key", F.explode(T.vocabulary(F.col("name"))).alias("word")).where(~F.col("word").isin(*COMMON_WORDS)).groupBy("key", F.xxhash64("word").alias("w")).agg(F.count("*").alias("n")).join(last.select("key", "ord"), "key"), "words")
+        ours = words.select(F.col("ord").alias("a"), "w", F.col("n").alias("x")).join(stopped, "a")
+        theirs = words.select(F.col("ord").alias("b"), "w", F.col("n").alias("y")).join(later, "b")
         alike = ours.join(theirs, "w").where("b_at > a_at and a <> b").groupBy("a", "b").agg(F.sum(F.least("x", "y")).alias("n")).where("n >= 2").select("a", "b", F.lit("vocabulary").alias("signal"))
         top = self.co_change.orderBy(F.desc("n"), "item_a", "item_b").limit(TOP_PAIRS)
-        key_of = self.modules.select(F.col("relpath").alias("path"), "key")
+        key_of = self.modules.select(F.col("relpath").alias("path"), "ord")
         top = top.join(key_of.toDF("item_a", "a"), "item_a").join(key_of.toDF("item_b", "b"), "item_b").select("a", "b")
         together = top.union(top.select("b", "a")).toDF("a", "b").join(stopped, "a").join(later, "b").where("b_at > a_at").select("a", "b", F.lit("co-change").alias("signal"))
         specific = alike.union(together).groupBy("a", "b").agg(F.collect_set("signal").alias("specific"))
         reach = self.effects.groupBy("key").agg(F.collect_set("category").alias("reach"))
-        profile = self.modules.select("key", F.regexp_extract("key", r"^(.*)\.[^.]*$", 1).alias("folder")).join(reach, "key", "left")
-        of = lambda side: profile.select(F.col("key").alias(side), F.col("folder").alias(f"{side}_folder"), F.col("reach").alias(f"{side}_reach"))
+        profile = self.modules.select("key", "ord", F.regexp_extract("key", r"^(.*)\.[^.]*$", 1).alias("folder")).join(reach, "key", "left")
+        of = lambda side: profile.select(F.col("ord").alias(side), F.col("key").alias(f"{side}_key"), F.col("folder").alias(f"{side}_folder"), F.col("reach").alias(f"{side}_reach"))
         joined = specific.join(of("a"), "a").join(of("b"), "b").join(later.select("b", "commits"), "b")
         folder = F.when((F.col("a_folder") != "") & (F.col("a_folder") == F.col("b_folder")), F.lit("package"))
         effects = F.when(F.arrays_overlap("a_reach", "b_reach"), F.lit("effects"))
-        found = joined.select("a", "b", "commits", F.sort_array(F.concat("specific", F.array_compact(F.array(folder, effects)))).alias("signals")).where(F.size("signals") >= MIN_SIGNALS)
+        found = joined.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), "commits", F.sort_array(F.concat("specific", F.array_compact(F.array(folder, effects)))).alias("signals")).where(F.size("signals") >= MIN_SIGNALS)
         kept = summaries.top_n_more(found, ["a"], [F.size("signals").desc(), F.desc("commits"), F.asc("b")], 3)
         return relations.hub_trim(kept, "a", "b").select(F.col("a").alias("stopped"), F.col("b").alias("continued"), "signals", "commits")
 
