@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from trowel.functions import text as T
@@ -142,7 +143,9 @@ def test_greedy_groups_equal_a_fold_over_all_groups():
         assert attempts.greedy_groups(pairs) == slow(pairs)
 
 
-def test_components_with_hubs(spark):
+@pytest.mark.parametrize("least", [500, 20_000])
+def test_components_with_hubs(spark, monkeypatch, least):
+    monkeypatch.setattr(graph, "HUB_EDGES", least)
     r = random.Random(1)
     edges = [(0, i) for i in range(1, 3000)] + [(r.randrange(5000, 6000), r.randrange(5000, 6000)) for _ in range(700)] + [(i, i + 1) for i in range(10000, 10050)] + [(20000 + i, 999999) for i in range(1500)] + [(7, 7)]
     top = {n: n for e in edges for n in e}

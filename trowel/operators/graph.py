@@ -42,6 +42,10 @@ def trace(edges: DataFrame, seed: DataFrame, src: str = "src", dst: str = "dst")
     return down.union(up)
 
 
+#: Edges of a node, at least, for which a plan of its own pays: a task sorts fewer of them at once.
+HUB_EDGES = 20_000
+
+
 def _round_by_windows(now: DataFrame) -> DataFrame:
     """One large-star and small-star step where no node is a hub: three shuffles, each of which holds a node's edges in one task."""
     both = now.union(now.select("y", "x")).toDF("u", "v")
@@ -77,7 +81,7 @@ def stars(edges: DataFrame) -> DataFrame:
         sign = degrees.agg(F.sum("up").alias("n"), F.max(F.col("up") + F.col("down")).alias("most"), F.count_if(F.expr("up > 1 or (up = 1 and down > 0)")).alias("open")).first()
         if not sign["open"]:
             return now.select(F.col("x").alias("node"), F.col("y").alias("component"))
-        limit = relations.hot_limit(2 * sign["n"], shuffle_parts(spark))
+        limit = relations.hot_limit(2 * sign["n"], shuffle_parts(spark), HUB_EDGES)
         now = stage_table(spark, _round_by_joins(now, limit) if sign["most"] > limit else _round_by_windows(now), "star")
 
 

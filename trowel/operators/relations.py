@@ -91,9 +91,12 @@ def best_counterpart(pairs: DataFrame, mine: str, theirs: str, score: str) -> Da
 HOT_ROWS, MOST_HOT = 1000, 100_000
 
 
-def hot_limit(n_rows: int, partitions: int) -> int:
-    """Rows of a key above which it is hot; of n_rows, MOST_HOT / 2 keys at most can have more."""
-    return max(HOT_ROWS, n_rows // (2 * partitions), 2 * n_rows // MOST_HOT)
+def hot_limit(n_rows: int, partitions: int, least: int | None = None) -> int:
+    """Rows of a key above which it is hot; of n_rows, MOST_HOT / 2 keys at most can have more.
+
+    A power of two, so that plans over inputs of about one size are the same code, compiled once.
+    """
+    return 1 << (max(least or HOT_ROWS, n_rows // (2 * partitions), 2 * n_rows // MOST_HOT) - 1).bit_length()
 
 
 def join_hot(rows: DataFrame, key: str, table: DataFrame, limit: int | None, count: str = "n", small: Column | None = None) -> DataFrame:
