@@ -443,9 +443,9 @@ SQL: dict[str, str] = {
         "fan": "SELECT key, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out FROM modules LEFT JOIN (SELECT dst AS key, count(*) AS n FROM edges GROUP BY 1) i USING (key) LEFT JOIN (SELECT src AS key, count(*) AS n FROM edges GROUP BY 1) o USING (key)",
         "cycles": "SELECT src, dst FROM edges WHERE src IN (SELECT node FROM core) AND dst IN (SELECT node FROM core)",
         "trace": """
-          , hidden AS (SELECT key FROM states WHERE state IN ('deadend', 'broken') AND key <> 'pkg1'), clear AS (SELECT * FROM edges WHERE src NOT IN (SELECT key FROM hidden) AND dst NOT IN (SELECT key FROM hidden)),
-          downward AS (SELECT 'pkg1' AS node, 0 AS depth UNION SELECT c.dst, w.depth + 1 FROM downward w JOIN clear c ON c.src = w.node WHERE w.depth < 40),
-          upward AS (SELECT 'pkg1' AS node, 0 AS depth UNION SELECT c.src, w.depth + 1 FROM upward w JOIN clear c ON c.dst = w.node WHERE w.depth < 40)
+          , hidden AS (SELECT key FROM states WHERE state IN ('deadend', 'broken') AND key <> 'pkg7'), clear AS (SELECT * FROM edges WHERE src NOT IN (SELECT key FROM hidden) AND dst NOT IN (SELECT key FROM hidden)),
+          downward AS (SELECT 'pkg7' AS node, 0 AS depth UNION SELECT c.dst, w.depth + 1 FROM downward w JOIN clear c ON c.src = w.node WHERE w.depth < 40),
+          upward AS (SELECT 'pkg7' AS node, 0 AS depth UNION SELECT c.src, w.depth + 1 FROM upward w JOIN clear c ON c.dst = w.node WHERE w.depth < 40)
           SELECT 'uses' AS direction, node, min(depth) AS depth, (SELECT count(DISTINCT dst) FROM edges WHERE src IN (SELECT node FROM downward) AND dst IN (SELECT key FROM hidden)) AS left_out FROM downward GROUP BY node
           UNION ALL SELECT 'used_by', node, min(depth), (SELECT count(DISTINCT src) FROM edges WHERE dst IN (SELECT node FROM upward) AND src IN (SELECT key FROM hidden)) FROM upward GROUP BY node""",
         "neighbourhood": "SELECT 'pkg1' AS key UNION SELECT dst FROM edges WHERE src = 'pkg1' UNION SELECT src FROM edges WHERE dst = 'pkg1'",

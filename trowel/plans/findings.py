@@ -184,7 +184,7 @@ def cycles(s):
 
 @finding
 def trace(s):
-    return s.trace("pkg1", 100_000)
+    return s.trace("pkg7", 100_000)
 
 
 @finding
