@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from trowel.llm.arrays import U64, cut_by_top_bits, mix, pack_sorted, slices, squeeze, text_buffers, tidy, unpack_sorted, unsqueeze, window_owner, windows, words_of
 from trowel.operators.graph import stars
+from trowel.operators.relations import possible
 from trowel.session import input_bytes, ship_package, shuffle_parts, stage_table
 
 
@@ -400,7 +401,7 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
         family = family.union(family.select("component", "component").distinct()).toDF("doc", "family")
         members = stage_table(spark, family.join(classes.select("doc", "d1"), "doc"), "members")
 
-        some = _possible(docs.withColumnRenamed("doc_id", "doc"), members)
+        some = possible(docs.withColumnRenamed("doc_id", "doc"), "doc", members.select("doc"), members.count()).where("may").drop("may")
         fetched = some.join(members.hint("merge"), "doc").select("doc", "d1", "text")
         texts = stage_table(spark, fetched.mapInArrow(tidy(_squeezed), "doc long, d1 long, text binary"), "texts")
         left = texts.select(F.col("doc").alias("a"), F.col("d1").alias("d1_a"), F.col("text").alias("text_a"))
@@ -423,18 +424,6 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
     return own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
-#: Bits of the filter that keeps texts of no candidate from being shuffled: 2 ** 17 rows of 64 bits at most.
-FILTER_BITS = 23
-
-
-def _possible(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """docs whose doc may be in nodes: all that are, and, by a bitmap of fixed size, few others while nodes are fewer than its bits."""
-    slot = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
-    word, bit = F.shiftright(slot, 6), F.expr(f"shiftleft(1L, int(pmod(xxhash64(doc), {1 << FILTER_BITS}L) % 64))")
-    words = nodes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask"))
-    return docs.withColumn("word", word).join(F.broadcast(words), "word").where(bit.bitwiseAND(F.col("mask")) != 0).drop("word", "mask")
-
-
 def _open_families(spark: SparkSession, members: DataFrame, labels: DataFrame) -> DataFrame | None:
     """(family, doc, comp) of the families that have more than one component."""
     labelled = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("family", "doc", F.coalesce("component", "doc").alias("comp"))
