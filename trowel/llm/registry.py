@@ -73,6 +73,24 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trowel.llm.lang_id import language_report
+
+    return language_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trowel.llm.periodic_runs import runs_report
+
+    return runs_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trowel.llm.lexical_search import search_report
+
+    return search_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -85,14 +103,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece_codec": op8_sentencepiece_codec,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_secret_scans": op10_secret_scans,
+        "op11_language_id": op11_language_id,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from trowel.llm import line_dedup, mixing, quality
+    from trowel.llm import lexical_search, line_dedup, mixing, periodic_runs, quality
 
     return {
         "op2_quality_rules": quality.SQL,
         "op4_mixing": mixing.SQL,
         "op5_line_dedup": line_dedup.SQL,
+        "op12_periodic_runs": periodic_runs.SQL,
+        "op13_lexical_search": lexical_search.SQL,
     }
