@@ -169,7 +169,9 @@ def test_cap_counts_what_it_skips(tmp_path):
     assert (len(listing.files), listing.skipped) == (3, 2)
 
 
-@pytest.mark.parametrize(("text", "tag"), [("# TODO: x", "TODO"), ("# FIXME(me) y", "FIXME"), ("#: todo: z", "TODO"), ("# 1. HACK it", "HACK"), ("# x -- TODO: y", "TODO"), ("# attempted", None), ("# debug", None), ("# a TODO in prose", None), ("# temp file", None)])
+@pytest.mark.parametrize(("text", "tag"), [("# TODO: x", "TODO"), ("# FIXME(me) y", "FIXME"), ("#: todo: z", "TODO"), ("# 1. HACK it", "HACK"), ("# x -- TODO: y", "TODO"), ("# attempted", None), ("# debug", None), ("# a TODO in prose", None), ("# temp file", None),
+    ("# todo: lower case, with a label", "TODO"), ("#TEMP: no space", "TEMP"), ("# hack(bob): shim", "HACK"), ("# -- TODO: wire it", "TODO"), ("# noqa: E501  TODO: drop it", "TODO"), ("# type: ignore[attr-defined]  FIXME(ann): stubs", "FIXME"), ("# (TODO) remove", "TODO"), ("# 1) WIP", "WIP"),
+    ("# NOQA TODO: x", None), ("# a--TODO: x", None), ("# foo noqa: E501,abc1 TODO: z", None), ("# WARNING: TODO: counted", None), ("# see FIX-XXX: ticket 301", None), ("# KNOWN_BUGS.md", None), ("# contemporary", None), ("# forty TODOs", None), ("# the todo: list", None), ("# NOTE: a decision", None)])
 def test_tags(text, tag):
     assert facts.tag_of(text) == tag
 
@@ -189,6 +191,11 @@ def test_promises(text, promises):
     assert facts.promises_value(text) is promises
 
 
+@pytest.mark.parametrize(("lines", "says"), [(["def f(): pass  # TODO"], True), (["def todo(row):", "    pass"], False), (["def f():", "    pass  # not implemented yet"], True), (["def f():", "    # not (yet) implemented"], True), (["def f():", "    # Not yet", "    # implemented"], False), (["def f():", "    # not yet  implemented"], True), (["def f():", "    # Not implemented. Yet another note"], False), (["def f():", "    todos()"], False), ([], False)])
+def test_unfinished_wordings(lines, says):
+    assert facts.says_unfinished(lines) is says
+
+
 def test_swallowed_exceptions():
     import ast
 
