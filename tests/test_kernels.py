@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from trowel.functions import text as T
 from trowel.operators import geometry, graph, relations, summaries
-from trowel.plans import attempts
 
 
 def rows(df):
@@ -29,7 +28,9 @@ def test_trace_goes_both_ways(spark):
     assert got == [("used_by", "a", 1), ("used_by", "b", 0), ("uses", "b", 0), ("uses", "c", 1), ("uses", "d", 1)]
 
 
-def test_components_of_a_long_chain_and_a_star(spark):
+@pytest.mark.parametrize("one_task", [graph.ONE_TASK, 0])
+def test_components_of_a_long_chain_and_a_star(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = dict(rows(graph.components(spark.createDataFrame(pairs, "a long, b long"))))
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
@@ -39,9 +40,86 @@ def test_components_of_nothing(spark):
     assert rows(graph.components(spark.createDataFrame([], "a long, b long"))) == []
 
 
-def test_pointer_chase_follows_chains_and_names_cycles(spark):
-    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("p", "q"), ("q", "p"), ("t", "q"), ("z", "z")], "old string, new string")
-    assert dict(rows(graph.pointer_chase(links))) == {"a": "d", "b": "d", "c": "d", "p": "p", "q": "p", "t": "p"}
+LONG_WAY = pytest.mark.parametrize("one_task", [graph.ONE_TASK, 0], ids=["one task", "rounds"])
+
+
+@LONG_WAY
+def test_pointer_chase_follows_chains_to_where_they_meet_a_cycle(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("p", "q"), ("q", "p"), ("t", "q"), ("u", "t"), ("z", "z"), (None, "x"), ("y", None)], "old string, new string")
+    assert dict(rows(graph.pointer_chase(links))) == {"a": "d", "b": "d", "c": "d", "p": "p", "q": "q", "t": "q", "u": "q", "z": "z"}
+
+
+def renamed(events):
+    """What names are called in the end, as a log read from its beginning says."""
+    to = {}
+    for old, new in events:
+        to = {k: new if v == old else v for k, v in to.items()}
+        to[old] = new
+    out = {}
+    for name in to:
+        at, seen = name, set()
+        while at in to and at not in seen:
+            seen.add(at)
+            at = to[at]
+        out[name] = at
+    return out
+
+
+@LONG_WAY
+def test_renames_in_the_order_of_the_log(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    r = random.Random(3)
+    cases = [[("z", "b"), ("b", "z")], [("a", "z"), ("a", "b")], [("a", "b"), ("b", "c"), ("c", "d")], [("b", "c"), ("a", "b")], []]
+    cases += [[(r.choice("abcdef"), r.choice("abcdef")) for _ in range(r.randint(1, 14))] for _ in range(1 if one_task == 0 else 12)]
+    for events in cases:
+        df = spark.createDataFrame([(n, *e) for n, e in enumerate(events)], "ord long, old string, new string")
+        assert dict(rows(graph.rename_chain(df))) == renamed(events), events
+
+
+def walk_cycles(pairs):
+    """A plain recursive walk."""
+    ahead, colour, stack, out = {}, {}, [], []
+    for a, b in pairs:
+        ahead.setdefault(a, set()).add(b)
+
+    def walk(node):
+        colour[node] = 1
+        stack.append(node)
+        for b in sorted(ahead.get(node, ())):
+            if colour.get(b) == 1:
+                cycle = [*stack[stack.index(b) :], b]
+                if cycle not in out:
+                    out.append(cycle)
+            elif not colour.get(b):
+                walk(b)
+        stack.pop()
+        colour[node] = 2
+
+    for node in sorted({x for p in pairs for x in p}):
+        if not colour.get(node):
+            walk(node)
+    return sorted(out)
+
+
+@LONG_WAY
+def test_cycles_as_a_walk_over_the_whole_graph_meets_them(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    r = random.Random(5)
+    cases = [[("a", "z"), ("z", "b"), ("b", "z"), ("b", "c"), ("c", "z"), ("c", "b")], [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("d", "d"), ("x", "y")], []]
+    for _ in range(1 if one_task == 0 else 20):
+        n = r.randint(3, 14)
+        cases.append([("n%02d" % r.randrange(n), "n%02d" % r.randrange(n)) for _ in range(r.randint(n, 2 * n))])
+    for pairs in cases:
+        found = graph.cycles(spark.createDataFrame(pairs, "src string, dst string"))
+        assert sorted(x.nodes for x in found.collect()) == walk_cycles(pairs), pairs
+
+
+@LONG_WAY
+def test_strong_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    e = edges(spark, ("r", "a"), ("a", "b"), ("b", "a"), ("b", "t"), ("t", "u"), ("u", "t"), ("s", "s"), ("t", "v"))
+    assert rows(graph.strong_components(e)) == [("a", "b"), ("b", "b"), ("s", "s"), ("t", "u"), ("u", "u")]
 
 
 def test_cyclic_core(spark):
@@ -49,11 +127,6 @@ def test_cyclic_core(spark):
     assert rows(graph.cyclic_core(e)) == [("a", "b"), ("b", "a")]
 
 
-def test_named_cycles():
-    found = graph.named_cycles([("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("d", "d"), ("x", "y")])
-    assert sorted(found) == [["a", "b"], ["a", "b", "c"], ["d"]]
-
-
 def test_overlap_pairs_with_a_feature_that_all_share(spark):
     data = [(k, f) for k in range(30) for f in ("common", f"own{k}", f"mine{k}")] + [(90, "x"), (91, "x"), (90, "y"), (91, "y"), (90, "common"), (91, "common")]
     df = spark.createDataFrame(data, "k long, f string")
@@ -120,29 +193,6 @@ def test_text_functions(spark):
     assert one(lambda c: T.clip_middle(c, 7), "abcdefghij") == "abc…hij"
 
 
-def test_greedy_groups_are_not_components():
-    names = {"A": {1, 2, 3}, "B": {7, 8, 9}, "C": {1, 2, 3, 4, 5, 6}, "D": {4, 5, 6, 7, 8, 9}}
-    sharing = [(a, b) for a in names for b in names if a < b and len(names[a] & names[b]) >= 3]
-    assert [sorted(g) for g in attempts.greedy_groups(sharing)] == [["A", "C", "D"], ["B", "D"]]
-
-
-def test_greedy_groups_equal_a_fold_over_all_groups():
-    def slow(pairs):
-        groups = []
-        for a, b in sorted(pairs):
-            home = next((g for g in groups if a in g or b in g), None)
-            if home is None:
-                groups.append([a, b])
-            else:
-                home += [k for k in (a, b) if k not in home]
-        return groups
-
-    r = random.Random(4)
-    for _ in range(60):
-        pairs = list({tuple(sorted(r.sample("abcdefghij", 2))) for _ in range(r.randint(1, 14))})
-        assert attempts.greedy_groups(pairs) == slow(pairs)
-
-
 @pytest.mark.parametrize("least", [500, 20_000])
 def test_components_with_hubs(spark, monkeypatch, least):
     monkeypatch.setattr(graph, "HUB_EDGES", least)
@@ -191,3 +241,27 @@ def test_layered_chart():
 
 def test_boxes_stand_on_shelves():
     assert geometry.shelve([("a", 1000, 50), ("b", 300, 80), ("c", 40, 10), ("d", 1350, 5)]) == [("a", 0, 0), ("b", 1014, 0), ("c", 0, 94), ("d", 0, 118)]
+
+
+def fold(pairs):
+    """Groups as a fold over the pairs in order makes them, each by the pair that began it."""
+    groups, first = {}, {}
+    for pair in sorted(set(pairs)):
+        homes = [first[k] for k in pair if k in first]
+        home = min(homes, default=pair)
+        groups.setdefault(home, set()).update(pair)
+        for k in pair:
+            first[k] = home
+    return sorted((*home, k) for home, members in groups.items() for k in members)
+
+
+@LONG_WAY
+def test_greedy_groups_are_those_of_the_fold(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    r = random.Random(9)
+    cases = [[], [("A", "D"), ("B", "D"), ("A", "C")], [("a", "b"), ("c", "d"), ("b", "c"), ("b", "d")], [("hub", f"n{i:02d}") for i in range(30)] + [("a", "n05"), ("n05", "z")]]
+    for _ in range(2 if one_task == 0 else 10):
+        n = r.randint(4, 16)
+        cases.append([tuple(sorted(r.sample([f"k{i:02d}" for i in range(n)], 2))) for _ in range(r.randint(2, 2 * n))])
+    for pairs in cases:
+        assert sorted(map(tuple, graph.greedy_groups(spark.createDataFrame(pairs, "a string, b string")).collect())) == fold(pairs), pairs

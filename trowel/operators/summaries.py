@@ -47,15 +47,17 @@ def history(log: DataFrame, key: str, order: Sequence[str], at: Column, subject:
     return agg.join(recent, key)
 
 
-def timeline(df: DataFrame, key: str, at: Column) -> DataFrame:
-    """(month, n, first_key): keys by the month they were first seen in."""
-    first = df.groupBy(key).agg(F.date_format(F.min(at), "yyyy-MM").alias("month"))
+def timeline(df: DataFrame, key: str, at: Column, order: Sequence[str] = ()) -> DataFrame:
+    """(month, n, first_key): keys by the month they were first seen in: of the row that comes first by order, else of the earliest."""
+    begun = F.min_by(at, F.struct(*order)) if order else F.min(at)
+    first = df.groupBy(key).agg(F.date_format(begun, "yyyy-MM").alias("month"))
     return first.groupBy("month").agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
 
 
-def stalled(df: DataFrame, key: str, at: Column, max_commits: int = 2, quiet_days: int = 60) -> DataFrame:
-    """(key, commits, days_quiet): keys of few commits that were last touched long before the newest."""
-    own = df.groupBy(key).agg(F.count("*").alias("commits"), F.max(at.cast("timestamp").cast("long")).alias("last"))
+def stalled(df: DataFrame, key: str, at: Column, max_commits: int = 2, quiet_days: int = 60, order: Sequence[str] = ()) -> DataFrame:
+    """(key, commits, days_quiet): keys of few commits that were last touched long before the newest: in the row that comes last by order, else in the latest."""
+    seconds = at.cast("timestamp").cast("long")
+    own = df.groupBy(key).agg(F.count("*").alias("commits"), (F.max_by(seconds, F.struct(*order)) if order else F.max(seconds)).alias("last"))
     newest = own.agg(F.max("last").alias("newest"))
     quiet = own.join(F.broadcast(newest)).withColumn("days_quiet", F.floor((F.col("newest") - F.col("last")) / 86400))  # newest is one row
     return quiet.where((F.col("commits") <= max_commits) & (F.col("days_quiet") >= quiet_days)).select(key, "commits", "days_quiet")

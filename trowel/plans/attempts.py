@@ -1,7 +1,6 @@
-"""Competing attempts at one job, within one family of modules that share specific names.
+"""Competing attempts at one job: modules grouped, greedily and in order, by the specific names that they share.
 
-A family is a connected component of sharing pairs, so greedy grouping, which never reaches beyond
-one, can run per family; families are small, and other work on them is relational.
+A group is described in one task, so its modules are assumed to fit one; grouping itself is relational.
 """
 
 from __future__ import annotations
@@ -52,20 +51,6 @@ def what_is_known(row: dict) -> list[str]:
     ]
 
 
-def greedy_groups(pairs: list[tuple[str, str]]) -> list[list[str]]:
-    """Pairs in order of names join the first group that holds either; groups are never merged. One step a pair."""
-    groups: list[dict[str, None]] = []
-    first: dict[str, int] = {}
-    for a, b in sorted(pairs):
-        home = min(first.get(a, len(groups)), first.get(b, len(groups)))
-        if home == len(groups):
-            groups.append({})
-        for k in (a, b):
-            groups[home][k] = None
-            first[k] = min(first.get(k, home), home)
-    return [list(g) for g in groups]
-
-
 def _same_sets(members: list[dict]) -> list[list[dict]]:
     """Transitive sets of members with equal names or kept aside, in order of their first member."""
     top = list(range(len(members)))
@@ -139,19 +124,14 @@ def _described(members: list[dict]) -> dict:
 
 
 def describer(schema: pa.Schema):
-    """A function for applyInArrow: groups of one family, restarts over live representatives, and each set of copies."""
-
-    def describe(table: pa.Table, pairs: pa.Table) -> pa.Table:
-        rows = {r["key"]: r | {"names": set(r["defines"]), "score": completeness(r)} for r in table.to_pylist()}
-        out = []
-        for group in greedy_groups(list(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True))):
-            members = _ranked([rows[k] for k in group])
-            sets = _same_sets(members)
-            if len(sets) == 1:
-                out.append(_described(members))
-                continue
-            out.append(_described([next((m for m in s if not _aside(m["relpath"])), s[0]) for s in sets]))
-            out += [_described(s) for s in sets if len(s) > 1]
-        return pa.Table.from_pylist(out, schema)
+    """A function for applyInArrow: one group's restarts over live representatives, and each set of copies."""
+
+    def describe(table: pa.Table) -> pa.Table:
+        members = _ranked([r | {"names": set(r["defines"]), "score": completeness(r)} for r in table.to_pylist()])
+        sets = _same_sets(members)
+        if len(sets) == 1:
+            return pa.Table.from_pylist([_described(members)], schema)
+        live = _described([next((m for m in s if not _aside(m["relpath"])), s[0]) for s in sets])
+        return pa.Table.from_pylist([live, *(_described(s) for s in sets if len(s) > 1)], schema)
 
     return describe

@@ -23,8 +23,10 @@ PROSE = "start with app2 and pkg1, then read vendor."
 MARKERS = [("pkg7", "LICENSE"), ("pkg8", "notes.txt")]
 
 
-#: Lines of orders that count as changes: some modules are hardly ever touched.
-SEEN = "l_partkey % 10 <> 7 OR (l_linenumber = 1 AND l_orderkey % 16 = 0)"
+#: The module that a line of an order changes: some are hardly ever touched, their lines change the module before.
+TOUCHES = "CASE WHEN l_partkey % 10 = 7 AND NOT (l_linenumber = 1 AND l_orderkey % 16 = 0) THEN l_partkey - 1 ELSE l_partkey END"
+#: Days by which the date of a commit is later than its place in the log, as after a rebase.
+REBASED = "CASE WHEN o_orderkey % 97 = 5 THEN 45 ELSE 0 END"
 
 
 def half(k: str) -> str:
@@ -164,14 +166,29 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.selectExpr("relpath", f"{content} AS content", "k AS ord")
 
 
-def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """commits and commit_files: orders and their parts; ord is smaller for newer orders."""
+#: Modules that were moved once, and those that were moved there and back, with the days.
+MOVED, BACK = "k % 19 = 4", "k % 19 = 5"
+MOVES = ["1994-01-01", "1993-06-01", "1996-01-01"]
+
+
+def _path_then(k: str) -> str:
+    """SQL: the path of module k on the day of an order."""
+    day = [f"CAST(o_orderdate AS DATE) {{}} DATE '{d}'" for d in MOVES]
+    moved = f"({MOVED.replace('k', k)} AND {day[0].format('<')}) OR ({BACK.replace('k', k)} AND {day[1].format('>=')} AND {day[2].format('<')})"
+    return f"CASE WHEN {moved} THEN 'was/' || {path(k)} ELSE {path(k)} END"
+
+
+def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """commits, commit_files and renames: orders, the modules of their lines by the names of the day, and moves; ord is smaller for newer orders."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     ord_ = F.expr("1000000000000000 - (CAST(unix_date(CAST(o_orderdate AS DATE)) AS BIGINT) * 1000000000 + o_orderkey)")
-    commits = orders.select(ord_.alias("ord"), F.concat(F.lit("c"), "o_orderkey").alias("sha"), (F.unix_date(F.col("o_orderdate").cast("date")).cast("long") * 86400).alias("at"), F.concat(F.lit("cust"), F.col("o_custkey") % 7).alias("author"), F.col("o_orderpriority").alias("subject"))
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(SEEN).select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("k"))
-    commit_files = lines.join(orders.select("o_orderkey", "o_orderdate"), "o_orderkey").select(ord_.alias("ord"), F.expr(path("k")).alias("path"))
-    return commits, commit_files
+    day = F.unix_date(F.col("o_orderdate").cast("date")).cast("long") + F.expr(REBASED)
+    commits = orders.select(ord_.alias("ord"), F.concat(F.lit("c"), "o_orderkey").alias("sha"), (day * 86400).alias("at"), F.concat(F.lit("cust"), F.col("o_custkey") % 7).alias("author"), F.col("o_orderpriority").alias("subject"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"), F.expr(TOUCHES).alias("k"))
+    commit_files = lines.join(orders.select("o_orderkey", "o_orderdate"), "o_orderkey").select(ord_.alias("ord"), F.expr(_path_then("k")).alias("path"))
+    moves = [(MOVED, MOVES[0], True), (BACK, MOVES[1], False), (BACK, MOVES[2], True)]
+    of = lambda where, when, home: _parts(spark, sf_dir).where(where).selectExpr(f"CAST(unix_date(DATE '{when}') AS BIGINT) * 1000000000 + k AS ord", *[f"{'' if here else "'was/' || "}{path('k')} AS {c}" for c, here in (("old", not home), ("new", home))])
+    return commits, commit_files, of(*moves[0]).union(of(*moves[1])).union(of(*moves[2]))
 
 
 _surveys: dict[tuple[str, str], Survey] = {}
@@ -181,9 +198,9 @@ def survey(spark: SparkSession, sf_dir: str) -> Survey:
     """The survey of the code base, kept for the application, as its tables are staged once."""
     place = (spark.sparkContext.applicationId, sf_dir)
     if place not in _surveys:
-        commits, commit_files = (stage_table(spark, t, "log") for t in history(spark, sf_dir))
+        commits, commit_files, renames = (stage_table(spark, t, "log") for t in history(spark, sf_dir))
         tracked = _parts(spark, sf_dir).where("k % 23 <> 6").selectExpr(f"{path('k')} AS relpath")
         declared = _parts(spark, sf_dir).where("k % 61 = 20").selectExpr(f"{module('k')} AS module", f"{module('k')} || ':main' AS spec", "'scripts' AS by", "'pyproject.toml' AS source", "'tool' || k AS name")
         listing = tree.Listing("", markers=MARKERS)
-        _surveys[place] = Survey(spark, files(spark, sf_dir), listing, commits, commit_files, None, stage_table(spark, tracked, "tracked"), declared, PROSE)
+        _surveys[place] = Survey(spark, files(spark, sf_dir), listing, commits, commit_files, renames, stage_table(spark, tracked, "tracked"), declared, PROSE)
     return _surveys[place]

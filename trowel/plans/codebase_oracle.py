@@ -278,11 +278,11 @@ FACTS: dict[str, str] = {
              coalesce(v.dir, CASE WHEN starts_with(relpath, 'pkg7/') THEN 'pkg7/LICENSE' END) AS why
       FROM modules m LEFT JOIN (SELECT * FROM (VALUES {pairs((d,) for d in VENDOR_DIRS)}) AS t(dir)) v ON v.dir = string_split(relpath, '/')[1] AND contains(relpath, '/')""",
     "history": f"""
-      SELECT m.key, m.relpath AS path, o.o_orderkey, o.o_orderdate, o.o_orderpriority AS subject, 'cust' || (o.o_custkey % 7) AS author
-      FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE {codebase.SEEN}) l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN modules m ON m.k = l.l_partkey""",
+      SELECT m.key, m.relpath AS path, o.o_orderkey, o.o_orderdate, CAST(o.o_orderdate AS DATE) + {codebase.REBASED} AS day, o.o_orderpriority AS subject, 'cust' || (o.o_custkey % 7) AS author
+      FROM (SELECT DISTINCT l_orderkey, {codebase.TOUCHES} AS part FROM lineitem) l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN modules m ON m.k = l.part""",
     "placed": "SELECT *, row_number() OVER (PARTITION BY path ORDER BY o_orderdate DESC, o_orderkey DESC) AS newest, row_number() OVER (PARTITION BY path ORDER BY o_orderdate, o_orderkey) AS oldest FROM history",
     "records": """
-      SELECT key, path, count(*) AS commits, max(o_orderdate) AS touched, max(CASE WHEN oldest = 1 THEN strftime(o_orderdate, '%Y-%m-%d') END) AS first_seen, max(CASE WHEN newest = 1 THEN strftime(o_orderdate, '%Y-%m-%d') END) AS last_touched,
+      SELECT key, path, count(*) AS commits, max(CASE WHEN newest = 1 THEN day END) AS touched, max(CASE WHEN oldest = 1 THEN strftime(day, '%Y-%m-%d') END) AS first_seen, max(CASE WHEN newest = 1 THEN strftime(day, '%Y-%m-%d') END) AS last_touched,
              max(CASE WHEN oldest = 1 THEN subject END) AS first_subject, max(CASE WHEN newest = 1 THEN subject END) AS last_subject, string_agg(DISTINCT author, ',' ORDER BY author) AS authors,
              string_agg(subject, '|' ORDER BY newest) FILTER (WHERE newest <= 8) AS subjects FROM placed GROUP BY key, path""",
     "changes": """
@@ -407,160 +407,171 @@ def over_facts(sql: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({FACTS[n]})" for n in _needed(sql)) + "\n" + sql
 
 
-SQL: dict[str, str] = {
-    "survey_" + name: over_facts(sql)
-    for name, sql in {
-        "modules": "SELECT key, relpath, loc, blank, comment_lines, error, CASE error WHEN 'syntax error' THEN 52 WHEN 'Python refuses' THEN 1 END AS error_line, has_main_guard, shebang, docstring, coalesce(error = 'syntax error', FALSE) AS cut FROM modules",
-        "imports": "SELECT key, target, bound, lineno, level, imported FROM imports",
-        "definitions": "SELECT key, qualname, name, kind, lineno, end_lineno, args, docstring, decorators, FALSE AS is_async, parent, body_kind, returns, bases, FALSE AS nested, promises, says FROM definitions",
-        "calls": "SELECT key, name, lineno FROM calls",
-        "names_used": "SELECT key, name FROM names_used",
-        "symbol_strings": "SELECT key, text FROM symbols",
-        "tags": "SELECT key, tag, text, lineno FROM todos",
-        "disabled_code": "SELECT key, lineno FROM disabled",
-        "waivers": "SELECT key, lineno FROM kept",
-        "swallowed": "SELECT key, lineno FROM swallowed",
-        "import_effects": "SELECT key, node_type, lineno FROM import_effects",
-        "index": "SELECT count(*) AS files, CAST(sum(loc) AS BIGINT) AS lines, count(*) FILTER (WHERE relpath LIKE '%/__init__.py') AS packages, CAST(0 AS BIGINT) AS unreadable FROM modules",
-        "accounting": """
-          SELECT relpath, pruned, CASE WHEN pruned IS NOT NULL THEN 'excluded' WHEN row_number() OVER (PARTITION BY pruned IS NULL ORDER BY replace(folder, '/', chr(1)), relpath) <= 1500 THEN 'file' ELSE 'skipped' END AS kind
-          FROM (SELECT relpath, regexp_extract(relpath, '^(.*)/[^/]*$', 1) AS folder, nullif(regexp_extract(relpath, '(^|/)(vendor|migrations)/', 2), '') AS pruned FROM modules)""",
-        "excluded": """
-          SELECT kind, folder, count(*) AS n FROM (SELECT coalesce(pruned, '') AS folder, CASE WHEN pruned IS NOT NULL THEN 'excluded' WHEN row_number() OVER (PARTITION BY pruned IS NULL ORDER BY k) <= 1500 THEN 'file' ELSE 'skipped' END AS kind
-          FROM (SELECT k, nullif(regexp_extract(relpath, '(^|/)(vendor|migrations)/', 2), '') AS pruned FROM modules)) GROUP BY ALL""",
-        "resolved": "SELECT key, lineno, bound, target, full_name, dst FROM resolved",
-        "edges": "SELECT src, dst FROM edges",
-        "external": f"SELECT DISTINCT key AS src, {first('target')} AS root FROM resolved WHERE dst IS NULL AND target <> ''",
-        "evidence": "SELECT src, dst, lineno, text FROM evidence",
-        "entry_points": "SELECT key, array_to_string(reasons, '; ') AS reasons FROM entry_points",
-        "loaded_by": "SELECT key, name, loader, why, proven FROM loaded_by",
-        "roots": "SELECT key, place, reason FROM roots",
-        "layers": "SELECT node, depth FROM layers",
-        "orphans": "SELECT key, relpath, loc FROM orphans",
-        "unreferenced": f"""
-          SELECT key, qualname, kind, lineno, CASE WHEN decorators = 'app.route' THEN 'a framework may call it' END AS caveat FROM definitions
-          WHERE name NOT IN (SELECT name FROM names_used UNION SELECT {last('name')} FROM calls UNION SELECT bound FROM imports)""",
-        "fan": "SELECT key, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out FROM modules LEFT JOIN (SELECT dst AS key, count(*) AS n FROM edges GROUP BY 1) i USING (key) LEFT JOIN (SELECT src AS key, count(*) AS n FROM edges GROUP BY 1) o USING (key)",
-        "cycles": "SELECT src, dst FROM edges WHERE src IN (SELECT node FROM core) AND dst IN (SELECT node FROM core)",
-        "trace": """
-          , hidden AS (SELECT key FROM states WHERE state IN ('deadend', 'broken') AND key <> 'pkg7'), clear AS (SELECT * FROM edges WHERE src NOT IN (SELECT key FROM hidden) AND dst NOT IN (SELECT key FROM hidden)),
-          downward AS (SELECT 'pkg7' AS node, 0 AS depth UNION SELECT c.dst, w.depth + 1 FROM downward w JOIN clear c ON c.src = w.node WHERE w.depth < 40),
-          upward AS (SELECT 'pkg7' AS node, 0 AS depth UNION SELECT c.src, w.depth + 1 FROM upward w JOIN clear c ON c.dst = w.node WHERE w.depth < 40)
-          SELECT 'uses' AS direction, node, min(depth) AS depth, (SELECT count(DISTINCT dst) FROM edges WHERE src IN (SELECT node FROM downward) AND dst IN (SELECT key FROM hidden)) AS left_out FROM downward GROUP BY node
-          UNION ALL SELECT 'used_by', node, min(depth), (SELECT count(DISTINCT src) FROM edges WHERE dst IN (SELECT node FROM upward) AND src IN (SELECT key FROM hidden)) FROM upward GROUP BY node""",
-        "neighbourhood": "SELECT 'pkg1' AS key UNION SELECT dst FROM edges WHERE src = 'pkg1' UNION SELECT src FROM edges WHERE dst = 'pkg1'",
-        "effects": "SELECT key, category, call, lineno FROM effects",
-        "class_links": "SELECT key, written, b_key, b_class FROM links",
-        "replaced_methods": "SELECT key, parent, name FROM replaced",
-        "unused_imports": "SELECT key, bound, target, lineno FROM unused",
-        "signals": "SELECT key, kind, text, lineno FROM signals",
-        "frontier": """
-          SELECT m.key, m.relpath, m.loc, f.score, c.counts FROM modules m JOIN frontier f USING (key) JOIN (SELECT key, '{' || string_agg('"' || kind || '":' || n, ',' ORDER BY kind) || '}' AS counts FROM kinds GROUP BY key) c USING (key)""",
-        "totals": "SELECT kind, count(*) AS n FROM signals GROUP BY kind",
-        "dead_ends": """
-          , sites AS (SELECT name, string_agg(DISTINCT module || ':' || lineno || ':' || written, ',' ORDER BY module || ':' || lineno || ':' || written) AS callers, min(module) AS first_module FROM callers GROUP BY name),
-          beside AS (SELECT key, coalesce(parent, '') AS p, string_agg(name, ', ' ORDER BY ord) AS beside FROM (SELECT *, row_number() OVER (PARTITION BY key, parent ORDER BY ord) AS r FROM definitions WHERE kind <> 'class' AND body_kind = 'code') WHERE r <= 4 GROUP BY ALL)
-          SELECT d.key, d.qualname, d.kind, d.lineno, coalesce(s.callers, '') AS callers, coalesce(s.first_module <> d.key, FALSE) AS called_from_elsewhere,
-                 nullif(concat_ws('; ', CASE WHEN trim(replace(d.args, 'self', ''), ',') <> '' THEN 'takes ' || replace(trim(replace(d.args, 'self', ''), ','), ',', ', ') END, CASE WHEN b.beside IS NOT NULL THEN 'sits beside finished ' || b.beside END), '') AS direction
-          FROM dead d LEFT JOIN sites s USING (name) LEFT JOIN beside b ON b.key = d.key AND b.p = coalesce(d.parent, '')""",
-        "dead_ends_by_module": "SELECT key, count(*) AS n, string_agg(qualname, ',' ORDER BY lineno, qualname) AS names FROM dead GROUP BY key",
-        "attempts": "SELECT verdict, resume_at, resume_percent, resume_lines, elsewhere_percent, at_stake_lines, remaining_lines, unwritten, copy_of, shared, common_gaps, n_members FROM group_rows",
-        "attempt_members": "SELECT r.kind AS verdict, l.resume_at, r.key, r.rank, CAST(round_even(100 * r.score, 0) AS INTEGER) AS percent, r.loc AS lines, r.tests FROM ranked r JOIN group_rows l ON l.g = r.g AND l.verdict = r.kind",
-        "attempt_lineage": """
-          SELECT t.kind AS verdict, t.resume_at, t.step, t.key,
-                 coalesce((SELECT string_agg(h.name, ',' ORDER BY h.name) FROM held h WHERE h.key = t.key AND h.kind = t.kind AND h.name NOT IN (SELECT n.name FROM known n WHERE n.key = t.key AND n.kind = t.kind)), '') AS added,
-                 coalesce((SELECT string_agg(n.name, ',' ORDER BY n.name) FROM known n WHERE n.key = t.key AND n.kind = t.kind AND n.name NOT IN (SELECT h.name FROM held h WHERE h.key = t.key AND h.kind = t.kind)), '') AS dropped,
-                 coalesce((SELECT string_agg(h.name, ',' ORDER BY h.name) FROM held h WHERE h.key = t.key AND h.kind = t.kind AND h.name IN (SELECT n.name FROM known n WHERE n.key = t.key AND n.kind = t.kind)), '') AS carried
-          FROM steps t""",
-        "verdicts": """
-          SELECT key, CASE WHEN kind = 'copy' THEN 'copy' WHEN rank = 1 THEN 'resume' ELSE 'superseded' END AS verdict, resume_at, percent FROM (
-            SELECT r.key, r.kind, r.rank, l.resume_at, CAST(round_even(100 * r.score, 0) AS INTEGER) AS percent, row_number() OVER (PARTITION BY r.key ORDER BY r.kind = 'copy') AS place FROM ranked r JOIN group_rows l ON l.g = r.g AND l.verdict = r.kind) WHERE place = 1""",
-        "salvage": "SELECT * FROM salvage",
-        "salvage_totals": "SELECT verdict, count(*) AS modules, CAST(sum(loc) AS BIGINT) AS lines FROM salvage GROUP BY verdict",
-        "clusters": "SELECT cluster, size, loc, entries, untracked, regexp_replace(top, '^[0-9]*[|]', '') AS label, belongs FROM clusters",
-        "set_aside": "SELECT key FROM components JOIN clusters USING (cluster) WHERE NOT belongs",
-        "file_history": "SELECT path, commits, first_seen, last_touched, first_subject, last_subject, authors, subjects FROM records",
-        "co_change": "SELECT item_a, item_b, n FROM changes",
-        "timeline": "SELECT first_seen[1:7] AS month, count(*) AS n, min(path) AS first_key FROM records GROUP BY 1",
-        "stalled": "SELECT path, commits, date_diff('day', touched, (SELECT max(touched) FROM records)) AS days_quiet FROM records WHERE commits <= 2 AND date_diff('day', touched, (SELECT max(touched) FROM records)) >= 60",
-        "origins": "SELECT key, loc, origin, why FROM origins",
-        "origin_totals": "SELECT origin, count(*) AS modules, CAST(sum(loc) AS BIGINT) AS lines FROM origins GROUP BY origin",
-        "forks": """
-          SELECT a AS stopped, b AS continued, array_to_string(signals, ',') AS signals, commits FROM kept_forks
-          WHERE b NOT IN (SELECT b FROM kept_forks GROUP BY b HAVING count(*) > greatest(2, floor((SELECT count(DISTINCT a) FROM kept_forks) * 0.10)))""",
-        "regions": """
-          , lines AS (SELECT key, lineno FROM signals WHERE lineno > 0 UNION SELECT key, lineno FROM definitions), few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY lineno) AS r FROM lines) WHERE r <= 160),
-          spans AS (SELECT key, greatest(lineno - 3, 1) AS lo, least(lineno + 3, loc) AS hi FROM few JOIN modules USING (key)),
-          marked AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY key ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM spans),
-          numbered AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM marked), merged AS (SELECT key, min(lo) AS low, max(hi) AS high FROM numbered GROUP BY key, island)
-          SELECT key, low, high FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY low) AS r FROM merged) WHERE r <= 40""",
-        "line_marks": "SELECT key, lineno, string_agg(kind || ': ' || text, '; ' ORDER BY kind || ': ' || text) AS marks FROM signals WHERE lineno > 0 AND key IN (SELECT key FROM good) GROUP BY key, lineno",
-        "tested": "SELECT key FROM tested",
-        "states": "SELECT key, state FROM states",
-        "state_tally": "SELECT state, count(*) AS modules FROM states GROUP BY state",
-        "held_back": "SELECT loader, count(*) AS modules, count(*) FILTER (WHERE proven) AS proven FROM loaded_by GROUP BY loader",
-        "folders": """
-          , below AS (SELECT regexp_extract(relpath, '^(.*)/[^/]*$', 1) AS folder, loc, state FROM modules JOIN states USING (key)),
-          modes AS (SELECT folder, state, row_number() OVER (PARTITION BY folder ORDER BY n DESC, severe) AS r FROM (SELECT folder, state, count(*) AS n FROM below GROUP BY ALL) JOIN severity USING (state))
-          SELECT p.folder, count(*) AS modules, CAST(sum(p.loc) AS BIGINT) AS loc, any_value(m.state) AS state FROM below p JOIN modes m ON m.folder = p.folder AND m.r = 1 GROUP BY p.folder""",
-        "ribbons": """
-          , places AS (SELECT key, regexp_extract(relpath, '^(.*)/[^/]*$', 1) AS folder FROM modules)
-          SELECT a.folder AS src_folder, b.folder AS dst_folder, count(*) AS n FROM edges JOIN places a ON a.key = src JOIN places b ON b.key = dst WHERE a.folder <> b.folder GROUP BY ALL""",
-        "headline": """
-          SELECT count(*) AS modules, CAST(sum(loc) AS BIGINT) AS lines, count(error) AS errors, 0 AS excluded, 0 AS skipped, (SELECT count(*) FROM entry_points) AS entries, (SELECT count(*) FROM orphans) AS orphans,
-                 (SELECT count(DISTINCT key) FROM signals WHERE kind = 'unreached') AS unreached FROM modules""",
-        "scaffolds": """
-          , used AS (SELECT d.key, d.qualname, d.lineno, list_sort(list(DISTINCT c.name)) AS names FROM definitions d JOIN calls c ON c.key = d.key AND c.lineno BETWEEN d.lineno AND d.end_lineno GROUP BY ALL),
-          touched AS (SELECT d.key, d.qualname, d.lineno, string_agg(DISTINCT e.category, ', ' ORDER BY e.category) AS names FROM definitions d JOIN effects e ON e.key = d.key AND e.lineno BETWEEN d.lineno AND d.end_lineno GROUP BY ALL),
-          users AS (SELECT dst AS key, list_sort(list(src)) AS names FROM edges GROUP BY dst)
-          SELECT * FROM (SELECT d.key, d.qualname, d.lineno, concat_ws(chr(10), CASE WHEN d.args <> '' THEN 'takes: ' || replace(d.args, ',', ', ') END, 'calls: ' || array_to_string(u.names[1:10], ', ') || CASE WHEN len(u.names) > 10 THEN ' ...' ELSE '' END,
-                 'touches: ' || t.names, 'its module is used by: ' || array_to_string(x.names[1:6], ', ') || CASE WHEN len(x.names) > 6 THEN ' ...' ELSE '' END, CASE WHEN d.returns THEN 'returns a value' WHEN d.body_kind = 'code' THEN 'returns nothing' END) AS text
-          FROM definitions d LEFT JOIN used u USING (key, qualname, lineno) LEFT JOIN touched t USING (key, qualname, lineno) LEFT JOIN users x ON x.key = d.key) WHERE text <> ''""",
-        "attempt_sentences": """
-          SELECT verdict, resume_at, at_stake_lines || CASE WHEN at_stake_lines = 1 THEN ' line' ELSE ' lines' END || ' at stake: the furthest attempt has ' || resume_lines || ', is ' || resume_percent || ' % written, and ' || elsewhere_percent || ' % of its names exist elsewhere' AS stake,
-                 CASE WHEN remaining_lines > 0 THEN 'about ' || remaining_lines || CASE WHEN remaining_lines = 1 THEN ' line' ELSE ' lines' END || ' to write, in ' || unwritten || CASE WHEN unwritten = 1 THEN ' definition' ELSE ' definitions' END || ' without a body' END AS effort,
-                 'no restart: the same file is also at ' || copy_of AS copy FROM group_rows""",
-        "opening": """
-          SELECT (SELECT format('{:,}', CAST(sum(n_members) AS BIGINT)) || ' files hold ' || format('{:,}', count(*)) || ' jobs that were started over' FROM group_rows WHERE verdict = 'restart') AS finding,
-                 (SELECT 'version history covers ' || format('{:,}', count(*) FILTER (WHERE origin <> 'untracked')) || ' of ' || format('{:,}', count(*)) || ' modules; ' || format('{:,}', count(*) FILTER (WHERE origin = 'untracked')) || ' were never committed' FROM origins) AS coverage""",
-        "boxes": "SELECT folder, modules, loc, columns, w, h, x, y FROM boxes",
-        "cards": f"""
-          SELECT key, folder, x + {G.BOX_PAD} + (i % columns) * {G.CARD_W + G.CARD_GAP} AS x, y + {G.BOX_LABEL_H + G.BOX_PAD} + (i // columns) * {G.CARD_H + G.CARD_GAP} AS y
-          FROM (SELECT f.key, b.folder, b.x, b.y, b.columns, row_number() OVER (PARTITION BY b.folder ORDER BY f.loc DESC, f.relpath) - 1 AS i FROM in_folders f JOIN boxes b USING (folder))""",
-        "ribbon_paths": f"""
-          SELECT src_folder, dst_folder, n, round(sx, 3) AS sx, round(sy, 3) AS sy, round((sx + ex) / 2 - (ey - sy) / span * bow, 3) AS mx, round((sy + ey) / 2 + (ex - sx) / span * bow, 3) AS my, round(ex, 3) AS ex, round(ey, 3) AS ey,
-                 round(least({G.WEIGHT_MOST}e0, {G.WEIGHT_BASE * 10:g}e-1 + log2(n + 1) * {G.WEIGHT_LOG * 10:g}e-1), 3) AS weight FROM bowed""",
-        "mermaid": f"""
-          SELECT unnest(['flowchart LR', {texts(f"  classDef {s} fill:{c}" for s, c in COLOURS.items())}]) AS line
-          UNION ALL SELECT '  %% ' || (count(*) - 120) || ' of ' || count(*) || ' modules are not drawn' FROM nodes HAVING count(*) > 120
-          UNION ALL SELECT unnest(['  subgraph d' || depth || '["' || CASE WHEN depth = 0 THEN 'entry points' ELSE 'depth ' || depth END || '"]', '    direction TB', '  end']) FROM (SELECT DISTINCT depth FROM few_nodes)
-          UNION ALL SELECT unnest(['    ' || id || '["' || {last('key')} || '"]', '  class ' || id || ' ' || state || ';']) FROM few_nodes
-          UNION ALL SELECT '  ' || a.id || CASE WHEN b.stuck THEN ' -.-> ' ELSE ' --> ' END || b.id FROM edges JOIN few_nodes a ON a.key = src JOIN few_nodes b ON b.key = dst""",
-        "drawio": """
-          SELECT id, key || CASE WHEN marks > 0 THEN ' (' || marks || ' signals)' ELSE '' END AS value, NULL AS source, NULL AS target, FALSE AS dashed FROM all_nodes
-          UNION ALL SELECT NULL, NULL, a.id, b.id, b.stuck FROM edges JOIN all_nodes a ON a.key = src JOIN all_nodes b ON b.key = dst""",
-        "frontier_lines": """
-          SELECT unnest([format('{:>6g}', f.score) || '  ' || m.relpath || '  (' || m.loc || ' lines)', '']) AS line FROM frontier f JOIN modules m USING (key)
-          UNION ALL SELECT '        ' || kind || ' -- ' || n FROM kinds
-          UNION ALL SELECT '          ' || CASE WHEN lineno > 0 THEN 'line ' || lineno ELSE 'module' END || ': ' || text FROM shown_hits WHERE r <= 5 AND kind NOT IN ('syntax_error', 'unreadable')
-          UNION ALL SELECT '          ... and ' || (n - 5) || ' more' FROM kinds WHERE n > 5""",
-        "payload": """
-          SELECT key, state, coalesce(u.n, 0) AS uses, coalesce(b.n, 0) AS used_by, coalesce(x.n, 0) AS external, coalesce(h.n, 0) AS hits, coalesce(e.n, 0) AS evidence FROM states
-          LEFT JOIN (SELECT src AS key, count(*) AS n FROM edges GROUP BY 1) u USING (key) LEFT JOIN (SELECT dst AS key, count(*) AS n FROM edges GROUP BY 1) b USING (key)
-          LEFT JOIN (SELECT key, least(count(DISTINCT split_part(target, '.', 1)), 12) AS n FROM resolved WHERE dst IS NULL AND target <> '' GROUP BY 1) x USING (key)
-          LEFT JOIN (SELECT key, sum(least(n, 6)) AS n FROM kinds GROUP BY 1) h USING (key) LEFT JOIN (SELECT src AS key, sum(least(n, 8)) AS n FROM (SELECT src, dst, count(*) AS n FROM evidence GROUP BY ALL) GROUP BY 1) e USING (key)""",
-        "window": """
-          SELECT CASE verdict WHEN 'restart' THEN 'restarts' ELSE 'copies' END AS list, resume_at AS name, rank, more FROM (SELECT verdict, resume_at, row_number() OVER (PARTITION BY verdict ORDER BY at_stake_lines DESC, n_members DESC, resume_at) AS rank, greatest(count(*) OVER (PARTITION BY verdict) - CASE verdict WHEN 'restart' THEN 6 ELSE 4 END, 0) AS more FROM group_rows)
-          WHERE rank <= CASE verdict WHEN 'restart' THEN 6 ELSE 4 END
-          UNION ALL SELECT 'frontier', key, rank, more FROM (SELECT f.key, row_number() OVER (ORDER BY f.score DESC, m.relpath) AS rank, greatest(count(*) OVER () - 8, 0) AS more FROM frontier f JOIN modules m USING (key)) WHERE rank <= 8""",
-        "sections": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS section, count(*) AS n FROM ({rows})" for name, rows in {
-            "modules": "FROM modules", "edges": "FROM edges", "external": f"SELECT DISTINCT key, {first('target')} FROM resolved WHERE dst IS NULL AND target <> ''", "entry_points": "FROM entry_points", "loaded_by": "FROM loaded_by", "layers": "FROM layers",
-            "orphans": "FROM orphans", "unreferenced": f"SELECT key FROM definitions WHERE name NOT IN (SELECT name FROM names_used UNION SELECT {last('name')} FROM calls UNION SELECT bound FROM imports)",
-            "cycles": "SELECT src FROM edges WHERE src IN (SELECT node FROM core) AND dst IN (SELECT node FROM core)", "fan": "FROM modules", "effects": "FROM effects", "frontier": "FROM frontier", "signals": "FROM signals", "evidence": "FROM evidence", "totals": "SELECT DISTINCT kind FROM signals",
-            "attempts": "FROM group_rows", "dead_ends": "FROM dead", "left_behind": "FROM salvage", "origins": "FROM modules", "origin_totals": "SELECT DISTINCT origin FROM origins", "salvage_totals": "SELECT DISTINCT verdict FROM salvage", "dead_ends_by_module": "SELECT DISTINCT key FROM dead",
-            "verdicts": "SELECT DISTINCT key FROM ranked", "attempt_sentences": "FROM group_rows", "held_back": "SELECT DISTINCT loader FROM loaded_by", "state_tally": "SELECT DISTINCT state FROM states", "line_marks": "SELECT DISTINCT key, lineno FROM signals WHERE lineno > 0",
-            "totals_by_layer": "SELECT DISTINCT depth FROM layers", "clusters": "FROM clusters", "states": "FROM states", "folders": "SELECT DISTINCT folder FROM in_folders", "ribbons": "FROM folder_pairs", "file_history": "FROM records", "co_change": "SELECT item_a FROM changes LIMIT 40",
-            "timeline": "SELECT DISTINCT first_seen[1:7] FROM records", "stalled": "SELECT path FROM records WHERE commits <= 2 AND date_diff('day', touched, (SELECT max(touched) FROM records)) >= 60",
-        }.items()) + ")",
-    }.items()
+BODIES: dict[str, str] = {
+    "modules": "SELECT key, relpath, loc, blank, comment_lines, error, CASE error WHEN 'syntax error' THEN 52 WHEN 'Python refuses' THEN 1 END AS error_line, has_main_guard, shebang, docstring, coalesce(error = 'syntax error', FALSE) AS cut FROM modules",
+    "imports": "SELECT key, target, bound, lineno, level, imported FROM imports",
+    "definitions": "SELECT key, qualname, name, kind, lineno, end_lineno, args, docstring, decorators, FALSE AS is_async, parent, body_kind, returns, bases, FALSE AS nested, promises, says FROM definitions",
+    "calls": "SELECT key, name, lineno FROM calls",
+    "names_used": "SELECT key, name FROM names_used",
+    "symbol_strings": "SELECT key, text FROM symbols",
+    "tags": "SELECT key, tag, text, lineno FROM todos",
+    "disabled_code": "SELECT key, lineno FROM disabled",
+    "waivers": "SELECT key, lineno FROM kept",
+    "swallowed": "SELECT key, lineno FROM swallowed",
+    "import_effects": "SELECT key, node_type, lineno FROM import_effects",
+    "index": "SELECT count(*) AS files, CAST(sum(loc) AS BIGINT) AS lines, count(*) FILTER (WHERE relpath LIKE '%/__init__.py') AS packages, CAST(0 AS BIGINT) AS unreadable FROM modules",
+    "accounting": """
+      SELECT relpath, pruned, CASE WHEN pruned IS NOT NULL THEN 'excluded' WHEN row_number() OVER (PARTITION BY pruned IS NULL ORDER BY replace(folder, '/', chr(1)), relpath) <= 1500 THEN 'file' ELSE 'skipped' END AS kind
+      FROM (SELECT relpath, regexp_extract(relpath, '^(.*)/[^/]*$', 1) AS folder, nullif(regexp_extract(relpath, '(^|/)(vendor|migrations)/', 2), '') AS pruned FROM modules)""",
+    "excluded": """
+      SELECT kind, folder, count(*) AS n FROM (SELECT coalesce(pruned, '') AS folder, CASE WHEN pruned IS NOT NULL THEN 'excluded' WHEN row_number() OVER (PARTITION BY pruned IS NULL ORDER BY k) <= 1500 THEN 'file' ELSE 'skipped' END AS kind
+      FROM (SELECT k, nullif(regexp_extract(relpath, '(^|/)(vendor|migrations)/', 2), '') AS pruned FROM modules)) GROUP BY ALL""",
+    "resolved": "SELECT key, lineno, bound, target, full_name, dst FROM resolved",
+    "edges": "SELECT src, dst FROM edges",
+    "external": f"SELECT DISTINCT key AS src, {first('target')} AS root FROM resolved WHERE dst IS NULL AND target <> ''",
+    "evidence": "SELECT src, dst, lineno, text FROM evidence",
+    "entry_points": "SELECT key, array_to_string(reasons, '; ') AS reasons FROM entry_points",
+    "loaded_by": "SELECT key, name, loader, why, proven FROM loaded_by",
+    "roots": "SELECT key, place, reason FROM roots",
+    "layers": "SELECT node, depth FROM layers",
+    "orphans": "SELECT key, relpath, loc FROM orphans",
+    "unreferenced": f"""
+      SELECT key, qualname, kind, lineno, CASE WHEN decorators = 'app.route' THEN 'a framework may call it' END AS caveat FROM definitions
+      WHERE name NOT IN (SELECT name FROM names_used UNION SELECT {last('name')} FROM calls UNION SELECT bound FROM imports)""",
+    "fan": "SELECT key, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out FROM modules LEFT JOIN (SELECT dst AS key, count(*) AS n FROM edges GROUP BY 1) i USING (key) LEFT JOIN (SELECT src AS key, count(*) AS n FROM edges GROUP BY 1) o USING (key)",
+    "cycles": "SELECT src, dst FROM edges WHERE src IN (SELECT node FROM core) AND dst IN (SELECT node FROM core)",
+    "trace": """
+      , hidden AS (SELECT key FROM states WHERE state IN ('deadend', 'broken') AND key <> 'pkg7'), clear AS (SELECT * FROM edges WHERE src NOT IN (SELECT key FROM hidden) AND dst NOT IN (SELECT key FROM hidden)),
+      downward AS (SELECT 'pkg7' AS node, 0 AS depth UNION SELECT c.dst, w.depth + 1 FROM downward w JOIN clear c ON c.src = w.node WHERE w.depth < 40),
+      upward AS (SELECT 'pkg7' AS node, 0 AS depth UNION SELECT c.src, w.depth + 1 FROM upward w JOIN clear c ON c.dst = w.node WHERE w.depth < 40)
+      SELECT 'uses' AS direction, node, min(depth) AS depth, (SELECT count(DISTINCT dst) FROM edges WHERE src IN (SELECT node FROM downward) AND dst IN (SELECT key FROM hidden)) AS left_out FROM downward GROUP BY node
+      UNION ALL SELECT 'used_by', node, min(depth), (SELECT count(DISTINCT src) FROM edges WHERE dst IN (SELECT node FROM upward) AND src IN (SELECT key FROM hidden)) FROM upward GROUP BY node""",
+    "neighbourhood": "SELECT 'pkg1' AS key UNION SELECT dst FROM edges WHERE src = 'pkg1' UNION SELECT src FROM edges WHERE dst = 'pkg1'",
+    "effects": "SELECT key, category, call, lineno FROM effects",
+    "class_links": "SELECT key, written, b_key, b_class FROM links",
+    "replaced_methods": "SELECT key, parent, name FROM replaced",
+    "unused_imports": "SELECT key, bound, target, lineno FROM unused",
+    "signals": "SELECT key, kind, text, lineno FROM signals",
+    "frontier": """
+      SELECT m.key, m.relpath, m.loc, f.score, c.counts FROM modules m JOIN frontier f USING (key) JOIN (SELECT key, '{' || string_agg('"' || kind || '":' || n, ',' ORDER BY kind) || '}' AS counts FROM kinds GROUP BY key) c USING (key)""",
+    "totals": "SELECT kind, count(*) AS n FROM signals GROUP BY kind",
+    "dead_ends": """
+      , sites AS (SELECT name, string_agg(DISTINCT module || ':' || lineno || ':' || written, ',' ORDER BY module || ':' || lineno || ':' || written) AS callers, min(module) AS first_module FROM callers GROUP BY name),
+      beside AS (SELECT key, coalesce(parent, '') AS p, string_agg(name, ', ' ORDER BY ord) AS beside FROM (SELECT *, row_number() OVER (PARTITION BY key, parent ORDER BY ord) AS r FROM definitions WHERE kind <> 'class' AND body_kind = 'code') WHERE r <= 4 GROUP BY ALL)
+      SELECT d.key, d.qualname, d.kind, d.lineno, coalesce(s.callers, '') AS callers, coalesce(s.first_module <> d.key, FALSE) AS called_from_elsewhere,
+             nullif(concat_ws('; ', CASE WHEN trim(replace(d.args, 'self', ''), ',') <> '' THEN 'takes ' || replace(trim(replace(d.args, 'self', ''), ','), ',', ', ') END, CASE WHEN b.beside IS NOT NULL THEN 'sits beside finished ' || b.beside END), '') AS direction
+      FROM dead d LEFT JOIN sites s USING (name) LEFT JOIN beside b ON b.key = d.key AND b.p = coalesce(d.parent, '')""",
+    "dead_ends_by_module": "SELECT key, count(*) AS n, string_agg(qualname, ',' ORDER BY lineno, qualname) AS names FROM dead GROUP BY key",
+    "attempts": "SELECT verdict, resume_at, resume_percent, resume_lines, elsewhere_percent, at_stake_lines, remaining_lines, unwritten, copy_of, shared, common_gaps, n_members FROM group_rows",
+    "attempt_members": "SELECT r.kind AS verdict, l.resume_at, r.key, r.rank, CAST(round_even(100 * r.score, 0) AS INTEGER) AS percent, r.loc AS lines, r.tests FROM ranked r JOIN group_rows l ON l.g = r.g AND l.verdict = r.kind",
+    "attempt_lineage": """
+      , met AS (SELECT g, kind, name, min(step) AS step FROM held GROUP BY ALL),
+      sides AS (SELECT t.kind, t.resume_at, t.step, t.key, m.name, m.step < t.step AS before, h.name IS NOT NULL AS has FROM steps t JOIN met m ON m.g = t.g AND m.kind = t.kind AND m.step <= t.step LEFT JOIN held h ON h.key = t.key AND h.kind = t.kind AND h.g = t.g AND h.name = m.name)
+      SELECT kind AS verdict, resume_at, step, key, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE has AND NOT before), '') AS added,
+             coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE before AND NOT has), '') AS dropped, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE before AND has), '') AS carried
+      FROM sides GROUP BY kind, resume_at, step, key""",
+    "verdicts": """
+      SELECT key, CASE WHEN kind = 'copy' THEN 'copy' WHEN rank = 1 THEN 'resume' ELSE 'superseded' END AS verdict, resume_at, percent FROM (
+        SELECT r.key, r.kind, r.rank, l.resume_at, CAST(round_even(100 * r.score, 0) AS INTEGER) AS percent, row_number() OVER (PARTITION BY r.key ORDER BY r.kind = 'copy') AS place FROM ranked r JOIN group_rows l ON l.g = r.g AND l.verdict = r.kind) WHERE place = 1""",
+    "salvage": "SELECT * FROM salvage",
+    "salvage_totals": "SELECT verdict, count(*) AS modules, CAST(sum(loc) AS BIGINT) AS lines FROM salvage GROUP BY verdict",
+    "clusters": "SELECT cluster, size, loc, entries, untracked, regexp_replace(top, '^[0-9]*[|]', '') AS label, belongs FROM clusters",
+    "set_aside": "SELECT key FROM components JOIN clusters USING (cluster) WHERE NOT belongs",
+    "file_history": "SELECT path, commits, first_seen, last_touched, first_subject, last_subject, authors, subjects FROM records",
+    "co_change": "SELECT item_a, item_b, n FROM changes",
+    "timeline": "SELECT first_seen[1:7] AS month, count(*) AS n, min(path) AS first_key FROM records GROUP BY 1",
+    "timeline_files": "SELECT first_seen[1:7] AS month, path FROM records",
+    "import_cycles": """
+      , rings AS (SELECT a.src AS a, a.dst AS b FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst),
+      back AS (SELECT a AS ring, a AS entry, [a] AS way FROM rings UNION SELECT a, b, [b] FROM rings UNION ALL SELECT w.ring, w.entry, list_prepend(e.src, w.way) FROM back w JOIN edges e ON e.dst = w.way[1] WHERE NOT list_contains(w.way, e.src)),
+      entries AS (SELECT ring, arg_min(entry, way) AS entry FROM (SELECT w.ring, w.entry, w.way FROM back w JOIN rings r ON r.a = w.ring WHERE NOT list_contains(w.way[:-2], r.a) AND NOT list_contains(w.way[:-2], r.b)) GROUP BY ring)
+      SELECT entry || ' -> ' || CASE WHEN entry = a THEN b ELSE a END || ' -> ' || entry AS nodes FROM entries JOIN rings ON ring = a""",
+    "stalled": "SELECT path, commits, first_seen, last_touched, last_subject, date_diff('day', touched, (SELECT max(touched) FROM records)) AS days_quiet FROM records WHERE commits <= 2 AND date_diff('day', touched, (SELECT max(touched) FROM records)) >= 60",
+    "origins": "SELECT key, loc, origin, why FROM origins",
+    "origin_totals": "SELECT origin, count(*) AS modules, CAST(sum(loc) AS BIGINT) AS lines FROM origins GROUP BY origin",
+    "forks": """
+      SELECT a AS stopped, b AS continued, array_to_string(signals, ',') AS signals, commits FROM kept_forks
+      WHERE b NOT IN (SELECT b FROM kept_forks GROUP BY b HAVING count(*) > greatest(2, floor((SELECT count(DISTINCT a) FROM kept_forks) * 0.10)))""",
+    "regions": """
+      , lines AS (SELECT key, lineno FROM signals WHERE lineno > 0 UNION SELECT key, lineno FROM definitions), few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY lineno) AS r FROM lines) WHERE r <= 160),
+      spans AS (SELECT key, greatest(lineno - 3, 1) AS lo, least(lineno + 3, loc) AS hi FROM few JOIN modules USING (key)),
+      marked AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY key ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM spans),
+      numbered AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM marked), merged AS (SELECT key, min(lo) AS low, max(hi) AS high FROM numbered GROUP BY key, island)
+      SELECT key, low, high FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY low) AS r FROM merged) WHERE r <= 40""",
+    "line_marks": "SELECT key, lineno, string_agg(kind || ': ' || text, '; ' ORDER BY kind || ': ' || text) AS marks FROM signals WHERE lineno > 0 AND key IN (SELECT key FROM good) GROUP BY key, lineno",
+    "tested": "SELECT key FROM tested",
+    "states": "SELECT key, state FROM states",
+    "state_tally": "SELECT state, count(*) AS modules FROM states GROUP BY state",
+    "held_back": "SELECT loader, count(*) AS modules, count(*) FILTER (WHERE proven) AS proven FROM loaded_by GROUP BY loader",
+    "folders": """
+      , below AS (SELECT regexp_extract(relpath, '^(.*)/[^/]*$', 1) AS folder, loc, state FROM modules JOIN states USING (key)),
+      modes AS (SELECT folder, state, row_number() OVER (PARTITION BY folder ORDER BY n DESC, severe) AS r FROM (SELECT folder, state, count(*) AS n FROM below GROUP BY ALL) JOIN severity USING (state))
+      SELECT p.folder, count(*) AS modules, CAST(sum(p.loc) AS BIGINT) AS loc, any_value(m.state) AS state FROM below p JOIN modes m ON m.folder = p.folder AND m.r = 1 GROUP BY p.folder""",
+    "ribbons": """
+      , places AS (SELECT key, regexp_extract(relpath, '^(.*)/[^/]*$', 1) AS folder FROM modules)
+      SELECT a.folder AS src_folder, b.folder AS dst_folder, count(*) AS n FROM edges JOIN places a ON a.key = src JOIN places b ON b.key = dst WHERE a.folder <> b.folder GROUP BY ALL""",
+    "headline": """
+      SELECT count(*) AS modules, CAST(sum(loc) AS BIGINT) AS lines, count(error) AS errors, 0 AS excluded, 0 AS skipped, (SELECT count(*) FROM entry_points) AS entries, (SELECT count(*) FROM orphans) AS orphans,
+             (SELECT count(DISTINCT key) FROM signals WHERE kind = 'unreached') AS unreached, (SELECT count(*) FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst) AS cycles FROM modules""",
+    "scaffolds": """
+      , used AS (SELECT d.key, d.qualname, d.lineno, list_sort(list(DISTINCT c.name)) AS names FROM definitions d JOIN calls c ON c.key = d.key AND c.lineno BETWEEN d.lineno AND d.end_lineno GROUP BY ALL),
+      touched AS (SELECT d.key, d.qualname, d.lineno, string_agg(DISTINCT e.category, ', ' ORDER BY e.category) AS names FROM definitions d JOIN effects e ON e.key = d.key AND e.lineno BETWEEN d.lineno AND d.end_lineno GROUP BY ALL),
+      users AS (SELECT dst AS key, list_sort(list(src)) AS names FROM edges GROUP BY dst)
+      SELECT * FROM (SELECT d.key, d.qualname, d.lineno, concat_ws(chr(10), CASE WHEN d.args <> '' THEN 'takes: ' || replace(d.args, ',', ', ') END, 'calls: ' || array_to_string(u.names[1:10], ', ') || CASE WHEN len(u.names) > 10 THEN ' ...' ELSE '' END,
+             'touches: ' || t.names, 'its module is used by: ' || array_to_string(x.names[1:6], ', ') || CASE WHEN len(x.names) > 6 THEN ' ...' ELSE '' END, CASE WHEN d.returns THEN 'returns a value' WHEN d.body_kind = 'code' THEN 'returns nothing' END) AS text
+      FROM definitions d LEFT JOIN used u USING (key, qualname, lineno) LEFT JOIN touched t USING (key, qualname, lineno) LEFT JOIN users x ON x.key = d.key) WHERE text <> ''""",
+    "attempt_sentences": """
+      SELECT verdict, resume_at, at_stake_lines || CASE WHEN at_stake_lines = 1 THEN ' line' ELSE ' lines' END || ' at stake: the furthest attempt has ' || resume_lines || ', is ' || resume_percent || ' % written, and ' || elsewhere_percent || ' % of its names exist elsewhere' AS stake,
+             CASE WHEN remaining_lines > 0 THEN 'about ' || remaining_lines || CASE WHEN remaining_lines = 1 THEN ' line' ELSE ' lines' END || ' to write, in ' || unwritten || CASE WHEN unwritten = 1 THEN ' definition' ELSE ' definitions' END || ' without a body' END AS effort,
+             'no restart: the same file is also at ' || copy_of AS copy FROM group_rows""",
+    "opening": """
+      SELECT (SELECT format('{:,}', CAST(sum(n_members) AS BIGINT)) || ' files hold ' || format('{:,}', count(*)) || ' jobs that were started over' FROM group_rows WHERE verdict = 'restart') AS finding,
+             (SELECT 'version history covers ' || format('{:,}', count(*) FILTER (WHERE origin <> 'untracked')) || ' of ' || format('{:,}', count(*)) || ' modules; ' || format('{:,}', count(*) FILTER (WHERE origin = 'untracked')) || ' were never committed' FROM origins) AS coverage""",
+    "boxes": "SELECT folder, modules, loc, columns, w, h, x, y FROM boxes",
+    "cards": f"""
+      SELECT key, folder, x + {G.BOX_PAD} + (i % columns) * {G.CARD_W + G.CARD_GAP} AS x, y + {G.BOX_LABEL_H + G.BOX_PAD} + (i // columns) * {G.CARD_H + G.CARD_GAP} AS y
+      FROM (SELECT f.key, b.folder, b.x, b.y, b.columns, row_number() OVER (PARTITION BY b.folder ORDER BY f.loc DESC, f.relpath) - 1 AS i FROM in_folders f JOIN boxes b USING (folder))""",
+    "ribbon_paths": f"""
+      SELECT src_folder, dst_folder, n, round(sx, 3) AS sx, round(sy, 3) AS sy, round((sx + ex) / 2 - (ey - sy) / span * bow, 3) AS mx, round((sy + ey) / 2 + (ex - sx) / span * bow, 3) AS my, round(ex, 3) AS ex, round(ey, 3) AS ey,
+             round(least({G.WEIGHT_MOST}e0, {G.WEIGHT_BASE * 10:g}e-1 + log2(n + 1) * {G.WEIGHT_LOG * 10:g}e-1), 3) AS weight FROM bowed""",
+    "mermaid": f"""
+      SELECT unnest(['flowchart LR', {texts(f"  classDef {s} fill:{c}" for s, c in COLOURS.items())}]) AS line
+      UNION ALL SELECT '  %% ' || (count(*) - 120) || ' of ' || count(*) || ' modules are not drawn' FROM nodes HAVING count(*) > 120
+      UNION ALL SELECT unnest(['  subgraph d' || depth || '["' || CASE WHEN depth = 0 THEN 'entry points' ELSE 'depth ' || depth END || '"]', '    direction TB', '  end']) FROM (SELECT DISTINCT depth FROM few_nodes)
+      UNION ALL SELECT unnest(['    ' || id || '["' || {last('key')} || '"]', '  class ' || id || ' ' || state || ';']) FROM few_nodes
+      UNION ALL SELECT '  ' || a.id || CASE WHEN b.stuck THEN ' -.-> ' ELSE ' --> ' END || b.id FROM edges JOIN few_nodes a ON a.key = src JOIN few_nodes b ON b.key = dst""",
+    "drawio": """
+      SELECT id, key || CASE WHEN marks > 0 THEN ' (' || marks || ' signals)' ELSE '' END AS value, NULL AS source, NULL AS target, FALSE AS dashed FROM all_nodes
+      UNION ALL SELECT NULL, NULL, a.id, b.id, b.stuck FROM edges JOIN all_nodes a ON a.key = src JOIN all_nodes b ON b.key = dst""",
+    "frontier_lines": """
+      SELECT unnest([format('{:>6g}', f.score) || '  ' || m.relpath || '  (' || m.loc || ' lines)', '']) AS line FROM frontier f JOIN modules m USING (key)
+      UNION ALL SELECT '        ' || kind || ' -- ' || n FROM kinds
+      UNION ALL SELECT '          ' || CASE WHEN lineno > 0 THEN 'line ' || lineno ELSE 'module' END || ': ' || text FROM shown_hits WHERE r <= 5 AND kind NOT IN ('syntax_error', 'unreadable')
+      UNION ALL SELECT '          ... and ' || (n - 5) || ' more' FROM kinds WHERE n > 5""",
+    "payload": """
+      SELECT key, state, coalesce(u.n, 0) AS uses, coalesce(b.n, 0) AS used_by, coalesce(x.n, 0) AS external, coalesce(h.n, 0) AS hits, coalesce(e.n, 0) AS evidence FROM states
+      LEFT JOIN (SELECT src AS key, count(*) AS n FROM edges GROUP BY 1) u USING (key) LEFT JOIN (SELECT dst AS key, count(*) AS n FROM edges GROUP BY 1) b USING (key)
+      LEFT JOIN (SELECT key, least(count(DISTINCT split_part(target, '.', 1)), 12) AS n FROM resolved WHERE dst IS NULL AND target <> '' GROUP BY 1) x USING (key)
+      LEFT JOIN (SELECT key, sum(least(n, 6)) AS n FROM kinds GROUP BY 1) h USING (key) LEFT JOIN (SELECT src AS key, sum(least(n, 8)) AS n FROM (SELECT src, dst, count(*) AS n FROM evidence GROUP BY ALL) GROUP BY 1) e USING (key)""",
+    "window": """
+      SELECT CASE verdict WHEN 'restart' THEN 'restarts' ELSE 'copies' END AS list, resume_at AS name, rank, more FROM (SELECT verdict, resume_at, row_number() OVER (PARTITION BY verdict ORDER BY at_stake_lines DESC, n_members DESC, resume_at) AS rank, greatest(count(*) OVER (PARTITION BY verdict) - CASE verdict WHEN 'restart' THEN 6 ELSE 4 END, 0) AS more FROM group_rows)
+      WHERE rank <= CASE verdict WHEN 'restart' THEN 6 ELSE 4 END
+      UNION ALL SELECT 'frontier', key, rank, more FROM (SELECT f.key, row_number() OVER (ORDER BY f.score DESC, m.relpath) AS rank, greatest(count(*) OVER () - 8, 0) AS more FROM frontier f JOIN modules m USING (key)) WHERE rank <= 8""",
 }
+
+#: Tables that further sections need, and what each section of the JSON document has a row for.
+_AHEAD = {name: BODIES[name].rsplit("\n      SELECT ", 1) for name in ("regions", "scaffolds")}
+SECTIONS = {
+    "modules": "FROM modules", "edges": "FROM edges", "external": f"SELECT DISTINCT key, {first('target')} FROM resolved WHERE dst IS NULL AND target <> ''", "entry_points": "FROM entry_points", "loaded_by": "FROM loaded_by", "layers": "FROM layers",
+    "orphans": "FROM orphans", "unreferenced": f"SELECT key FROM definitions WHERE name NOT IN (SELECT name FROM names_used UNION SELECT {last('name')} FROM calls UNION SELECT bound FROM imports)",
+    "cycles": "SELECT a.src FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst", "cyclic_edges": "SELECT src FROM edges WHERE src IN (SELECT node FROM core) AND dst IN (SELECT node FROM core)", "fan": "FROM modules", "effects": "FROM effects", "frontier": "FROM frontier", "signals": "FROM signals", "evidence": "FROM evidence", "totals": "SELECT DISTINCT kind FROM signals",
+    "attempts": "FROM group_rows", "dead_ends": "FROM dead", "left_behind": "FROM salvage", "origins": "FROM modules", "origin_totals": "SELECT DISTINCT origin FROM origins", "salvage_totals": "SELECT DISTINCT verdict FROM salvage", "dead_ends_by_module": "SELECT DISTINCT key FROM dead",
+    "verdicts": "SELECT DISTINCT key FROM ranked", "attempt_sentences": "FROM group_rows", "held_back": "SELECT DISTINCT loader FROM loaded_by", "state_tally": "SELECT DISTINCT state FROM states", "line_marks": "SELECT DISTINCT key, lineno FROM signals WHERE lineno > 0",
+    "totals_by_layer": "SELECT DISTINCT depth FROM layers", "clusters": "FROM clusters", "states": "FROM states", "folders": "SELECT DISTINCT folder FROM in_folders", "ribbons": "FROM folder_pairs", "file_history": "FROM records", "co_change": "SELECT item_a FROM changes LIMIT 40",
+    "timeline_files": "FROM records", "authors": "SELECT DISTINCT author FROM history", "timeline": "SELECT DISTINCT first_seen[1:7] FROM records", "stalled": "SELECT path FROM records WHERE commits <= 2 AND date_diff('day', touched, (SELECT max(touched) FROM records)) >= 60",
+
+    "forks": BODIES["forks"],
+    **{name: "SELECT " + rest for name, (_, rest) in _AHEAD.items()},
+}
+BODIES["sections"] = "".join(tables for tables, _ in _AHEAD.values()) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS section, count(*) AS n FROM ({rows})" for name, rows in SECTIONS.items()) + ")"
+SQL: dict[str, str] = {"survey_" + name: over_facts(sql) for name, sql in BODIES.items()}

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,6 +183,12 @@ def cycles(s):
     return s.cycles
 
 
+@finding
+def import_cycles(s):
+    """Cycles of imports by name, as a walk over all modules meets them."""
+    return s.import_cycles.select(_joined("nodes", " -> ").alias("nodes"))
+
+
 @finding
 def trace(s):
     return s.trace("pkg7", 100_000)
@@ -309,6 +316,11 @@ def timeline(s):
     return s.timeline
 
 
+@finding
+def timeline_files(s):
+    return s.timeline_files
+
+
 @finding
 def stalled(s):
     return s.stalled
@@ -375,7 +387,7 @@ def ribbons(s):
 
 @finding
 def headline(s):
-    return s.headline.drop("cycles")
+    return s.headline
 
 
 # --- words, maps and other sinks
@@ -440,9 +452,9 @@ def frontier_lines(s):
 
 @finding
 def sections(s):
-    """Rows in each section of the JSON document, but for those that other queries compare in full."""
-    found = {k: v for k, v in render.as_dict(s).items() if k not in ("forks", "regions", "scaffolds")}
-    return s.spark.createDataFrame([(k, len(v)) for k, v in found.items() if isinstance(v, list)], "section string, n int")
+    """Rows in each section of the JSON document."""
+    tables = (render.SECTIONS | render.HISTORY).items()
+    return reduce(DataFrame.union, (f(s).agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), "n") for name, f in tables))
 
 
 @finding

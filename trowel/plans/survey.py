@@ -78,6 +78,10 @@ CONVENTIONS = [
 
 QUIET_DAYS, FEW_COMMITS, TOP_PAIRS = 60, 2, 40
 MIN_SIGNALS, QUIET_FILES, MIN_SCORE, MIN_FILES = 2, 3, 4, 4
+#: Commits of a log, the newest, among which changes made together are counted.
+CO_CHANGE_COMMITS = 2000
+#: What is said with every date of a shallow clone.
+SHALLOW_NOTE = "This is a shallow clone, which has the newest commits only: all dates and 'first seen' tell what was fetched, not what happened. `git fetch --unshallow` gets the rest."
 #: Modules that a trace shows in each direction, and the states that it leaves out.
 TRACE_MOST = 260
 TRACE_HIDES = ["deadend", "broken"]
@@ -126,8 +130,9 @@ def follows_tests(key: Column, relpath: Column) -> Column:
 class Survey:
     """Findings over files(relpath, content, ord); the other tables are optional."""
 
-    def __init__(self, spark: SparkSession, files: DataFrame, listing: tree.Listing | None = None, commits: DataFrame | None = None, commit_files: DataFrame | None = None, renames: DataFrame | None = None, tracked: DataFrame | None = None, declared: DataFrame | None = None, prose: str = "") -> None:
-        self.spark, self.listing, self.prose = spark, listing, prose
+    def __init__(self, spark: SparkSession, files: DataFrame, listing: tree.Listing | None = None, commits: DataFrame | None = None, commit_files: DataFrame | None = None, renames: DataFrame | None = None, tracked: DataFrame | None = None, declared: DataFrame | None = None, prose: str = "", shallow: bool = False, paired: int | None = None) -> None:
+        """paired: commits from the newest on, numbered by ord, that count for co_change; None: all."""
+        self.spark, self.listing, self.prose, self.shallow, self.paired = spark, listing, prose, shallow, paired
         self.commits, self.commit_files, self.renames, self.tracked = commits, commit_files, renames, tracked
         self.declared = declared if declared is not None else spark.createDataFrame([], packaging.SCHEMA)
         self.files, self.raw = files, stage_table(spark, facts.extract(files), "facts")
@@ -137,7 +142,7 @@ class Survey:
         listing = tree.list_tree(root, max_files=max_files)
         history = with_history and gitlog.is_repo(root)
         commits, commit_files = gitlog.commit_log(spark, root) if history else (None, None)
-        return cls(spark, tree.read_files(spark, listing), listing, commits, commit_files, gitlog.renames(spark, root) if history else None, gitlog.tracked(spark, root) if history else None, packaging.declared(spark, root), tree.read_prose(listing))
+        return cls(spark, tree.read_files(spark, listing), listing, commits, commit_files, gitlog.renames(spark, root) if history else None, gitlog.tracked(spark, root) if history else None, packaging.declared(spark, root), tree.read_prose(listing), history and gitlog.is_shallow(root), CO_CHANGE_COMMITS)
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
         return stage_table(self.spark, df, name)
@@ -261,13 +266,13 @@ class Survey:
 
     @cached_property
     def cycles(self) -> DataFrame:
-        """Edges on or between cycles; see named_cycles."""
+        """Edges on or between cycles; import_cycles names them."""
         return graph.cyclic_core(self.edges)
 
     @cached_property
-    def named_cycles(self) -> list[list[str]]:
-        """Import cycles by name, from the edges that peeling leaves."""
-        return graph.named_cycles([(r.src, r.dst) for r in self.cycles.toLocalIterator()])
+    def import_cycles(self) -> DataFrame:
+        """(nodes): import cycles by name, the first module again at the end."""
+        return self._stage(graph.cycles(self.edges), "cycles")
 
     @cached_property
     def effects(self) -> DataFrame:
@@ -419,17 +424,16 @@ class Survey:
         out = relations.without(self.specific_names.where(~is_test(F.col("key"))), self.origins.where("origin = 'vendored'").select("key"))
         pairs = relations.overlap_pairs(out, "key", "name", A.MIN_SHARED)
         pairs = self._stage(pairs, "sharing")
-        family = self._stage(graph.components(pairs).select(F.col("node").alias("key"), F.col("component").alias("family")), "families")
+        group = graph.greedy_groups(pairs).select(F.struct("first_a", "first_b").alias("group"), F.col("member").alias("key"))
         tests = self.modules.where(is_test(F.col("key"))).select("key", F.transform("names_used", lambda n: _first(n)).alias("names"), F.size(F.filter("definitions", lambda d: d["parent"].isNull())).alias("n"))
         mentions = tests.select(F.explode(F.array_distinct("names")).alias("tail"), "n").groupBy("tail").agg(F.sum("n").alias("tests"))
         tops = lambda cond: F.transform(F.filter("definitions", cond), lambda d: d["name"])
         free = lambda d: d["parent"].isNull() & (d["kind"] != "class")
         names = self.specific_names.groupBy("key").agg(F.sort_array(F.collect_set("name")).alias("defines"))
         reached = self.layers.select(F.col("node").alias("key"), F.lit(True).alias("reachable"))
-        rows = self.modules.join(family, "key").join(names, "key").join(reached, "key", "left").withColumn("tail", _last(F.col("key"))).join(mentions, "tail", "left")
-        rows = rows.select("family", "key", "relpath", "loc", "defines", F.coalesce("reachable", F.lit(False)).alias("reachable"), F.coalesce("tests", F.lit(0)).alias("tests"), F.size("todos").alias("todos"), tops(lambda d: free(d) & (d["body_kind"] == "code")).alias("filled"), tops(lambda d: free(d) & (d["body_kind"] != "code")).alias("empty"))
-        sharing = pairs.join(family.select(F.col("key").alias("a"), F.col("family").alias("f")), "a").select(F.col("f").alias("family"), "a", "b")
-        described = rows.groupBy("family").cogroup(sharing.groupBy("family")).applyInArrow(A.describer(to_arrow_schema(StructType.fromDDL(A.SCHEMA))), A.SCHEMA)
+        rows = self.modules.join(group, "key").join(names, "key").join(reached, "key", "left").withColumn("tail", _last(F.col("key"))).join(mentions, "tail", "left")
+        rows = rows.select("group", "key", "relpath", "loc", "defines", F.coalesce("reachable", F.lit(False)).alias("reachable"), F.coalesce("tests", F.lit(0)).alias("tests"), F.size("todos").alias("todos"), tops(lambda d: free(d) & (d["body_kind"] == "code")).alias("filled"), tops(lambda d: free(d) & (d["body_kind"] != "code")).alias("empty"))
+        described = rows.groupBy("group").applyInArrow(A.describer(to_arrow_schema(StructType.fromDDL(A.SCHEMA))), A.SCHEMA)
         return self._stage(described, "attempts")
 
     @cached_property
@@ -511,7 +515,7 @@ class Survey:
     @cached_property
     def touched(self) -> DataFrame:
         """(ord, path): commits of surveyed files, by the names that the files have now."""
-        names = graph.pointer_chase(self.renames, "old", "new").toDF("path", "canonical") if self.renames is not None and self.renames.take(1) else self.spark.createDataFrame([], "path string, canonical string")
+        names = graph.rename_chain(self.renames).toDF("path", "canonical") if self.renames is not None and self.renames.take(1) else self.spark.createDataFrame([], "path string, canonical string")
         now = self.commit_files.join(names, "path", "left").select("ord", F.coalesce("canonical", "path").alias("path")).distinct()
         return self._stage(now.join(self.modules.select(F.col("relpath").alias("path")), "path", "left_semi"), "touched")
 
@@ -522,18 +526,40 @@ class Survey:
 
     @cached_property
     def co_change(self) -> DataFrame:
-        return relations.co_occurrence(self.touched, "ord", "path")
+        """(item_a, item_b, n): files that changed together, within the newest commits of the log."""
+        recent = self.touched if self.paired is None else self.touched.where(F.col("ord") < self.paired)
+        return relations.co_occurrence(recent, "ord", "path")
 
     @cached_property
     def timeline(self) -> DataFrame:
-        """(month, n, first_key): files by the month they were first seen in; file_history has each file's."""
-        log = self.touched.join(self.commits, "ord")
-        return summaries.timeline(log, "path", F.timestamp_seconds("at"))
+        """(month, n, first_key): files by the month of their first commit in the log."""
+        return self.timeline_files.groupBy("month").agg(F.count("*").alias("n"), F.min("path").alias("first_key"))
+
+    @cached_property
+    def timeline_files(self) -> DataFrame:
+        """(month, path): every file below the month of its first commit."""
+        return self.file_history.select(F.substring("first_seen", 1, 7).alias("month"), "path")
 
     @cached_property
     def stalled(self) -> DataFrame:
-        log = self.touched.join(self.commits, "ord")
-        return summaries.stalled(log, "path", F.timestamp_seconds("at"), FEW_COMMITS, QUIET_DAYS)
+        """Files of few commits whose last one in the log is long before the newest file's."""
+        log = self.touched.join(self.commits, "ord").withColumn("place", -F.col("ord"))
+        own = summaries.stalled(log, "path", F.timestamp_seconds("at"), FEW_COMMITS, QUIET_DAYS, order=["place"])
+        return own.join(self.file_history.select("path", "first_seen", "last_touched", "last_subject"), "path").select("path", "commits", "first_seen", "last_touched", "last_subject", "days_quiet")
+
+    @cached_property
+    def authors(self) -> DataFrame:
+        """(author, files, commits): who wrote the surveyed files."""
+        return self.touched.join(self.commits, "ord").groupBy("author").agg(F.count_distinct("path").alias("files"), F.count_distinct("ord").alias("commits"))
+
+    @cached_property
+    def history_state(self) -> DataFrame:
+        """(available, reason, shallow, authors, note): one row on what the history can say."""
+        seen = self.file_history.agg(F.count("*").alias("n")) if self.commits is not None else self.spark.range(1).select(F.lit(0).alias("n"))
+        who = self.authors.agg(F.count("*").alias("authors")) if self.commits is not None else self.spark.range(1).select(F.lit(0).alias("authors"))
+        reason = F.when(F.lit(self.commits is None), "not a git repository, or history was not asked for").when(F.col("n") == 0, "no commit covers these files")
+        both = seen.join(F.broadcast(who))  # one row each
+        return both.select((F.col("n") > 0).alias("available"), reason.alias("reason"), F.lit(self.shallow).alias("shallow"), "authors", F.when(F.lit(self.shallow), SHALLOW_NOTE).alias("note"))
 
     @cached_property
     def origins(self) -> DataFrame:
@@ -728,5 +754,5 @@ class Survey:
         """One row of counts; files on disk = modules + excluded + skipped."""
         excluded = sum(self.listing.excluded.values()) if self.listing else 0
         unreached = self.signals.where("kind = 'unreached'").select("key").distinct()
-        findings = {"entries": self.entry_points.count(), "orphans": self.orphans.count(), "cycles": len(self.named_cycles), "unreached": unreached.count()}
+        findings = {"entries": self.entry_points.count(), "orphans": self.orphans.count(), "cycles": self.import_cycles.count(), "unreached": unreached.count()}
         return self.modules.agg(F.count("*").alias("modules"), F.sum("loc").alias("lines"), F.count("error").alias("errors")).select("*", F.lit(excluded).alias("excluded"), F.lit(self.listing.skipped if self.listing else 0).alias("skipped"), *(F.lit(n).alias(k) for k, n in findings.items()))

@@ -29,7 +29,8 @@ SECTIONS = {
     "layers": lambda s: s.layers,
     "orphans": lambda s: s.orphans.select("key", "loc"),
     "unreferenced": lambda s: s.unreferenced,
-    "cycles": lambda s: s.cycles,
+    "cycles": lambda s: s.import_cycles.orderBy("nodes"),
+    "cyclic_edges": lambda s: s.cycles,
     "fan": lambda s: s.fan,
     "effects": lambda s: s.effects,
     "frontier": lambda s: s.frontier.orderBy(F.desc("score"), "relpath"),
@@ -60,6 +61,8 @@ HISTORY = {
     "file_history": lambda s: s.file_history,
     "co_change": lambda s: s.co_change.orderBy(F.desc("n"), "item_a", "item_b").limit(40),
     "timeline": lambda s: s.timeline.orderBy("month"),
+    "timeline_files": lambda s: s.timeline_files.orderBy("month", "path"),
+    "authors": lambda s: s.authors.orderBy(F.desc("commits"), "author"),
     "stalled": lambda s: s.stalled.orderBy(F.desc("days_quiet"), "path"),
     "forks": lambda s: s.forks.orderBy("stopped", "continued"),
 }
@@ -87,7 +90,7 @@ def _rows(df: DataFrame) -> list[dict]:
 def as_dict(survey: Survey) -> dict:
     sections = SECTIONS | (HISTORY if survey.commits is not None else {})
     listing = survey.listing
-    head = {"headline": _rows(survey.headline)[0], "excluded": dict(listing.excluded) if listing else {}, "history_available": survey.commits is not None}
+    head = {"headline": _rows(survey.headline)[0], "excluded": dict(listing.excluded) if listing else {}, "skipped": listing.skipped if listing else 0, "history": _rows(survey.history_state)[0], "history_coverage": survey.opening.first().coverage}
     tables = {k: f(survey) for k, f in sections.items()}  # tables that several use are staged here, in turn
     with ThreadPoolExecutor(CONCURRENT) as pool:  # small jobs, most of whose time is planning
         return head | dict(zip(tables, pool.map(_rows, tables.values()), strict=True))
@@ -180,10 +183,10 @@ def summary(survey: Survey, limit: int = 12) -> str:
     out += [f"  {'entry' if not r['depth'] else 'depth ' + str(r['depth'])}: {r['n']}  {', '.join(r['nodes'])}{' ...' if r['n'] > 6 else ''}" for r in depths]
     out.append("most depended upon")
     out += [f"  {r['key']}: used by {r['fan_in']}, uses {r['fan_out']}" for r in survey.fan.where("fan_in > 0").orderBy(F.desc("fan_in"), F.desc("fan_out"), "key").limit(6).collect()]
-    if survey.named_cycles:
+    if h["cycles"]:
         out.append("import cycles")
-        out += [f"  {' -> '.join(c)}" for c in survey.named_cycles[:5]]
-        _and_more(out, 5, len(survey.named_cycles))
+        out += [f"  {' -> '.join(r.nodes)}" for r in survey.import_cycles.orderBy("nodes").limit(5).collect()]
+        _and_more(out, 5, h["cycles"])
     out.append("nothing imports")
     out += [f"  {r['key']} ({r['loc']} lines)" for r in survey.orphans.orderBy("ord").limit(10).collect()]
     _and_more(out, 10, h["orphans"])
@@ -204,10 +207,12 @@ def summary(survey: Survey, limit: int = 12) -> str:
             out += [f"      {x}" for x in (r["stake"], r["effort"], r["copy"], *r["members"][0]["facts"]) if x]
         _and_more(out, most, some.count())
     if survey.commits is not None:
+        state = survey.history_state.first()
+        out += [state.note] if state.shallow else []
         out.append("where the effort went instead (by likeness and time, not proven)")
         out += [f"  {r['stopped']} -> {r['continued']} ({', '.join(r['signals'])})" for r in survey.forks.orderBy("stopped", "continued").limit(5).collect()]
         span = survey.timeline.agg(F.min("month").alias("first"), F.max("month").alias("last")).first()
-        out.append(f"history: files first seen from {span['first']} to {span['last']}")
+        out.append(f"history: files first seen from {span['first']} to {span['last']}, by {state.authors} authors")
         out += [f"  {r['n']}x {r['item_a']} + {r['item_b']}" for r in survey.co_change.orderBy(F.desc("n"), "item_a", "item_b").limit(5).collect()]
         out.append("started and left alone")
         out += [f"  {r['path']}: {r['commits']} commits, quiet for {r['days_quiet']} days" for r in survey.stalled.orderBy(F.desc("days_quiet"), "path").limit(5).collect()]
