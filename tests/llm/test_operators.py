@@ -9,7 +9,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from trowel.llm import embed_dedup, html_extract, licenses, line_dedup, mixing, ngram_join, quality, secrets_scan, substring_dedup
+from trowel.llm import arrays, embed_dedup, html_extract, licenses, line_dedup, mixing, ngram_join, quality, secrets_scan, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -116,6 +116,52 @@ def test_main_keeps_what_is_around_its_articles():
     assert text("<p>out</p><article>alone</article>", "<main></main><article>b</article>", "<main>m</main>") == ["alone", "b", "m"]
 
 
+def texts_of(*sources):
+    import pickle
+
+    import pyarrow as pa
+
+    rows = [(i, f"http://m{i}.example/", s) for i, s in enumerate(sources)]
+    docs = pa.table({"pages": [html_extract.squeeze(pickle.dumps(rows, 5))]})
+    return html_extract._texts(docs, pa.table({"runs": pa.array([], pa.binary()), "n": pa.array([], pa.binary())})).column("text").to_pylist()
+
+
+def test_names_that_articles_are_also_about_do_not_lose_prose():
+    prose = "We compare earlier approaches to this problem, of which there are many, in some detail here."
+    for mark in ("section id='related-work'", "div class='market share'", "div id=menu-engineering", "section class='informed consent'", "div class='comments-on-method'"):
+        tag = mark.split()[0]
+        assert texts_of(f"<article><h1>T</h1><{mark}><p>{prose}</p><p>more</p></{tag}><p>end</p></article>") == [f"T\n{prose}\nend"], mark
+    for mark in ("div class=comments", "div id=comment-list", "div class='ad-slot top'", "div class='cookie-banner'", "div class='newsletter-signup'", "div class='sidebar x7q'", "div class='share bar'", "aside", "div role=navigation", "div hidden"):
+        tag = mark.split()[0]
+        assert texts_of(f"<article><h1>T</h1><{mark}><p>{prose}</p></{tag}><p>end</p></article>") == ["T\nend"], mark
+    assert texts_of(f"<div class='related posts'><article><p>{prose}</p></article></div><article><p>own</p></article>") == ["own"]
+    assert texts_of(f"<div><h1>T</h1><div id='related-work'><p>{prose}</p></div></div>") == [f"T\n{prose}"]
+
+
+def test_a_heading_before_an_article_is_its_title():
+    assert texts_of("<header><h1>Site</h1></header><h1>The real title</h1><p>by</p><article><p>body</p></article>") == ["The real title\nbody"]
+    assert texts_of("<h1>Site</h1><article><h1>Own</h1><p>body</p></article>") == ["Own\nbody"]
+    assert texts_of("<h1>A</h1><h1>B</h1><article><p>body</p></article><h1>C</h1>") == ["B\nbody"]
+
+
+def test_very_long_pages_and_repeated_rows(spark):
+    long = "<article>" + "".join(f"<p>{' '.join(f'w{i}x{k}' for k in range(40))}.</p>" for i in range(3000)) + "</article>"
+    rows = [(1, "http://a.example/", long, 0), (1, "http://a.example/", long, 0), (2, "http://a.example/", "<nav>x</nav>" * 20000 + "<p>body text</p>", 1)]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
+    want = "\n".join(f"{' '.join(f'w{i}x{k}' for k in range(40))}." for i in range(3000))
+    assert sorted(r.text for r in got) == sorted([want, want, "body text"])
+
+
+def test_windows_are_equal_only_if_hash_and_check_are():
+    h, c = np.array([5, 5, 5, 7, 7], np.uint64), np.array([2, 1, 2, 9, 9], np.uint32)
+    rank = arrays.pair_order(h, c)
+    assert list(zip(h[rank].tolist(), c[rank].tolist(), strict=True)) == [(5, 1), (5, 2), (5, 2), (7, 9), (7, 9)]
+    assert substring_dedup._again(h[rank], c[rank]).tolist() == [False, False, True, False, True]
+    asked = np.array([5, 5, 5, 7, 8, 1], np.uint64), np.array([1, 2, 3, 8, 9, 1], np.uint32)
+    assert arrays.pairs_found(*asked, h[rank], c[rank]).tolist() == [True, True, False, False, False, False]
+    assert arrays.pairs_found(*asked, h[:0], c[:0]).tolist() == [False] * 6
+
+
 def longest_shared(streams):
     """For each page's tokens, the longest run from each place that another page has; by comparing with all places of all others."""
     out = []

@@ -10,7 +10,14 @@ longest run that a distinct page has too; runs of RUN tokens or more are repeate
 * in a main container (main or article) a block goes if runs that half of the host's pages (and
   COMMON pages) have cover it whole, and it is not prose;
 * outside it, on a page that has one, prose that no repeated run touches stays: all else goes;
-* on a page without one, blocks go that repeated runs cover whole and that are not prose.
+* on a page without one, blocks go that repeated runs cover whole and that are not prose;
+* the last first-level heading before a container that has none stays, unless runs that half of the host's
+  pages have cover it: it is the article's title.
+
+What an element, a role or hiding says of a block holds. A class or id name counts if it is made of words for
+boilerplate and for parts only (comment-list, ad-slot), and, if these words also name what articles are about
+(share), if all names beside it are; otherwise (related-work, market share) it counts for what is no prose, or is
+outside the main container of a page that has one.
 
 On pages without a container, prose that is repeated, and what stands between its heading and its last
 paragraph, stays: an article that is published twice is no boilerplate, and a quoted sentence is not lost.
@@ -20,7 +27,7 @@ builds its hosts' suffix arrays and sends, for hosts dealt to several groups, th
 of RUN tokens with the number of pages that have them to buckets, which answer with those that two
 groups have and all their pages. A place is covered by repeated runs exactly if it is covered by
 repeated runs of RUN tokens, so the result is that of one array per host, and no task holds more than
-a group. n_repeated counts covered tokens; longest_run is the longest repeated run, in one group.
+a group, however pages are dealt. n_repeated counts covered tokens.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own (""); rows
 that repeat are pages of their own; null page_id is kept. Other columns are ignored.
@@ -57,8 +64,10 @@ HIDDEN = set("script style noscript template title head svg math iframe object c
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 CHROME = set("nav footer aside form menu dialog search".split())
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words of class and id names that mark boilerplate.
+#: Words of class and id names that mark boilerplate, those of them that articles are also about, and words for parts.
 MARKS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments commentlist disqus respond replies share sharing social related newsletter subscribe subscription popup modal paywall widget skip".split())
+TOPICS = set("share sharing social related menu skip widget navigation promo banner sponsor sponsored advertising consent subscription paywall".split())
+PARTS = set("area author bar block body bottom box btn button buttons card cards col column container content count container entry extra feed footer form group head header holder icon icons inner item items left level line link links list main media meta overlay panel post posts reply right row section signup site slot small stories text thread title to top unit wrap wrapper".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 HEADER_NAMES = {"header", "site-header", "page-header", "siteheader", "pageheader", "global-header"}
 
@@ -73,6 +82,7 @@ class Page:
 
     texts: list[str] = field(default_factory=list)
     inside: list[bool] = field(default_factory=list)  # in main or an article
+    doubtful: list[bool] = field(default_factory=list)  # below a name that marks boilerplate or is what the article is about
     chrome: list[bool] = field(default_factory=list)
     tag: list[str] = field(default_factory=list)  # the innermost block element
     linked: list[float] = field(default_factory=list)  # the share of the letters in links
@@ -103,43 +113,62 @@ class Page:
         """Does the block stay whatever is repeated: prose in the main container?"""
         return self.inside[b] and not self.chrome[b] and self.prose(b)
 
+    def title(self) -> int | None:
+        """The last first-level heading before the main container, if that has none."""
+        own = [b for b, i in enumerate(self.inside) if i and not self.chrome[b]]
+        if not own or any(self.tag[b] == "h1" for b in own):
+            return None
+        return next((b for b in range(own[0] - 1, -1, -1) if self.tag[b] == "h1" and not self.chrome[b] and not self.doubtful[b]), None)
+
     def kept(self, repeated: list[bool], common: list[bool], touched: list[bool]) -> list[str]:
         """Texts that stay. Of each block: is it covered whole by repeated runs, by common ones, and touched by any?"""
         if not self.main():
             gone = self.dropped(repeated)
         else:
-            gone = [common[b] and not self.prose(b) if inside else touched[b] or not self.prose(b) for b, inside in enumerate(self.inside)]
+            title = self.title()
+            gone = [common[b] if b == title else common[b] and not self.prose(b) if inside else touched[b] or not self.prose(b) for b, inside in enumerate(self.inside)]
+        main = self.main()
+        gone = [g or (d and (not self.prose(b) or (main and not self.inside[b]))) for b, (g, d) in enumerate(zip(gone, self.doubtful, strict=True))]
         return [t for t, c, g in zip(self.texts, self.chrome, gone, strict=True) if not (c or g)]
 
 
-def _is_chrome(tag: str, attributes: str, in_main: bool) -> bool:
+def _mark(names: str) -> int:
+    """Of class or id names: 2 if they mark boilerplate, 1 if one only holds a word that does, else 0."""
+    each = [[w for w in _PART.split(name) if w and not w.isdigit()] for name in names.split()]
+    plain = [all(w in MARKS or w in PARTS for w in words) for words in each]
+    marks = [{w for w in words if w in MARKS} for words in each]
+    if any(p and m - TOPICS for p, m in zip(plain, marks, strict=True)) or (all(plain) and any(marks)):
+        return 2
+    return int(any(marks))
+
+
+def _chrome(tag: str, attributes: str, in_main: bool) -> int:
+    """Is what an element holds boilerplate: 2 yes, 1 if it is no prose, 0 no?"""
     if tag in CHROME or (tag == "header" and not in_main):
-        return True
-    if not attributes:
-        return False
-    for name, value in _NAMED.findall(attributes):
+        return 2
+    found = 0
+    for name, value in _NAMED.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" and value in ("", "hidden", "true"):
-            return True
+            return 2
         if name == "aria-hidden" and value == "true":
-            return True
+            return 2
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return 2
         if name == "role" and value in ROLES:
-            return True
+            return 2
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             if any(w in HEADER_NAMES for w in value.split()) and not in_main:
-                return True
-            if not MARKS.isdisjoint(_PART.split(value)):
-                return True
-    return False
+                return 2
+            found = max(found, _mark(value))
+    return found
 
 
 def parse(source: str) -> Page:
     """Blocks of a page. Unclosed elements end with the element around them; a block start ends an open paragraph."""
     page = Page()
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag; main container; chrome; hidden
-    kind, chrome, hidden = False, False, False
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag; main container; chrome; doubtful; hidden
+    kind, chrome, doubtful, hidden = False, False, False, False
     buffer: list[str] = []
     anchors, links, letters = 0, 0, 0  # open links; letters of the block in links, and all
     at, n = 0, len(source)
@@ -153,15 +182,16 @@ def parse(source: str) -> Page:
                 page.texts.append(text)
                 page.inside.append(kind)
                 page.chrome.append(chrome)
+                page.doubtful.append(doubtful)
                 page.tag.append(next((s[0] for s in reversed(stack) if s[0] in BLOCK), ""))
                 page.linked.append(links / max(1, letters))
             links = letters = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal kind, chrome, hidden, anchors
+        nonlocal kind, chrome, doubtful, hidden, anchors
         anchors -= sum(s[0] == "a" for s in stack[depth:])
         del stack[depth:]
-        kind, chrome, hidden = stack[-1][1:] if stack else (False, False, False)
+        kind, chrome, doubtful, hidden = stack[-1][1:] if stack else (False, False, False, False)
 
     while at < n:
         tag = _TAG.search(source, at)
@@ -188,7 +218,7 @@ def parse(source: str) -> Page:
                 flush()
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
-                    if chrome != (stack[depth - 1][2] if depth else False):
+                    if (chrome, doubtful) != (stack[depth - 1][2:4] if depth else (False, False)):
                         flush()
                     pop_to(depth)
                     break
@@ -213,21 +243,25 @@ def parse(source: str) -> Page:
         if name in RAW:
             close = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(source, at)
             at = close.start() if close else n
-            stack.append((name, kind, chrome, True))
+            stack.append((name, kind, chrome, doubtful, True))
             hidden = True
             continue
         if attributes.endswith("/") and name in ("svg", "math"):
             continue
-        inner_kind = kind or (name in ("main", "article") and not chrome)
-        inner_chrome = chrome or _is_chrome(name, attributes, kind)
+        inner_kind = kind or (name in ("main", "article") and not chrome and not doubtful)
+        found = _chrome(name, attributes, kind)
+        inner_chrome = chrome or found == 2
         skipped = hidden or name in HIDDEN
+        if found == 1 and name in BLOCK and not doubtful:
+            flush()
+            doubtful = True
         if inner_chrome != chrome:
             if name in BLOCK:
                 flush()
             else:  # within a block: its text is left out of the block
                 inner_chrome, skipped = chrome, True
         kind, chrome, hidden = inner_kind, inner_chrome, skipped
-        stack.append((name, kind, chrome, hidden))
+        stack.append((name, kind, chrome, doubtful, hidden))
         anchors += name == "a"
     flush()
     return page
@@ -480,13 +514,12 @@ def _texts(docs: pa.Table, replies: pa.Table) -> pa.Table:
     sums = lambda flags: (lambda c: c[first + inner] - c[first])(np.concatenate(([0], np.cumsum(flags))))
     n_covered, n_common = (sums(x) for x in (covered, common)) if len(first) else (first, first)
     last = np.cumsum(streams.blocks)
-    text, repeated, longest = [], [], []
+    text, repeated = [], []
     bounds = np.searchsorted(streams.page, np.arange(len(pages) + 1))
     for p, (_, page) in enumerate(pages):
         own, lo, hi = slice(last[p] - streams.blocks[p], last[p]), bounds[p], bounds[p + 1]
         text.append("\n".join(page.kept((n_covered[own] == inner[own]).tolist(), (n_common[own] == inner[own]).tolist(), (n_covered[own] > 0).tolist())))
         repeated.append(int((covered[lo:hi] & ~streams.ends[lo:hi]).sum()))
-        longest.append(int(length[lo:hi].max(initial=0)))
     return pa.table(
         {
             "page_id": pa.array([r[0] for r in rows], pa.int64()),
@@ -494,7 +527,6 @@ def _texts(docs: pa.Table, replies: pa.Table) -> pa.Table:
             "text": pa.array(text, pa.string()),
             "n_chars": pa.array([len(t) for t in text], pa.int64()),
             "n_repeated": pa.array(repeated, pa.int64()),
-            "longest_run": pa.array([x if x >= RUN else 0 for x in longest], pa.int64()),
         }
     )
 
@@ -504,7 +536,7 @@ LEAST_GROUP, GROUPS_A_TASK = 256 << 10, 4
 
 
 def main_text(pages: DataFrame, seg_bytes: int = 8 << 20) -> DataFrame:
-    """Per page: page_id, url, text, n_chars, n_repeated (tokens in runs that other pages of the host have), longest_run.
+    """Per page: page_id, url, text, n_chars, n_repeated (tokens in runs that other pages of the host have).
 
     The driver holds one entry for each host above a group's bytes, at most their total / seg_bytes.
     """
@@ -518,7 +550,7 @@ def main_text(pages: DataFrame, seg_bytes: int = 8 << 20) -> DataFrame:
     groups = max(64, 4 * size // seg_bytes)
     bits = int(max(2 * shuffle_parts(spark), size // seg_bytes, 1) - 1).bit_length()
     dealt = _dealt(pages, heavy, groups)
-    result = "page_id long, url string, text string, n_chars long, n_repeated long, longest_run long"
+    result = "page_id long, url string, text string, n_chars long, n_repeated long"
     if not heavy:
         nothing = pa.table({"runs": pa.array([], pa.binary()), "n": pa.array([], pa.binary())})
         return dealt.groupBy("grp").applyInArrow(lambda table: _texts(table, nothing), result)
