@@ -90,6 +90,16 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: i
     return Words(letters, at, size, bounds, mix(sums + size.astype(U64) * U64(0xA0761D6478BD642F)))
 
 
+def second_hashes(words: Words) -> np.ndarray:
+    """Another 64-bit hash of each word, by other codes and another base."""
+    if not len(words.at):
+        return np.zeros(0, U64)
+    place = np.arange(len(words.letters)) - np.repeat(words.at, words.size)
+    codes = _CODES.setdefault((1, False), _byte_codes(1, False))
+    sums = np.add.reduceat(codes[words.letters] * powers(int(words.size.max()), 0xC2B2AE3D27D4EB4F)[place], words.at)
+    return mix(sums + words.size.astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
 def windows(h: np.ndarray, width: int, base: int = 0x9FB21C651E98DF25) -> np.ndarray:
     """Rabin-Karp hashes, modulo 2 ** 64, of every run of width values of h, by doubling."""
     if len(h) < width:
@@ -232,6 +242,29 @@ def cut_by_top_bits(h: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(h, tops), [len(h)]))
 
 
+def pair_order(h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """A stable order by h, then check."""
+    order = np.argsort(h, kind="stable")
+    a, b = h[order], check[order]
+    return np.lexsort((check, h)) if bool(((a[1:] == a[:-1]) & (b[1:] < b[:-1])).any()) else order
+
+
+def pairs_found(h: np.ndarray, check: np.ndarray, table: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Is each (h, check) among the pairs (table, checks), which are in order?"""
+    out = np.zeros(len(h), bool)
+    if not len(table):
+        return out
+    at = np.searchsorted(table, h)
+    left = np.flatnonzero(at < len(table))
+    while len(left):  # once, but where digests of different windows are alike
+        left = left[table[at[left]] == h[left]]
+        out[left] = checks[at[left]] == check[left]
+        left = left[~out[left]]
+        at[left] += 1
+        left = left[at[left] < len(table)]
+    return out
+
+
 def found_in(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Is each of h in the sorted table?"""
     if not len(table):

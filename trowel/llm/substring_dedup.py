@@ -8,8 +8,9 @@ occurred before in the chunk itself. Repeated windows merge into maximal removal
 
 Skew: a passage shared by any number of documents is at most one entry per chunk, and an entry
 per bucket and chunk; no task sees a row per occurrence. Memory: a chunk of text, or a bucket of
-hashes, both sized by parameters. Hash: 64 bits; two different windows of a corpus of n windows
-share one with probability below n * n / 2 ** 65.
+hashes, both sized by parameters. Hash: 96 bits, of two hashes of each word by other codes and bases: 64 by
+which windows are sorted and dealt, and 32 that are compared with them. Of a corpus of n windows, about
+n * n / 2 ** 97 pairs of different windows are taken for equal: 0.005 at 100 TB (some 2.7 * 10 ** 13 windows).
 
 Defined results: null or empty text has no words (n_words 0, kept_sha256 of the empty string);
 rows that repeat a doc_id are ordered by text and count as separate documents, each later one a
@@ -30,9 +31,11 @@ from pyspark.sql import functions as F
 from trowel.llm.arrays import (
     U64,
     cut_by_top_bits,
-    found_in,
     pack_docs,
     pack_sorted,
+    pair_order,
+    pairs_found,
+    second_hashes,
     slices,
     text_buffers,
     tidy,
@@ -110,20 +113,40 @@ def _chunked(docs: DataFrame, bounds: list[int], lost: int) -> DataFrame:
 
 
 def _hashes(data: np.ndarray, offsets: np.ndarray, width: int):
-    """For each slice of documents: first and last document, words, hash of each window, which windows count."""
+    """For each slice of documents: first and last document, words, hash and check of each window, which windows count."""
     for i, j in slices(offsets):
         words = words_of(data, offsets[i : j + 1])
-        yield i, j, words, windows(words.hashes, width), window_owner(words.bounds, width, len(words.hashes))
+        check = (windows(second_hashes(words), width, 0xD1342543DE82EF95) >> U64(32)).astype(np.uint32)
+        yield i, j, words, windows(words.hashes, width), check, window_owner(words.bounds, width, len(words.hashes))
+
+
+def _again(h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Of pairs in order, which equal the one before?"""
+    out = np.zeros(len(h), bool)
+    out[1:] = (h[1:] == h[:-1]) & (check[1:] == check[:-1])
+    return out
+
+
+def _checks(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u4") for x in column.to_pylist()]
 
 
 def _send(width: int, bits: int):
     def send(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
         _, data, offsets = unpack_docs(table.column("docs").to_pylist())
-        own = np.unique(np.concatenate([h[ok] for *_, h, ok in _hashes(data, offsets, width)] or [np.zeros(0, U64)]))
+        parts = [(h[ok], check[ok]) for *_, h, check, ok in _hashes(data, offsets, width)]
+        own, check = np.concatenate([p[0] for p in parts] or [np.zeros(0, U64)]), np.concatenate([p[1] for p in parts] or [np.zeros(0, np.uint32)])
+        rank = pair_order(own, check)
+        own, check = own[rank], check[rank]
+        first = ~_again(own, check)
+        own, check = own[first], check[first]
         cuts = cut_by_top_bits(own, bits)
         full = np.flatnonzero(np.diff(cuts))
-        return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int32()), "hashes": pa.array([pack_sorted(own[cuts[b] : cuts[b + 1]]) for b in full], pa.binary())})
+        lists = [slice(cuts[b], cuts[b + 1]) for b in full]
+        return pa.table(
+            {"bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int32()), "hashes": pa.array([pack_sorted(own[x]) for x in lists], pa.binary()), "checks": pa.array([check[x].astype("<u4").tobytes() for x in lists], pa.binary())}
+        )
 
     return send
 
@@ -131,20 +154,22 @@ def _send(width: int, bits: int):
 def _reply(table: pa.Table) -> pa.Table:
     order = np.argsort(table.column("chunk").to_numpy(), kind="stable")
     chunks = table.column("chunk").to_numpy()[order]
-    lists = table.column("hashes").take(pa.array(order)).to_pylist()
-    parts = [unpack_sorted(x) for x in lists]
-    every, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    rank = np.argsort(every, kind="stable")
-    every, owner = every[rank], owner[rank]
-    later = np.zeros(len(every), bool)
-    later[1:] = every[1:] == every[:-1]
-    every, owner = every[later], owner[later]
+    table = table.take(pa.array(order))
+    parts = [unpack_sorted(x) for x in table.column("hashes").to_pylist()]
+    every, check, owner = np.concatenate(parts), np.concatenate(_checks(table.column("checks"))), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    rank = pair_order(every, check)
+    every, check, owner = every[rank], check[rank], owner[rank]
+    later = _again(every, check)
+    every, check, owner = every[later], check[later], owner[later]
     rank = np.argsort(owner, kind="stable")
-    every, owner = every[rank], owner[rank]
+    every, check, owner = every[rank], check[rank], owner[rank]
     cuts = np.searchsorted(owner, np.arange(len(parts) + 1))
     full = np.flatnonzero(np.diff(cuts))
     bucket = table.column("bucket")[0].as_py()
-    return pa.table({"chunk": pa.array(chunks[full], pa.int32()), "bucket": pa.array([bucket] * len(full), pa.int32()), "earlier": pa.array([pack_sorted(every[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())})
+    lists = [slice(cuts[i], cuts[i + 1]) for i in full]
+    return pa.table(
+        {"chunk": pa.array(chunks[full], pa.int32()), "bucket": pa.array([bucket] * len(full), pa.int32()), "earlier": pa.array([pack_sorted(every[x]) for x in lists], pa.binary()), "checks": pa.array([check[x].astype("<u4").tobytes() for x in lists], pa.binary())}
+    )
 
 
 def _cover(n_words: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -159,19 +184,21 @@ def _finish(width: int, spans: bool):
     def finish(docs: pa.Table, replies: pa.Table) -> pa.Table:
         ids, data, offsets = unpack_docs(docs.column("docs").to_pylist())
         order = np.argsort(replies.column("bucket").to_numpy()) if len(replies) else []
-        lists = replies.column("earlier").to_pylist()
+        lists, checks = replies.column("earlier").to_pylist(), _checks(replies.column("checks"))
         earlier = np.concatenate([unpack_sorted(lists[i]) for i in order]) if len(lists) else np.zeros(0, U64)
-        every = [(h, ok) for *_, h, ok in _hashes(data, offsets, width)]
-        counted = np.concatenate([h[ok] for h, ok in every] or [np.zeros(0, U64)])
-        again = found_in(counted, earlier)
-        rank = np.argsort(counted, kind="stable")
-        same = np.zeros(len(counted), bool)
-        same[1:] = counted[rank][1:] == counted[rank][:-1]
-        again[rank[same]] = True
-        del counted, rank, same
+        earlier_check = np.concatenate([checks[i] for i in order]) if len(lists) else np.zeros(0, np.uint32)
+        every = [(h, check, ok) for *_, h, check, ok in _hashes(data, offsets, width)]
+        counted = np.concatenate([h[ok] for h, _, ok in every] or [np.zeros(0, U64)])
+        check = np.concatenate([c[ok] for _, c, ok in every] or [np.zeros(0, np.uint32)])
+        again = pairs_found(counted, check, earlier, earlier_check)
+        rank = pair_order(counted, check)
+        again[rank[_again(counted[rank], check[rank])]] = True
+        flags = [ok for *_, ok in every]
+        del counted, check, rank, every
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": [], "spans": []}
         used = 0
-        for (i, j, words, _, _), (_, ok) in zip(_hashes(data, offsets, width), every, strict=True):
+        for (i, j), ok in zip(slices(offsets), flags, strict=True):
+            words = words_of(data, offsets[i : j + 1])
             flag = np.zeros(len(ok), bool)
             flag[ok] = again[used : used + int(ok.sum())]
             used += int(ok.sum())
@@ -220,7 +247,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = 20, chunk_bytes: int =
     bits = int(max(2 * shuffle_parts(spark), size // bucket_bytes, 1) - 1).bit_length()
     # at least 64 chunks, of text that is some two times its compressed size
     packed = _chunked(docs, *chunk_bounds(docs, max(1, min(2 * chunk_bytes, 2 * size // 64))))
-    sent = packed.groupBy("chunk").applyInArrow(_send(width, bits), "bucket int, chunk int, hashes binary")
-    replies = sent.groupBy("bucket").applyInArrow(_reply, "chunk int, bucket int, earlier binary")
+    sent = packed.groupBy("chunk").applyInArrow(_send(width, bits), "bucket int, chunk int, hashes binary, checks binary")
+    replies = sent.groupBy("bucket").applyInArrow(_reply, "chunk int, bucket int, earlier binary, checks binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string, spans array<struct<first: bigint, end: bigint>>" if with_text else "")
     return packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_finish(width, with_text), schema)
