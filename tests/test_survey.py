@@ -310,3 +310,59 @@ def test_no_folder_is_trusted_for_git():
     from trowel.sources import gitlog
 
     assert not any("safe.directory" in a for a in gitlog.HARDENED)
+
+
+def git(root, *args):
+    subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@a", *args], cwd=root, check=True, capture_output=True)
+
+
+def committed(root, *steps):
+    """Commits of steps: (files to write, moves)."""
+    git(root, "init", "-q")
+    for n, (files, moves) in enumerate(steps):
+        write(root, files)
+        for old, new in moves:
+            git(root, "mv", old, new)
+        git(root, "add", "-A")
+        git(root, "commit", "-qm", f"step {n}", "--date", f"2024-01-{n + 1:02d}T12:00:00")
+
+
+def test_log_by_ranges_of_commits(spark, tmp_path, monkeypatch):
+    from trowel.sources import gitlog
+
+    body = "\n".join(f"x{i} = {i}" for i in range(20)) + "\n"
+    committed(tmp_path, ({"a.py": body}, []), ({"b.py": "y = 1\n"}, []), ({}, [("a.py", "z.py")]), ({"é b.py": "w = 2\n"}, []), ({}, [("z.py", "a.py")]))
+    reader = gitlog.LogReader(str(tmp_path), 4000)
+    whole = list(reader.read(gitlog.CommitRange(0, 5)))
+    assert [r[:1] + r[3:] for r in whole] == [(0, "a", "step 4", ["a.py"], [{"old": "z.py", "new": "a.py"}]), (1, "a", "step 3", ["é b.py"], []), (2, "a", "step 2", ["z.py"], [{"old": "a.py", "new": "z.py"}]), (3, "a", "step 1", ["b.py"], []), (4, "a", "step 0", ["a.py"], [])]
+    monkeypatch.setattr(gitlog, "RANGE", 2)
+    parts = reader.partitions()
+    assert [p.value for p in parts] == [(0, 2), (2, 2), (4, 1)] and [r for p in parts for r in reader.read(p)] == whole
+    assert [p.value for p in gitlog.LogReader(str(tmp_path), 3).partitions()] == [(0, 2), (2, 1)]
+    commits, files, renames = gitlog.split_log(gitlog.log(spark, str(tmp_path)))
+    assert commits.count() == 5 and files.count() == 5
+    assert [(r.old, r.new) for r in renames.orderBy("ord").collect()] == [("a.py", "z.py"), ("z.py", "a.py")]
+    assert sorted(r.relpath for r in gitlog.tracked(spark, str(tmp_path)).collect()) == ["a.py", "b.py", "é b.py"]
+
+
+def test_history_of_a_file_that_was_moved_there_and_back(spark, tmp_path):
+    body = "\n".join(f"x{i} = {i}" for i in range(20)) + "\n"
+    committed(tmp_path, ({"a.py": body}, []), ({}, [("a.py", "z.py")]), ({"z.py": body + "more = 1\n"}, []), ({}, [("z.py", "a.py")]), ({"b.py": "import a\n"}, []))
+    s = Survey.of_tree(spark, str(tmp_path))
+    got = {r.path: (r.commits, r.first_seen, r.last_touched) for r in s.file_history.collect()}
+    assert got == {"a.py": (4, "2024-01-01", "2024-01-04"), "b.py": (1, "2024-01-05", "2024-01-05")}
+    assert [(r.month, r.path) for r in s.timeline_files.orderBy("path").collect()] == [("2024-01", "a.py"), ("2024-01", "b.py")]
+    assert [tuple(r) for r in s.authors.collect()] == [("a", 2, 5)]
+    state = s.history_state.first()
+    assert state.available and not state.shallow and state.authors == 1 and state.note is None
+
+
+def test_a_shallow_clone_says_so(spark, tmp_path):
+    (tmp_path / "full").mkdir()
+    committed(tmp_path / "full", ({"a.py": "x = 1\n"}, []), ({"a.py": "x = 2\n"}, []), ({"b.py": "y = 1\n"}, []))
+    git(tmp_path, "clone", "-q", "--depth", "1", f"file://{tmp_path}/full", "part")
+    s = Survey.of_tree(spark, str(tmp_path / "part"))
+    assert s.shallow and s.history_state.first().note.startswith("This is a shallow clone")
+    assert "shallow clone" in render.summary(s)
+    no = Survey.of_tree(spark, str(tmp_path / "part"), with_history=False).history_state.first()
+    assert not no.available and no.reason and not no.shallow

@@ -141,8 +141,8 @@ class Survey:
     def of_tree(cls, spark: SparkSession, root: str, with_history: bool = True, max_files: int = 5000) -> Survey:
         listing = tree.list_tree(root, max_files=max_files)
         history = with_history and gitlog.is_repo(root)
-        commits, commit_files = gitlog.commit_log(spark, root) if history else (None, None)
-        return cls(spark, tree.read_files(spark, listing), listing, commits, commit_files, gitlog.renames(spark, root) if history else None, gitlog.tracked(spark, root) if history else None, packaging.declared(spark, root), tree.read_prose(listing), history and gitlog.is_shallow(root), CO_CHANGE_COMMITS)
+        commits, commit_files, renames = gitlog.split_log(stage_table(spark, gitlog.log(spark, root), "log")) if history else (None, None, None)
+        return cls(spark, tree.read_files(spark, listing), listing, commits, commit_files, renames, stage_table(spark, gitlog.tracked(spark, root), "tracked") if history else None, packaging.declared(spark, root), tree.read_prose(listing), history and gitlog.is_shallow(root), CO_CHANGE_COMMITS)
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
         return stage_table(self.spark, df, name)
