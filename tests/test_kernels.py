@@ -228,15 +228,30 @@ def test_quiet_rank_counts_over_days(spark):
     assert got == {k: sum(o > t for o in times.values()) for k, t in times.items()}
 
 
-def test_layered_chart():
-    chart = geometry.layered({0: ["a"], 1: ["c", "b"]}, ["z"], [("a", "b"), ("a", "c"), ("c", "a")])
-    assert {n: p["depth"] for n, p in chart["nodes"].items()} == {"a": 0, "b": 1, "c": 1, "z": 2}
-    assert [e["back"] for e in chart["edges"]] == [False, False, True] and chart["apart_y"] is not None
-    assert chart["nodes"]["b"]["x"] < chart["nodes"]["c"]["x"] and len({p["y"] for p in chart["nodes"].values()}) == 3
-    wide = geometry.layered({0: [f"n{i:02d}" for i in range(11)]}, [], [])
-    assert len({p["y"] for p in wide["nodes"].values()}) == 2 and wide["apart_y"] is None
-    order = geometry.sweep_layers({0: ["a", "b"], 1: ["x", "y", "lone"]}, [("a", "y"), ("b", "x")], 1)
-    assert order[1] == ["y", "x", "lone"]
+@LONG_WAY
+def test_layered_chart(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+
+    def chart(layers, unreached, pairs):
+        nodes = spark.createDataFrame([(n, d) for d, names in layers.items() for n in names], "node string, depth int")
+        spots, elbows = geometry.layered(nodes, spark.createDataFrame([(n,) for n in unreached], "key string"), edges(spark, *pairs))
+        return {r.key: r for r in spots.collect()}, {(r.src, r.dst): r for r in elbows.collect()}
+
+    spots, elbows = chart({0: ["a"], 1: ["c", "b"]}, ["z"], [("a", "b"), ("a", "c"), ("c", "a")])
+    assert {n: p.depth for n, p in spots.items()} == {"a": 0, "b": 1, "c": 1, "z": 2} and spots["z"].apart
+    assert {k: e.back for k, e in elbows.items()} == {("a", "b"): False, ("a", "c"): False, ("c", "a"): True}
+    assert spots["b"].x < spots["c"].x and [p.y for p in sorted(spots.values())] == [28.0, 124.0, 124.0, 316.0]
+    wide, _ = chart({0: [f"n{i:02d}" for i in range(11)]}, [], [])
+    assert len({p.y for p in wide.values()}) == 2 and not any(p.apart for p in wide.values())
+    swept, _ = chart({0: ["a", "b"], 1: ["x", "y", "lone"]}, [], [("a", "y"), ("b", "x")])
+    assert sorted(("y", "x", "lone"), key=lambda n: swept[n].x) == ["y", "x", "lone"]
+    r = random.Random(2)
+    layers = {d: [f"m{d}{i}" for i in range(r.randint(1, 5))] for d in range(4)}
+    names = [n for x in layers.values() for n in x]
+    pairs = [(r.choice(names), r.choice(names)) for _ in range(20)]
+    got, _ = chart(layers, ["u1", "u2"], pairs)
+    want = geometry._sweeps_here([(n, d, None) for d, x in (layers | {4: ["u1", "u2"]}).items() for n in x] + [(a, None, b) for a, b in set(pairs)])
+    assert [n for n, _, _ in sorted(want, key=lambda x: x[1:])] == sorted(got, key=lambda n: (got[n].y, got[n].x))
 
 
 def test_boxes_stand_on_shelves():
@@ -265,3 +280,12 @@ def test_greedy_groups_are_those_of_the_fold(spark, monkeypatch, one_task):
         cases.append([tuple(sorted(r.sample([f"k{i:02d}" for i in range(n)], 2))) for _ in range(r.randint(2, 2 * n))])
     for pairs in cases:
         assert sorted(map(tuple, graph.greedy_groups(spark.createDataFrame(pairs, "a string, b string")).collect())) == fold(pairs), pairs
+
+
+def test_mentions_across_slices_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(relations, "SLICE", 7)
+    monkeypatch.setattr(relations, "NAMES", 2)
+    names = spark.createDataFrame([("App",), ("app",), ("tool",), ("absent",), ("",), ("ö",), ("longname",)], "root string")
+    texts = spark.createDataFrame([("see the wrapped tool",), ("",), (None,), ("x longname",), ("schön",)], "text string")
+    assert rows(relations.mentioned(names, texts)) == [("App",), ("app",), ("longname",), ("tool",), ("ö",)]
+    assert rows(relations.mentioned(names.limit(0), texts)) == [] == rows(relations.mentioned(names, texts.limit(0)))

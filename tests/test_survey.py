@@ -82,7 +82,7 @@ def test_signals_of_the_service(survey):
 
 def test_dead_end(survey):
     row = survey.dead_ends.where("name = 'remediate'").first()
-    assert [c.module for c in row.callers] == ["app.svc"] and "finding" in row.direction and "report" in row.direction
+    assert row.calls == 1 and not row.called_from_elsewhere and [(c.name, c.module) for c in survey.callers.where("name = 'remediate'").collect()] == [("remediate", "app.svc")] and "finding" in row.direction and "report" in row.direction
 
 
 def test_restart_group(survey):
@@ -366,3 +366,27 @@ def test_a_shallow_clone_says_so(spark, tmp_path):
     assert "shallow clone" in render.summary(s)
     no = Survey.of_tree(spark, str(tmp_path / "part"), with_history=False).history_state.first()
     assert not no.available and no.reason and not no.shallow
+
+
+def test_prose_of_dot_folders_counts_and_the_document_at_the_limit_is_read(tmp_path, monkeypatch):
+    write(tmp_path, {".github/workflows/ci.yml": "run Tool", "a.md": "one", "node_modules/x.md": "no", ".venv/y.txt": "no", "sub/build/z.md": "no", "b.txt": "two"})
+    assert sorted(tree.list_tree(str(tmp_path)).prose) == [".github/workflows/ci.yml", "a.md", "b.txt"]
+    assert "run tool" in tree.read_prose(tree.list_tree(str(tmp_path)))
+    monkeypatch.setattr(tree, "PROSE_ALL", 4)
+    assert tree.read_prose(tree.list_tree(str(tmp_path))) == "one\ntwo"
+
+
+def test_snippets_are_slices_of_the_source(survey):
+    source = {r.key: r.source.split("\n") for r in survey.modules.collect()}
+    found = survey.snippets.join(survey.regions, ["key", "low"]).collect()
+    assert len(found) == survey.regions.count() and all(r.lines == source[r.key][r.low - 1 : r.high] for r in found)
+
+
+def test_map_has_a_chip_for_each_state_and_room_for_a_trace(survey):
+    page = render.html_map(survey, "t")
+    tally = {r.state: r.modules for r in survey.state_tally.collect()}
+    for state, n in tally.items():
+        assert page.count(f'data-state="{state}" aria-pressed="false"') == 1 and f">{state} {n}</button>" in page
+    assert 'id="trace"' in page and "e.key === ' '" in page and "'Escape'" in page
+    data = json.loads(page.split('id="data">')[1].split("</script>")[0])
+    assert data["card"] == [152, 72, 10] and data["width"] == 1350 and data["hides"] == ["deadend", "broken"]

@@ -1,17 +1,20 @@
 """Geometry of maps as columns: cards on grids, folders as boxes, ribbons between boxes, layers as rows.
 
-What is a formula of a row or of its place in a group is a column; only what goes on from one box to
-the next (shelves) or from one layer to the next (sweeps) is a loop, over the bounded number of boxes
-and nodes that a map can show.
+What is a formula of a row or of its place in a group is a column. Sweeps go on from one layer to the next: in one task
+for few edges, else as a staged round a layer. Shelves are a loop over the boxes that a map can show.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trowel.operators import graph
+from trowel.session import stage_table
+
 #: Sizes of a folder map, in pixels.
 CHART_W, BOX_PAD, BOX_LABEL_H, BOX_GAP = 1350, 11, 25, 14
 CARD_W, CARD_H, CARD_GAP = 152, 72, 10
@@ -86,49 +89,69 @@ def ribbon_paths(ribbons: DataFrame, placed: DataFrame) -> DataFrame:
     return bowed.select("src_folder", "dst_folder", "n", "sx", "sy", mx.alias("mx"), my.alias("my"), "ex", "ey", weight.alias("weight"))
 
 
-def sweep_layers(layers: dict[int, list[str]], edges: list[tuple[str, str]], sweeps: int = SWEEPS) -> dict[int, list[str]]:
-    """Each layer in order of the mean place of its neighbours in the layer before (every second sweep: after), then by name; without neighbours last."""
-    order = {d: list(layers[d]) for d in sorted(layers)}
-    depths = list(order)
+def _sweeps_here(rows: list[tuple]) -> Iterable[tuple]:
+    """rows: (node, depth, null) of nodes and (node, null, next) of edges."""
+    order: dict[int, list[str]] = defaultdict(list)
     near: dict[bool, dict[str, list[str]]] = {True: defaultdict(list), False: defaultdict(list)}
-    for a, b in edges:
-        near[True][b].append(a)
-        near[False][a].append(b)
-    for sweep in range(sweeps if len(depths) > 1 else 0):
+    for a, depth, b in rows:
+        if b is None:
+            order[depth].append(a)
+        else:
+            near[True][b].append(a)
+            near[False][a].append(b)
+    for names in order.values():
+        names.sort()
+    depths = sorted(order)
+    for sweep in range(SWEEPS):
         down = sweep % 2 == 0
         for d in depths[1:] if down else depths[-2::-1]:
-            place = {n: i for i, n in enumerate(order.get(d - 1 if down else d + 1, []))}
+            place = {n: i for i, n in enumerate(order.get(d - 1 if down else d + 1, ()))}
+            seen = {n: [place[m] for m in near[down].get(n, ()) if m in place] for n in order[d]}
             if place:
-                seen = {n: [place[m] for m in near[down].get(n, ()) if m in place] for n in order[d]}
                 order[d].sort(key=lambda n: (sum(seen[n]) / len(seen[n]) if seen[n] else float("inf"), n))
-    return order
-
-
-def layered(layers: dict[int, list[str]], unreached: list[str], edges: list[tuple[str, str]]) -> dict:
-    """Places of all nodes in rows by layer, the unreached apart below; and elbows of all edges, those against the grain marked back."""
-    layers = {d: sorted(names) for d, names in layers.items()}
-    pool = max(layers, default=-1) + 1 if unreached else None
-    if pool is not None:
-        layers[pool] = sorted(unreached)
-    order = sweep_layers(layers, edges)
-    widest = min(max(map(len, order.values()), default=1), ROW_MAX)
-    nodes: dict[str, dict] = {}
-    row, apart = 0, None
-    for d, names in order.items():
-        if d == pool and len(order) > 1:
-            apart = MARGIN + row * (NODE_H + Y_GAP) + NODE_H / 2
-            row += 1
-        for i, name in enumerate(names):
-            line, column = divmod(i, ROW_MAX)
-            indent = (widest - min(len(names) - line * ROW_MAX, ROW_MAX)) * (NODE_W + X_GAP) / 2
-            nodes[name] = {"x": MARGIN + indent + column * (NODE_W + X_GAP), "y": MARGIN + (row + line) * (NODE_H + Y_GAP), "depth": d}
-        row += max(1, -(-len(names) // ROW_MAX))
-    paths = []
-    for a, b in edges:
-        if a in nodes and b in nodes:
-            s, e = nodes[a], nodes[b]
-            back = e["depth"] <= s["depth"]
-            y1, y2 = (s["y"], e["y"] + NODE_H) if back else (s["y"] + NODE_H, e["y"])
-            paths.append({"src": a, "dst": b, "back": back, "points": [(s["x"] + NODE_W / 2, y1), (s["x"] + NODE_W / 2, (y1 + y2) / 2), (e["x"] + NODE_W / 2, (y1 + y2) / 2), (e["x"] + NODE_W / 2, y2)]})
-    width, height = 2 * MARGIN + widest * (NODE_W + X_GAP) - X_GAP, 2 * MARGIN + row * (NODE_H + Y_GAP) - Y_GAP
-    return {"nodes": nodes, "edges": paths, "width": max(width, 320), "height": max(height, 200), "apart_y": apart}
+    return [(n, d, i) for d, names in order.items() for i, n in enumerate(names)]
+
+
+def sweep_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, depth, place) of nodes(node, depth): each layer in order of the mean place of its neighbours in the layer before (every second sweep: after), then by name; without neighbours last. edges(src, dst)."""
+    spark, schema = nodes.sparkSession, "node string, depth int, place int"
+    links = stage_table(spark, edges.select("src", "dst").distinct(), "links")
+    own = nodes.select("node", F.col("depth").cast("int").alias("depth"))
+    if graph._few(links.select("src").union(own.select("node"))):
+        rows = own.select("node", "depth", F.lit(None).cast("string").alias("next")).union(links.select("src", F.lit(None).cast("int"), "dst"))
+        return graph._in_one_task(rows, _sweeps_here, schema)
+    placed = stage_table(spark, own.withColumn("place", F.row_number().over(Window.partitionBy("depth").orderBy("node")) - 1), "sweep")
+    depths = sorted(r.depth for r in placed.select("depth").distinct().collect())  # a row a layer
+    for sweep in range(SWEEPS):
+        near, far, step = ("src", "dst", -1) if sweep % 2 == 0 else ("dst", "src", 1)
+        for d in depths[1:] if step < 0 else depths[-2::-1]:
+            there = placed.where(F.col("depth") == d + step).select(F.col("node").alias(near), F.col("place").alias("seen"))
+            if not there.take(1):
+                continue
+            mean = links.join(there, near).groupBy(F.col(far).alias("node")).agg(F.avg("seen").alias("mean"))
+            order = Window.partitionBy("depth").orderBy(F.asc_nulls_last("mean"), "node")
+            layer = placed.where(F.col("depth") == d).join(mean, "node", "left").select("node", "depth", (F.row_number().over(order) - 1).alias("place"))
+            placed = stage_table(spark, placed.where(F.col("depth") != d).union(layer), "sweep")
+    return placed
+
+
+def layered(nodes: DataFrame, unreached: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places (key, x, y, depth, apart) of nodes(node, depth) in rows by layer, the unreached(key) apart below; and elbows (src, dst, back, x1, y1, mid, x2, y2) of edges(src, dst), those against the grain marked back."""
+    spark = nodes.sparkSession
+    deepest = nodes.agg(F.coalesce(F.max("depth") + 1, F.lit(0)).cast("int").alias("depth"))
+    pool = unreached.select(F.col("key").alias("node")).join(F.broadcast(deepest)).withColumn("apart", F.lit(True))  # deepest is one row
+    every = stage_table(spark, nodes.select("node", "depth", F.lit(False).alias("apart")).unionByName(pool), "layers")
+    placed = sweep_layers(every, edges)
+    rows = every.groupBy("depth", "apart").agg(F.count("*").alias("n"))
+    before = Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)  # a row a layer
+    first = F.coalesce(F.sum(F.ceil(F.col("n") / ROW_MAX)).over(before), F.lit(0)) + F.when(F.col("apart") & (F.col("depth") > 0), 1).otherwise(0)
+    layer = rows.select("depth", "apart", "n", first.alias("first"), F.least(F.max("n").over(Window.partitionBy()), F.lit(ROW_MAX)).alias("widest"))
+    line, column = F.floor(F.col("place") / ROW_MAX), F.col("place") % ROW_MAX
+    indent = (F.col("widest") - F.least(F.col("n") - line * ROW_MAX, F.lit(ROW_MAX))) * (NODE_W + X_GAP) / 2
+    at = placed.join(F.broadcast(layer), "depth")  # a row a layer
+    spots = stage_table(spark, at.select(F.col("node").alias("key"), (MARGIN + indent + column * (NODE_W + X_GAP)).cast("double").alias("x"), (MARGIN + (F.col("first") + line) * (NODE_H + Y_GAP)).cast("double").alias("y"), "depth", "apart"), "spots")
+    end = lambda side: spots.select(F.col("key").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("x", "y", "depth")))
+    ends = edges.select("src", "dst").distinct().join(end("src"), "src").join(end("dst"), "dst").withColumn("back", F.col("dst_depth") <= F.col("src_depth"))
+    y1 = F.when(F.col("back"), F.col("src_y")).otherwise(F.col("src_y") + NODE_H)
+    y2 = F.when(F.col("back"), F.col("dst_y") + NODE_H).otherwise(F.col("dst_y"))
+    return spots, ends.select("src", "dst", "back", (F.col("src_x") + NODE_W / 2).alias("x1"), y1.alias("y1"), ((y1 + y2) / 2).alias("mid"), (F.col("dst_x") + NODE_W / 2).alias("x2"), y2.alias("y2"))

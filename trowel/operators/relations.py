@@ -1,12 +1,15 @@
-"""Joins and set kernels: co-occurrence, overlap, division, anti-joins, priorities, ribbons."""
+"""Joins and set kernels: co-occurrence, overlap, division, anti-joins, priorities, mentions, ribbons."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trowel.session import ship_package, stage_table
+
 
 def co_occurrence(df: DataFrame, group: str, item: str, low: int = 2, high: int = 25, min_count: int = 2) -> DataFrame:
     """(item_a, item_b, n): unordered pairs of items in groups of low..high distinct items.
@@ -135,6 +138,50 @@ def possible(rows: DataFrame, key: str, keys: DataFrame, n_keys: int) -> DataFra
     return marked.withColumn("may", F.coalesce(mask.bitwiseAND(F.col("p_mask")) != 0, F.lit(False))).drop("p_word", "p_mask")
 
 
+#: Signs of a slice of text that is searched, and names that one automaton has.
+SLICE, NAMES = 1 << 16, 1 << 16
+
+
+def mentioned(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of names, one column, that are in one of texts, one column of lower-cased texts, as they are but for case: also within a word.
+
+    Texts are dealt as slices that overlap by the longest name. Names are dealt to blocks of NAMES, about; each block
+    is one automaton, which reads a slice once whatever the number of its names.
+    """
+    spark, name = names.sparkSession, names.columns[0]
+    ship_package(spark)
+    own = stage_table(spark, names.where(F.length(name) > 0).distinct(), "names")
+    known = own.agg(F.count("*").alias("n"), F.coalesce(F.max(F.length(name)), F.lit(0)).alias("most")).first()
+    blocks = -(-known["n"] // NAMES)
+    text = F.col(texts.columns[0])
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(SLICE))
+    slices = texts.where(text.isNotNull()).select(F.explode(starts).alias("at"), text.alias("text")).select(F.expr(f"substring(text, at, {SLICE + known['most']})").alias("text"))
+    every = stage_table(spark, slices, "slices")
+    out = own.limit(0)
+    for block in range(blocks):
+        chosen = own.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == block)
+        shared = spark.sparkContext.broadcast([r[0] for r in chosen.toLocalIterator()])  # some NAMES names
+
+        def found(batches, shared=shared):
+            import ahocorasick
+
+            search = ahocorasick.Automaton()
+            for x in shared.value:
+                search.add_word(x.lower(), x.lower())
+            if not len(search):
+                return
+            search.make_automaton()
+            hits: set[str] = set()
+            for batch in batches:
+                for t in batch.column(0).to_pylist():
+                    hits.update(x for _, x in search.iter(t))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(hits), pa.string())], ["low"])
+
+        low = every.mapInArrow(found, "low string").distinct()
+        out = out.union(chosen.join(low, F.lower(name) == F.col("low"), "left_semi"))
+    return out
+
+
 def in_range(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, low: str, high: str) -> DataFrame:
     """points joined with the ranges of the same keys that hold them: an equi-join with a residual."""
     return points.join(ranges, list(keys)).where(F.col(at).between(F.col(low), F.col(high)))

@@ -407,6 +407,40 @@ def over_facts(sql: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({FACTS[n]})" for n in _needed(sql)) + "\n" + sql
 
 
+#: The layered chart, as further tables of a statement: a step of the recursion is one layer of one sweep.
+LAYERED = f"""
+      , chart_pool AS (SELECT max(depth) + 1 AS pool FROM layers),
+      chart_nodes AS (SELECT node, depth, FALSE AS apart FROM layers UNION ALL SELECT key, pool, TRUE FROM modules, chart_pool WHERE key NOT IN (SELECT node FROM layers)),
+      chart_steps AS (SELECT max(depth) AS deep FROM chart_nodes),
+      chart_sweep AS (
+        SELECT 0 AS t, node, depth, row_number() OVER (PARTITION BY depth ORDER BY node) - 1 AS place FROM chart_nodes
+        UNION ALL
+        SELECT t + 1, node, depth, CASE WHEN depth = target THEN row_number() OVER (PARTITION BY depth ORDER BY mean NULLS LAST, node) - 1 ELSE place END FROM (
+          SELECT w.t, w.node, w.depth, w.place, w.target, m.mean FROM (SELECT s.*, CASE WHEN (t // deep) % 2 = 0 THEN 1 + t % deep ELSE deep - 1 - t % deep END AS target FROM chart_sweep s, chart_steps WHERE t < {G.SWEEPS} * deep) w
+          LEFT JOIN (
+            SELECT e.dst AS node, avg(q.place) AS mean FROM chart_sweep q JOIN edges e ON e.src = q.node JOIN chart_nodes d ON d.node = e.dst, chart_steps
+            WHERE (q.t // deep) % 2 = 0 AND q.depth = q.t % deep AND d.depth = q.depth + 1 GROUP BY e.dst
+            UNION ALL
+            SELECT e.src, avg(q.place) FROM chart_sweep q JOIN edges e ON e.dst = q.node JOIN chart_nodes d ON d.node = e.src, chart_steps
+            WHERE (q.t // deep) % 2 = 1 AND q.depth = deep - q.t % deep AND d.depth = q.depth - 1 GROUP BY e.src) m ON m.node = w.node AND w.depth = w.target)),
+      chart_final AS (SELECT s.node, s.depth, s.place FROM chart_sweep s, chart_steps WHERE t = {G.SWEEPS} * deep),
+      chart_sized AS (SELECT depth, apart, count(*) AS n FROM chart_nodes GROUP BY ALL),
+      chart_rows AS (SELECT depth, n, coalesce(sum(ceil(n / {G.ROW_MAX})) OVER (ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN apart AND depth > 0 THEN 1 ELSE 0 END AS first, least(max(n) OVER (), {G.ROW_MAX}) AS widest FROM chart_sized),
+      spots AS (
+        SELECT node AS key, depth, {G.MARGIN} + (widest - least(n - place // {G.ROW_MAX} * {G.ROW_MAX}, {G.ROW_MAX})) * {(G.NODE_W + G.X_GAP) / 2:g} + place % {G.ROW_MAX} * {G.NODE_W + G.X_GAP} AS x, {G.MARGIN} + (first + place // {G.ROW_MAX}) * {G.NODE_H + G.Y_GAP} AS y
+        FROM chart_final JOIN chart_rows USING (depth))
+      """
+#: Regions, as further tables of a statement.
+REGIONS = """
+      , lines AS (SELECT key, lineno FROM signals WHERE lineno > 0 UNION SELECT key, lineno FROM definitions), few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY lineno) AS r FROM lines) WHERE r <= 160),
+      spans AS (SELECT key, greatest(lineno - 3, 1) AS lo, least(lineno + 3, loc) AS hi FROM few JOIN modules USING (key)),
+      marked AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY key ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM spans),
+      numbered AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM marked), merged AS (SELECT key, min(lo) AS low, max(hi) AS high FROM numbered GROUP BY key, island)"""
+SNIPPETS = REGIONS + f""", cut AS (SELECT key, low, high FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY low) AS r FROM merged) WHERE r <= 40),
+      named AS (SELECT * REPLACE (k AS k), {', '.join(f"{e} AS {c}" for c, e in codebase.NAMED.items())} FROM (SELECT p_partkey AS k, p_name, p_brand, p_size FROM part)),
+      texts AS (SELECT relpath, [{', '.join(codebase._lines())}] AS lines FROM named)
+      SELECT key, low, array_to_string(lines[low:high], chr(10)) AS lines FROM cut JOIN modules USING (key) JOIN texts USING (relpath) WHERE error IS NULL OR error <> 'Python refuses'
+      UNION ALL SELECT key, low, 'x = "' || chr(233) || '"' FROM cut JOIN modules USING (key) WHERE error = 'Python refuses'"""
 BODIES: dict[str, str] = {
     "modules": "SELECT key, relpath, loc, blank, comment_lines, error, CASE error WHEN 'syntax error' THEN 52 WHEN 'Python refuses' THEN 1 END AS error_line, has_main_guard, shebang, docstring, coalesce(error = 'syntax error', FALSE) AS cut FROM modules",
     "imports": "SELECT key, target, bound, lineno, level, imported FROM imports",
@@ -456,11 +490,12 @@ BODIES: dict[str, str] = {
       SELECT m.key, m.relpath, m.loc, f.score, c.counts FROM modules m JOIN frontier f USING (key) JOIN (SELECT key, '{' || string_agg('"' || kind || '":' || n, ',' ORDER BY kind) || '}' AS counts FROM kinds GROUP BY key) c USING (key)""",
     "totals": "SELECT kind, count(*) AS n FROM signals GROUP BY kind",
     "dead_ends": """
-      , sites AS (SELECT name, string_agg(DISTINCT module || ':' || lineno || ':' || written, ',' ORDER BY module || ':' || lineno || ':' || written) AS callers, min(module) AS first_module FROM callers GROUP BY name),
+      , sites AS (SELECT name, count(DISTINCT (module, lineno, written)) AS calls, min(module) AS first_module FROM callers GROUP BY name),
       beside AS (SELECT key, coalesce(parent, '') AS p, string_agg(name, ', ' ORDER BY ord) AS beside FROM (SELECT *, row_number() OVER (PARTITION BY key, parent ORDER BY ord) AS r FROM definitions WHERE kind <> 'class' AND body_kind = 'code') WHERE r <= 4 GROUP BY ALL)
-      SELECT d.key, d.qualname, d.kind, d.lineno, coalesce(s.callers, '') AS callers, coalesce(s.first_module <> d.key, FALSE) AS called_from_elsewhere,
+      SELECT d.key, d.qualname, d.kind, d.lineno, coalesce(s.calls, 0) AS calls, coalesce(s.first_module <> d.key, FALSE) AS called_from_elsewhere,
              nullif(concat_ws('; ', CASE WHEN trim(replace(d.args, 'self', ''), ',') <> '' THEN 'takes ' || replace(trim(replace(d.args, 'self', ''), ','), ',', ', ') END, CASE WHEN b.beside IS NOT NULL THEN 'sits beside finished ' || b.beside END), '') AS direction
       FROM dead d LEFT JOIN sites s USING (name) LEFT JOIN beside b ON b.key = d.key AND b.p = coalesce(d.parent, '')""",
+    "callers": "SELECT DISTINCT name, module, lineno, written AS \"as\" FROM callers WHERE name IN (SELECT name FROM dead)",
     "dead_ends_by_module": "SELECT key, count(*) AS n, string_agg(qualname, ',' ORDER BY lineno, qualname) AS names FROM dead GROUP BY key",
     "attempts": "SELECT verdict, resume_at, resume_percent, resume_lines, elsewhere_percent, at_stake_lines, remaining_lines, unwritten, copy_of, shared, common_gaps, n_members FROM group_rows",
     "attempt_members": "SELECT r.kind AS verdict, l.resume_at, r.key, r.rank, CAST(round_even(100 * r.score, 0) AS INTEGER) AS percent, r.loc AS lines, r.tests FROM ranked r JOIN group_rows l ON l.g = r.g AND l.verdict = r.kind",
@@ -492,12 +527,9 @@ BODIES: dict[str, str] = {
     "forks": """
       SELECT a AS stopped, b AS continued, array_to_string(signals, ',') AS signals, commits FROM kept_forks
       WHERE b NOT IN (SELECT b FROM kept_forks GROUP BY b HAVING count(*) > greatest(2, floor((SELECT count(DISTINCT a) FROM kept_forks) * 0.10)))""",
-    "regions": """
-      , lines AS (SELECT key, lineno FROM signals WHERE lineno > 0 UNION SELECT key, lineno FROM definitions), few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY lineno) AS r FROM lines) WHERE r <= 160),
-      spans AS (SELECT key, greatest(lineno - 3, 1) AS lo, least(lineno + 3, loc) AS hi FROM few JOIN modules USING (key)),
-      marked AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY key ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM spans),
-      numbered AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM marked), merged AS (SELECT key, min(lo) AS low, max(hi) AS high FROM numbered GROUP BY key, island)
+    "regions": REGIONS + """
       SELECT key, low, high FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY low) AS r FROM merged) WHERE r <= 40""",
+    "snippets": SNIPPETS,
     "line_marks": "SELECT key, lineno, string_agg(kind || ': ' || text, '; ' ORDER BY kind || ': ' || text) AS marks FROM signals WHERE lineno > 0 AND key IN (SELECT key FROM good) GROUP BY key, lineno",
     "tested": "SELECT key FROM tested",
     "states": "SELECT key, state FROM states",
@@ -534,6 +566,11 @@ BODIES: dict[str, str] = {
     "ribbon_paths": f"""
       SELECT src_folder, dst_folder, n, round(sx, 3) AS sx, round(sy, 3) AS sy, round((sx + ex) / 2 - (ey - sy) / span * bow, 3) AS mx, round((sy + ey) / 2 + (ex - sx) / span * bow, 3) AS my, round(ex, 3) AS ex, round(ey, 3) AS ey,
              round(least({G.WEIGHT_MOST}e0, {G.WEIGHT_BASE * 10:g}e-1 + log2(n + 1) * {G.WEIGHT_LOG * 10:g}e-1), 3) AS weight FROM bowed""",
+    "layered": LAYERED + "SELECT key, x, y, depth FROM spots",
+    "elbows": LAYERED + f"""
+      SELECT src, dst, back, x1, y1, (y1 + y2) / 2 AS mid, x2, y2 FROM (
+        SELECT src, dst, b.depth <= a.depth AS back, a.x + {G.NODE_W / 2:g} AS x1, a.y + CASE WHEN b.depth <= a.depth THEN 0 ELSE {G.NODE_H} END AS y1, b.x + {G.NODE_W / 2:g} AS x2, b.y + CASE WHEN b.depth <= a.depth THEN {G.NODE_H} ELSE 0 END AS y2
+        FROM edges JOIN spots a ON a.key = src JOIN spots b ON b.key = dst)""",
     "mermaid": f"""
       SELECT unnest(['flowchart LR', {texts(f"  classDef {s} fill:{c}" for s, c in COLOURS.items())}]) AS line
       UNION ALL SELECT '  %% ' || (count(*) - 120) || ' of ' || count(*) || ' modules are not drawn' FROM nodes HAVING count(*) > 120
@@ -571,6 +608,8 @@ SECTIONS = {
     "timeline_files": "FROM records", "authors": "SELECT DISTINCT author FROM history", "timeline": "SELECT DISTINCT first_seen[1:7] FROM records", "stalled": "SELECT path FROM records WHERE commits <= 2 AND date_diff('day', touched, (SELECT max(touched) FROM records)) >= 60",
 
     "forks": BODIES["forks"],
+    "callers": BODIES["callers"],
+    "snippets": "SELECT key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY low) AS r FROM merged) WHERE r <= 40",
     **{name: "SELECT " + rest for name, (_, rest) in _AHEAD.items()},
 }
 BODIES["sections"] = "".join(tables for tables, _ in _AHEAD.values()) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS section, count(*) AS n FROM ({rows})" for name, rows in SECTIONS.items()) + ")"

@@ -241,8 +241,12 @@ def totals(s):
 
 @finding
 def dead_ends(s):
-    sites = F.transform("callers", lambda c: F.concat_ws(":", c["module"], c["lineno"].cast("string"), c["as"]))
-    return s.dead_ends.select("key", "qualname", "kind", "lineno", _joined(F.sort_array(sites)).alias("callers"), "called_from_elsewhere", "direction")
+    return s.dead_ends.select("key", "qualname", "kind", "lineno", "calls", "called_from_elsewhere", "direction")
+
+
+@finding
+def callers(s):
+    return s.callers
 
 
 @finding
@@ -349,6 +353,11 @@ def regions(s):
     return s.regions
 
 
+@finding
+def snippets(s):
+    return s.snippets.select("key", "low", _joined("lines", "\n").alias("lines"))
+
+
 @finding
 def line_marks(s):
     shown = s.line_marks.join(s.modules.where("error is null").select("key"), "key", "left_semi")
@@ -426,9 +435,14 @@ def ribbon_paths(s):
 
 @finding
 def layered(s):
-    """Places in the layered chart; SQL has no sweeps."""
-    nodes = s.layered_map()["nodes"]
-    return s.spark.createDataFrame([(k, float(n["x"]), float(n["y"]), n["depth"]) for k, n in nodes.items()], "key string, x double, y double, depth int")
+    """Places in the layered chart."""
+    return s.layered_map[0].drop("apart")
+
+
+@finding
+def elbows(s):
+    """Edges of the layered chart."""
+    return s.layered_map[1]
 
 
 @finding

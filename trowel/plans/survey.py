@@ -389,25 +389,33 @@ class Survey:
 
     @cached_property
     def dead_ends(self) -> DataFrame:
-        """Empty definitions that nothing makes usual, with every call of their name: name matches, not proof."""
+        """Empty definitions that nothing makes usual, with the number of calls of their name, which callers lists once: name matches, not proof."""
         usual = (F.col("kind") == "class") | _any([F.col("name").endswith(s) for s in USUAL_ENDINGS]) | _any([F.coalesce(F.col("parent"), F.lit("")).endswith(s) for s in USUAL_ENDINGS])
         usual |= ((F.col("name") == "__init__") & (F.col("body_kind") == "pass")) | F.exists("bases", lambda b: _last(b).isin(*USUAL_BASES)) | F.coalesce("replaced", F.lit(False))
         usual |= F.exists("decorators", lambda d: _any([d.contains(x) for x in USUAL_DECORATORS]))
         stubs = self.judged.where(F.col("body_kind").isin(*EMPTY_KINDS) & ~usual & ~is_test(F.col("key")))
         stubs = self._stage(relations.without(stubs, self.origins.where("origin = 'vendored'").select("key")).select("key", "name", "qualname", "kind", "lineno", "parent", "args"), "stubs")
-        sites = self.calls.select(_last(F.col("name")).alias("name"), F.struct(F.col("key").alias("module"), "lineno", F.col("name").alias("as")).alias("c"))
-        callers = sites.join(stubs.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.sort_array(F.collect_set("c")).alias("callers"))
+        sites = self.call_sites.join(stubs.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.count("*").alias("calls"), F.min("module").alias("first_module"))
         finished = self.definitions.where("kind <> 'class' and body_kind = 'code'").groupBy("key", F.coalesce("parent", F.lit("")).alias("p")).agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), 1, 4).alias("beside"))
-        joined = stubs.withColumn("p", F.coalesce("parent", F.lit(""))).join(callers, "name", "left").join(finished, ["key", "p"], "left")
+        joined = stubs.withColumn("p", F.coalesce("parent", F.lit(""))).join(sites, "name", "left").join(finished, ["key", "p"], "left")
         takes = F.slice(F.filter("args", lambda a: ~a.isin("self", "cls")), 1, 4)
         direction = F.nullif(F.concat_ws("; ", F.when(F.size(takes) > 0, F.concat(F.lit("takes "), F.array_join(takes, ", "))), F.when(F.size("beside") > 0, F.concat(F.lit("sits beside finished "), F.array_join("beside", ", ")))), F.lit(""))
-        callers_ = F.coalesce("callers", F.array().cast("array<struct<module:string,lineno:int,as:string>>"))
-        return joined.select("key", "name", "qualname", "kind", "lineno", callers_.alias("callers"), F.coalesce(F.get(callers_, F.lit(0))["module"] != F.col("key"), F.lit(False)).alias("called_from_elsewhere"), direction.alias("direction"), F.lit("callers are matched by name alone").alias("caveat"))
+        return self._stage(joined.select("key", "name", "qualname", "kind", "lineno", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce(F.col("first_module") != F.col("key"), F.lit(False)).alias("called_from_elsewhere"), direction.alias("direction"), F.lit("callers are matched by name alone").alias("caveat")), "deadends")
+
+    @cached_property
+    def call_sites(self) -> DataFrame:
+        """(name, module, lineno, as): calls by the last part of what is called, each once."""
+        return self.calls.select(_last(F.col("name")).alias("name"), F.col("key").alias("module"), "lineno", F.col("name").alias("as")).distinct()
+
+    @cached_property
+    def callers(self) -> DataFrame:
+        """(name, module, lineno, as): every call of a dead end's name, once for all dead ends of that name."""
+        return self.call_sites.join(self.dead_ends.select("name").distinct(), "name", "left_semi")
 
     @cached_property
     def dead_ends_by_module(self) -> DataFrame:
         """(key, n, dead_ends): each module's dead ends in order of line."""
-        own = F.struct("lineno", "qualname", F.size("callers").alias("callers"))
+        own = F.struct("lineno", "qualname", "calls")
         return self.dead_ends.groupBy("key").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(own)).alias("dead_ends"))
 
     # --- competing attempts and what is worth keeping
@@ -479,8 +487,7 @@ class Survey:
         """(cluster, size, loc, entries, untracked, label, belongs, modules): undirected components; they belong if entered, or named in the project's prose."""
         comps = graph.components(self.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("node", "key")
         names = self.modules.select(_first(F.col("key")).alias("root")).distinct()
-        prose = self._stage(self.spark.createDataFrame([(self.prose,)], "prose string"), "prose")
-        named = names.join(F.broadcast(prose), F.contains(F.col("prose"), F.lower("root"))).select("root", F.lit(True).alias("named"))  # one text of PROSE_ALL bytes at most
+        named = relations.mentioned(names, self.prose_texts).select("root", F.lit(True).alias("named"))
         joined = self.modules.withColumn("root", _first(F.col("key"))).join(comps, "key", "left").withColumn("cluster", F.coalesce("component", "key"))
         joined = joined.join(self.entry_points.select("key", F.lit(1).alias("entry")), "key", "left").join(named, "root", "left").join(self.origins.select("key", "origin"), "key", "left")
         belongs = F.max(F.col("entry").isNotNull() | F.coalesce("named", F.lit(False)))
@@ -489,6 +496,13 @@ class Survey:
             F.max_by("key", F.struct("loc", "key")).alias("label"), belongs.alias("belongs"), F.sort_array(F.collect_list("key")).alias("modules"),
         )
 
+    @cached_property
+    def prose_texts(self) -> DataFrame:
+        """(text): what the project says of itself, lower-cased, a row a document or slice."""
+        if isinstance(self.prose, DataFrame):
+            return self.prose
+        return self.spark.createDataFrame([(self.prose[i : i + tree.PROSE_EACH],) for i in range(0, len(self.prose), tree.PROSE_EACH)], "text string")
+
     def cluster_modules(self, belongs: bool) -> DataFrame:
         """(key): modules of the clusters that belong to the project, or of those set aside."""
         return self.clusters.where(F.col("belongs") == belongs).select(F.explode("modules").alias("key"))
@@ -624,6 +638,14 @@ class Survey:
         merged = summaries.islands(first, ["key"], F.greatest(F.col("lineno") - 3, F.lit(1)), F.least(F.col("lineno") + 3, F.col("loc")), F.lit(1))
         return summaries.top_n_more(merged, ["key"], [F.asc("island_start")], 40).select("key", F.col("island_start").alias("low"), F.col("island_end").alias("high"))
 
+    @cached_property
+    def snippets(self) -> DataFrame:
+        """(key, low, lines): the source lines of each region; a module's text is cut into lines once."""
+        own = self.regions.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))  # 40 a module
+        text = self.modules.select("key", F.split("source", LINE_END, -1).alias("all")).join(own, "key")
+        cut = F.transform("spans", lambda x: F.struct(x["low"].alias("low"), F.slice("all", x["low"], x["high"] - x["low"] + 1).alias("lines")))
+        return text.where(F.col("all").isNotNull()).select("key", F.explode(cut).alias("x")).select("key", "x.low", "x.lines")
+
     @cached_property
     def line_marks(self) -> DataFrame:
         """(key, lineno, marks): what points at each line."""
@@ -722,13 +744,10 @@ class Survey:
         folder = self.in_folders.select("key", "folder")
         return geometry.ribbon_paths(relations.ribbons(self.edges, folder), self.boxes)
 
-    def layered_map(self) -> dict:
-        """Places and elbows of a layered chart; the number of modules is bounded by the listing's max_files."""
-        layers: dict[int, list[str]] = {}
-        for r in self.layers.toLocalIterator():
-            layers.setdefault(r.depth, []).append(r.node)
-        unreached = [r.key for r in relations.without(self.modules.select("key"), self.layers.select(F.col("node").alias("key"))).toLocalIterator()]
-        return geometry.layered(layers, unreached, sorted((r.src, r.dst) for r in self.edges.toLocalIterator()))
+    @cached_property
+    def layered_map(self) -> tuple[DataFrame, DataFrame]:
+        """Places and elbows of a layered chart of all modules; see trowel.operators.geometry.layered."""
+        return geometry.layered(self.layers, relations.without(self.modules.select("key"), self.layers.select(F.col("node").alias("key"))), self.edges)
 
     @cached_property
     def held_back(self) -> DataFrame:

@@ -38,7 +38,8 @@ SECTIONS = {
     "evidence": lambda s: s.evidence.orderBy("src", "dst", "lineno"),
     "totals": lambda s: s.totals.orderBy(F.desc("n"), "kind"),
     "attempts": lambda s: s.attempt_groups.orderBy(F.col("verdict") == "copy", F.desc("at_stake_lines"), F.size("members").desc(), "resume_at"),
-    "dead_ends": lambda s: s.dead_ends.orderBy(F.size("callers").desc(), "key", "lineno"),
+    "dead_ends": lambda s: s.dead_ends.orderBy(F.desc("calls"), "key", "lineno"),
+    "callers": lambda s: s.callers.orderBy("name", "module", "lineno", "as"),
     "left_behind": lambda s: s.salvage.orderBy(F.desc("loc"), "key"),
     "origins": lambda s: s.origins,
     "origin_totals": lambda s: s.origin_totals.orderBy(F.desc("lines")),
@@ -50,6 +51,7 @@ SECTIONS = {
     "state_tally": lambda s: s.state_tally,
     "line_marks": lambda s: s.line_marks.orderBy("key", "lineno"),
     "regions": lambda s: s.regions.orderBy("key", "low"),
+    "snippets": lambda s: s.snippets.orderBy("key", "low"),
     "scaffolds": lambda s: s.scaffolds.orderBy("key", "lineno"),
     "totals_by_layer": lambda s: s.layers.groupBy("depth").agg(F.count("*").alias("n")).orderBy("depth"),
     "clusters": lambda s: s.clusters.orderBy(F.desc("loc")),
@@ -142,19 +144,20 @@ def mermaid(survey: Survey, max_nodes: int = 120) -> str:
 def drawio(survey: Survey, title: str = "survey") -> str:
     """The graph of all modules as draw.io XML, in rows by layer; their number is bounded by the listing's max_files."""
     nodes, edges, _ = _nodes(survey, None)
-    chart = survey.layered_map()
+    places = {r.key: (int(r.x), int(r.y)) for r in survey.layered_map[0].toLocalIterator()}
+    width, height = (max([*(p[k] for p in places.values()), 0]) + size + geometry.MARGIN for k, size in enumerate((geometry.NODE_W, geometry.NODE_H)))
     number = {n["key"]: f"n{i}" for i, n in enumerate(nodes)}
     stuck = {n["key"] for n in nodes if n["stuck"]}
     file = ET.Element("mxfile")
-    model = ET.SubElement(ET.SubElement(file, "diagram", name=title), "mxGraphModel", page="1", pageWidth=str(int(chart["width"])), pageHeight=str(int(chart["height"])))
+    model = ET.SubElement(ET.SubElement(file, "diagram", name=title), "mxGraphModel", page="1", pageWidth=str(max(width, 320)), pageHeight=str(max(height, 200)))
     root = ET.SubElement(model, "root")
     ET.SubElement(root, "mxCell", id="0")
     ET.SubElement(root, "mxCell", id="1", parent="0")
     for n in nodes:
-        place = chart["nodes"].get(n["key"], {"x": 0, "y": 0})
+        x, y = places.get(n["key"], (0, 0))
         label = n["key"] + (f" ({n['marks']} signals)" if n["marks"] else "")
         cell = ET.SubElement(root, "mxCell", id=number[n["key"]], value=label, style=f"rounded=1;fillColor={COLOURS[n['state']]}", vertex="1", parent="1")
-        ET.SubElement(cell, "mxGeometry", {"x": str(int(place["x"])), "y": str(int(place["y"])), "width": str(geometry.NODE_W), "height": str(geometry.NODE_H), "as": "geometry"})
+        ET.SubElement(cell, "mxGeometry", {"x": str(x), "y": str(y), "width": str(geometry.NODE_W), "height": str(geometry.NODE_H), "as": "geometry"})
     for i, (a, b) in enumerate(edges):
         cell = ET.SubElement(root, "mxCell", id=f"e{i}", edge="1", parent="1", source=number[a], target=number[b], style="dashed=1" if b in stuck else "dashed=0")
         ET.SubElement(cell, "mxGeometry", {"relative": "1", "as": "geometry"})

@@ -24,7 +24,7 @@ EVIDENCE, HITS, OUTSIDE = 8, 6, 12
 #: Signs of a file name, and of those at its end that stay; signs of a folder's name and of the last line.
 NAME_CHARS, NAME_END, PLACE_CHARS = 18, 7, 22
 
-STYLE = "body{font-family:sans-serif;margin:0;display:flex}main{flex:2;overflow:auto;padding:8px}aside{flex:1;padding:12px;max-height:100vh;overflow:auto;position:sticky;top:0;border-left:1px solid #ccc}.box{fill:#fafafa;stroke:#ccc}.card{fill:#fff;stroke-width:2}.node{cursor:pointer}.dim{opacity:.15}text{font-size:11px}.name{font-weight:bold}.ribbon{fill:none;stroke:#888;opacity:.5}table{border-spacing:8px 2px}code{white-space:pre-wrap}"
+STYLE = "body{font-family:sans-serif;margin:0;display:flex}main{flex:2;overflow:auto;padding:8px}aside{flex:1;padding:12px;max-height:100vh;overflow:auto;position:sticky;top:0;border-left:1px solid #ccc}.box{fill:#fafafa;stroke:#ccc}.card{fill:#fff;stroke-width:2}.node{cursor:pointer}.dim{opacity:.15}text{font-size:11px}.name{font-weight:bold}.off{display:none}.ribbon{fill:none;stroke:#888;opacity:.5}.wire{fill:none;stroke:#888}.chip{margin-right:6px;background:#fff;border:2px solid;border-radius:8px}.chip[aria-pressed=true]{font-weight:bold;background:#eee}#trace{display:none}.tracing #trace{display:block}.tracing #picture{display:none}table{border-spacing:8px 2px}code{white-space:pre-wrap}"
 
 SCRIPT = """
 const data = JSON.parse(document.getElementById('data').textContent);
@@ -44,11 +44,54 @@ function reach(seed, way) {
   }
   return [depth, left.size];
 }
-function show(names) { for (const c of cards) c.classList.toggle('dim', names !== null && !names.has(c.dataset.name)); }
+const picture = document.getElementById('picture'), chart = document.getElementById('trace'), main = document.querySelector('main');
+const chips = [...document.querySelectorAll('.chip')], home = new Map(cards.map(c => [c.dataset.name, c]));
+const at = card => { const r = card.querySelector('.card'); return [+r.getAttribute('x'), +r.getAttribute('y')]; };
+const made = (tag, values) => { const e = document.createElementNS('http://www.w3.org/2000/svg', tag); for (const [k, v] of Object.entries(values)) e.setAttribute(k, v); return e; };
+let only = null;
+function filter(state) {
+  only = only === state ? null : state;
+  for (const c of document.querySelectorAll('.node')) c.classList.toggle('off', only !== null && c.dataset.state !== only);
+  for (const c of chips) c.setAttribute('aria-pressed', c.dataset.state === only);
+}
+function dim(names) { for (const c of cards) c.classList.toggle('dim', names !== null && !names.has(c.dataset.name)); }
 function near(name) { const m = data.modules[name]; return new Set([name, ...m.uses, ...m.used_by]); }
+// a second layout: rows by distance from the module, what leads to it above and what it leads to below
+function draw(name, down, up) {
+  const rows = new Map(), place = new Map(), [w, h, gap] = data.card;
+  const put = (other, level) => rows.set(level, [...(rows.get(level) || []), other]);
+  for (const [other, level] of up) put(other, -level);
+  for (const [other, level] of down) if (level && !up.has(other)) put(other, level);
+  const wide = Math.max(1, Math.floor((data.width + gap) / (w + gap)));
+  let y = gap;
+  chart.replaceChildren();
+  for (const level of [...rows.keys()].sort((a, b) => a - b)) {
+    const names = rows.get(level).sort();
+    for (let first = 0; first < names.length; first += wide, y += h + gap) {
+      const line = names.slice(first, first + wide), from = (data.width - line.length * (w + gap) + gap) / 2;
+      line.forEach((other, i) => place.set(other, [from + i * (w + gap), y]));
+    }
+    y += gap;
+  }
+  for (const [other, [x, top]] of place) for (const next of data.modules[other].uses) {
+    if (!place.has(next)) continue;
+    const [nx, ny] = place.get(next), back = ny <= top, from = back ? top : top + h, to = back ? ny + h : ny, half = (from + to) / 2;
+    chart.append(made('path', {class: 'wire', 'stroke-dasharray': back ? '4 3' : 'none', d: `M${x + w / 2},${from} V${half} H${nx + w / 2} V${to}`}));
+  }
+  for (const [other, [x, top]] of place) {
+    const copy = home.get(other).cloneNode(true), [ox, oy] = at(home.get(other));
+    copy.classList.remove('dim');
+    copy.setAttribute('transform', `translate(${x - ox},${top - oy})`);
+    listen(copy);
+    chart.append(copy);
+  }
+  chart.setAttribute('width', data.width); chart.setAttribute('height', y);
+  main.classList.add('tracing');
+}
 function open(name) {
   const m = data.modules[name], [down, missed] = reach(name, 'uses'), [up, above] = reach(name, 'used_by');
-  show(new Set([...down.keys(), ...up.keys()]));
+  dim(null);
+  draw(name, down, up);
   panel.replaceChildren(text('h2', name), text('p', m.state + ', ' + m.loc + ' lines, score ' + m.score + ', ' + m.origin));
   if (m.verdict) panel.append(text('p', m.verdict));
   if (m.loaded_by) panel.append(text('p', m.loaded_by));
@@ -65,13 +108,21 @@ function open(name) {
   }
   if (m.external.length) panel.append(text('p', 'outside: ' + m.external.join(', ')));
 }
+function listen(card) {
+  card.addEventListener('click', () => open(card.dataset.name));
+  card.addEventListener('keydown', e => { if (e.key === 'Enter' || e.key === ' ') { e.preventDefault(); open(card.dataset.name); } });
+}
 for (const c of cards) {
-  c.addEventListener('click', () => open(c.dataset.name));
-  c.addEventListener('keydown', e => { if (e.key === 'Enter') open(c.dataset.name); });
-  c.addEventListener('mouseenter', () => { if (!panel.firstChild) show(near(c.dataset.name)); });
-  c.addEventListener('mouseleave', () => { if (!panel.firstChild) show(null); });
+  listen(c);
+  c.addEventListener('mouseenter', () => { if (!panel.firstChild) dim(near(c.dataset.name)); });
+  c.addEventListener('mouseleave', () => { if (!panel.firstChild) dim(null); });
 }
-document.addEventListener('keydown', e => { if (e.key === 'Escape') { panel.replaceChildren(); show(null); } });
+for (const c of chips) c.addEventListener('click', () => filter(c.dataset.state));
+document.addEventListener('keydown', e => {
+  if (e.key !== 'Escape') return;
+  panel.replaceChildren(); dim(null); main.classList.remove('tracing');
+  if (only !== null) filter(only);
+});
 """
 
 
@@ -149,7 +200,7 @@ def payload(survey: Survey) -> dict:
         }
         for c in _cards(survey)
     }
-    return {"modules": modules, "hides": TRACE_HIDES, "most": TRACE_MOST}
+    return {"modules": modules, "hides": TRACE_HIDES, "most": TRACE_MOST, "card": [G.CARD_W, G.CARD_H, G.CARD_GAP], "width": G.CHART_W}
 
 
 def escaped_json(value: object) -> str:
@@ -163,9 +214,9 @@ def html_map(survey: Survey, title: str = "survey") -> str:
     tally = {r.state: r.modules for r in survey.state_tally.collect()}
     held = survey.held_back.orderBy(F.desc("modules"), "loader").collect()
     esc = html.escape
-    states = " ".join(f'<span style="color:{COLOURS[s]}">{s} {tally[s]}</span>' for s in COLOURS if s in tally)
+    states = "".join(f'<button class="chip" data-state="{s}" aria-pressed="false" style="border-color:{COLOURS[s]}">{s} {tally[s]}</button>' for s in COLOURS if s in tally)
     loaders = f"<p>{sum(h.modules for h in held)} modules are loaded by name: {esc(', '.join(f'{h.loader} ({h.modules})' for h in held))}; {sum(h.proven for h in held)} of them by declaration.</p>" if held else ""
     return (
-        f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{esc(title)}</title><style>{STYLE}</style></head><body><main><h1>{esc(title)}</h1><p>{esc(opening.finding or "")}. {esc(opening.coverage or "")}</p><p>{states}</p>{loaders}'
-        f'{svg(survey)}</main><aside id="panel"></aside><script type="application/json" id="data">{escaped_json(payload(survey))}</script><script>{SCRIPT}</script></body></html>'
+        f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{esc(title)}</title><style>{STYLE}</style></head><body><main><h1>{esc(title)}</h1><p>{esc(opening.finding or "")}. {esc(opening.coverage or "")}</p><p>{states}</p>{loaders}<div id="picture">'
+        f'{svg(survey)}</div><svg xmlns="http://www.w3.org/2000/svg" id="trace"></svg></main><aside id="panel"></aside><script type="application/json" id="data">{escaped_json(payload(survey))}</script><script>{SCRIPT}</script></body></html>'
     )

@@ -18,6 +18,8 @@ SKIP_DIRS = [".git", "__pycache__", ".venv", "venv", "env", ".tox", ".mypy_cache
 PROSE_SUFFIXES = (".md", ".txt", ".toml", ".cfg", ".ini", ".yml", ".yaml", ".json", ".sh", ".bat", ".ps1")
 PROSE_NAMES = {"Dockerfile", "Makefile", "Procfile"}
 PROSE_EACH, PROSE_ALL = 200_000, 4_000_000
+#: Folders whose documents are not the project's own; other folders that begin with a dot are read.
+PROSE_SKIP = {".git", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache"}
 
 
 @dataclass
@@ -35,9 +37,9 @@ class Listing:
 def list_tree(root: str, skip_dirs: list[str] | None = None, max_files: int = 5000) -> Listing:
     """Names only, in order of directory and file name."""
     skip, out = set(SKIP_DIRS if skip_dirs is None else skip_dirs), Listing(root)
-    pending: list[tuple[str, str | None]] = [("", None)]
+    pending: list[tuple[str, str | None, bool]] = [("", None, True)]
     while pending:
-        folder, pruned = pending.pop()
+        folder, pruned, told = pending.pop()
         entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
         for e in entries:
             rel = f"{folder}/{e.name}" if folder else e.name
@@ -52,13 +54,13 @@ def list_tree(root: str, skip_dirs: list[str] | None = None, max_files: int = 50
                     out.skipped += 1
             if pruned is None:
                 out.markers.append((folder, e.name))
-                if e.name.endswith(PROSE_SUFFIXES) or e.name in PROSE_NAMES:
-                    out.prose.append(rel)
+            if told and (e.name.endswith(PROSE_SUFFIXES) or e.name in PROSE_NAMES):
+                out.prose.append(rel)
         for e in reversed(entries):
             if e.is_dir(follow_symlinks=False):
                 rel = f"{folder}/{e.name}" if folder else e.name
                 own = e.name if e.name in skip or e.name.startswith(".") else None
-                pending.append((rel, pruned or own))
+                pending.append((rel, pruned or own, told and e.name not in PROSE_SKIP))
     return out
 
 
@@ -123,10 +125,10 @@ def read_prose(listing: Listing) -> str:
                 raw = f.read(PROSE_EACH)
         except OSError:
             continue
-        if total + len(raw) > PROSE_ALL:
-            break
         total += len(raw)
         texts.append(raw.decode("utf-8", "replace").lower())
+        if total > PROSE_ALL:
+            break
     return "\n".join(texts)
 
 
