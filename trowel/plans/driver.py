@@ -232,6 +232,16 @@ def rename_chain(spark, sf_dir):
     return graph.pointer_chase(within.union(across), "doc_id", "new").select(F.col("node").alias("doc_id"), "canonical")
 
 
+@query
+def rename_history(spark, sf_dir):
+    """Lines of orders as renames in their order, a part's name to another's: what each name is called in the end, with names used again and coming back."""
+    lines = table(spark, sf_dir, "lineitem")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    place = F.expr("((CAST(l_orderkey AS BIGINT) * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey")  # a number of its own for each different rename
+    renames = lines.select(place.alias("ord"), name(F.col("l_partkey")).alias("old"), name((F.col("l_partkey") * 7 + F.col("l_suppkey") * 13) % 5000 + 1).alias("new"))
+    return graph.rename_chain(renames).select("node", "canonical")
+
+
 # --- windows
 
 

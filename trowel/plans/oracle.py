@@ -142,6 +142,14 @@ walk AS (
 SELECT direction, node, min(depth) AS depth FROM walk GROUP BY direction, node""",
     "rename_chain": """
 SELECT doc_id, canonical FROM (SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS canonical FROM documents) WHERE doc_id < canonical""",
+    "rename_history": """
+WITH RECURSIVE ev AS (SELECT DISTINCT ((CAST(l_orderkey AS BIGINT) * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS ord, 'p' || l_partkey AS old, 'p' || ((l_partkey * 7 + l_suppkey * 13) % 5000 + 1) AS new FROM lineitem),
+nexts AS (SELECT a.ord, a.old, a.new, b.ord AS next FROM ev a ASOF LEFT JOIN ev b ON a.new = b.old AND a.ord < b.ord),
+lasts AS (SELECT old AS name, arg_max(new, ord) AS new, arg_max(next, ord) AS next FROM (SELECT ord, old, new, coalesce(next, -1) AS next FROM nexts) GROUP BY old),
+walk AS (SELECT name, new, next FROM lasts UNION ALL SELECT w.name, n.new, coalesce(n.next, -1) FROM walk w JOIN nexts n ON n.ord = w.next WHERE w.next >= 0),
+became AS (SELECT name, new FROM walk WHERE next < 0),
+follow AS (SELECT name AS node, [name] AS path, new AS here FROM became UNION ALL SELECT f.node, list_append(f.path, f.here), b.new FROM follow f JOIN became b ON b.name = f.here WHERE NOT list_contains(f.path, f.here))
+SELECT node, arg_max(here, len(path)) AS canonical FROM follow GROUP BY node""",
     "islands": """
 WITH s AS (SELECT user_id, ts - INTERVAL 30 MINUTE AS lo, ts + INTERVAL 30 MINUTE AS hi FROM events),
 m AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s),

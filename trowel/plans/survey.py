@@ -1,12 +1,14 @@
 """The survey: questions about an inherited code base as DataFrame queries over its fact tables.
 
-Each property is one finding, computed when asked for. Tables that several findings use are staged
-once. Every finding keeps its evidence, and says whether it is proven or inferred.
+Each property is one finding, computed when asked for, by as many threads as ask. Tables that several findings
+use are staged once. Every finding keeps its evidence, and says whether it is proven or inferred.
 """
 
 from __future__ import annotations
 
-from functools import cached_property, reduce
+from collections.abc import Callable
+from functools import reduce
+from threading import Lock, RLock
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,6 +79,8 @@ CONVENTIONS = [
 ]
 
 QUIET_DAYS, FEW_COMMITS, TOP_PAIRS = 60, 2, 40
+#: Words, with their repeats, that two files share at least to be alike.
+LIKE_WORDS = 2
 MIN_SIGNALS, QUIET_FILES, MIN_SCORE, MIN_FILES = 2, 3, 4, 4
 #: Commits of a log, the newest, among which changes made together are counted.
 CO_CHANGE_COMMITS = 2000
@@ -103,6 +107,26 @@ SEVERITY = ["broken", "deadend", "unfinished", "maybe", "tested", "live", "confi
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
+_locks = Lock()
+
+
+class once:
+    """A property that is computed once, also if several threads ask: the others wait. Findings depend on each other without cycles, so no two wait for each other."""
+
+    def __init__(self, f: Callable) -> None:
+        self.f, self.name, self.__doc__ = f, f.__name__, f.__doc__
+
+    def __get__(self, obj, owner=None):
+        if obj is None:
+            return self
+        with _locks:
+            lock = obj.__dict__.setdefault(f"_lock_{self.name}", RLock())
+        with lock:
+            if self.name not in obj.__dict__:
+                obj.__dict__[self.name] = self.f(obj)
+            return obj.__dict__[self.name]
+
+
 def _last(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
@@ -149,7 +173,7 @@ class Survey:
 
     # --- fact tables
 
-    @cached_property
+    @once
     def modules(self) -> DataFrame:
         dotted = T.module_name(F.col("relpath"))
         keyed = self.raw.withColumn("dotted", dotted).withColumn("key", F.when(dotted != "", dotted).otherwise(F.col("relpath")))
@@ -158,25 +182,25 @@ class Survey:
     def _exploded(self, column: str) -> DataFrame:
         return self.modules.select("key", F.explode(column).alias("x")).select("key", "x.*")
 
-    @cached_property
+    @once
     def imports(self) -> DataFrame:
         return self._exploded("imports")
 
-    @cached_property
+    @once
     def definitions(self) -> DataFrame:
         return self._stage(self._exploded("definitions").withColumn("qualname", T.qualified(F.col("parent"), F.col("name"))), "definitions")
 
-    @cached_property
+    @once
     def calls(self) -> DataFrame:
         return self._exploded("calls")
 
-    @cached_property
+    @once
     def names_used(self) -> DataFrame:
         return self.modules.select("key", F.explode("names_used").alias("name"))
 
     # --- import graph
 
-    @cached_property
+    @once
     def resolved(self) -> DataFrame:
         """imports with dst: the module each names, or null. Candidates in order, then any module of that last name."""
         parts = F.split(F.col("key"), "[.]")
@@ -193,15 +217,15 @@ class Survey:
         joined = imports.distinct().join(hit, keys, "left").withColumn("tail", F.when(F.col("full") != "", _last(F.col("full")))).join(tails, "tail", "left")
         return self._stage(joined.select(*keys, F.coalesce("dst", "by_tail").alias("dst")), "resolved")
 
-    @cached_property
+    @once
     def edges(self) -> DataFrame:
         return self._stage(self.resolved.where("dst is not null and dst <> key").select(F.col("key").alias("src"), "dst").distinct(), "edges")
 
-    @cached_property
+    @once
     def external(self) -> DataFrame:
         return self.resolved.where("dst is null and target <> ''").select(F.col("key").alias("src"), _first(F.col("target")).alias("root")).distinct()
 
-    @cached_property
+    @once
     def evidence(self) -> DataFrame:
         """(src, dst, lineno, text): import lines that resolve to dst, and calls of names they bound; all of them."""
         lines = self.resolved.where("dst is not null and dst <> key").select(F.col("key").alias("src"), "dst", "lineno", "bound")
@@ -216,14 +240,14 @@ class Survey:
         shown = text.select("src", F.explode(F.transform("x", lambda x: F.struct(x["dst"].alias("dst"), x["lineno"].alias("lineno"), F.rtrim(F.get("lines", x["lineno"] - 1)).alias("text")))).alias("x"))
         return shown.select("src", "x.*").where("text is not null")
 
-    @cached_property
+    @once
     def entry_points(self) -> DataFrame:
         calling = self.calls.where(_any([F.col("name").startswith(c) for c in ENTRY_CALLS])).select("key").distinct().withColumn("parses", F.lit("parses arguments"))
         named = _any([F.col("relpath").endswith(f) for f in ENTRY_FILES])
         reasons = F.array_compact(F.array(F.when(F.col("has_main_guard"), F.lit("has a __main__ guard")), F.when(F.col("shebang").isNotNull(), F.lit("has a shebang")), F.col("parses"), F.when(named, F.lit("is named like a program"))))
         return self.modules.join(calling, "key", "left").select("key", reasons.alias("reasons")).where(F.size("reasons") > 0)
 
-    @cached_property
+    @once
     def loaded_by(self) -> DataFrame:
         """What loads a module without an import: declared (proven) before conventional (inferred)."""
         said = self.declared.select(F.col("module").alias("dotted"), F.lit("declared entry").alias("d_name"), F.col("source").alias("d_loader"), F.concat(F.lit("declared as "), "spec", F.lit(" in "), "by").alias("d_why"))
@@ -232,7 +256,7 @@ class Survey:
         why = F.coalesce("d_why", F.concat(F.lit("loaded by name by "), "c_loader"))
         return joined.select("key", F.coalesce("d_name", "c_name").alias("name"), F.coalesce("d_loader", "c_loader").alias("loader"), why.alias("why"), F.col("d_name").isNotNull().alias("proven")).where("name is not null")
 
-    @cached_property
+    @once
     def roots(self) -> DataFrame:
         """(key, place, reason): entry points, place 0, then what else is loaded by name, place 1; each module once, in order of place and ord."""
         entries = self.entry_points.select("key", F.lit(0).alias("place"), F.array_join("reasons", "; ").alias("reason"))
@@ -240,17 +264,17 @@ class Survey:
         first = entries.union(loaded).groupBy("key").agg(F.min(F.struct("place", "reason")).alias("f"))
         return self._stage(first.select("key", "f.place", "f.reason"), "roots")
 
-    @cached_property
+    @once
     def layers(self) -> DataFrame:
         """(node, depth): fewest imports from an entry point or a convention-loaded module."""
         return self._stage(graph.layers(self.edges, self.roots.select("key")), "layers")
 
-    @cached_property
+    @once
     def orphans(self) -> DataFrame:
         imported = self.edges.select(F.col("dst").alias("key"))
         return self._stage(relations.without(self.modules.select("key", "relpath", "loc", "ord"), imported, self.roots.select("key")), "orphans")
 
-    @cached_property
+    @once
     def unreferenced(self) -> DataFrame:
         """Definitions whose bare name nothing in the project uses, calls or imports."""
         used = self.names_used.select("name").union(self.calls.select(_last(F.col("name")))).union(self.imports.select("bound"))
@@ -259,22 +283,22 @@ class Survey:
         )
         return relations.without(self.definitions.where(~F.col("name").startswith("__")), used).select("key", "qualname", "kind", "lineno", caveat.alias("caveat"))
 
-    @cached_property
+    @once
     def fan(self) -> DataFrame:
         counted = graph.fan(self.edges).withColumnRenamed("node", "key")
         return self.modules.select("key").join(counted, "key", "left").select("key", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"))
 
-    @cached_property
+    @once
     def cycles(self) -> DataFrame:
         """Edges on or between cycles; import_cycles names them."""
         return graph.cyclic_core(self.edges)
 
-    @cached_property
+    @once
     def import_cycles(self) -> DataFrame:
         """(nodes): import cycles by name, the first module again at the end."""
         return self._stage(graph.cycles(self.edges), "cycles")
 
-    @cached_property
+    @once
     def effects(self) -> DataFrame:
         """(key, category, call, lineno), an unqualified or foreign call only where an import backs it."""
         words = self.spark.createDataFrame([(c, w) for c, ws in EFFECTS.items() for w in ws], "category string, last string")
@@ -291,7 +315,7 @@ class Survey:
 
     # --- where work stopped
 
-    @cached_property
+    @once
     def class_links(self) -> DataFrame:
         """(key, written, b_key, b_class): what names written in a module refer to among the project's top-level classes."""
         classes = self.definitions.where("kind = 'class' and parent is null").select("key", F.col("name").alias("cls")).distinct()
@@ -306,7 +330,7 @@ class Survey:
         target = classes.select(F.col("key").alias("b_key"), F.col("cls").alias("b_class"))
         return self._stage(own.union(direct.union(member).join(target, ["b_key", "b_class"], "left_semi").select("key", "written", "b_key", "b_class")).distinct(), "classes")
 
-    @cached_property
+    @once
     def replaced_methods(self) -> DataFrame:
         """(key, parent, name): methods that every subclass replaces, of bases that nothing calls: relational division."""
         subs = self.definitions.where("kind = 'class' and parent is null").select("key", F.col("name").alias("sub"), F.explode("bases").alias("written"))
@@ -323,7 +347,7 @@ class Survey:
         found = every.select(F.col("b_key").alias("key"), F.col("b_class").alias("parent"), "name")
         return self._stage(found.join(methods, ["key", "parent", "name"], "left_semi").withColumn("replaced", F.lit(True)), "replaced")
 
-    @cached_property
+    @once
     def judged(self) -> DataFrame:
         """definitions with declaring, shape and the documented share of their module."""
         declaring = F.exists("decorators", lambda d: _last(d).isin(*DECLARING))
@@ -339,7 +363,7 @@ class Survey:
         shape = F.col("declaring") | ((F.col("kind") == "method") & (F.col("protocol") | F.col("interface") | F.coalesce("replaced", F.lit(False))))
         return self._stage(joined.withColumn("shape", shape).drop("protocol"), "judged")
 
-    @cached_property
+    @once
     def unused_imports(self) -> DataFrame:
         real = self.imports.join(self.modules.select("key", "relpath", "error", "kept_imports", "names_used", "symbol_strings"), "key").where("error is null")
         real = real.where(~F.col("relpath").rlike(r"(^|/)__init__\.py$") & (F.col("bound") != "*") & (F.col("target") != "__future__")).withColumn("head", _first(F.col("bound")))
@@ -347,7 +371,7 @@ class Survey:
         unused = ~F.array_contains("names_used", F.col("head")) & ~named & ~F.array_contains("kept_imports", F.col("lineno"))
         return real.where(unused).select("key", "bound", "target", "lineno")
 
-    @cached_property
+    @once
     def signals(self) -> DataFrame:
         """(key, kind, text, lineno): evidence that work stopped here."""
         ok = self.modules.where("error is null")
@@ -375,7 +399,7 @@ class Survey:
         ]
         return self._stage(reduce(DataFrame.union, parts), "signals")
 
-    @cached_property
+    @once
     def frontier(self) -> DataFrame:
         """Modules by how much unfinished work they show: (key, relpath, loc, score, counts)."""
         weight = reduce(lambda c, kv: F.when(F.col("kind") == kv[0], F.lit(float(kv[1]))).otherwise(c), WEIGHTS.items(), F.lit(1.0))
@@ -383,11 +407,11 @@ class Survey:
         counts = self.signals.groupBy("key", "kind").agg(F.count("*").cast("int").alias("n")).groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("counts"))
         return self._stage(self.modules.select("key", "relpath", "loc").join(score, "key").join(counts, "key").select("key", "relpath", "loc", "score", "counts"), "frontier")
 
-    @cached_property
+    @once
     def totals(self) -> DataFrame:
         return summaries.totals(self.signals, "kind")
 
-    @cached_property
+    @once
     def dead_ends(self) -> DataFrame:
         """Empty definitions that nothing makes usual, with the number of calls of their name, which callers lists once: name matches, not proof."""
         usual = (F.col("kind") == "class") | _any([F.col("name").endswith(s) for s in USUAL_ENDINGS]) | _any([F.coalesce(F.col("parent"), F.lit("")).endswith(s) for s in USUAL_ENDINGS])
@@ -402,17 +426,17 @@ class Survey:
         direction = F.nullif(F.concat_ws("; ", F.when(F.size(takes) > 0, F.concat(F.lit("takes "), F.array_join(takes, ", "))), F.when(F.size("beside") > 0, F.concat(F.lit("sits beside finished "), F.array_join("beside", ", ")))), F.lit(""))
         return self._stage(joined.select("key", "name", "qualname", "kind", "lineno", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce(F.col("first_module") != F.col("key"), F.lit(False)).alias("called_from_elsewhere"), direction.alias("direction"), F.lit("callers are matched by name alone").alias("caveat")), "deadends")
 
-    @cached_property
+    @once
     def call_sites(self) -> DataFrame:
         """(name, module, lineno, as): calls by the last part of what is called, each once."""
         return self.calls.select(_last(F.col("name")).alias("name"), F.col("key").alias("module"), "lineno", F.col("name").alias("as")).distinct()
 
-    @cached_property
+    @once
     def callers(self) -> DataFrame:
         """(name, module, lineno, as): every call of a dead end's name, once for all dead ends of that name."""
         return self.call_sites.join(self.dead_ends.select("name").distinct(), "name", "left_semi")
 
-    @cached_property
+    @once
     def dead_ends_by_module(self) -> DataFrame:
         """(key, n, dead_ends): each module's dead ends in order of line."""
         own = F.struct("lineno", "qualname", "calls")
@@ -420,13 +444,13 @@ class Survey:
 
     # --- competing attempts and what is worth keeping
 
-    @cached_property
+    @once
     def specific_names(self) -> DataFrame:
         """(key, name): top-level definitions whose names mean something."""
         top = self.definitions.where("parent is null and not startswith(name, '_') and length(name) >= 4").select("key", "name")
         return self._stage(top.where(~F.col("name").isin(*A.GENERIC)).distinct(), "specific")
 
-    @cached_property
+    @once
     def attempt_groups(self) -> DataFrame:
         """Groups of modules that share specific names: restarts of one job, and copies. See trowel.plans.attempts."""
         out = relations.without(self.specific_names.where(~is_test(F.col("key"))), self.origins.where("origin = 'vendored'").select("key"))
@@ -444,7 +468,7 @@ class Survey:
         described = rows.groupBy("group").applyInArrow(A.describer(to_arrow_schema(StructType.fromDDL(A.SCHEMA))), A.SCHEMA)
         return self._stage(described, "attempts")
 
-    @cached_property
+    @once
     def verdicts(self) -> DataFrame:
         """(key, verdict, resume_at, percent): for each module the first group that it is in; restarts before copies, then the most at stake."""
         kind = F.when(F.col("verdict") == "copy", "copy").when(F.col("m.key") == F.col("resume_at"), "resume").otherwise("superseded")
@@ -453,7 +477,7 @@ class Survey:
         first = members.groupBy(F.col("m.key").alias("key")).agg(F.min(F.struct("order", kind.alias("verdict"), "resume_at", F.col("m.percent").alias("percent"))).alias("f"))
         return first.select("key", "f.verdict", "f.resume_at", "f.percent")
 
-    @cached_property
+    @once
     def salvage(self) -> DataFrame:
         """What each orphan holds: (key, loc, verdict, unique_count, uses_live_count, counterpart, mine, mine_from, theirs, theirs_from)."""
         orphan = self.orphans.select("key")
@@ -478,11 +502,11 @@ class Survey:
         )
         return joined.select("key", "loc", verdict.alias("verdict"), n.alias("unique_count"), w.alias("uses_live_count"), "counterpart", "mine", "mine_from", "theirs", "theirs_from")
 
-    @cached_property
+    @once
     def salvage_totals(self) -> DataFrame:
         return self.salvage.groupBy("verdict").agg(F.count("*").alias("modules"), F.sum("loc").alias("lines"))
 
-    @cached_property
+    @once
     def clusters(self) -> DataFrame:
         """(cluster, size, loc, entries, untracked, label, belongs, modules): undirected components; they belong if entered, or named in the project's prose."""
         comps = graph.components(self.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("node", "key")
@@ -496,7 +520,7 @@ class Survey:
             F.max_by("key", F.struct("loc", "key")).alias("label"), belongs.alias("belongs"), F.sort_array(F.collect_list("key")).alias("modules"),
         )
 
-    @cached_property
+    @once
     def prose_texts(self) -> DataFrame:
         """(text): what the project says of itself, lower-cased, a row a document or slice."""
         if isinstance(self.prose, DataFrame):
@@ -526,47 +550,47 @@ class Survey:
 
     # --- history
 
-    @cached_property
+    @once
     def touched(self) -> DataFrame:
         """(ord, path): commits of surveyed files, by the names that the files have now."""
         names = graph.rename_chain(self.renames).toDF("path", "canonical") if self.renames is not None and self.renames.take(1) else self.spark.createDataFrame([], "path string, canonical string")
         now = self.commit_files.join(names, "path", "left").select("ord", F.coalesce("canonical", "path").alias("path")).distinct()
         return self._stage(now.join(self.modules.select(F.col("relpath").alias("path")), "path", "left_semi"), "touched")
 
-    @cached_property
+    @once
     def file_history(self) -> DataFrame:
         log = self.touched.join(self.commits, "ord").withColumn("place", -F.col("ord"))
         return self._stage(summaries.history(log, "path", ["place"], F.timestamp_seconds("at"), "subject", "author"), "history")
 
-    @cached_property
+    @once
     def co_change(self) -> DataFrame:
         """(item_a, item_b, n): files that changed together, within the newest commits of the log."""
         recent = self.touched if self.paired is None else self.touched.where(F.col("ord") < self.paired)
         return relations.co_occurrence(recent, "ord", "path")
 
-    @cached_property
+    @once
     def timeline(self) -> DataFrame:
         """(month, n, first_key): files by the month of their first commit in the log."""
         return self.timeline_files.groupBy("month").agg(F.count("*").alias("n"), F.min("path").alias("first_key"))
 
-    @cached_property
+    @once
     def timeline_files(self) -> DataFrame:
         """(month, path): every file below the month of its first commit."""
         return self.file_history.select(F.substring("first_seen", 1, 7).alias("month"), "path")
 
-    @cached_property
+    @once
     def stalled(self) -> DataFrame:
         """Files of few commits whose last one in the log is long before the newest file's."""
         log = self.touched.join(self.commits, "ord").withColumn("place", -F.col("ord"))
         own = summaries.stalled(log, "path", F.timestamp_seconds("at"), FEW_COMMITS, QUIET_DAYS, order=["place"])
         return own.join(self.file_history.select("path", "first_seen", "last_touched", "last_subject"), "path").select("path", "commits", "first_seen", "last_touched", "last_subject", "days_quiet")
 
-    @cached_property
+    @once
     def authors(self) -> DataFrame:
         """(author, files, commits): who wrote the surveyed files."""
         return self.touched.join(self.commits, "ord").groupBy("author").agg(F.count_distinct("path").alias("files"), F.count_distinct("ord").alias("commits"))
 
-    @cached_property
+    @once
     def history_state(self) -> DataFrame:
         """(available, reason, shallow, authors, note): one row on what the history can say."""
         seen = self.file_history.agg(F.count("*").alias("n")) if self.commits is not None else self.spark.range(1).select(F.lit(0).alias("n"))
@@ -575,7 +599,7 @@ class Survey:
         both = seen.join(F.broadcast(who))  # one row each
         return both.select((F.col("n") > 0).alias("available"), reason.alias("reason"), F.lit(self.shallow).alias("shallow"), "authors", F.when(F.lit(self.shallow), SHALLOW_NOTE).alias("note"))
 
-    @cached_property
+    @once
     def origins(self) -> DataFrame:
         """(key, origin, why): unknown without a repository, untracked, vendored, else tracked."""
         dirs = F.slice(F.split("relpath", "/"), 1, F.greatest(F.size(F.split("relpath", "/")) - 1, F.lit(0)))
@@ -590,11 +614,11 @@ class Survey:
         origin = summaries.first_match((F.col("is_tracked").isNull(), "untracked"), (F.col("vendor").isNotNull() | F.col("package").isNotNull(), "vendored"), default="tracked")
         return self._stage(known.select("key", "loc", origin.alias("origin"), F.coalesce("vendor", "package").alias("why")), "origins")
 
-    @cached_property
+    @once
     def origin_totals(self) -> DataFrame:
         return self.origins.groupBy("origin").agg(F.count("*").alias("modules"), F.sum("loc").alias("lines"))
 
-    @cached_property
+    @once
     def forks(self) -> DataFrame:
         """(stopped, continued, signals, commits): unfinished files gone quiet, and later files that took up their subject.
 
@@ -610,9 +634,9 @@ class Survey:
         later = self._stage(last.where(~follows_tests(F.col("key"), F.col("path"))).select(F.col("ord").alias("b"), F.col("at").alias("b_at"), "commits"), "later")
         # modules by number and words by hash: pairs are many, and rows of numbers are cheap to add up
         words = self._stage(self.definitions.select("key", F.explode(T.vocabulary(F.col("name"))).alias("word")).where(~F.col("word").isin(*COMMON_WORDS)).groupBy("key", F.xxhash64("word").alias("w")).agg(F.count("*").alias("n")).join(last.select("key", "ord"), "key"), "words")
-        ours = words.select(F.col("ord").alias("a"), "w", F.col("n").alias("x")).join(stopped, "a")
-        theirs = words.select(F.col("ord").alias("b"), "w", F.col("n").alias("y")).join(later, "b")
-        alike = ours.join(theirs, "w").where("b_at > a_at and a <> b").groupBy("a", "b").agg(F.sum(F.least("x", "y")).alias("n")).where("n >= 2").select("a", "b", F.lit("vocabulary").alias("signal"))
+        ours = words.select(F.col("ord").alias("a"), F.col("w").alias("f"), "n").join(stopped, "a")
+        theirs = words.select(F.col("ord").alias("b"), F.col("w").alias("f"), "n").join(later.select("b", "b_at"), "b")
+        alike = relations.weighted_overlap(ours, theirs, LIKE_WORDS, F.expr("b_at > a_at and a <> b")).select("a", "b", F.lit("vocabulary").alias("signal"))
         top = self.co_change.orderBy(F.desc("n"), "item_a", "item_b").limit(TOP_PAIRS)
         key_of = self.modules.select(F.col("relpath").alias("path"), "ord")
         top = top.join(key_of.toDF("item_a", "a"), "item_a").join(key_of.toDF("item_b", "b"), "item_b").select("a", "b")
@@ -630,7 +654,7 @@ class Survey:
 
     # --- regions, states, map tables
 
-    @cached_property
+    @once
     def regions(self) -> DataFrame:
         """(key, low, high): lines around signals and definitions, merged where they touch; 40 a module."""
         lines = self.signals.where("lineno > 0").select("key", "lineno").union(self.definitions.select("key", "lineno")).distinct()
@@ -638,7 +662,7 @@ class Survey:
         merged = summaries.islands(first, ["key"], F.greatest(F.col("lineno") - 3, F.lit(1)), F.least(F.col("lineno") + 3, F.col("loc")), F.lit(1))
         return summaries.top_n_more(merged, ["key"], [F.asc("island_start")], 40).select("key", F.col("island_start").alias("low"), F.col("island_end").alias("high"))
 
-    @cached_property
+    @once
     def snippets(self) -> DataFrame:
         """(key, low, lines): the source lines of each region; a module's text is cut into lines once."""
         own = self.regions.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))  # 40 a module
@@ -646,17 +670,17 @@ class Survey:
         cut = F.transform("spans", lambda x: F.struct(x["low"].alias("low"), F.slice("all", x["low"], x["high"] - x["low"] + 1).alias("lines")))
         return text.where(F.col("all").isNotNull()).select("key", F.explode(cut).alias("x")).select("key", "x.low", "x.lines")
 
-    @cached_property
+    @once
     def line_marks(self) -> DataFrame:
         """(key, lineno, marks): what points at each line."""
         return self.signals.where("lineno > 0").groupBy("key", "lineno").agg(F.sort_array(F.collect_list(F.concat_ws(": ", "kind", "text"))).alias("marks"))
 
-    @cached_property
+    @once
     def tested(self) -> DataFrame:
         """(key): what a test module imports."""
         return self.edges.where(is_test(F.col("src"))).select(F.col("dst").alias("key")).distinct()
 
-    @cached_property
+    @once
     def states(self) -> DataFrame:
         """(key, state): what is known of a module, the most certain first."""
         tested = self.tested.withColumn("tested", F.lit(True))
@@ -668,11 +692,11 @@ class Survey:
         state = summaries.first_match((F.coalesce("dead", F.lit(False)), "deadend"), (has("orphan") | has("unreached"), "maybe"), (has("syntax_error") | has("unreadable"), "broken"), (ok & ~real, "confirmed"), (ok, "tested"), (~real, "live"), default="unfinished")
         return self._stage(joined.select("key", state.alias("state")), "states")
 
-    @cached_property
+    @once
     def state_tally(self) -> DataFrame:
         return self.states.groupBy("state").agg(F.count("*").alias("modules"))
 
-    @cached_property
+    @once
     def scaffolds(self) -> DataFrame:
         """(key, qualname, lineno, text): what the syntax says of each definition: what it takes, calls, touches and returns, and who uses its module."""
         own = self.definitions.select("key", "qualname", "lineno", "end_lineno", "args", "returns", "body_kind")
@@ -694,13 +718,13 @@ class Survey:
         ]
         return joined.select(*place, F.concat_ws("\n", *lines).alias("text")).where("text <> ''")
 
-    @cached_property
+    @once
     def attempt_sentences(self) -> DataFrame:
         """(verdict, resume_at, stake, effort, copy): each group in words."""
         stake = T.stake_sentence(F.col("at_stake_lines"), F.col("resume_lines"), F.col("resume_percent").cast("string"), F.col("elsewhere_percent").cast("string"))
         return self.attempt_groups.select("verdict", "resume_at", stake.alias("stake"), T.effort_sentence(F.col("remaining_lines"), F.col("unwritten")).alias("effort"), T.copy_sentence(F.col("copy_of")).alias("copy"))
 
-    @cached_property
+    @once
     def opening(self) -> DataFrame:
         """(finding, coverage): the sentence worth reading first, and what the history covers; one row."""
         groups = self.attempt_groups.groupBy().agg(
@@ -720,13 +744,13 @@ class Survey:
 
     # --- maps
 
-    @cached_property
+    @once
     def in_folders(self) -> DataFrame:
         """(key, relpath, folder, loc) with a name for the top folder."""
         folder = F.regexp_extract("relpath", "^(.*)/[^/]*$", 1)
         return self.modules.select("key", "relpath", F.when(folder == "", TOP_FOLDER).otherwise(folder).alias("folder"), "loc")
 
-    @cached_property
+    @once
     def boxes(self) -> DataFrame:
         """(folder, modules, loc, columns, w, h, x, y): folders on shelves, the longest code first."""
         own = self._stage(geometry.boxes(self.in_folders), "boxes")
@@ -734,27 +758,27 @@ class Survey:
         placed = self.spark.createDataFrame(geometry.shelve(rows), "folder string, x int, y int")
         return self._stage(own.join(placed, "folder"), "placed")
 
-    @cached_property
+    @once
     def cards(self) -> DataFrame:
         """(key, folder, x, y): modules on the map."""
         return geometry.cards(self.in_folders, self.boxes)
 
-    @cached_property
+    @once
     def ribbon_paths(self) -> DataFrame:
         folder = self.in_folders.select("key", "folder")
         return geometry.ribbon_paths(relations.ribbons(self.edges, folder), self.boxes)
 
-    @cached_property
+    @once
     def layered_map(self) -> tuple[DataFrame, DataFrame]:
         """Places and elbows of a layered chart of all modules; see trowel.operators.geometry.layered."""
         return geometry.layered(self.layers, relations.without(self.modules.select("key"), self.layers.select(F.col("node").alias("key"))), self.edges)
 
-    @cached_property
+    @once
     def held_back(self) -> DataFrame:
         """(loader, modules, proven): what loads modules by name, so that they do not count as unused."""
         return self.loaded_by.groupBy("loader").agg(F.count("*").alias("modules"), F.count_if("proven").alias("proven"))
 
-    @cached_property
+    @once
     def folders(self) -> DataFrame:
         """(folder, modules, loc, state): roll-up with the most frequent state, ties to the most severe."""
         folder = F.regexp_extract("relpath", "^(.*)/[^/]*$", 1)
@@ -763,12 +787,12 @@ class Survey:
         mode = summaries.mode_by_severity(placed, "folder", "state", severity).select("folder", "state")
         return placed.groupBy("folder").agg(F.count("*").alias("modules"), F.sum("loc").alias("loc")).join(mode, "folder")
 
-    @cached_property
+    @once
     def ribbons(self) -> DataFrame:
         folder = self.modules.select("key", F.regexp_extract("relpath", "^(.*)/[^/]*$", 1).alias("folder"))
         return relations.ribbons(self.edges, folder)
 
-    @cached_property
+    @once
     def headline(self) -> DataFrame:
         """One row of counts; files on disk = modules + excluded + skipped."""
         excluded = sum(self.listing.excluded.values()) if self.listing else 0

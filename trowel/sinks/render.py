@@ -70,8 +70,8 @@ HISTORY = {
 }
 
 
-#: Sections that are read at a time.
-CONCURRENT = 6
+#: Sections that are made and read at a time: most of their time is planning and waiting for small jobs.
+CONCURRENT = 12
 
 
 def unwritable(paths: Iterable[str]) -> list[str]:
@@ -86,16 +86,18 @@ def unwritable(paths: Iterable[str]) -> list[str]:
 
 def _rows(df: DataFrame) -> list[dict]:
     """Rows of a result, encoded by Spark."""
-    return [json.loads(r.j) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()]
+    return [json.loads(r.j) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect()]
 
 
 def as_dict(survey: Survey) -> dict:
     sections = SECTIONS | (HISTORY if survey.commits is not None else {})
     listing = survey.listing
-    head = {"headline": _rows(survey.headline)[0], "excluded": dict(listing.excluded) if listing else {}, "skipped": listing.skipped if listing else 0, "history": _rows(survey.history_state)[0], "history_coverage": survey.opening.first().coverage}
-    tables = {k: f(survey) for k, f in sections.items()}  # tables that several use are staged here, in turn
-    with ThreadPoolExecutor(CONCURRENT) as pool:  # small jobs, most of whose time is planning
-        return head | dict(zip(tables, pool.map(_rows, tables.values()), strict=True))
+    heads = {"headline": lambda s: s.headline, "history": lambda s: s.history_state, "opening": lambda s: s.opening}
+    made = heads | sections
+    with ThreadPoolExecutor(CONCURRENT) as pool:
+        tables = dict(zip(made, pool.map(lambda f: _rows(f(survey)), made.values()), strict=True))
+    head = {"headline": tables.pop("headline")[0], "excluded": dict(listing.excluded) if listing else {}, "skipped": listing.skipped if listing else 0, "history": tables.pop("history")[0], "history_coverage": tables.pop("opening")[0]["coverage"]}
+    return head | tables
 
 
 def write_json(survey: Survey, path: str) -> None:
@@ -105,8 +107,9 @@ def write_json(survey: Survey, path: str) -> None:
 
 def write_tables(survey: Survey, folder: str) -> None:
     """Each section as Parquet, for surveys that no single document should hold."""
-    for name, f in (SECTIONS | (HISTORY if survey.commits is not None else {})).items():
-        f(survey).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+    sections = SECTIONS | (HISTORY if survey.commits is not None else {})
+    with ThreadPoolExecutor(CONCURRENT) as pool:
+        list(pool.map(lambda x: x[1](survey).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{x[0]}"), sections.items()))
 
 
 def _nodes(survey: Survey, limit: int | None) -> tuple[list, list, int]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import html
 import json
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,7 +129,7 @@ document.addEventListener('keydown', e => {
 
 def _lists(df: DataFrame, key: str, value: str) -> dict[str, list]:
     out = defaultdict(list)
-    for r in df.orderBy(key, value).toLocalIterator():
+    for r in df.orderBy(key, value).collect():
         out[r[key]].append(r[value])
     return out
 
@@ -137,7 +138,7 @@ def _capped(df: DataFrame, group: list[str], lines: str, text: str, most: int) -
     """{first of group: {second: {lines, more}}}."""
     out: dict[str, dict] = defaultdict(dict)
     top = summaries.top_n_more(df, group, [F.asc(lines), F.asc(text)], most)
-    for r in top.orderBy(*group, "rank").toLocalIterator():
+    for r in top.orderBy(*group, "rank").collect():
         out[r[group[0]]].setdefault(r[group[1]], {"lines": [], "more": r["more"]})["lines"].append([r[lines], r[text]])
     return out
 
@@ -160,16 +161,16 @@ def _cards(survey: Survey) -> list:
     ).orderBy("key").collect()
 
 
-def svg(survey: Survey) -> str:
+def svg(survey: Survey, cards: list | None = None) -> str:
     """The picture: every module has a card, every folder a box, and every pair of folders with imports a ribbon."""
     esc = html.escape
     boxes = survey.boxes.orderBy("y", "x").collect()
     height = max((b.y + b.h for b in boxes), default=0)
     out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{G.CHART_W}" height="{height}" role="img"><defs><marker id="end" viewBox="0 0 6 6" refX="6" refY="3" markerWidth="6" markerHeight="6" orient="auto"><path d="M0,0 L6,3 L0,6 z" fill="#888"/></marker></defs>']
     out += [f'<g><rect class="box" x="{b.x}" y="{b.y}" width="{b.w}" height="{b.h}" rx="6"/><text x="{b.x + G.BOX_PAD}" y="{b.y + 17}">{esc(b.folder)} ({b.modules}, {b.loc} lines)</text></g>' for b in boxes]
-    for r in survey.ribbon_paths.orderBy(F.desc("n"), "src_folder", "dst_folder").toLocalIterator():
+    for r in survey.ribbon_paths.orderBy(F.desc("n"), "src_folder", "dst_folder").collect():
         out.append(f'<path class="ribbon" data-n="{r.n}" stroke-width="{r.weight:.1f}" marker-end="url(#end)" d="M{r.sx:.1f},{r.sy:.1f} Q{r.mx:.1f},{r.my:.1f} {r.ex:.1f},{r.ey:.1f}"><title>{esc(r.src_folder)} imports {esc(r.dst_folder)}, {r.n} times</title></path>')
-    for c in _cards(survey):
+    for c in cards if cards is not None else _cards(survey):
         bar = max(2, round((G.CARD_W - 18) * c.share)) if c.share else 0
         out.append(
             f'<g class="node" data-name="{esc(c.key)}" data-state="{c.state}" tabindex="0" role="button" aria-label="{esc(c.key)}: {c.state}"><title>{esc(c.relpath)}</title>'
@@ -181,24 +182,27 @@ def svg(survey: Survey) -> str:
     return "".join(out) + "</svg>"
 
 
-def payload(survey: Survey) -> dict:
+def payload(survey: Survey, cards: list | None = None) -> dict:
     """What a click shows, by module; it can be put into a page by escaped_json."""
-    uses, used_by = _lists(survey.edges, "src", "dst"), _lists(survey.edges, "dst", "src")
-    outside = _lists(survey.external, "src", "root")
-    signals = _capped(survey.signals, ["key", "kind"], "lineno", "text", HITS)
-    links = _capped(survey.evidence, ["src", "dst"], "lineno", "text", EVIDENCE)
-    words = {r.resume_at: r for r in survey.attempt_sentences.where("verdict = 'restart'").toLocalIterator()}
+    asked = {
+        "cards": lambda: cards if cards is not None else _cards(survey), "uses": lambda: _lists(survey.edges, "src", "dst"), "used_by": lambda: _lists(survey.edges, "dst", "src"), "outside": lambda: _lists(survey.external, "src", "root"),
+        "signals": lambda: _capped(survey.signals, ["key", "kind"], "lineno", "text", HITS), "links": lambda: _capped(survey.evidence, ["src", "dst"], "lineno", "text", EVIDENCE),
+        "words": lambda: {r.resume_at: r for r in survey.attempt_sentences.where("verdict = 'restart'").collect()}, "verdicts": lambda: survey.verdicts.collect(), "loaded": lambda: survey.loaded_by.collect(),
+    }
+    with ThreadPoolExecutor(len(asked)) as pool:
+        got = dict(zip(asked, pool.map(lambda f: f(), asked.values()), strict=True))
+    cards, uses, used_by, outside, signals, links, words = (got[k] for k in ("cards", "uses", "used_by", "outside", "signals", "links", "words"))
     verdict = {}
-    for r in survey.verdicts.toLocalIterator():
+    for r in got["verdicts"]:
         said = words.get(r.key)
         verdict[r.key] = f"resume here: {said.stake}" + (f"; {said.effort}" if said.effort else "") if r.verdict == "resume" and said else f"{r.verdict}: {r.percent} % written; see {r.resume_at}"
-    loaded = {r.key: f"{r['name']}, {r.why}" + ("" if r.proven else " (inferred)") for r in survey.loaded_by.toLocalIterator()}
+    loaded = {r.key: f"{r['name']}, {r.why}" + ("" if r.proven else " (inferred)") for r in got["loaded"]}
     modules = {
         c.key: {
             "relpath": c.relpath, "state": c.state, "origin": c.origin, "loc": c.loc, "score": c.score, "uses": uses[c.key], "used_by": used_by[c.key], "external": outside[c.key][:OUTSIDE],
             "signals": signals[c.key], "links": links[c.key], "verdict": verdict.get(c.key), "loaded_by": loaded.get(c.key),
         }
-        for c in _cards(survey)
+        for c in cards
     }
     return {"modules": modules, "hides": TRACE_HIDES, "most": TRACE_MOST, "card": [G.CARD_W, G.CARD_H, G.CARD_GAP], "width": G.CHART_W}
 
@@ -210,6 +214,7 @@ def escaped_json(value: object) -> str:
 
 def html_map(survey: Survey, title: str = "survey") -> str:
     """One self-contained page: the picture, a panel, what a click shows, and the script that traces."""
+    cards = _cards(survey)
     opening = survey.opening.first()
     tally = {r.state: r.modules for r in survey.state_tally.collect()}
     held = survey.held_back.orderBy(F.desc("modules"), "loader").collect()
@@ -218,5 +223,5 @@ def html_map(survey: Survey, title: str = "survey") -> str:
     loaders = f"<p>{sum(h.modules for h in held)} modules are loaded by name: {esc(', '.join(f'{h.loader} ({h.modules})' for h in held))}; {sum(h.proven for h in held)} of them by declaration.</p>" if held else ""
     return (
         f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{esc(title)}</title><style>{STYLE}</style></head><body><main><h1>{esc(title)}</h1><p>{esc(opening.finding or "")}. {esc(opening.coverage or "")}</p><p>{states}</p>{loaders}<div id="picture">'
-        f'{svg(survey)}</div><svg xmlns="http://www.w3.org/2000/svg" id="trace"></svg></main><aside id="panel"></aside><script type="application/json" id="data">{escaped_json(payload(survey))}</script><script>{SCRIPT}</script></body></html>'
+        f'{svg(survey, cards)}</div><svg xmlns="http://www.w3.org/2000/svg" id="trace"></svg></main><aside id="panel"></aside><script type="application/json" id="data">{escaped_json(payload(survey, cards))}</script><script>{SCRIPT}</script></body></html>'
     )
