@@ -724,3 +724,11 @@ def test_sql_of_the_registry(spark):
         columns = [d[0] for d in cursor.description]
         assert sorted(columns) == sorted(df.columns), name
         assert sorted(tuple(str(dict(zip(columns, r))[c]) for c in sorted(columns)) for r in cursor.fetchall()) == sorted(tuple(str(r[c]) for c in sorted(columns)) for r in df.collect()), name
+
+
+def test_vectors_with_clashing_columns_and_a_tie_at_the_threshold(spark):
+    rows = [(0, "a", [5.0, 0.0]), (1, "a", [3.0, 4.0]), (2, "a", [0.0, 2.0]), (3, "b", [3.0, 4.0]), (4, None, [3.0, 4.0]), (5, "a", [5.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1, "x", 2.0, [3]) for r in rows], "vec_id long, label string, embedding array<double>, dense int, found string, copies double, shard array<int>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.dedup_vectors(df, 0.6).collect()}
+    # 3 / 5 is the threshold itself, and 4 / 5 above it
+    assert got == {0: (2, 0, True), 1: (3, 0, False), 2: (1, 0, False), 3: (0, 3, True), 4: (0, 4, True), 5: (2, 0, False)}
