@@ -59,24 +59,26 @@ def equal_sets(df: DataFrame, key: str, feature: str, min_size: int = 1) -> Data
 
 
 def weighted_overlap(left: DataFrame, right: DataFrame, least: int, where: Column | None = None) -> DataFrame:
-    """(a, b, n): keys of left(a, f, n, ..) and right(b, f, n, ..), one row a key and feature, whose least counts add up to least or more; where: a condition on their other columns, which are one value a key.
+    """(a, b): keys of left(a, f, n, ..) and right(b, f, n, ..), one row a key and feature, whose least counts add up to least or more; where: a condition on their other columns, which are one value a key.
 
-    Prefix filter: a count of n is n tokens, (feature, 1) to (feature, n), so least counts add up to common tokens. With
-    tokens in order of rarity, such a pair shares one that is not among the last least - 1 of either, so a key's most
-    frequent tokens bring no candidates; what else is common is added up for candidates alone.
+    Prefix filter: a count of n is n tokens of a feature. With tokens in order of their feature's rarity, such a pair
+    shares one that is not among the last least - 1 of either, so a key's most frequent tokens bring no candidates.
+    Candidates that do not reach least without these are counted with all of their features.
     """
-    tokens = lambda df: df.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
-    ours, theirs = tokens(left), tokens(right)
-    often = ours.select("f", "i").union(theirs.select("f", "i")).groupBy("f", "i").agg(F.count("*").alias("df"))
+    spark = left.sparkSession
+    often = left.select("f").union(right.select("f")).groupBy("f").agg(F.count("*").alias("df"))
 
     def prefix(df: DataFrame, key: str) -> DataFrame:
-        last = Window.partitionBy(key).orderBy(F.desc("df"), F.desc("f"), F.desc("i"))
-        return df.join(often, ["f", "i"]).withColumn("back", F.row_number().over(last)).where(F.col("back") >= least).drop("back", "df")
-
-    met = prefix(ours, "a").join(prefix(theirs, "b"), ["f", "i"])
-    pairs = (met if where is None else met.where(where)).select("a", "b").distinct()
-    common = pairs.join(left.select("a", "f", F.col("n").alias("x")), "a").join(right.select("b", "f", F.col("n").alias("y")), ["b", "f"])
-    return common.groupBy("a", "b").agg(F.sum(F.least("x", "y")).alias("n")).where(F.col("n") >= least)
+        later = Window.partitionBy(key).orderBy(F.desc("df"), F.desc("f")).rowsBetween(Window.unboundedPreceding, -1)
+        gone = F.greatest(F.lit(least - 1) - F.coalesce(F.sum("n").over(later), F.lit(0)), F.lit(0))
+        return df.join(often, "f").withColumn(f"{key}_n", F.col("n") - gone).where(F.col(f"{key}_n") > 0).drop("n", "df")
+
+    met = prefix(left, "a").join(prefix(right, "b"), "f")
+    counted = (met if where is None else met.where(where)).groupBy("a", "b").agg(F.sum(F.least("a_n", "b_n")).alias("n"))
+    counted = stage_table(spark, counted, "met")
+    common = counted.where(F.col("n") < least).select("a", "b").join(left.select("a", "f", F.col("n").alias("x")), "a").join(right.select("b", "f", F.col("n").alias("y")), ["b", "f"])
+    more = common.groupBy("a", "b").agg(F.sum(F.least("x", "y")).alias("n")).where(F.col("n") >= least)
+    return counted.where(F.col("n") >= least).select("a", "b").union(more.select("a", "b"))
 
 
 def divides(df: DataFrame, key: str, value: str, domain: DataFrame) -> DataFrame:

@@ -642,13 +642,16 @@ class Survey:
         top = top.join(key_of.toDF("item_a", "a"), "item_a").join(key_of.toDF("item_b", "b"), "item_b").select("a", "b")
         together = top.union(top.select("b", "a")).toDF("a", "b").join(stopped, "a").join(later, "b").where("b_at > a_at").select("a", "b", F.lit("co-change").alias("signal"))
         specific = alike.union(together).groupBy("a", "b").agg(F.collect_set("signal").alias("specific"))
-        reach = self.effects.groupBy("key").agg(F.collect_set("category").alias("reach"))
-        profile = self.modules.select("key", "ord", F.regexp_extract("key", r"^(.*)\.[^.]*$", 1).alias("folder")).join(reach, "key", "left")
+        bit = reduce(lambda c, kv: F.when(F.col("category") == kv[1], F.lit(1 << kv[0])).otherwise(c), enumerate(EFFECTS), F.lit(0))
+        reach = self.effects.groupBy("key").agg(F.bit_or(bit).alias("reach"))
+        folder = F.nullif(F.regexp_extract("key", r"^(.*)\.[^.]*$", 1), F.lit(""))
+        profile = self._stage(self.modules.select("key", "ord", folder.alias("folder")).join(reach, "key", "left"), "profile")
         of = lambda side: profile.select(F.col("ord").alias(side), F.col("key").alias(f"{side}_key"), F.col("folder").alias(f"{side}_folder"), F.col("reach").alias(f"{side}_reach"))
         joined = specific.join(of("a"), "a").join(of("b"), "b").join(later.select("b", "commits"), "b")
-        folder = F.when((F.col("a_folder") != "") & (F.col("a_folder") == F.col("b_folder")), F.lit("package"))
-        effects = F.when(F.arrays_overlap("a_reach", "b_reach"), F.lit("effects"))
-        found = joined.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), "commits", F.sort_array(F.concat("specific", F.array_compact(F.array(folder, effects)))).alias("signals")).where(F.size("signals") >= MIN_SIGNALS)
+        folder = F.when(F.col("a_folder") == F.col("b_folder"), F.lit("package"))
+        effects = F.when(F.col("a_reach").bitwiseAND(F.col("b_reach")) != 0, F.lit("effects"))
+        several = joined.where(F.size("specific") + F.when(folder.isNotNull(), 1).otherwise(0) + F.when(effects.isNotNull(), 1).otherwise(0) >= MIN_SIGNALS)
+        found = several.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), "commits", F.sort_array(F.concat("specific", F.array_compact(F.array(folder, effects)))).alias("signals"))
         kept = summaries.top_n_more(found, ["a"], [F.size("signals").desc(), F.desc("commits"), F.asc("b")], 3)
         return relations.hub_trim(kept, "a", "b").select(F.col("a").alias("stopped"), F.col("b").alias("continued"), "signals", "commits")
 
@@ -660,7 +663,8 @@ class Survey:
         lines = self.signals.where("lineno > 0").select("key", "lineno").union(self.definitions.select("key", "lineno")).distinct()
         first = summaries.top_n_more(lines.join(self.modules.select("key", "loc"), "key"), ["key"], [F.asc("lineno")], 160)
         merged = summaries.islands(first, ["key"], F.greatest(F.col("lineno") - 3, F.lit(1)), F.least(F.col("lineno") + 3, F.col("loc")), F.lit(1))
-        return summaries.top_n_more(merged, ["key"], [F.asc("island_start")], 40).select("key", F.col("island_start").alias("low"), F.col("island_end").alias("high"))
+        few = summaries.top_n_more(merged, ["key"], [F.asc("island_start")], 40)
+        return self._stage(few.select("key", F.col("island_start").alias("low"), F.col("island_end").alias("high")), "regions")
 
     @once
     def snippets(self) -> DataFrame:

@@ -94,8 +94,9 @@ def as_dict(survey: Survey) -> dict:
     listing = survey.listing
     heads = {"headline": lambda s: s.headline, "history": lambda s: s.history_state, "opening": lambda s: s.opening}
     made = heads | sections
-    with ThreadPoolExecutor(CONCURRENT) as pool:
-        tables = dict(zip(made, pool.map(lambda f: _rows(f(survey)), made.values()), strict=True))
+    with ThreadPoolExecutor(CONCURRENT) as pool:  # the last sections rest on most others
+        waiting = {name: pool.submit(lambda f=f: _rows(f(survey))) for name, f in reversed(made.items())}
+        tables = {name: waiting[name].result() for name in made}
     head = {"headline": tables.pop("headline")[0], "excluded": dict(listing.excluded) if listing else {}, "skipped": listing.skipped if listing else 0, "history": tables.pop("history")[0], "history_coverage": tables.pop("opening")[0]["coverage"]}
     return head | tables
 
