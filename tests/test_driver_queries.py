@@ -9,8 +9,6 @@ import __spark_entry__
 from trowel.plans import codebase_oracle, driver, findings, oracle
 
 QUERIES, SQL = driver.QUERIES | findings.QUERIES, oracle.SQL | codebase_oracle.SQL
-#: SQL has no sweeps over layers.
-WITHOUT_SQL = {"survey_layered"}
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -41,7 +39,7 @@ def test_query_equals_sql(spark, sql, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL) | WITHOUT_SQL
+    assert set(QUERIES) == set(SQL)
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="needs the driver's tables")
