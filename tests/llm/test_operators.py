@@ -717,7 +717,8 @@ def test_sql_of_the_registry(spark):
     from trowel.llm import registry
 
     con = duckdb.connect()
-    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
     for name, sql in registry.oracle_sql().items():
         df = registry.queries()[name](spark, "/root/testdata/sf0.001")
         cursor = con.execute(sql)
