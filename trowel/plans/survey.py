@@ -7,6 +7,7 @@ use are staged once. Every finding keeps its evidence, and says whether it is pr
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from threading import Lock, RLock
 
@@ -154,19 +155,23 @@ def follows_tests(key: Column, relpath: Column) -> Column:
 class Survey:
     """Findings over files(relpath, content, ord); the other tables are optional."""
 
-    def __init__(self, spark: SparkSession, files: DataFrame, listing: tree.Listing | None = None, commits: DataFrame | None = None, commit_files: DataFrame | None = None, renames: DataFrame | None = None, tracked: DataFrame | None = None, declared: DataFrame | None = None, prose: str = "", shallow: bool = False, paired: int | None = None) -> None:
-        """paired: commits from the newest on, numbered by ord, that count for co_change; None: all."""
+    def __init__(self, spark: SparkSession, files: DataFrame, listing: tree.Listing | None = None, commits: DataFrame | None = None, commit_files: DataFrame | None = None, renames: DataFrame | None = None, tracked: DataFrame | None = None, declared: DataFrame | None = None, prose: str = "", shallow: bool = False, paired: int | None = None, raw: DataFrame | None = None) -> None:
+        """paired: commits from the newest on, numbered by ord, that count for co_change; None: all. raw: the facts of files, where they are staged already."""
         self.spark, self.listing, self.prose, self.shallow, self.paired = spark, listing, prose, shallow, paired
         self.commits, self.commit_files, self.renames, self.tracked = commits, commit_files, renames, tracked
         self.declared = declared if declared is not None else spark.createDataFrame([], packaging.SCHEMA)
-        self.files, self.raw = files, stage_table(spark, facts.extract(files), "facts")
+        self.files, self.raw = files, raw if raw is not None else stage_table(spark, facts.extract(files), "facts")
 
     @classmethod
     def of_tree(cls, spark: SparkSession, root: str, with_history: bool = True, max_files: int = 5000) -> Survey:
         listing = tree.list_tree(root, max_files=max_files)
         history = with_history and gitlog.is_repo(root)
-        commits, commit_files, renames = gitlog.split_log(stage_table(spark, gitlog.log(spark, root), "log")) if history else (None, None, None)
-        return cls(spark, tree.read_files(spark, listing), listing, commits, commit_files, renames, stage_table(spark, gitlog.tracked(spark, root), "tracked") if history else None, packaging.declared(spark, root), tree.read_prose(listing), history and gitlog.is_shallow(root), CO_CHANGE_COMMITS)
+        files = tree.read_files(spark, listing)
+        with ThreadPoolExecutor(3) as pool:  # three jobs that need nothing of each other
+            raw = pool.submit(lambda: stage_table(spark, facts.extract(files), "facts"))
+            log, tracked = (pool.submit(lambda: stage_table(spark, gitlog.log(spark, root), "log")), pool.submit(lambda: stage_table(spark, gitlog.tracked(spark, root), "tracked"))) if history else (None, None)
+        commits, commit_files, renames = gitlog.split_log(log.result()) if history else (None, None, None)
+        return cls(spark, files, listing, commits, commit_files, renames, tracked.result() if history else None, packaging.declared(spark, root), tree.read_prose(listing), history and gitlog.is_shallow(root), CO_CHANGE_COMMITS, raw.result())
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
         return stage_table(self.spark, df, name)
@@ -627,13 +632,18 @@ class Survey:
         """
         at = self.touched.groupBy("path").agg(F.min("ord").alias("newest")).join(self.commits.select(F.col("ord").alias("newest"), "at"), "newest")
         last = self._stage(at.join(self.file_history.select("path", "commits"), "path").join(self.modules.select(F.col("relpath").alias("path"), "key", "ord"), "path").select("key", "ord", "path", "at", "commits"), "last")
+        later = self._stage(last.where(~follows_tests(F.col("key"), F.col("path"))).select(F.col("ord").alias("b"), F.col("at").alias("b_at"), "commits"), "later")
+        # modules by number and words by hash: pairs are many, and rows of numbers are cheap to add up
+        words = self._stage(self.definitions.select("key", F.explode(T.vocabulary(F.col("name"))).alias("word")).where(~F.col("word").isin(*COMMON_WORDS)).groupBy("key", F.xxhash64("word").alias("w")).agg(F.count("*").alias("n")).join(last.select("key", "ord"), "key"), "words")
+        bit = reduce(lambda c, kv: F.when(F.col("category") == kv[1], F.lit(1 << kv[0])).otherwise(c), enumerate(EFFECTS), F.lit(0))
+        reach = self.effects.groupBy("key").agg(F.bit_or(bit).alias("reach"))
+        place = F.nullif(F.regexp_extract("key", r"^(.*)\.[^.]*$", 1), F.lit(""))
+        profile = self._stage(self.modules.select("key", "ord", place.alias("folder")).join(reach, "key", "left"), "profile")
+        # what rests on signals comes last: they are made meanwhile
         enough = last.agg((F.count("*") >= MIN_FILES).alias("enough"))
         ranked = summaries.quiet_rank(last, "key", "at").where((F.col("later") >= QUIET_FILES) & ~is_test(F.col("key"))).join(last.select("key", "ord"), "key")
         unfinished = self.frontier.where(F.col("score") >= MIN_SCORE).select("key").union(self.orphans.select("key")).union(self.signals.where("kind = 'unreached'").select("key")).distinct()
         stopped = self._stage(ranked.join(unfinished, "key", "left_semi").join(F.broadcast(enough)).where("enough").select(F.col("ord").alias("a"), F.col("at").alias("a_at")), "stopped")  # enough is one row
-        later = self._stage(last.where(~follows_tests(F.col("key"), F.col("path"))).select(F.col("ord").alias("b"), F.col("at").alias("b_at"), "commits"), "later")
-        # modules by number and words by hash: pairs are many, and rows of numbers are cheap to add up
-        words = self._stage(self.definitions.select("key", F.explode(T.vocabulary(F.col("name"))).alias("word")).where(~F.col("word").isin(*COMMON_WORDS)).groupBy("key", F.xxhash64("word").alias("w")).agg(F.count("*").alias("n")).join(last.select("key", "ord"), "key"), "words")
         ours = words.select(F.col("ord").alias("a"), F.col("w").alias("f"), "n").join(stopped, "a")
         theirs = words.select(F.col("ord").alias("b"), F.col("w").alias("f"), "n").join(later.select("b", "b_at"), "b")
         alike = relations.weighted_overlap(ours, theirs, LIKE_WORDS, F.expr("b_at > a_at and a <> b")).select("a", "b", F.lit("vocabulary").alias("signal"))
@@ -642,10 +652,6 @@ class Survey:
         top = top.join(key_of.toDF("item_a", "a"), "item_a").join(key_of.toDF("item_b", "b"), "item_b").select("a", "b")
         together = top.union(top.select("b", "a")).toDF("a", "b").join(stopped, "a").join(later, "b").where("b_at > a_at").select("a", "b", F.lit("co-change").alias("signal"))
         specific = alike.union(together).groupBy("a", "b").agg(F.collect_set("signal").alias("specific"))
-        bit = reduce(lambda c, kv: F.when(F.col("category") == kv[1], F.lit(1 << kv[0])).otherwise(c), enumerate(EFFECTS), F.lit(0))
-        reach = self.effects.groupBy("key").agg(F.bit_or(bit).alias("reach"))
-        folder = F.nullif(F.regexp_extract("key", r"^(.*)\.[^.]*$", 1), F.lit(""))
-        profile = self._stage(self.modules.select("key", "ord", folder.alias("folder")).join(reach, "key", "left"), "profile")
         of = lambda side: profile.select(F.col("ord").alias(side), F.col("key").alias(f"{side}_key"), F.col("folder").alias(f"{side}_folder"), F.col("reach").alias(f"{side}_reach"))
         joined = specific.join(of("a"), "a").join(of("b"), "b").join(later.select("b", "commits"), "b")
         folder = F.when(F.col("a_folder") == F.col("b_folder"), F.lit("package"))

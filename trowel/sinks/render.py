@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import xml.etree.ElementTree as ET
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Window
@@ -84,26 +84,40 @@ def unwritable(paths: Iterable[str]) -> list[str]:
     return out
 
 
+def _texts(df: DataFrame) -> list[str]:
+    """Rows of a result as JSON, encoded by Spark."""
+    return [r.j for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect()]
+
+
 def _rows(df: DataFrame) -> list[dict]:
-    """Rows of a result, encoded by Spark."""
-    return [json.loads(r.j) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect()]
+    return [json.loads(j) for j in _texts(df)]
 
 
-def as_dict(survey: Survey) -> dict:
+def _sections(survey: Survey, read: Callable[[DataFrame], list]) -> tuple[dict, dict[str, list]]:
+    """The document's head, and its sections as read gives their rows."""
     sections = SECTIONS | (HISTORY if survey.commits is not None else {})
     listing = survey.listing
     heads = {"headline": lambda s: s.headline, "history": lambda s: s.history_state, "opening": lambda s: s.opening}
-    made = heads | sections
+    asked = {name: (f, _rows) for name, f in heads.items()} | {name: (f, read) for name, f in sections.items()}
     with ThreadPoolExecutor(CONCURRENT) as pool:  # the last sections rest on most others
-        waiting = {name: pool.submit(lambda f=f: _rows(f(survey))) for name, f in reversed(made.items())}
-        tables = {name: waiting[name].result() for name in made}
+        waiting = {name: pool.submit(lambda f=f, how=how: how(f(survey))) for name, (f, how) in reversed(asked.items())}
+        tables = {name: waiting[name].result() for name in asked}
     head = {"headline": tables.pop("headline")[0], "excluded": dict(listing.excluded) if listing else {}, "skipped": listing.skipped if listing else 0, "history": tables.pop("history")[0], "history_coverage": tables.pop("opening")[0]["coverage"]}
+    return head, tables
+
+
+def as_dict(survey: Survey) -> dict:
+    head, tables = _sections(survey, _rows)
     return head | tables
 
 
 def write_json(survey: Survey, path: str) -> None:
+    """The document as_dict gives, a line a row; rows are written as Spark encodes them, so Python holds no objects of them."""
+    head, tables = _sections(survey, _texts)
+    parts = [f"{json.dumps(name)}: {json.dumps(value)}" for name, value in head.items()]
+    parts += [f"{json.dumps(name)}: [" + ",".join(f"\n  {row}" for row in rows) + "\n]" for name, rows in tables.items()]
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(as_dict(survey), f, indent=2, default=str)
+        f.write("{\n" + ",\n".join(parts) + "\n}\n")
 
 
 def write_tables(survey: Survey, folder: str) -> None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import html
 import json
 from collections import defaultdict
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
@@ -161,8 +162,8 @@ def _cards(survey: Survey) -> list:
     ).orderBy("key").collect()
 
 
-def svg(survey: Survey, cards: list | None = None) -> str:
-    """The picture: every module has a card, every folder a box, and every pair of folders with imports a ribbon."""
+def svg(survey: Survey, cards: Callable[[], list] | None = None) -> str:
+    """The picture: every module has a card, every folder a box, and every pair of folders with imports a ribbon. cards: gives what _cards does."""
     esc = html.escape
     boxes = survey.boxes.orderBy("y", "x").collect()
     height = max((b.y + b.h for b in boxes), default=0)
@@ -170,7 +171,7 @@ def svg(survey: Survey, cards: list | None = None) -> str:
     out += [f'<g><rect class="box" x="{b.x}" y="{b.y}" width="{b.w}" height="{b.h}" rx="6"/><text x="{b.x + G.BOX_PAD}" y="{b.y + 17}">{esc(b.folder)} ({b.modules}, {b.loc} lines)</text></g>' for b in boxes]
     for r in survey.ribbon_paths.orderBy(F.desc("n"), "src_folder", "dst_folder").collect():
         out.append(f'<path class="ribbon" data-n="{r.n}" stroke-width="{r.weight:.1f}" marker-end="url(#end)" d="M{r.sx:.1f},{r.sy:.1f} Q{r.mx:.1f},{r.my:.1f} {r.ex:.1f},{r.ey:.1f}"><title>{esc(r.src_folder)} imports {esc(r.dst_folder)}, {r.n} times</title></path>')
-    for c in cards if cards is not None else _cards(survey):
+    for c in cards() if cards else _cards(survey):
         bar = max(2, round((G.CARD_W - 18) * c.share)) if c.share else 0
         out.append(
             f'<g class="node" data-name="{esc(c.key)}" data-state="{c.state}" tabindex="0" role="button" aria-label="{esc(c.key)}: {c.state}"><title>{esc(c.relpath)}</title>'
@@ -182,10 +183,10 @@ def svg(survey: Survey, cards: list | None = None) -> str:
     return "".join(out) + "</svg>"
 
 
-def payload(survey: Survey, cards: list | None = None) -> dict:
+def payload(survey: Survey, cards: Callable[[], list] | None = None) -> dict:
     """What a click shows, by module; it can be put into a page by escaped_json."""
     asked = {
-        "cards": lambda: cards if cards is not None else _cards(survey), "uses": lambda: _lists(survey.edges, "src", "dst"), "used_by": lambda: _lists(survey.edges, "dst", "src"), "outside": lambda: _lists(survey.external, "src", "root"),
+        "cards": cards or (lambda: _cards(survey)), "uses": lambda: _lists(survey.edges, "src", "dst"), "used_by": lambda: _lists(survey.edges, "dst", "src"), "outside": lambda: _lists(survey.external, "src", "root"),
         "signals": lambda: _capped(survey.signals, ["key", "kind"], "lineno", "text", HITS), "links": lambda: _capped(survey.evidence, ["src", "dst"], "lineno", "text", EVIDENCE),
         "words": lambda: {r.resume_at: r for r in survey.attempt_sentences.where("verdict = 'restart'").collect()}, "verdicts": lambda: survey.verdicts.collect(), "loaded": lambda: survey.loaded_by.collect(),
     }
@@ -214,14 +215,15 @@ def escaped_json(value: object) -> str:
 
 def html_map(survey: Survey, title: str = "survey") -> str:
     """One self-contained page: the picture, a panel, what a click shows, and the script that traces."""
-    cards = _cards(survey)
-    opening = survey.opening.first()
-    tally = {r.state: r.modules for r in survey.state_tally.collect()}
-    held = survey.held_back.orderBy(F.desc("modules"), "loader").collect()
+    asked = [lambda: _cards(survey), lambda: survey.opening.first(), lambda: {r.state: r.modules for r in survey.state_tally.collect()}, lambda: survey.held_back.orderBy(F.desc("modules"), "loader").collect()]
+    with ThreadPoolExecutor(len(asked) + 2) as pool:
+        cards, *rest = (pool.submit(f) for f in asked)
+        picture, shown = pool.submit(svg, survey, cards.result), pool.submit(payload, survey, cards.result)
+    opening, tally, held = (f.result() for f in rest)
     esc = html.escape
     states = "".join(f'<button class="chip" data-state="{s}" aria-pressed="false" style="border-color:{COLOURS[s]}">{s} {tally[s]}</button>' for s in COLOURS if s in tally)
     loaders = f"<p>{sum(h.modules for h in held)} modules are loaded by name: {esc(', '.join(f'{h.loader} ({h.modules})' for h in held))}; {sum(h.proven for h in held)} of them by declaration.</p>" if held else ""
     return (
         f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{esc(title)}</title><style>{STYLE}</style></head><body><main><h1>{esc(title)}</h1><p>{esc(opening.finding or "")}. {esc(opening.coverage or "")}</p><p>{states}</p>{loaders}<div id="picture">'
-        f'{svg(survey, cards)}</div><svg xmlns="http://www.w3.org/2000/svg" id="trace"></svg></main><aside id="panel"></aside><script type="application/json" id="data">{escaped_json(payload(survey, cards))}</script><script>{SCRIPT}</script></body></html>'
+        f'{picture.result()}</div><svg xmlns="http://www.w3.org/2000/svg" id="trace"></svg></main><aside id="panel"></aside><script type="application/json" id="data">{escaped_json(shown.result())}</script><script>{SCRIPT}</script></body></html>'
     )
