@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 PACKAGE_ROOT = Path(__file__).resolve().parent
 
 _shipped: set[str] = set()
+_shipping = Lock()
 _local_stage: list[str] = []
 
 
@@ -34,21 +36,22 @@ def build_session(app: str = "trowel", cores: str = "*", shuffle_partitions: int
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable by Python workers that do not have it on their path."""
+    """Makes this package importable by Python workers that do not have it on their path; once, also if several threads ask."""
     parent = str(PACKAGE_ROOT.parent)
     if parent in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    target = Path(tempfile.mkdtemp(prefix="trowel-ship-")) / "trowel_pkg.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(PACKAGE_ROOT.rglob("*.py")):
-            z.write(p, str(p.relative_to(PACKAGE_ROOT.parent)))
-    spark.sparkContext.addPyFile(str(target))
-    if parent not in sys.path:
-        sys.path.insert(0, parent)
-    _shipped.add(app)
+    with _shipping:
+        if app in _shipped:
+            return
+        target = Path(tempfile.mkdtemp(prefix="trowel-ship-")) / "trowel_pkg.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(PACKAGE_ROOT.rglob("*.py")):
+                z.write(p, str(p.relative_to(PACKAGE_ROOT.parent)))
+        spark.sparkContext.addPyFile(str(target))
+        if parent not in sys.path:
+            sys.path.insert(0, parent)
+        _shipped.add(app)
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -58,8 +61,9 @@ def stage_root(spark: SparkSession) -> str:
         return set_dir.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _local_stage:
-        _local_stage.append("file://" + tempfile.mkdtemp(prefix="trowel-stage-"))
+    with _shipping:
+        if not _local_stage:
+            _local_stage.append("file://" + tempfile.mkdtemp(prefix="trowel-stage-"))
     return _local_stage[0]
 
 
