@@ -252,6 +252,26 @@ def test_packaging(spark, tmp_path):
     assert packaging.declared(spark, str(tmp_path)).count() == 0
 
 
+def test_packaging_of_many_projects(spark, tmp_path):
+    from trowel.sources import packaging
+
+    files = {
+        "a/pyproject.toml": b'[project.scripts]\nrun = "m.cli:main"\n', "a/setup.cfg": b"[options.entry_points]\r\nconsole_scripts =\r\n    old = m.cli:old\r\n    x = m.x\r\n",
+        "b/pyproject.toml": b"project = 3\n", "c/pyproject.toml": b'[project]\nscripts = "no table"\nentry-points = ["none"]\n', "d/setup.cfg": b"\xff[", "e/pyproject.toml": b"", "e/setup.cfg": None, "f/notes.txt": b'[project.scripts]\nrun = "n.cli"\n',
+        "pyproject.toml": '[project.scripts]\n"\u00fc" = "top"\n'.encode(),
+    }
+    table = spark.createDataFrame([(p, c, 1) for p, c in [*files.items(), ("a/setup.cfg", files["a/setup.cfg"])]], "relpath string, content binary, rank int")
+    got = sorted(tuple(r) for r in packaging.declared_in(table).collect())
+    assert got == [("", "top", "top", "scripts", "pyproject.toml", "\u00fc"), ("a", "m.cli", "m.cli:main", "scripts", "pyproject.toml", "run"), ("a", "m.x", "m.x", "console_scripts", "setup.cfg", "x")]
+    assert packaging.declared_in(table.limit(0)).count() == 0
+    for name in ("a", "b", "c", "d", "e"):  # one project by the same rule
+        (tmp_path / name).mkdir()
+        for path, content in files.items():
+            if path.startswith(f"{name}/") and content is not None:
+                (tmp_path / path).write_bytes(content)
+        assert sorted(r.module for r in packaging.declared(spark, str(tmp_path / name)).collect()) == sorted(m for project, m, *_ in got if project == name)
+
+
 def test_dropped_paths(tmp_path):
     write(tmp_path, {"a/m.py": "", "b/n.py": ""})
     a, b = str(tmp_path / "a"), str(tmp_path / "b")

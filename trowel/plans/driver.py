@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trowel.functions import text as T
 from trowel.operators import graph, relations, summaries
 from trowel.session import stage_table
+from trowel.sources import packaging
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -342,6 +343,22 @@ def escaped_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.escape_html(F.col("html")).alias("escaped"))
 
 
+@query
+def declared_entries(spark, sf_dir):
+    """Entry points that the packaging files of as many projects as there are parts declare; some files are missing, some broken."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))).alias("b"))
+    toml = F.format_string(
+        '[project]\nname = "p%1$d"\n[project.scripts]\nrun = "%2$s.cli:main"\nbroken = "no module!"\n"odd name" = " %2$s.tool : run [extra] "\ncount = %1$d\n'
+        '[project.gui-scripts]\nshow = "%2$s.gui"\n[project.entry-points."some.plugins"]\nagain = "%2$s.cli:other"\nplug = "%2$s.plugins.m%1$d:hook"\n', "p_partkey", "b"
+    )
+    toml = F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("[project\n"), toml)).otherwise(toml)
+    cfg = F.format_string("[metadata]\nname = p%1$d\n[options.entry_points]\nconsole_scripts =\n    run = %2$s.cli:start\n    work = %2$s.work_%1$d:work\n    a lost line\nother.group =\n    tool = %2$s.tool\n", "p_partkey", "b")
+    folder = F.concat(F.lit("projects/p"), "p_partkey")
+    files = part.where("p_size % 3 <> 2").select(F.concat(folder, F.lit("/pyproject.toml")).alias("relpath"), toml.alias("content"))
+    files = files.union(part.where("p_size % 3 <> 0").select(F.concat(folder, F.lit("/setup.cfg")), cfg))
+    return packaging.declared_in(files.withColumn("content", F.encode("content", "UTF-8")))
+
+
 @query
 def module_names(spark, sf_dir):
     """Dotted names of source paths made of part numbers."""

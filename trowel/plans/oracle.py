@@ -202,6 +202,19 @@ SELECT event_type, rpad(repeat('#', CAST(greatest(1, round_even(n / most * 20, 0
 FROM (SELECT event_type, count(*) AS n, max(count(*)) OVER () AS most FROM events GROUP BY event_type)""",
     "escaped_html": """
 SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""",
+    "declared_entries": """
+      WITH p AS (SELECT p_partkey AS k, lower(replace(p_brand, '#', '_')) AS b, p_size FROM part),
+      written AS (
+        SELECT k, 1 AS place, b || '.cli' AS module, b || '.cli:main' AS spec, 'scripts' AS "by", 'pyproject.toml' AS source, 'run' AS name FROM p
+        UNION ALL SELECT k, 2, b || '.tool', b || '.tool : run [extra]', 'scripts', 'pyproject.toml', 'odd name' FROM p
+        UNION ALL SELECT k, 3, b || '.gui', b || '.gui', 'gui-scripts', 'pyproject.toml', 'show' FROM p
+        UNION ALL SELECT k, 4, b || '.cli', b || '.cli:other', 'some.plugins', 'pyproject.toml', 'again' FROM p
+        UNION ALL SELECT k, 5, b || '.plugins.m' || k, b || '.plugins.m' || k || ':hook', 'some.plugins', 'pyproject.toml', 'plug' FROM p
+        UNION ALL SELECT k, 6, b || '.cli', b || '.cli:start', 'console_scripts', 'setup.cfg', 'run' FROM p
+        UNION ALL SELECT k, 7, b || '.work_' || k, b || '.work_' || k || ':work', 'console_scripts', 'setup.cfg', 'work' FROM p
+        UNION ALL SELECT k, 8, b || '.tool', b || '.tool', 'other.group', 'setup.cfg', 'tool' FROM p),
+      legible AS (SELECT w.* FROM written w JOIN p USING (k) WHERE CASE source WHEN 'setup.cfg' THEN p_size % 3 <> 0 ELSE p_size % 3 <> 2 AND p_size % 7 <> 0 END)
+      SELECT 'projects/p' || k AS project, module, arg_min(spec, place) AS spec, arg_min("by", place) AS "by", arg_min(source, place) AS source, arg_min(name, place) AS name FROM legible GROUP BY k, module""",
     "module_names": """
 SELECT p_partkey, 'pkg.' || lower(replace(p_brand, '#', '_')) || CASE WHEN p_size % 5 = 0 THEN '' ELSE '.m' || p_partkey END AS dotted FROM part""",
 }
