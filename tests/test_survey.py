@@ -8,7 +8,9 @@ import xml.etree.ElementTree as ET
 import pytest
 from pyspark.sql import functions as F
 
+from trowel.plans import survey as plans
 from trowel.plans.survey import Survey
+from trowel.session import spread
 from trowel.sinks import render
 from trowel.sources import facts, tree
 
@@ -413,3 +415,32 @@ def test_map_has_a_chip_for_each_state_and_room_for_a_trace(survey):
     assert 'id="trace"' in page and "e.key === ' '" in page and "'Escape'" in page
     data = json.loads(page.split('id="data">')[1].split("</script>")[0])
     assert data["card"] == [152, 72, 10] and data["width"] == 1350 and data["hides"] == ["deadend", "broken"]
+
+
+def test_rows_are_dealt_to_all_cores_and_then_to_more_tasks_than_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few, many = spark.range(1000).coalesce(1), spark.range(100_000).coalesce(1)
+    assert spread(few, "id", 4000).rdd.getNumPartitions() == 2
+    assert spread(few, "id", 1000).rdd.getNumPartitions() == min(cores, 8)
+    assert spread(many, "id", 1000).rdd.getNumPartitions() == 100
+    assert spread(many, "id", 1000).count() == 100_000
+
+
+def test_a_survey_parses_only_when_a_finding_needs_facts(spark, monkeypatch):
+    files = spark.createDataFrame([("a.py", b"def f():\n    return 1\n", 0)], "relpath string, content binary, ord long")
+    staged = []
+    monkeypatch.setattr(plans, "stage_table", lambda s, df, name: staged.append(name) or df)
+    found = Survey(spark, files)
+    assert staged == [] and found.files.count() == 1
+    assert [r.key for r in found.modules.select("key").collect()] == ["a"] and staged == ["modules"]
+
+
+def test_what_is_returned_within_a_definition_counts_for_all_around_it():
+    text = "class A:\n    def f(self):\n        def g():\n            return 1\n    def h(self):\n        return\nasync def k(): pass\n"
+    assert [(d["name"], d["returns"]) for d in facts.file_facts("a.py", text.encode())["definitions"]] == [("A", True), ("f", True), ("g", True), ("h", False), ("k", False)]
+
+
+def test_files_are_handed_over_in_batches(spark):
+    rows = [(f"m{i}.py", f"x{i} = 1\n".encode(), i) for i in range(600)]
+    found = facts.extract(spark.createDataFrame(rows, "relpath string, content binary, ord long").coalesce(1)).select("relpath", "ord", "loc")
+    assert sorted(map(tuple, found.collect())) == sorted((r, o, 1) for r, _, o in rows)
