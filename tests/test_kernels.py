@@ -302,3 +302,14 @@ def test_weighted_overlap_is_that_of_all_pairs(spark):
         assert rows(relations.weighted_overlap(frame(ours, "a"), frame(theirs, "b"), least)) == want
     some = rows(relations.weighted_overlap(frame(ours, "a"), frame(theirs, "b"), 2, F.expr("a_size < b_size")))
     assert some == sorted((a, b) for a, x in ours.items() for b, y in theirs.items() if alike(x, y) >= 2 and len(a) < len(b))
+
+
+def test_rows_that_few_surpass_stay_and_most_others_go(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = [(i, i % 3 or None, draw.randrange(40), (draw.randrange(30), f"k{i:04d}")) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, g int, at int, rank struct<c: int, k: string>")
+    kept = {r.id for r in relations.surpassed_by_few(df, ["g"], "at", "rank", 3).collect()}
+    few = {i for i, g, at, rank in rows if sum(g == h and t >= at and s < rank for _, h, t, s in rows) < 3}
+    assert few <= kept and len(kept) <= 200
