@@ -1,11 +1,13 @@
 """Kernels on small tables, with the edge cases that the driver's tables do not have."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from trowel.functions import text as T
+from trowel.plans import driver
 from trowel.operators import geometry, graph, relations, summaries
 
 
@@ -313,3 +315,20 @@ def test_rows_that_few_surpass_stay_and_most_others_go(spark):
     kept = {r.id for r in relations.surpassed_by_few(df, ["g"], "at", "rank", 3).collect()}
     few = {i for i, g, at, rank in rows if sum(g == h and t >= at and s < rank for _, h, t, s in rows) < 3}
     assert few <= kept and len(kept) <= 200
+
+
+def test_lines_are_digests_before_they_are_shuffled(spark, tmp_path):
+    rows = [(1, "  same line \nsame line\nabc\nother"), (1, "other"), (2, "same line"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = driver._digests(spark, str(tmp_path))
+    want = sorted((d, hashlib.md5(x.encode()).digest()) for d, x in ((1, "same line"), (1, "other"), (2, "same line")))
+    assert sorted((r.doc_id, bytes(r.line)) for r in found.collect()) == want
+
+
+def test_overlap_pairs_keeps_only_features_that_several_keys_have(spark, monkeypatch):
+    staged = {}
+    monkeypatch.setattr(relations, "stage_table", lambda s, df, name: staged.setdefault(name, df))
+    rows = [(k, f) for k in range(3) for f in (1, 2, 3, 100 + k, 200 + k)]
+    found = relations.overlap_pairs(spark.createDataFrame(rows, "k int, f int"), "k", "f", 3)
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 3), (0, 2, 3), (1, 2, 3)]
+    assert sorted(r.f for r in staged["often"].collect()) == [1, 2, 3] and staged["ranked"].count() == 9

@@ -107,21 +107,27 @@ def _lines(spark, sf_dir) -> DataFrame:
     return docs.select("doc_id", F.trim("line").alias("line")).where(F.length("line") >= 4).distinct()
 
 
+def _digests(spark, sf_dir) -> DataFrame:
+    """Distinct lines of documents as digests of 16 bytes, made before anything is shuffled; staged."""
+    each = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)), lambda x: F.length(x) >= 4), lambda x: F.unhex(F.md5(x))))
+    return stage_table(spark, table(spark, sf_dir, "documents").select("doc_id", F.explode(each).alias("line")).distinct(), "lines")
+
+
 def _facts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Line digests of documents, and members (component, doc_id) of overlapping documents."""
-    lines = stage_table(spark, _lines(spark, sf_dir).select("doc_id", F.md5("line").alias("line")), "lines")
+    lines = _digests(spark, sf_dir)
     members = graph.components(relations.overlap_links(lines, "doc_id", "line", 3)).select("component", F.col("node").alias("doc_id"))
     return lines, stage_table(spark, members, "members")
 
 
 @query
 def overlap_pairs(spark, sf_dir):
-    return relations.overlap_pairs(_lines(spark, sf_dir), "doc_id", "line", 3)
+    return relations.overlap_pairs(_digests(spark, sf_dir), "doc_id", "line", 3)
 
 
 @query
 def attempt_components(spark, sf_dir):
-    return graph.components(relations.overlap_links(_lines(spark, sf_dir), "doc_id", "line", 3)).select(F.col("node").alias("doc_id"), "component")
+    return graph.components(relations.overlap_links(_digests(spark, sf_dir), "doc_id", "line", 3)).select(F.col("node").alias("doc_id"), "component")
 
 
 @query
@@ -156,7 +162,7 @@ def lineage(spark, sf_dir):
 
 @query
 def salvage_counterpart(spark, sf_dir):
-    lines, _ = _facts(spark, sf_dir)
+    lines = _digests(spark, sf_dir)
     labelled = table(spark, sf_dir, "labels").select("doc_id").distinct()
     mine = lines.join(labelled, "doc_id", "left_anti").withColumnRenamed("doc_id", "mine")
     live = lines.join(labelled, "doc_id", "left_semi").withColumnRenamed("doc_id", "counterpart")
