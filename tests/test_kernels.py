@@ -332,3 +332,13 @@ def test_overlap_pairs_keeps_only_features_that_several_keys_have(spark, monkeyp
     found = relations.overlap_pairs(spark.createDataFrame(rows, "k int, f int"), "k", "f", 3)
     assert sorted(map(tuple, found.collect())) == [(0, 1, 3), (0, 2, 3), (1, 2, 3)]
     assert sorted(r.f for r in staged["often"].collect()) == [1, 2, 3] and staged["ranked"].count() == 9
+
+
+def test_renames_of_one_name_are_not_each_compared_with_all_later_ones(spark, monkeypatch):
+    seen = []
+    chase = graph.pointer_chase
+    monkeypatch.setattr(graph, "pointer_chase", lambda links, *names: seen.append(links._jdf.queryExecution().optimizedPlan().toString().lower()) or chase(links, *names))
+    events = [("a", "hub"), ("hub", "b"), ("c", "hub"), ("d", "hub"), ("hub", "e"), ("b", "hub")]
+    log = spark.createDataFrame([(i, *e) for i, e in enumerate(events)], "ord long, old string, new string")
+    assert dict(rows(graph.rename_chain(log))) == renamed(events)
+    assert "window" in seen[0] and "unboundedfollowing" not in seen[0]
