@@ -444,3 +444,17 @@ def test_files_are_handed_over_in_batches(spark):
     rows = [(f"m{i}.py", f"x{i} = 1\n".encode(), i) for i in range(600)]
     found = facts.extract(spark.createDataFrame(rows, "relpath string, content binary, ord long").coalesce(1)).select("relpath", "ord", "loc")
     assert sorted(map(tuple, found.collect())) == sorted((r, o, 1) for r, _, o in rows)
+
+
+def test_comments_are_found_without_a_tokenizer_where_strings_hold_no_code(monkeypatch):
+    plain = ["", "x = 1", "# a", "  # a\nx = '#'  # b\n", 'x = """\n# no\n\\"""#"""  # yes', "x = '\\'#' # c", "g'#'#d", 'r"\\#" # e', "'' # f\n\"\" # g", "x = (\n    1,  # h\n    # i\n)", "\u00e9 = '''#''\\'#'''\n# j"]
+    hard = ['f"{x}" # a', "rF'#{1}' # b", "x = 1 + \\\n1 # c\n", "x = 1 # d\r\ny = 2 # e\r\n"]
+    assert [facts.comments_in(x) for x in plain] == [facts.comments_of(x)[0] for x in plain] and all(facts.comments_in(x) is None for x in hard)
+    sound = ["# a\nx = '#'  # b\n", 'x = """\n# no\n"""  # TODO: c\n']
+    wanted = [facts.file_facts("a.py", x.encode()) for x in sound]
+
+    def refuse(readline):
+        raise AssertionError("tokenized")
+
+    monkeypatch.setattr(facts.tokenize, "generate_tokens", refuse)
+    assert [facts.file_facts("a.py", x.encode()) for x in sound] == wanted
