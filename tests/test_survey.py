@@ -446,6 +446,19 @@ def test_files_are_handed_over_in_batches(spark):
     assert sorted(map(tuple, found.collect())) == sorted((r, o, 1) for r, _, o in rows)
 
 
+def test_what_needs_paths_alone_parses_nothing(spark, monkeypatch):
+    def refuse(files):
+        raise AssertionError("parsed")
+
+    monkeypatch.setattr(facts, "extract", refuse)
+    files = spark.createDataFrame([("a/__init__.py", b"", 0), ("a/test_b.py", b"x = 1", 1), ("a/c.py", b"def (", 2)], "relpath string, content binary, ord long")
+    commits = spark.createDataFrame([(1, "c1", 0, "n", "first")], "ord long, sha string, at long, author string, subject string")
+    touched = spark.createDataFrame([(1, "a/c.py"), (1, "gone.py")], "ord long, path string")
+    own = Survey(spark, files, commits=commits, commit_files=touched)
+    assert {(r.loader, r.modules, r.proven) for r in own.held_back.collect()} == {("the import system", 1, 0), ("a test runner", 1, 0)}
+    assert column(own.file_history, "path") == {"a/c.py"}
+
+
 def test_comments_are_found_without_a_tokenizer_where_strings_hold_no_code(monkeypatch):
     plain = ["", "x = 1", "# a", "  # a\nx = '#'  # b\n", 'x = """\n# no\n\\"""#"""  # yes', "x = '\\'#' # c", "g'#'#d", 'r"\\#" # e', "'' # f\n\"\" # g", "x = (\n    1,  # h\n    # i\n)", "\u00e9 = '''#''\\'#'''\n# j"]
     hard = ['f"{x}" # a', "rF'#{1}' # b", "x = 1 + \\\n1 # c\n", "x = 1 # d\r\ny = 2 # e\r\n"]
