@@ -342,3 +342,14 @@ def test_renames_of_one_name_are_not_each_compared_with_all_later_ones(spark, mo
     log = spark.createDataFrame([(i, *e) for i, e in enumerate(events)], "ord long, old string, new string")
     assert dict(rows(graph.rename_chain(log))) == renamed(events)
     assert "window" in seen[0] and "unboundedfollowing" not in seen[0]
+
+
+def test_pairs_are_counted_by_more_tasks_where_rows_are_more(spark, monkeypatch):
+    given = [(g, i) for g in range(300) for i in (g % 7, g % 5 + 10, g % 3 + 20, None)] + [(None, 1), (0, 0), (0, 0)] + [(999, i) for i in range(26)]
+    df = spark.createDataFrame(given, "g long, i long")
+    want = rows(relations.co_occurrence(df, "g", "i"))
+    assert sum(n for *_, n in want) == 900 and not any(b > 25 for _, b, _ in want)
+    monkeypatch.setattr(relations, "PAIRED_EACH", 50)
+    monkeypatch.setattr(relations, "COUNTED_EACH", 100)
+    many = relations.co_occurrence(df, "g", "i")
+    assert rows(many) == want and many.rdd.getNumPartitions() == -(-len(given) // 100)
