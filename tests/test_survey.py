@@ -471,3 +471,21 @@ def test_comments_are_found_without_a_tokenizer_where_strings_hold_no_code(monke
 
     monkeypatch.setattr(facts.tokenize, "generate_tokens", refuse)
     assert [facts.file_facts("a.py", x.encode()) for x in sound] == wanted
+
+
+def test_sections_are_made_side_by_side(monkeypatch):
+    from threading import Barrier
+
+    together = Barrier(2, timeout=20)
+
+    class Rows:
+        def count(self):
+            return 3
+
+    def made(s):
+        together.wait()  # breaks where one is made after the other
+        return Rows()
+
+    monkeypatch.setattr(render, "SECTIONS", {"a": made})
+    monkeypatch.setattr(render, "HISTORY", {"b": made})
+    assert render.section_sizes(None) == [("a", 3), ("b", 3)]
