@@ -353,3 +353,11 @@ def test_pairs_are_counted_by_more_tasks_where_rows_are_more(spark, monkeypatch)
     monkeypatch.setattr(relations, "COUNTED_EACH", 100)
     many = relations.co_occurrence(df, "g", "i")
     assert rows(many) == want and many.rdd.getNumPartitions() == -(-len(given) // 100)
+
+
+def test_staged_features_are_not_staged_again(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f) for k in range(4) for f in range(k, k + 4)] + [(None, 1), (1, None)], "k long, f long")
+    want = rows(relations.overlap_pairs(df, "k", "f", 3))
+    names, stage = [], relations.stage_table
+    monkeypatch.setattr(relations, "stage_table", lambda s, d, name: names.append(name) or stage(s, d, name))
+    assert rows(relations.overlap_pairs(df, "k", "f", 3, staged=True)) == want == [(0, 1, 3), (1, 2, 3), (2, 3, 3)] and "features" not in names

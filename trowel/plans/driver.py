@@ -122,7 +122,7 @@ def _facts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 @query
 def overlap_pairs(spark, sf_dir):
-    return relations.overlap_pairs(_digests(spark, sf_dir), "doc_id", "line", 3)
+    return relations.overlap_pairs(_digests(spark, sf_dir), "doc_id", "line", 3, staged=True)
 
 
 @query
@@ -167,7 +167,7 @@ def salvage_counterpart(spark, sf_dir):
     mine = lines.join(labelled, "doc_id", "left_anti").withColumnRenamed("doc_id", "mine")
     live = lines.join(labelled, "doc_id", "left_semi").withColumnRenamed("doc_id", "counterpart")
     # the pairs are those of overlap_pairs: three shared lines at least
-    pairs = relations.overlap_pairs(lines, "doc_id", "line", 3)
+    pairs = relations.overlap_pairs(lines, "doc_id", "line", 3, staged=True)
     both = pairs.union(pairs.select("b", "a", "shared")).toDF("mine", "counterpart", "shared")
     wanted = both.join(mine.select("mine").distinct(), "mine", "left_semi").join(live.select("counterpart").distinct(), "counterpart", "left_semi")
     return relations.best_counterpart(wanted, "mine", "counterpart", "shared")
