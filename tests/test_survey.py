@@ -489,3 +489,37 @@ def test_sections_are_made_side_by_side(monkeypatch):
     monkeypatch.setattr(render, "SECTIONS", {"a": made})
     monkeypatch.setattr(render, "HISTORY", {"b": made})
     assert render.section_sizes(None) == [("a", 3), ("b", 3)]
+
+
+FEW = {
+    "a.py": b"import requests\n\n\ndef f():\n    requests.get('x')\n    # x = 1\n    open('y')\n",
+    "b.py": b"x = '# y = 2'\n# prose (only\n",
+    "c.py": "import os\n\uff4fpen('x')  # caf\u00e9\n".encode(),
+    "d.py": b"def (:\n# z = 3\n",
+    "e.py": b"x = 1 + \\\n    2\n",
+    "f.py": b"# TODO: x = 4\n# gave = up(\r\n",
+    "g.py": b"a = 1\x0cb = 2\r\rc = '\xe9'\n",
+}
+
+
+def few_files(spark):
+    rows = [(p, b, i) for i, (p, b) in enumerate(FEW.items())] + [("gone.py", None, 9)]
+    return spark.createDataFrame(rows, "relpath string, content binary, ord long")
+
+
+@pytest.mark.parametrize("finding, stage", [("disabled_code", "disabled"), ("effects", "reaching"), ("in_folders", "sized")])
+def test_findings_of_few_files_parse_no_others_and_are_as_of_all(spark, monkeypatch, finding, stage):
+    staged = []
+    monkeypatch.setattr(plans, "stage_table", lambda s, df, name: staged.append(name) or df)
+    files = few_files(spark)
+    few, every = Survey(spark, files), Survey(spark, files)
+    got = sorted(map(tuple, getattr(few, finding).collect()))
+    assert staged == [stage]
+    assert every.modules.count() == 8 and sorted(map(tuple, getattr(every, finding).collect())) == got
+    assert {"disabled_code": [("a", 6), ("d", 2)], "effects": 2, "in_folders": 8}[finding] in (got, len(got))
+
+
+def test_what_may_hold_disabled_code_and_names():
+    assert [facts.may_hold_disabled_code(x) for x in ("x = 1", "# prose", "# x = 1", "'\n# f(x)\n'", "# a # y = 2", "#\r")] == [False, False, True, True, True, True]
+    names = frozenset(["open"])
+    assert [facts.may_use(names, x) for x in ("x = 1", "reopen()", "a.open ()", "f'{open}'", "\uff4fpen()")] == [False, False, True, True, True]
