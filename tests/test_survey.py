@@ -523,3 +523,28 @@ def test_what_may_hold_disabled_code_and_names():
     assert [facts.may_hold_disabled_code(x) for x in ("x = 1", "# prose", "# x = 1", "'\n# f(x)\n'", "# a # y = 2", "#\r")] == [False, False, True, True, True, True]
     names = frozenset(["open"])
     assert [facts.may_use(names, x) for x in ("x = 1", "reopen()", "a.open ()", "f'{open}'", "\uff4fpen()")] == [False, False, True, True, True]
+
+
+def test_a_trace_leaves_out_what_states_calls_dead_ends_and_broken(survey):
+    wanted = {r.key for r in survey.states.where(F.col("state").isin(*plans.TRACE_HIDES)).collect()}
+    assert {r.key for r in survey.hopeless.collect()} == wanted and wanted
+
+
+def test_a_trace_gathers_no_signals(spark):
+    files = spark.createDataFrame([("main.py", b"import a\n", 0), ("a.py", b"import b\ndef (:\n", 1), ("b.py", b"def g():\n    pass\n", 2)], "relpath string, content binary, ord long")
+    found = Survey(spark, files)
+    assert [tuple(r) for r in found.trace("main").where("direction = 'uses' and depth > 0").collect()] == []
+    assert not {"signals", "frontier", "states"} & set(found.__dict__)
+
+
+def test_first_commits_are_those_of_the_history(survey):
+    assert "file_history" in survey.__dict__ or survey.file_history is not None
+    wanted = sorted(map(tuple, survey.file_history.select("path", "first_seen").collect()))
+    own = Survey(survey.spark, survey.files, survey.listing, survey.commits, survey.commit_files, survey.renames, survey.tracked, raw=survey.raw)
+    assert sorted(map(tuple, own.begun.collect())) == wanted and "file_history" not in own.__dict__ and len(wanted) > 5
+
+
+def test_arrow_columns_of_nested_facts_are_as_given(spark):
+    found = [facts.file_facts(p, b, i) for i, (p, b) in enumerate(FEW.items())]
+    kinds = facts.to_arrow_schema(facts.StructType.fromDDL(facts.SCHEMA))
+    assert all(facts.column([x[f.name] for x in found], f.type).to_pylist() == [x[f.name] for x in found] for f in kinds)
