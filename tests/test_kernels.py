@@ -256,6 +256,21 @@ def test_layered_chart(spark, monkeypatch, one_task):
     assert [n for n, _, _ in sorted(want, key=lambda x: x[1:])] == sorted(got, key=lambda n: (got[n].y, got[n].x))
 
 
+def test_sweeps_by_blocks_of_layers_are_as_in_one_task_and_stage_less_than_a_round_a_layer(spark, monkeypatch):
+    r = random.Random(4)
+    layers = {d: [f"m{r.randrange(10**6)}_{d}{i}" for i in range(40 if d == 1 else 3)] for d in range(7)}
+    names = [n for x in layers.values() for n in x]
+    pairs = {(r.choice(names), r.choice(names)) for _ in range(150)}
+    want = sorted(geometry._sweeps_here([(n, d, None) for d, x in layers.items() for n in x] + [(a, None, b) for a, b in pairs]))
+    staged = []
+    stage = geometry.stage_table
+    monkeypatch.setattr(geometry, "stage_table", lambda s, df, name: staged.append(name) or stage(s, df, name))
+    monkeypatch.setattr(graph, "ONE_TASK", 3)
+    got = geometry.sweep_layers(spark.createDataFrame([(n, d) for d, x in layers.items() for n in x], "node string, depth int"), edges(spark, *pairs))
+    assert sorted(map(tuple, got.collect())) == want
+    assert staged.count("sweep") < geometry.SWEEPS * (len(layers) - 1) and "ranked" in staged
+
+
 def test_boxes_stand_on_shelves():
     assert geometry.shelve([("a", 1000, 50), ("b", 300, 80), ("c", 40, 10), ("d", 1350, 5)]) == [("a", 0, 0), ("b", 1014, 0), ("c", 0, 94), ("d", 0, 118)]
 
