@@ -376,3 +376,47 @@ def test_staged_features_are_not_staged_again(spark, monkeypatch):
     names, stage = [], relations.stage_table
     monkeypatch.setattr(relations, "stage_table", lambda s, d, name: names.append(name) or stage(s, d, name))
     assert rows(relations.overlap_pairs(df, "k", "f", 3, staged=True)) == want == [(0, 1, 3), (1, 2, 3), (2, 3, 3)] and "features" not in names
+
+
+@pytest.mark.parametrize(("paired", "least"), [(0, 3), (2, 1), (16, 3)])
+def test_overlap_links_grow_with_rows_where_many_share_many(spark, monkeypatch, paired, least):
+    monkeypatch.setattr(relations, "PAIRED_KEYS", paired)
+    r = random.Random(3)
+    near = [(k, f) for k in range(60) for f in (1, 2, 3, 4, 5, 100 + k // 2, 200 + k % 20)]  # near copies: each has features of its own besides
+    apart = [(k, f) for k in range(100, 160) for f in (10, *r.sample(range(300, 340), r.randint(2, 6)))]  # one feature in common, by which most are not linked
+    scattered = [(k, f) for k in range(200, 230) for f in (20, 21, 22, *r.sample(range(400, 404), 2))] + [(None, 1), (1, None)]
+    df = spark.createDataFrame(near + apart + scattered, "k long, f long")
+    same = lambda edges: {x.node: x.component for x in graph.components(edges).collect()}
+    links, pairs = relations.overlap_links(df, "k", "f", least), relations.overlap_pairs(df, "k", "f", least).select("a", "b")
+    assert same(links) == same(pairs) and links.join(pairs, ["a", "b"], "left_anti").count() == 0
+    assert links.where("a < 60").count() <= 60 * 7  # of near copies, which are 1,770 pairs
+
+
+def test_links_by_the_next_features_need_no_pairs(spark, monkeypatch):
+    staged, stage = [], relations.stage_table
+    monkeypatch.setattr(relations, "stage_table", lambda s, d, name: staged.append((name, out := stage(s, d, name))) or out)
+    # 40 keys share three features; between them in the order of rarity stand others, so that no three that any two share stand together
+    rows_ = [(k, f) for k in range(40) for f in (1, 2, 3)]
+    rows_ += [(500 + i, 1) for i in range(10)] + [(600 + i, 2) for i in range(30)] + [(700 + i, 3) for i in range(60)]
+    rows_ += [(k, 1000 + k) for k in range(40)] + [(800 + 100 * k + i, 1000 + k) for k in range(40) for i in range(55)]
+    rows_ += [(k, 2000 + k) for k in range(40)] + [(5000 + 100 * k + i, 2000 + k) for k in range(40) for i in range(80)]
+    links = relations.overlap_links(spark.createDataFrame(rows_, "k long, f long"), "k", "f", 3, staged=True)
+    assert {name: t.count() for name, t in staged}["sure"] == 0
+    assert rows(links) == sorted(((0, k) for k in range(1, 40)), key=str)
+
+
+def test_lineage_and_shared_features_of_staged_rows(spark):
+    members = spark.createDataFrame([("g", 1), ("g", 2), ("g", 3)], "g string, k long")
+    features = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b"), (3, "c"), (3, "d"), (4, "a")], "k long, f string")
+    for operator in (summaries.lineage, summaries.shared_features):
+        given = (members, features, "g", "k", "f")
+        assert rows(operator(*given, staged=True)) == rows(operator(*given)) != []
+
+
+def test_lines_of_documents_are_shuffled_once_for_lineage(spark, tmp_path, monkeypatch):
+    docs = [(d, "\n".join(f"line {x}" for x in (d // 4, 1000 + d // 4, 2000 + d // 4, 3000 + d))) for d in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    names, stage = [], relations.stage_table
+    monkeypatch.setattr(relations, "stage_table", lambda s, d, name: names.append(name) or stage(s, d, name))
+    got = driver.lineage(spark, str(tmp_path))
+    assert "features" not in names and sorted(r.component for r in got.collect()) == [d // 4 * 4 for d in range(40)]

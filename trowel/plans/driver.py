@@ -108,15 +108,15 @@ def _lines(spark, sf_dir) -> DataFrame:
 
 
 def _digests(spark, sf_dir) -> DataFrame:
-    """Distinct lines of documents as digests of 16 bytes, made before anything is shuffled; staged."""
+    """Distinct lines of documents as digests of 16 bytes, made before anything is shuffled; staged, a document's in one place, so that what is counted by document is counted there."""
     each = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x)), lambda x: F.length(x) >= 4), lambda x: F.unhex(F.md5(x))))
-    return stage_table(spark, table(spark, sf_dir, "documents").select("doc_id", F.explode(each).alias("line")).distinct(), "lines")
+    return stage_table(spark, table(spark, sf_dir, "documents").select("doc_id", F.explode(each).alias("line")).repartition("doc_id").distinct(), "lines")
 
 
 def _facts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Line digests of documents, and members (component, doc_id) of overlapping documents."""
     lines = _digests(spark, sf_dir)
-    members = graph.components(relations.overlap_links(lines, "doc_id", "line", 3)).select("component", F.col("node").alias("doc_id"))
+    members = graph.components(relations.overlap_links(lines, "doc_id", "line", 3, staged=True)).select("component", F.col("node").alias("doc_id"))
     return lines, stage_table(spark, members, "members")
 
 
@@ -127,7 +127,7 @@ def overlap_pairs(spark, sf_dir):
 
 @query
 def attempt_components(spark, sf_dir):
-    return graph.components(relations.overlap_links(_digests(spark, sf_dir), "doc_id", "line", 3)).select(F.col("node").alias("doc_id"), "component")
+    return graph.components(relations.overlap_links(_digests(spark, sf_dir), "doc_id", "line", 3, staged=True)).select(F.col("node").alias("doc_id"), "component")
 
 
 @query
@@ -138,7 +138,7 @@ def same_file_sets(spark, sf_dir):
 @query
 def group_shared(spark, sf_dir):
     lines, members = _facts(spark, sf_dir)
-    return summaries.shared_features(members, lines, "component", "doc_id", "line")
+    return summaries.shared_features(members, lines, "component", "doc_id", "line", staged=True)
 
 
 def _ranked(spark, sf_dir, members: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def completeness_rank(spark, sf_dir):
 @query
 def lineage(spark, sf_dir):
     lines, members = _facts(spark, sf_dir)
-    return summaries.lineage(members, lines, "component", "doc_id", "line")
+    return summaries.lineage(members, lines, "component", "doc_id", "line", staged=True)
 
 
 @query
