@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 import __spark_entry__
 from trowel.plans import codebase_oracle, driver, findings, oracle
@@ -38,6 +39,19 @@ def test_query_equals_sql(spark, sql, name):
     assert got == want
 
 
+@pytest.mark.skipif(not Path(DATA).exists(), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["survey_frontier_lines"])
+def test_drawn_and_printed_rows_stay_off_the_driver(spark, monkeypatch, name):
+    def held(self, *_, real=DataFrame.collect):
+        rows = real(self)
+        assert len(rows) < 100
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", held)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda self, *_: iter(held(self)))
+    assert QUERIES[name](spark, DATA).count() >= 200
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
