@@ -40,7 +40,7 @@ def test_query_equals_sql(spark, sql, name):
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["survey_frontier_lines", "survey_payload"])
+@pytest.mark.parametrize("name", ["survey_drawio", "survey_frontier_lines", "survey_payload"])
 def test_drawn_and_printed_rows_stay_off_the_driver(spark, monkeypatch, name):
     def held(self, *_, real=DataFrame.collect):
         rows = real(self)
