@@ -368,6 +368,27 @@ def test_blocks_of_a_large_family(spark, monkeypatch):
     assert {row.doc_id: row.component_id for row in got.collect()} == want
 
 
+def test_a_long_family_is_not_compared_whole(spark, monkeypatch):
+    """Texts that only their neighbours are like: a family that all are in, where each shares signatures with few."""
+    dealt, deal = [], ngram_join._dealt_blocks
+
+    def counted(spark, members, block):
+        rows = deal(spark, members, block)
+        dealt.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(ngram_join, "_dealt_blocks", counted)
+    for name in ("BLOCK", "SKETCHED"):
+        monkeypatch.setattr(ngram_join, name, 8)
+    words = [f"w{i}" for i in range(1000)]
+    texts = [" ".join(words[3 * i : 3 * i + 60]) for i in range(240) if i % 80 > 3]
+    got = ngram_join.link_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 3, 80)
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(58)} for i, t in enumerate(texts)}
+    want = components(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert {row.doc_id: row.component_id for row in got.collect()} == want and len(set(want.values())) == 3
+    assert max(dealt) < 20 * len(texts)
+
+
 def test_families_of_several_clusters(spark, monkeypatch):
     """Blocks of families with several clusters lose no link and join nothing else."""
     for name, value in (("BLOCK", 8), ("SKETCHED", 16)):

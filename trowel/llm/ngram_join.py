@@ -11,9 +11,10 @@ Plan. (1) Texts with equal sets are one class (128-bit digest and size; a groupe
 batch sends its classes' signatures as sorted lists per hash bucket; buckets return, of the classes with
 a common signature, the lowest with each other one, so candidates are connected families. (3) Within a
 family, sketches of parities bound the difference of sets from below; tasks compare blocks of sketches
-and return enough of the pairs that the bound leaves to connect them: far smaller families. (4) Each
+and return enough of the pairs that the bound leaves to connect them: far smaller families. Of a family of
+many blocks only those are compared that have a common lowest class, as two that share a signature have. (4) Each
 member is verified against its family's lowest; links join components. Where a family still has
-several, members of different components are compared by text, block by block, and tasks return only
+several, members of different components are compared by text, in the same way, and tasks return only
 links that connect. Pairs are never listed; no link is lost, as a linked pair shares a signature, is
 left by the bound, and is compared or already connected. (5) Classes get components, documents theirs.
 
@@ -385,9 +386,9 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
     named = classes.select((F.shiftrightunsigned("d1", 64 - id_bits) if id_bits < 64 else F.col("d1")).alias("id"), "doc")
     as_ = lambda i, d: named.select(F.col("id").alias(i), F.col("doc").alias(d))
     # classes of equal ids were one in the lists: they are candidates of each other
-    twins = named.groupBy("id").agg(F.count("*").alias("n"), F.min("doc").alias("b")).where("n > 1").join(named, "id").where("doc <> b").select(F.col("doc").alias("a"), "b")
+    twins = named.groupBy("id").agg(F.count("*").alias("n"), F.min("doc").alias("b")).where("n > 1").join(named, "id").where("doc <> b").select(F.col("b").alias("a"), F.col("doc").alias("b"))
     pairs = found.join(as_("x", "a"), "x").join(as_("y", "b"), "y").where("a <> b").select("a", "b").union(twins)
-    pairs = stage_table(spark, pairs.distinct(), "pairs")
+    pairs = stage_table(spark, pairs.distinct(), "pairs")  # a: of those with a common signature the lowest
 
     labels = None
     if pairs.take(1):
@@ -395,6 +396,7 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
         known = digests.select(F.col("doc_id").alias("doc"), "d1", "n_shingles", "sketch").join(classes.select("doc", "d1"), ["doc", "d1"]).dropDuplicates(["doc", "d1"])
         loose = stars(pairs)
         loose = loose.select("node", "component").union(loose.select("component", "component").distinct()).toDF("doc", "family").withColumn("comp", F.col("doc"))
+        loose = _around_lowest(spark, stage_table(spark, loose, "loose"), pairs, SKETCHED)
         dealt = _dealt_blocks(spark, loose, SKETCHED).join(known.select("doc", "n_shingles", "sketch"), "doc")
         tight = stage_table(spark, dealt.groupBy("deal").applyInArrow(_plausible_blocks(num, den), "a long, b long"), "tight")
         family = stars(tight)
@@ -412,7 +414,7 @@ def link_components(docs: DataFrame, width: int = 3, percent: int = 90, bucket_b
         labels = stars(links)
         families = _open_families(spark, members.select("doc", "family"), labels)
         if families is not None:
-            dealt = _dealt_blocks(spark, families, BLOCK).join(texts, "doc").select("deal", "pair", "side", "doc", "comp", "d1", "text")
+            dealt = _dealt_blocks(spark, _around_lowest(spark, families, pairs, BLOCK), BLOCK).join(texts, "doc").select("deal", "pair", "side", "doc", "comp", "d1", "text")
             more = dealt.groupBy("deal").applyInArrow(_linked_blocks(width, num, den), "a long, b long")
             labels = stars(links.union(more))
     own = digests.drop("sketch").join(classes, ["d1", "d2", "n_shingles"], "left")
@@ -436,6 +438,27 @@ def _open_families(spark: SparkSession, members: DataFrame, labels: DataFrame) -
 BLOCK, SKETCHED = 128, 4096
 
 
+def _around_lowest(spark: SparkSession, members: DataFrame, pairs: DataFrame, block: int) -> DataFrame:
+    """members(family, doc, comp), where families of several blocks are taken apart: into those that have a common class as the lowest of a signature.
+
+    A linked pair shares a signature, so its lowest class is paired with both, or is one of them: the two are in
+    one group at least. Groups overlap, but have no more rows than signatures were sent, while pairs of blocks grow
+    with the square of a family, which a few chance signatures make of most texts. A family whose pairs of
+    blocks are fewer rows stays as it is, as does one within a block.
+    """
+    cost = F.sum(F.col("n") * F.ceil(F.col("n") / block))
+    large = stage_table(spark, members.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") > block), "large")
+    if not large.take(1):
+        return members
+    near = pairs.select(F.col("a").alias("low"), F.col("b").alias("doc")).union(pairs.select("a", "a").distinct())
+    near = stage_table(spark, members.join(large.select("family"), "family").join(near, "doc").select("family", "low", "doc", "comp"), "near")
+    groups = near.groupBy("family", "low").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    fewer = groups.groupBy("family").agg(cost.alias("apart")).join(large.groupBy("family").agg(cost.alias("whole")), "family").where("apart < whole").select("family")
+    apart = stage_table(spark, groups.join(fewer, "family").select("family", "low"), "apart")
+    taken = near.join(apart, ["family", "low"]).select(F.xxhash64("family", "low").alias("family"), "doc", "comp")
+    return members.join(apart.select("family").distinct(), "family", "left_anti").select("family", "doc", "comp").union(taken)
+
+
 def _dealt_blocks(spark: SparkSession, members: DataFrame, block: int) -> DataFrame:
     """Members, once for each pair of blocks of their family that theirs is compared with.
 
