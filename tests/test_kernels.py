@@ -117,6 +117,16 @@ def test_cycles_as_a_walk_over_the_whole_graph_meets_them(spark, monkeypatch, on
         assert sorted(x.nodes for x in found.collect()) == walk_cycles(pairs), pairs
 
 
+@LONG_WAY
+def test_count_of_cycles(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    pairs = ["ab", "ba", "bb", "cd", "dc", "dd", "cc", "de", "ef", "fe", "fg", "gh", "hg", "hf", "xx", "bx", "xy", "yz", "ac"]
+    found = edges(spark, *map(tuple, pairs))
+    assert graph.count_cycles(found) == len(walk_cycles(pairs))
+    if one_task == 0:
+        assert rows(graph.strong_components(found)) == [("a", "b"), ("b", "b"), ("c", "d"), ("d", "d"), ("e", "h"), ("f", "h"), ("g", "h"), ("h", "h"), ("x", "x")]
+
+
 @LONG_WAY
 def test_strong_components(spark, monkeypatch, one_task):
     monkeypatch.setattr(graph, "ONE_TASK", one_task)

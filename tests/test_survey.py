@@ -135,6 +135,14 @@ def test_evidence_reaches_the_sinks(survey):
     assert sorted(map(tuple, survey.trace("app.main").collect())) == [("used_by", "app.main", 0, 0), ("uses", "app.main", 0, 1), ("uses", "helpers.util", 1, 1)]
 
 
+def test_headline_asks_for_counts_only(spark, tmp_path):
+    write(tmp_path, {"main.py": "import a\nif __name__ == '__main__':\n    pass\n", "a.py": "import b\n", "b.py": "import a\n", "c.py": "import d\n", "d.py": "import c\n"})
+    s = Survey.of_tree(spark, str(tmp_path), with_history=False)
+    h = s.headline.first()
+    assert (h.modules, h.entries, h.orphans, h.cycles, h.unreached) == (5, 1, 0, 2, 2)
+    assert not {"signals", "judged", "import_cycles"} & set(s.__dict__)
+
+
 def test_drawio_draws_every_module(spark, tmp_path):
     write(tmp_path, {f"m{i}.py": f"import m{i + 1}\n" if i < 2050 else "" for i in range(2051)})
     s = Survey.of_tree(spark, str(tmp_path), with_history=False)
