@@ -143,6 +143,14 @@ def test_headline_asks_for_counts_only(spark, tmp_path):
     assert not {"signals", "judged", "import_cycles"} & set(s.__dict__)
 
 
+def test_sections_count_cycles_without_listing_them(spark, tmp_path, monkeypatch):
+    write(tmp_path, {"a.py": "import b\n", "b.py": "import a\n", "c.py": "import d\n", "d.py": "import c\n"})
+    monkeypatch.setattr(render, "SECTIONS", {k: render.SECTIONS[k] for k in ("edges", "cycles")})
+    monkeypatch.setattr(render, "HISTORY", {})
+    s = Survey.of_tree(spark, str(tmp_path), with_history=False)
+    assert render.section_sizes(s) == [("edges", 4), ("cycles", 2)] and "import_cycles" not in s.__dict__
+
+
 def test_drawio_draws_every_module(spark, tmp_path):
     write(tmp_path, {f"m{i}.py": f"import m{i + 1}\n" if i < 2050 else "" for i in range(2051)})
     s = Survey.of_tree(spark, str(tmp_path), with_history=False)
